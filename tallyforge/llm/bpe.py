@@ -106,7 +106,10 @@ class Encoder:
         return b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts if p[0]])
 
 
-encoder = lru_cache(maxsize=2)(Encoder)
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The worker's own encoder, with what it remembers."""
+    return Encoder(path)
 
 
 def encode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
