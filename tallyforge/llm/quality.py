@@ -195,9 +195,9 @@ dup AS (SELECT r, sum(n) AS n_lines, sum(n - 1) AS n_dup_lines FROM (
 win AS (SELECT r, i, list_slice(w, i, i + 7) AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
 rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY r),
-echo AS (SELECT r, len(list_filter(list_zip(w, w[2:]), x -> x[1] = x[2])) AS n_echoes FROM d),
+echo AS (SELECT r, len(list_filter(list_zip(w, w[2:]), lambda x: x[1] = x[2])) AS n_echoes FROM d),
 m AS (
-  SELECT doc_id, len(w) AS n_words, list_sum(list_transform(w, x -> length(x))) AS word_chars,
+  SELECT doc_id, len(w) AS n_words, list_sum(list_transform(w, lambda x: length(x))) AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, n_dup_lines, n_repeat_words, n_lines, n_echoes,
     length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^a-z]', '', 'g')) AS n_lower,
     length(regexp_replace(text, '[^!]', '', 'g')) AS n_bangs, len(regexp_extract_all(text, '(?i)\b({"|".join(FLAGGED)})\b')) AS n_flagged
