@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, quality, simhash
+from . import bpe, pii, quality, secrets, simhash
 from .common import table
 
 try:  # the tokenizer files' folder is a parameter of the operators; this is the default of the queries
@@ -25,6 +25,10 @@ def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,10 +40,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op4_rules": op4_rules,
+    "op7_secrets": op7_secrets,
     "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
 }
 
 ORACLE: dict[str, str] = {
     "op4_rules": quality.oracle(),
+    "op7_secrets": secrets.oracle(),
 }
