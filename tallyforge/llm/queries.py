@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, pii, quality, secrets, simhash
+from . import bpe, decontaminate, language, pii, quality, secrets, simhash, urls
 from .common import table
 
 try:  # the tokenizer files' folder is a parameter of the operators; this is the default of the queries
@@ -29,10 +29,18 @@ def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,12 +53,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op4_rules": op4_rules,
+    "op5_urls": op5_urls,
     "op7_secrets": op7_secrets,
+    "op8_language": op8_language,
     "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
 }
 
 ORACLE: dict[str, str] = {
     "op4_rules": quality.oracle(),
+    "op5_urls": urls.oracle(),
     "op7_secrets": secrets.oracle(),
 }
