@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, pii, quality, secrets, simhash, urls
+from . import bpe, decontaminate, html, language, pii, quality, secrets, simhash, urls
 from .common import table
 
 try:  # the tokenizer files' folder is a parameter of the operators; this is the default of the queries
@@ -33,6 +33,10 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_rules": op4_rules,
     "op5_urls": op5_urls,
+    "op6_html": op6_html,
     "op7_secrets": op7_secrets,
     "op8_language": op8_language,
     "op9_simhash": op9_simhash,
