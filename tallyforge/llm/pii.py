@@ -15,7 +15,8 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_column, map_rows
 
@@ -268,3 +269,8 @@ def redacted(text: str | None) -> str | None:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced in text; all rows and other columns as they are."""
     return map_column(docs, "text", lambda texts: [redacted(t) for t in texts])
+
+
+def length(text: Column) -> Column:
+    """Code points of a text, as the table of documents counts them."""
+    return F.length(text)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, language, pii, quality, secrets, simhash, urls
+from . import bpe, decontaminate, html, language, passages, pii, quality, secrets, simhash, urls
 from .common import table
 
 try:  # the tokenizer files' folder is a parameter of the operators; this is the default of the queries
@@ -17,6 +17,10 @@ except ImportError:
     TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_passages": op1_passages,
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op4_rules": op4_rules,

@@ -171,3 +171,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     label = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     out = fps.join(label, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
+    """``docs`` with the smallest doc_id of each group of near-duplicates alone, all columns as they are.
+
+    Rows that repeat a doc_id count as copies, so one of them stays; rows without a doc_id stay.
+    """
+    found = near_duplicates(docs, width, radius)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_doc_id")).distinct()
+    stay = docs.join(kept, docs["doc_id"] == kept["kept_doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    return stay.unionByName(docs.where("doc_id is null"))
