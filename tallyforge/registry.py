@@ -3,16 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+MODULES = ("economy",)
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query and, where SQL can express it, its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def load() -> None:
+    for module in MODULES:
+        import_module(f"tallyforge.plans.{module}")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
+    load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(ORACLE)
