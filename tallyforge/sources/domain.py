@@ -42,9 +42,9 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue relationships, a row for each supplier, buyer and state: id, company_id (seller), related_company_id, value, status, deleted."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag", F.expr("cast(l_extendedprice AS decimal(12, 2)) * (1 - cast(l_discount AS decimal(4, 2)))").alias("net"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    sums = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_suppkey", "o_custkey", "l_returnflag").agg(F.round(F.sum("net"), 2).alias("value"))
+    sums = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_suppkey", "o_custkey", "l_returnflag").agg(F.round(F.sum("net"), 2).cast("double").alias("value"))
     state = F.expr("CASE l_returnflag WHEN 'A' THEN 'Approved' WHEN 'N' THEN 'Pending' ELSE 'Rejected' END")
     ident = F.concat_ws("-", "l_suppkey", "o_custkey", "l_returnflag")
     return sums.select(ident.alias("id"), F.col("l_suppkey").alias("company_id"), F.col("o_custkey").alias("related_company_id"), "value", state.alias("status"), ((F.col("l_suppkey") + F.col("o_custkey")) % 17 == 0).alias("deleted"))
@@ -61,7 +61,7 @@ SQL = {
     CASE WHEN c_custkey % 11 <> 0 THEN c_mktsegment END AS sector, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment || '_' || (c_custkey % 3) END AS industry, c_acctbal AS market_cap,
     c_custkey % 50 = 49 AS deleted, revenue_total
     FROM customer LEFT JOIN (SELECT o_custkey, round(sum(o_totalprice), 2) AS revenue_total FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) ON c_custkey = o_custkey""",
-    "contributions": """SELECT l_suppkey || '-' || o_custkey || '-' || l_returnflag AS id, l_suppkey AS company_id, o_custkey AS related_company_id, round(sum(l_extendedprice * (1 - l_discount)), 2) AS value,
+    "contributions": """SELECT l_suppkey || '-' || o_custkey || '-' || l_returnflag AS id, l_suppkey AS company_id, o_custkey AS related_company_id, round(sum(l_extendedprice::DECIMAL(12, 2) * (1 - l_discount::DECIMAL(4, 2))), 2)::DOUBLE AS value,
     CASE l_returnflag WHEN 'A' THEN 'Approved' WHEN 'N' THEN 'Pending' ELSE 'Rejected' END AS status, (l_suppkey + o_custkey) % 17 = 0 AS deleted
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_suppkey, o_custkey, l_returnflag""",
     "evts": "SELECT event_id AS id, event_type AS title, ts, user_id AS company_id, value AS impact, props, event_id % 13 = 0 AS deleted FROM events",
