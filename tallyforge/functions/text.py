@@ -46,10 +46,10 @@ def humanise(name: Column) -> Column:
 
 
 def money(value: Column) -> Column:
-    """$x.xxB, M or k, by size."""
-    scaled = lambda by, unit: F.concat(F.lit("$"), F.format_string("%.2f", F.round(value / by, 2)), F.lit(unit))
-    size = F.abs(value)
-    return F.when(size >= 1e9, scaled(1e9, "B")).when(size >= 1e6, scaled(1e6, "M")).when(size >= 1e3, scaled(1e3, "k")).otherwise(scaled(1.0, ""))
+    """$x.xxB, M or k, by size; rounded as decimals, so that halves go up."""
+    cents, size = value.cast("decimal(18,2)"), F.abs(value)
+    scaled = lambda by, unit: F.concat(F.lit("$"), F.format_string("%.2f", F.round(cents * F.lit(by).cast("decimal(10,9)"), 2).cast("double")), F.lit(unit))
+    return F.when(size >= 1e9, scaled("0.000000001", "B")).when(size >= 1e6, scaled("0.000001", "M")).when(size >= 1e3, scaled("0.001", "k")).otherwise(scaled("1", ""))
 
 
 def pretty_segment(member: Column) -> Column:
