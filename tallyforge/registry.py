@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-MODULES = ("economy", "reads", "indices", "statements", "changes")
+MODULES = ("economy", "reads", "indices", "statements", "changes", "filings")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
