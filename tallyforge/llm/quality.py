@@ -166,7 +166,7 @@ def ablation(book: DataFrame, policy: str = CURRENT) -> DataFrame:
 
     The ledger is first summed by its bits, which have at most 2 ** len(RULES) values.
     """
-    bits, own = mask(POLICIES[policy]), F.shiftleft(F.lit(1).cast("long"), F.col("bit"))
+    bits, own = mask(POLICIES[policy]), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
     rules = F.explode(F.array(*(F.struct(F.lit(i).alias("bit"), F.lit(r.name).alias("rule")) for i, r in enumerate(RULES) if r.name in POLICIES[policy]))).alias("r")
     summed = book.groupBy("failed").agg(F.count("*").alias("n")).select(F.col("failed").bitwiseAND(F.lit(bits)).alias("hit"), "n", rules).select("hit", "n", "r.*")
     count = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
