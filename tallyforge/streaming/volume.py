@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def weekly_stream(events: DataFrame, lateness: str = "30 days") -> DataFrame:
     """Sums of each company and week; events later than the watermark are left out, and repeats of an event count once."""
-    once = events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
+    once = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
     week = F.window("ts", "7 days", startTime="4 days")  # windows start on Mondays
     return once.where("value is not null").groupBy("company_id", week).agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("decimal(18,6)")), 4).cast("double").alias("volume")).select("company_id", F.to_date("window.start").alias("week"), "n", "volume")
 
