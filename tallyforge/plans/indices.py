@@ -98,17 +98,34 @@ def sector_map(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), known[T.norm_label(F.expr(VENDOR))].alias("sector"))
 
 
-# Industry codes to sectors; the first prefix that fits counts.
-NAICS = "3254 HC|3391 HC|3361 CD|3362 CD|3363 CD|3364 IND|3365 IND|3366 IND|3369 IND|5112 IT|5415 IT|518 IT|519 IT|514 IT|211 EN|2121 EN|212 MAT|213111 EN|213112 EN|21311 MAT|213 EN|486 EN|711 COMM|712 COMM|713 CD|113 MAT|11 CS|22 UTIL|23 IND|311 CS|312 CS|313 CD|314 CD|315 CD|316 CD|321 MAT|322 MAT|323 IND|324 EN|325 MAT|326 MAT|327 MAT|331 MAT|332 IND|333 IND|334 IT|335 IND|336 IND|337 CD|339 CD|42 IND|445 CS|4A CD|44 CD|45 CD|48 IND|49 IND|51 COMM|52 FIN|53 RE|54 IND|55 IND|56 IND|61 CD|62 HC|71 CD|72 CD|81 CD"
-RULES = [tuple(r.split(" ")) for r in NAICS.split("|")]
-
-
-@query("naics_to_gics", "SELECT p_partkey AS id, code, CASE " + " ".join(f"WHEN starts_with(code, '{p}') THEN '{s}'" for p, s in RULES) + " END AS sector FROM (SELECT p_partkey, (p_partkey * 7919 % 900000 + 100000)::VARCHAR AS code FROM part)")
+# Industry codes to sectors, None where there is none; the first prefix that fits counts.
+RULES = (
+    ("S00101", "UTILITIES"), ("S00202", "UTILITIES"), ("S00800", "REAL_ESTATE"), ("HS", "REAL_ESTATE"), ("ORE", "REAL_ESTATE"),
+    ("S00201", "INDUSTRIALS"), ("S", None), ("G", None), ("F", None), ("V", None), ("T", None), ("3254", "HEALTH_CARE"), ("3391", "HEALTH_CARE"),
+    ("3361", "CONSUMER_DISCRETIONARY"), ("3362", "CONSUMER_DISCRETIONARY"), ("3363", "CONSUMER_DISCRETIONARY"), ("3364", "INDUSTRIALS"),
+    ("3365", "INDUSTRIALS"), ("3366", "INDUSTRIALS"), ("3369", "INDUSTRIALS"), ("5112", "INFORMATION_TECHNOLOGY"), ("5415", "INFORMATION_TECHNOLOGY"),
+    ("518", "INFORMATION_TECHNOLOGY"), ("519", "INFORMATION_TECHNOLOGY"), ("514", "INFORMATION_TECHNOLOGY"), ("211", "ENERGY"), ("2121", "ENERGY"),
+    ("212", "MATERIALS"), ("213111", "ENERGY"), ("213112", "ENERGY"), ("21311", "MATERIALS"), ("213", "ENERGY"), ("486", "ENERGY"),
+    ("711", "COMMUNICATION_SERVICES"), ("712", "COMMUNICATION_SERVICES"), ("713", "CONSUMER_DISCRETIONARY"), ("113", "MATERIALS"),
+    ("11", "CONSUMER_STAPLES"), ("22", "UTILITIES"), ("23", "INDUSTRIALS"), ("311", "CONSUMER_STAPLES"), ("312", "CONSUMER_STAPLES"),
+    ("313", "CONSUMER_DISCRETIONARY"), ("314", "CONSUMER_DISCRETIONARY"), ("315", "CONSUMER_DISCRETIONARY"), ("316", "CONSUMER_DISCRETIONARY"),
+    ("321", "MATERIALS"), ("322", "MATERIALS"), ("323", "INDUSTRIALS"), ("324", "ENERGY"), ("325", "MATERIALS"), ("326", "MATERIALS"),
+    ("327", "MATERIALS"), ("331", "MATERIALS"), ("332", "INDUSTRIALS"), ("333", "INDUSTRIALS"), ("334", "INFORMATION_TECHNOLOGY"),
+    ("335", "INDUSTRIALS"), ("336", "INDUSTRIALS"), ("337", "CONSUMER_DISCRETIONARY"), ("339", "CONSUMER_DISCRETIONARY"), ("42", "INDUSTRIALS"),
+    ("445", "CONSUMER_STAPLES"), ("4A", "CONSUMER_DISCRETIONARY"), ("44", "CONSUMER_DISCRETIONARY"), ("45", "CONSUMER_DISCRETIONARY"),
+    ("48", "INDUSTRIALS"), ("49", "INDUSTRIALS"), ("51", "COMMUNICATION_SERVICES"), ("52", "FINANCIALS"), ("53", "REAL_ESTATE"),
+    ("54", "INDUSTRIALS"), ("55", "INDUSTRIALS"), ("56", "INDUSTRIALS"), ("61", "CONSUMER_DISCRETIONARY"), ("62", "HEALTH_CARE"),
+    ("71", "CONSUMER_DISCRETIONARY"), ("72", "CONSUMER_DISCRETIONARY"), ("81", "CONSUMER_DISCRETIONARY"),
+)
+CODE = "CASE p_partkey % 9 WHEN 0 THEN 'S00101' WHEN 1 THEN 'hs' WHEN 2 THEN 'GFE' WHEN 3 THEN '3361MV' ELSE {} END"
+
+
+@query("naics_to_gics", "SELECT id, code, CASE " + " ".join(f"WHEN starts_with(code, '{p}') THEN {repr(s) if s else 'NULL'}" for p, s in RULES) + " END AS sector FROM (SELECT p_partkey AS id, upper(" + CODE.format("(p_partkey * 7919 % 900000 + 100000)::VARCHAR") + ") AS code FROM part)")
 def naics_to_gics(spark, d):
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr("cast(p_partkey * 7919 % 900000 + 100000 AS string)").alias("code"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.upper(F.expr(CODE.format("cast(p_partkey * 7919 % 900000 + 100000 AS string)"))).alias("code"))
     sector = F.lit(None).cast("string")
     for prefix, name in reversed(RULES):
-        sector = F.when(F.startswith("code", F.lit(prefix)), name).otherwise(sector)
+        sector = F.when(F.startswith("code", F.lit(prefix)), F.lit(name)).otherwise(sector)
     return rows.withColumn("sector", sector)
 
 
