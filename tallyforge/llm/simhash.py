@@ -3,9 +3,11 @@
 Two fingerprints differ in at most 2r bits exactly if some word lies within r bits of both.
 So every distinct fingerprint stands for all words ("variants") within half the radius, and
 fingerprints that meet in a variant are links. Variants with equal leading bits travel
-together: a fingerprint is sent once to each of the 137 prefixes that its 2081 variants
-have (radius 4, 16 bits of prefix), and the receiving task lists the variants below that
-prefix. The shuffle so carries a fifteenth of the rows, and meets the same variants.
+together: a fingerprint is sent once to each of the prefixes that its 2081 variants have
+(137 for radius 4 and 16 bits of prefix), and the receiving task lists the variants below
+that prefix. The shuffle so carries a fifteenth of the rows, and meets the same variants.
+Beyond a million fingerprints prefixes lengthen with their logarithm, so that each keeps
+under some thousand rows; the rows of a fingerprint grow as that logarithm's square.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ from .common import bounded_batches, checkpointed, map_rows
 from .components import components
 
 SEED = 42
-#: Leading bits that variants are dealt by, the variants that one task lists at a time, and
-#: from how many rows on a prefix is dealt over several tasks, each with a share of its variants.
+#: Least bits of prefix, the variants that one task lists at a time, and from how many rows on
+#: a prefix is dealt over several tasks, each with a share of its variants.
 PREFIX, TASK_VARIANTS, HOT_ROWS = 16, 4 << 20, 4096
+#: Prefixes up to which the hot ones among them are broadcast, as two ints each.
+BROADCAST_PREFIXES = 1 << 20
 #: The bits of a byte as eight counters of a byte each.
 SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
@@ -77,9 +81,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def variants(fp: np.ndarray, bucket: np.ndarray, part: np.ndarray, parts: np.ndarray, half: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def variants(fp: np.ndarray, bucket: np.ndarray, part: np.ndarray, parts: np.ndarray, half: int, prefix: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Chunks of (variant, row): the variants that have the row's prefix and fall into its part."""
-    low = 64 - PREFIX
+    low = 64 - prefix
     far = np.bitwise_count((fp >> np.uint64(low)) ^ bucket)
     base = (bucket << np.uint64(low)) | (fp & np.uint64((1 << low) - 1))
     for d in range(half + 1):
@@ -110,11 +114,11 @@ def forest(node: np.ndarray, hub: np.ndarray) -> list[tuple[int, int]]:
     return [(x, top(x)) for x in up]
 
 
-def meet(fp: np.ndarray, rep: np.ndarray, bucket: np.ndarray, part: np.ndarray, parts: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def meet(fp: np.ndarray, rep: np.ndarray, bucket: np.ndarray, part: np.ndarray, parts: np.ndarray, radius: int, prefix: int) -> list[tuple[int, int]]:
     """Links between the rows of a task that share a variant, checked bit by bit."""
     if not len(fp):
         return []
-    v, row = map(np.concatenate, zip(*variants(fp, bucket, part, parts, radius // 2)))
+    v, row = map(np.concatenate, zip(*variants(fp, bucket, part, parts, radius // 2, prefix)))
     ordered = np.sort(v)
     shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     if not len(shared):
@@ -138,20 +142,22 @@ def links(reps: DataFrame, radius: int = 4) -> DataFrame:
     """
     half = radius // 2
     bounded_batches(reps.sparkSession)
-    top = F.shiftrightunsigned("fp", 64 - PREFIX)
-    sent = reps.select("fp", "rep", F.explode(F.array(*(F.lit(m) for m in flips(PREFIX, half)))).alias("flip"))
+    n = reps.count()
+    prefix = min(30, max(PREFIX, n.bit_length() - 4))
+    top = F.shiftrightunsigned("fp", 64 - prefix)
+    sent = reps.select("fp", "rep", F.explode(F.array(*(F.lit(m) for m in flips(prefix, half)))).alias("flip"))
     sent = sent.select("fp", "rep", top.bitwiseXOR(F.col("flip")).cast("int").alias("bucket"))
     hot = sent.groupBy("bucket").count().where(F.col("count") > HOT_ROWS).select("bucket", F.ceil(F.col("count") / HOT_ROWS).cast("int").alias("parts"))
-    # at most 2 ** PREFIX rows of two ints each
-    sent = sent.join(F.broadcast(hot), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    few = 1 << prefix <= BROADCAST_PREFIXES
+    sent = sent.join(F.broadcast(hot) if few else hot, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tasks = max(12, reps.count() * len(flips(64, half)) // TASK_VARIANTS + 1)
+    tasks = max(12, n * len(flips(64, half)) // TASK_VARIANTS + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[b.column(i).to_numpy() for i in range(5)] for b in batches if b.num_rows]
         if got:
             fp, rep, bucket, part, parts = map(np.concatenate, zip(*got))
-            for pairs in [meet(fp.view(np.uint64), rep, bucket.astype(np.uint64), part, parts, radius)]:
+            for pairs in [meet(fp.view(np.uint64), rep, bucket.astype(np.uint64), part, parts, radius, prefix)]:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
     return sent.repartition(tasks, "bucket", "part").select("fp", "rep", "bucket", "part", "parts").mapInArrow(run, "a bigint, b bigint")
