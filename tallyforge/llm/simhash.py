@@ -49,7 +49,11 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = 4) -> int:
     """A bit is set if it is set in over half of the shingles' hashes; no words: zero."""
-    hashes = shingle_hashes(text, width)
+    return majority(shingle_hashes(text, width))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have set."""
     if not len(hashes):
         return 0
     padded = np.zeros((-(-len(hashes) // 255) * 255, 8), np.uint8)
@@ -114,8 +118,8 @@ def forest(node: np.ndarray, hub: np.ndarray) -> list[tuple[int, int]]:
     return [(x, top(x)) for x in up]
 
 
-def meet(fp: np.ndarray, rep: np.ndarray, bucket: np.ndarray, part: np.ndarray, parts: np.ndarray, radius: int, prefix: int) -> list[tuple[int, int]]:
-    """Links between the rows of a task that share a variant, checked bit by bit."""
+def meet(fp: np.ndarray, rep: np.ndarray, bucket: np.ndarray, part: np.ndarray, parts: np.ndarray, radius: int, prefix: int, spanning: bool) -> list[tuple[int, int]]:
+    """Links between the rows of a task that share a variant, checked bit by bit; if ``spanning``, no more than connect them."""
     if not len(fp):
         return []
     v, row = map(np.concatenate, zip(*variants(fp, bucket, part, parts, radius // 2, prefix)))
@@ -131,12 +135,15 @@ def meet(fp: np.ndarray, rep: np.ndarray, bucket: np.ndarray, part: np.ndarray,
     hub = np.repeat(row[first], np.diff(np.r_[first, len(v)]))
     close = np.bitwise_count(fp[row] ^ fp[hub]) <= radius
     pairs = np.unique(np.stack([rep[row], rep[hub]], 1)[close & (row != hub)], axis=0)
-    return forest(pairs[:, 0], pairs[:, 1])
+    return forest(pairs[:, 0], pairs[:, 1]) if spanning else [tuple(p) for p in pairs.tolist()]
 
 
-def links(reps: DataFrame, radius: int = 4) -> DataFrame:
+def links(reps: DataFrame, radius: int = 4, spanning: bool = True) -> DataFrame:
     """Edges (a, b) that connect the same fingerprints as all pairs within ``radius`` bits do.
 
+    Each variant links its fingerprints to the first of them; if not ``spanning``, all
+    these pairs are edges, else a task gives as few as connect what it has.
+
     ``reps``: distinct fp, each with a number rep of its own. radius is even. A prefix that
     many fingerprints share is dealt over several tasks, each with a share of its variants.
     """
@@ -157,7 +164,7 @@ def links(reps: DataFrame, radius: int = 4) -> DataFrame:
         got = [[b.column(i).to_numpy() for i in range(5)] for b in batches if b.num_rows]
         if got:
             fp, rep, bucket, part, parts = map(np.concatenate, zip(*got))
-            for pairs in [meet(fp.view(np.uint64), rep, bucket.astype(np.uint64), part, parts, radius, prefix)]:
+            for pairs in [meet(fp.view(np.uint64), rep, bucket.astype(np.uint64), part, parts, radius, prefix, spanning)]:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
     return sent.repartition(tasks, "bucket", "part").select("fp", "rep", "bucket", "part", "parts").mapInArrow(run, "a bigint, b bigint")
@@ -179,12 +186,71 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` with the smallest doc_id of each group of near-duplicates alone, all columns as they are.
+#: Fingerprints of words for similar(), and the share of five-word shingles that copies have in common.
+VIEWS, SHARE, SHINGLE = 2, 0.8, 5
+
+
+def word_fingerprint(text: str | None, view: int) -> int:
+    """SimHash of a text's distinct words; each view mixes their hashes in its own way."""
+    words = np.unique(shingle_hashes(text, 1)) if len((text or "").split()) > 1 else shingle_hashes(text, 1)
+    return majority(mixed(words ^ np.uint64((view + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
+
+
+def alike(a: str | None, b: str | None, share: float = SHARE, width: int = SHINGLE) -> bool:
+    """Whether two texts have this share of all their distinct shingles in common; wordless texts are alike."""
+    x, y = (np.unique(shingle_hashes(t, width)) for t in (a, b))
+    if not len(x) and not len(y):
+        return True
+    if min(len(x), len(y)) < share * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= share * (len(x) + len(y) - both)
+
+
+def similar(docs: DataFrame, radius: int = 4) -> DataFrame:
+    """doc_id and component_id of groups whose texts are alike, one row for each row of ``docs``.
+
+    Fingerprints of shingles drift too far apart at four fifths of shingles in common, those
+    of distinct words hardly do. So candidates are pairs that meet in a ball of one of VIEWS
+    word fingerprints, and each is then held against the texts' own shingles: fingerprints
+    find, shingles decide. Equal texts count once. Null and wordless texts are one group;
+    rows without a doc_id have no group but that of their text.
+    """
+    names = [f"fp{v}" for v in range(VIEWS)]
+
+    def rows(doc_id: list, text: list) -> dict[str, list]:
+        made = {"doc_id": doc_id, "tid": [signed(xxhash.xxh64_intdigest((t or "").encode())) for t in text]}
+        return made | {n: [signed(word_fingerprint(t, v)) for t in text] for v, n in enumerate(names)}
+
+    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "tid", *names)])
+    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    ids = checkpointed(map_rows(base, rows, schema, ", ".join(f"{n} bigint" for n in schema.names)))
+    texts = ids.groupBy("tid").agg(F.min("doc_id").alias("rep"), *(F.first(n).alias(n) for n in names)).where("rep is not null")
+    pairs = None
+    for n in names:
+        reps = texts.groupBy(F.col(n).alias("fp")).agg(F.min("rep").alias("first"))
+        equal = texts.join(reps, texts[n] == reps["fp"]).where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
+        found = equal.unionByName(links(reps.select("fp", F.col("first").alias("rep")), radius, spanning=False))
+        pairs = found if pairs is None else pairs.unionByName(found)
+    pairs = checkpointed(pairs.distinct())
+    own = base.join(texts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    both = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+
+    def verify(a: list, b: list, text_a: list, text_b: list) -> dict[str, list]:
+        kept = [k for k in range(len(a)) if alike(text_a[k], text_b[k])]
+        return {"a": [a[k] for k in kept], "b": [b[k] for k in kept]}
+
+    edges = map_rows(both.select("a", "b", "text_a", "text_b"), verify, pa.schema([("a", pa.int64()), ("b", pa.int64())]), "a bigint, b bigint")
+    found = components(edges)
+    label = texts.join(found, texts["rep"] == found["node"], "left").select("tid", F.coalesce("component", "rep").alias("component_id"))
+    return ids.join(label, "tid", "left").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with the smallest doc_id of each group of similar() alone, all columns as they are.
 
     Rows that repeat a doc_id count as copies, so one of them stays; rows without a doc_id stay.
     """
-    found = near_duplicates(docs, width, radius)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_doc_id")).distinct()
+    kept = similar(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_doc_id")).distinct()
     stay = docs.join(kept, docs["doc_id"] == kept["kept_doc_id"], "left_semi").dropDuplicates(["doc_id"])
     return stay.unionByName(docs.where("doc_id is null"))

