@@ -179,12 +179,121 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` with the smallest doc_id of each group of near-duplicates alone, all columns as they are.
+#: The share of SHINGLE-word shingles that near copies have in common; pairs of texts are proposed
+#: by BANDS hashes of BAND minima each, of which two texts at that share have none in common in one
+#: case of 2,800. After ROUNDS rounds of hubs, what is left is paired out.
+SHARE, SHINGLE = 0.8, 5
+BANDS, BAND, ROUNDS = 20, 5, 3
+SALTS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64)
+
+
+def band_keys(text: str | None) -> np.ndarray:
+    """BANDS hashes, each of BAND minima of the text's mixed shingle hashes; wordless texts have equal ones."""
+    hashes = np.unique(shingle_hashes(text, SHINGLE))
+    least = np.full(len(SALTS), (1 << 64) - 1, np.uint64)
+    for k in range(0, len(hashes), 4096):
+        least = np.minimum(least, mixed(mixed(hashes[k : k + 4096, None] ^ SALTS)).min(0))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND).T:
+        key = mixed((key ^ column) * np.uint64(0xBF58476D1CE4E5B9))
+    return key.view(np.int64)
+
+
+def alike(a: str | None, b: str | None, share: float = SHARE, width: int = SHINGLE) -> bool:
+    """Whether two texts have this share of all their distinct shingles in common; wordless texts are alike."""
+    x, y = (np.unique(shingle_hashes(t, width)) for t in (a, b))
+    if not len(x) and not len(y):
+        return True
+    if min(len(x), len(y)) < share * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= share * (len(x) + len(y) - both)
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of tids whose texts are alike."""
+    both = pairs.join(texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a")), "a")
+    both = both.join(texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b")), "b")
+
+    def rows(a: list, b: list, text_a: list, text_b: list) -> dict[str, list]:
+        kept = [k for k in range(len(a)) if alike(text_a[k], text_b[k])]
+        return {"a": [a[k] for k in kept], "b": [b[k] for k in kept]}
+
+    made = map_rows(both.select("a", "b", "text_a", "text_b"), rows, pa.schema([("a", pa.int64()), ("b", pa.int64())]), "a bigint, b bigint")
+    return checkpointed(made)
+
+
+def copy_groups(docs: DataFrame) -> DataFrame:
+    """(tid, component_id) of every distinct text with a doc_id; ``docs`` has doc_id, text and tid.
+
+    Texts that share a band are held against the band's first text. A text goes to one such
+    hub, then components are made; bands that still hold texts of several components have
+    each of the other components' texts held against their next hub, ROUNDS times, and at last
+    all their pairs. So no pair that shares a band stays untried unless it is joined already,
+    and a group of copies makes a row or few for each copy.
+    """
+
+    def rows(doc_id: list, tid: list, text: list) -> dict[str, list]:
+        return {"doc_id": doc_id, "tid": tid, "keys": [band_keys(t) for t in text]}
+
+    schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    keyed = map_rows(docs.select("doc_id", "tid", "text"), rows, schema, "doc_id bigint, tid bigint, keys array<bigint>")
+    texts = checkpointed(keyed.groupBy("tid").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")).where("rep is not null"))
+    members = texts.select("tid", F.explode("keys").alias("key"))
+    shared = members.groupBy("key").agg(F.min("tid").alias("hub"), F.max("tid").alias("last")).where("hub < last")
+    live = checkpointed(members.join(shared.select("key", "hub"), "key"))
+    own = live.select("tid").distinct().join(texts, "tid").select("tid", F.col("rep").alias("doc_id"))
+    own = checkpointed(docs.join(own, ["tid", "doc_id"], "left_semi").dropDuplicates(["tid"]).select("tid", "text"))
+
+    tried = live.where("tid <> hub").groupBy(F.col("tid").alias("a")).agg(F.min("hub").alias("b"))
+    tried = checkpointed(tried)
+    edges, live = verified(tried, own), live.select("key", "tid")
+    for k in range(ROUNDS + 1):
+        found = components(edges)
+        named = live.join(found, live["tid"] == found["node"], "left").select("key", "tid", F.coalesce("component", "tid").alias("c"))
+        apart = named.groupBy("key").agg(F.min(F.struct("tid", "c")).alias("hub"), F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
+        live = checkpointed(named.join(apart.select("key", "hub"), "key"))
+        if live.isEmpty():
+            break
+        if k < ROUNDS:
+            pairs = live.where("c <> hub.c").select("tid", F.col("hub.tid").alias("other"))
+            live = live.where("tid <> hub.tid")
+        else:
+            other = live.select("key", F.col("tid").alias("other"), F.col("c").alias("other_c"))
+            pairs = live.join(other, "key").where("tid < other and c <> other_c")
+        pairs = pairs.select(F.greatest("tid", "other").alias("a"), F.least("tid", "other").alias("b")).distinct()
+        pairs = checkpointed(pairs.join(tried, ["a", "b"], "left_anti"))
+        edges, tried = edges.unionByName(verified(pairs, own)), tried.unionByName(pairs)
+        live = live.select("key", "tid")
+        if k == ROUNDS:
+            found = components(edges)
+    group = texts.join(found, texts["tid"] == found["node"], "left").select("tid", "rep", F.coalesce("component", "tid").alias("c"))
+    first = group.groupBy("c").agg(F.min("rep").alias("component_id"))
+    return checkpointed(group.join(first, "c").select("tid", "component_id"))
+
+
+def with_tid(docs: DataFrame) -> DataFrame:
+    """doc_id, text and tid, a hash of the text; null and empty texts are equal."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("tid"))
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id of groups whose texts are alike, one row for each row of ``docs``.
+
+    Fingerprints of shingles drift too far apart at four fifths of shingles in common. So
+    minima of shingles find pairs, and each is then held against the texts' own shingles:
+    minima find, shingles decide. Equal texts count once. Null and wordless texts are one
+    group; rows without a doc_id have no group but that of their text.
+    """
+    docs = with_tid(docs)
+    return docs.select("doc_id", "tid").join(copy_groups(docs), "tid", "left").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with the smallest doc_id of each group of similar() alone, all columns as they are.
 
     Rows that repeat a doc_id count as copies, so one of them stays; rows without a doc_id stay.
     """
-    found = near_duplicates(docs, width, radius)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_doc_id")).distinct()
+    kept = copy_groups(with_tid(docs)).select(F.col("component_id").alias("kept_doc_id")).distinct()
     stay = docs.join(kept, docs["doc_id"] == kept["kept_doc_id"], "left_semi").dropDuplicates(["doc_id"])
     return stay.unionByName(docs.where("doc_id is null"))

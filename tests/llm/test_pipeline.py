@@ -26,6 +26,19 @@ def test_run_equals_plain_python(spark):
     assert got == want and len(got) > 50
 
 
+def test_near_copies_by_shingles_go(spark):
+    """The near-dedup stage keeps what a comparison of all pairs on five-word shingles keeps."""
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet' ORDER BY doc_id").fetchall()
+    first = {i: i for i, _ in docs}
+    pairs = [(i, j) for k, (i, a) in enumerate(docs) for j, b in docs[:k] if simhash.alike(a, b)]
+    for _ in docs:
+        for i, j in pairs:
+            first[i] = first[j] = min(first[i], first[j])
+    out = corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{DATA}/documents.parquet"), DATA)
+    assert sorted(r.doc_id for r in out.collect()) == sorted({*first.values()})
+    assert first[177] == 1  # 0.83 of their shingles in common, fingerprints nine bits apart
+
+
 def test_leaks_are_the_items_texts(spark):
     """Every document with an item's words in a row is found, and no other."""
     items = duckdb.sql(f"SELECT item_id, text FROM '{DATA}/benchmark.parquet'").fetchall()

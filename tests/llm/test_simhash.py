@@ -73,6 +73,63 @@ def test_query_equals_all_pairs(spark):
     assert got[91].component_id == 90 and len(got[0].fingerprint) == 16
 
 
+def test_similar_texts_are_grouped_and_others_left(spark):
+    rng = random.Random(8)
+    rows = [row(i, " ".join(words(rng, rng.randint(150, 400)))) for i in range(40)]
+    for i in range(100, 140):
+        ws = rows[i - 100][1].split()
+        for k in rng.sample(range(len(ws)), max(1, len(ws) // 120)):
+            ws[k] = "changed"
+        rows.append(row(i, " ".join(ws)))
+    for i in range(200, 240):  # a third of the words are others
+        ws = rows[i - 200][1].split()
+        rows.append(row(i, " ".join(w if k % 3 else rng.choice("uvwxyz") + w for k, w in enumerate(ws))))
+    rows += [row(300, None), row(301, " "), row(302, rows[5][1]), row(None, rows[5][1])]
+    texts = {r[0]: r[1] for r in rows}
+    for a in range(100, 140):
+        assert S.alike(texts[a], texts[a - 100])
+    got = {r.doc_id: r.component_id for r in S.similar(frame(spark, rows)).collect()}
+    assert sum(got[i] == i - 100 for i in range(100, 140)) >= 34
+    assert all(got[i] == i for i in [*range(40), *range(200, 240)])
+    assert (got[301], got[302], got[None]) == (300, 5, 5)
+    for i, c in got.items():  # a group is held together by texts that are alike
+        assert i in (c, None) or any(S.alike(texts[i], texts[j]) for j, d in got.items() if d == c and j != i)
+    assert S.similar(empty(spark)).count() == 0
+
+
+def test_shares_of_shingles():
+    rng = random.Random(4)
+    for _ in range(200):
+        a = words(rng, rng.randint(1, 40))
+        b = [w if rng.random() > 0.05 else "x" for w in a]
+        x, y = ({tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in (a, b))
+        assert S.alike(" ".join(a), " ".join(b)) == (len(x & y) >= 0.8 * len(x | y))
+    assert S.alike(None, " \n") and not S.alike("", "a")
+
+
+def test_pairs_that_miss_their_hub_are_tried_again(spark):
+    """Texts between which the share falls with distance: a band's first text is alike to some of its others only."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(6):
+        ws = words(rng, 400)
+        for i in range(25):
+            rows.append(row(100 * g + i, " ".join(ws)))
+            for k in rng.sample(range(400), 6):
+                ws[k] = rng.choice("uvwxyz") + ws[k]
+    rng.shuffle(rows)
+    ids = [r[0] for r in rows]
+    sets = [set(S.shingle_hashes(r[1], 5).tolist()) for r in rows]
+    up = {i: i for i in ids}
+    for _ in ids:
+        for i, x in zip(ids, sets):
+            for j, y in zip(ids, sets):
+                if up[j] < up[i] and len(x & y) >= 0.8 * len(x | y):
+                    up[i] = up[j]
+    assert {r.doc_id: r.component_id for r in S.similar(frame(spark, rows)).collect()} == up
+    assert sorted(r.doc_id for r in S.keep_one(frame(spark, rows)).collect()) == sorted(set(up.values()))
+
+
 def test_one_of_each_group_stays(spark):
     docs = frame(spark)
     out = S.keep_one(docs)
