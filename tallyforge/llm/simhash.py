@@ -224,7 +224,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def copy_groups(docs: DataFrame) -> DataFrame:
-    """(tid, component_id) of every distinct text with a doc_id; ``docs`` has doc_id, text and tid.
+    """(tid, component_id, first_tid) of every distinct text with a doc_id; ``docs`` has doc_id, text and tid.
+
+    component_id is the group's smallest doc_id and first_tid the text that has it (of several
+    such texts the one with the smallest hash).
 
     Texts that share a band are held against the band's first text. A text goes to one such
     hub, then components are made; bands that still hold texts of several components have
@@ -268,8 +271,8 @@ def copy_groups(docs: DataFrame) -> DataFrame:
         if k == ROUNDS:
             found = components(edges)
     group = texts.join(found, texts["tid"] == found["node"], "left").select("tid", "rep", F.coalesce("component", "tid").alias("c"))
-    first = group.groupBy("c").agg(F.min("rep").alias("component_id"))
-    return checkpointed(group.join(first, "c").select("tid", "component_id"))
+    first = group.groupBy("c").agg(F.min(F.struct("rep", "tid")).alias("first"))
+    return checkpointed(group.join(first, "c").select("tid", F.col("first.rep").alias("component_id"), F.col("first.tid").alias("first_tid")))
 
 
 def with_tid(docs: DataFrame) -> DataFrame:
@@ -290,10 +293,14 @@ def similar(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with the smallest doc_id of each group of similar() alone, all columns as they are.
+    """``docs`` with one row of each group of similar(), the one with the smallest doc_id, all columns as they are.
 
-    Rows that repeat a doc_id count as copies, so one of them stays; rows without a doc_id stay.
+    What stays is decided by doc_id and text together, so a doc_id that two texts share loses
+    neither's group. Of rows that repeat both, one stays, whichever. Null and wordless texts
+    are one group, very long texts are compared whole, rows without a doc_id stay.
     """
-    kept = copy_groups(with_tid(docs)).select(F.col("component_id").alias("kept_doc_id")).distinct()
-    stay = docs.join(kept, docs["doc_id"] == kept["kept_doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where("doc_id is null"))
+    first = copy_groups(with_tid(docs)).select(F.col("component_id").alias("_kept_doc_id_"), F.col("first_tid").alias("_kept_text_")).distinct()
+    text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    found = docs.join(first, (docs["doc_id"] == first["_kept_doc_id_"]) & (text_hash == first["_kept_text_"]))
+    found = found.dropDuplicates(["_kept_doc_id_", "_kept_text_"]).drop("_kept_doc_id_", "_kept_text_")
+    return found.unionByName(docs.where("doc_id is null"))

@@ -8,17 +8,26 @@ from tallyforge.llm import bpe, decontaminate, pii, quality, simhash
 from tallyforge.llm.queries import QUERIES, TOKENIZER
 
 from .cases import empty, frame
-from .test_simhash import groups
 
 DATA = "/root/testdata/sf0.001"
 
 
+def alike_groups(docs):
+    """The smallest doc_id that each document reaches over pairs that are alike, by all pairs."""
+    first = {i: i for i, _ in docs}
+    pairs = [(i, j) for k, (i, a) in enumerate(docs) for j, b in docs[:k] if simhash.alike(a, b)]
+    for _ in docs:
+        for i, j in pairs:
+            first[i] = first[j] = min(first[i], first[j])
+    return first
+
+
 def test_run_equals_plain_python(spark):
     docs = duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet' ORDER BY doc_id").fetchall()
     policy = quality.mask(quality.POLICIES[quality.CURRENT])
     docs = [(i, t) for i, t in docs if not quality.failed(quality.measure(t)) & policy]
-    first = groups([simhash.fingerprint(t) for _, t in docs], 4)
-    docs = [d for k, d in enumerate(docs) if first[k] == k]
+    first = alike_groups(docs)
+    docs = [d for d in docs if first[d[0]] == d[0]]
     leaked = {r.doc_id for r in decontaminate.leaks(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
     whole = bpe.brute_force(TOKENIZER)
     want = {i: whole(pii.redacted(t)) for i, t in docs if i not in leaked}
@@ -29,11 +38,7 @@ def test_run_equals_plain_python(spark):
 def test_near_copies_by_shingles_go(spark):
     """The near-dedup stage keeps what a comparison of all pairs on five-word shingles keeps."""
     docs = duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet' ORDER BY doc_id").fetchall()
-    first = {i: i for i, _ in docs}
-    pairs = [(i, j) for k, (i, a) in enumerate(docs) for j, b in docs[:k] if simhash.alike(a, b)]
-    for _ in docs:
-        for i, j in pairs:
-            first[i] = first[j] = min(first[i], first[j])
+    first = alike_groups(docs)
     out = corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{DATA}/documents.parquet"), DATA)
     assert sorted(r.doc_id for r in out.collect()) == sorted({*first.values()})
     assert first[177] == 1  # 0.83 of their shingles in common, fingerprints nine bits apart

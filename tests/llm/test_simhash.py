@@ -140,6 +140,15 @@ def test_one_of_each_group_stays(spark):
     assert S.near_duplicates(empty(spark)).count() == 0 and S.keep_one(empty(spark)).count() == 0
 
 
+def test_a_shared_doc_id_loses_no_text(spark):
+    rng = random.Random(3)
+    a, b = (" ".join(words(rng, 80)) for _ in range(2))
+    out = S.keep_one(frame(spark, [row(1, a), row(5, a), row(5, b), row(5, b)])).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == [(1, a), (5, b)]
+    out = S.keep_one(frame(spark, [row(7, a), row(7, b)])).collect()
+    assert sorted(r.text for r in out) == sorted([a, b])
+
+
 def test_components_of_long_paths(spark):
     edges = spark.range(300).selectExpr("id a", "id + 1 b").union(spark.sql("select 1000L, 1001L union all select 1001L, 1000L union all select 7L, 7L"))
     found = {r.node: r.component for r in components(edges).collect()}
