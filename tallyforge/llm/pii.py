@@ -11,6 +11,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -104,45 +106,69 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
     "zéro": "0", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9", "un": "1",
 }
-ENDINGS = ("com", "net", "org", "edu", "gov", "info", "biz", "io", "co", "us", "uk", "ca", "au", "de", "fr", "es", "it", "nl", "ch", "at", "eu", "ru", "jp", "cn", "in", "br", "mx")
+ENDINGS = ("com", "net", "org", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "app", "dev", "xyz", "online", "site", "shop", "store", "tech", "blog", "cloud", "example", "test", "invalid", "localhost")
+#: Words of two letters that are no country's ending after a spoken dot; all other two letters are.
+WORDS = frozenset("is he we an as or of on if my by go up to so no do am hi ok oh".split())
 AT_WORDS, DOT_WORDS, TIMES = ("at", "arroba", "arobase"), ("dot", "punto", "point", "punkt"), {"double": 2, "triple": 3}
 
-HIDDEN = re.compile(f"[{INVISIBLE}{''.join(map(re.escape, LOOKALIKES))}٠-٩۰-۹०-९  -  ⁰-ₜ①-⒛　﹐-﹫！-～\U0001d400-\U0001d7ff]")
-OPEN, CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"  # bounded: long runs of space cost linear time
+HIDDEN = re.compile(f"[{INVISIBLE}{''.join(map(re.escape, LOOKALIKES))}٠-٩۰-۹०-९ -   -⁠⁰-ₜ①-⒛　﹐-﹫！-～𝐀-𝟿]")
+OPEN, CLOSE = r"(?<!\s)\s*[\[({<]\s*", r"\s*[\])}>]\s*"  # from the start of a run of space alone, so that it's read once
 BRACKETED = re.compile(rf"(?i){OPEN}(?:(?P<at>@|{'|'.join(AT_WORDS)})|(?P<dot>\.|{'|'.join(DOT_WORDS)})){CLOSE}")
-TAIL = rf"(?:\s+(?:{'|'.join(DOT_WORDS)})\s+[a-z0-9-]+){{0,3}}\s+(?:{'|'.join(DOT_WORDS)})\s+(?:{'|'.join(ENDINGS)})\b"
-SPOKEN = re.compile(rf"(?i)(?<=[a-z0-9])\s+(?:{'|'.join(AT_WORDS)})\s+(?=[a-z0-9-]+{TAIL})")
-SPOKEN_DOT = re.compile(rf"(?i)(?<=[a-z0-9])\s+(?:{'|'.join(DOT_WORDS)})\s+(?=[a-z0-9-])")
-DIGIT = rf"(?:(?:{'|'.join(TIMES)})\s+)?(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))}|[0-9])"
-SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:plus\s+)?{DIGIT}(?:(?:\s*[-,.]\s*|\s+){DIGIT}){{6,}}(?![^\W_])")
-TOKEN = re.compile(rf"(?i)({'|'.join(TIMES)})\s+|[^\W\d_]+|[0-9]|[.]|[^\w.]+")
-SINGLE = frozenset(DIGIT_WORDS) | frozenset("0123456789")
+DOT = rf"\s+(?:{'|'.join(DOT_WORDS)})\s+"
+SPOKEN_AT = re.compile(rf"(?i)\s(?:{'|'.join(AT_WORDS)})\s")
+CHAIN = re.compile(rf"(?i)[a-z0-9_%+-]+(?:(?:{DOT}|\.)[a-z0-9_%+-]+)*")
+SPOKEN_DOT = re.compile(rf"(?i){DOT}")
+NUMERAL = rf"(?:(?:{'|'.join(TIMES)})\s+)?(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))}|[0-9]+)"
+SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:plus\s+)?{NUMERAL}(?:(?:\s*[-,.]\s*|{DOT}|\s+){NUMERAL})+(?![^\W_])")
+TOKEN = re.compile(rf"(?i)({'|'.join(TIMES)})\s+|(?<=\s)(?P<dot>{'|'.join(DOT_WORDS)})(?=\s)|[^\W\d_]+|[0-9]|[.]|[^\w.]+")
 CUES = (*(f"{w[:4]}" for w in DOT_WORDS), *AT_WORDS[1:])
 
 
 class Tape:
-    """A text and, for each of its characters, where it starts and ends in the source."""
+    """A text and where its characters come from in the source.
 
-    def __init__(self, text: str, starts: Iterable[int], ends: Iterable[int]):
-        self.text, self.starts, self.ends = text, list(starts), list(ends)
+    Segments begin at ``at``: one that ends at -1 runs on in the source character by character,
+    any other is one character that stands for a whole span. Memory grows with the rewritten
+    places, not with the text.
+    """
+
+    def __init__(self, text: str, at=(0,), first=(0,), end=(-1,)):
+        self.text, self.at, self.first, self.end = text, array("q", at), array("q", first), array("q", end)
 
-    @classmethod
-    def of(cls, text: str) -> Tape:
-        return cls(text, range(len(text)), range(1, len(text) + 1))
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        """Where the characters from a to b come from."""
+        i, j = bisect_right(self.at, a) - 1, bisect_right(self.at, b - 1) - 1
+        start = self.first[i] + (a - self.at[i] if self.end[i] < 0 else 0)
+        return start, self.first[j] + b - self.at[j] if self.end[j] < 0 else self.end[j]
 
     def rewrite(self, edits: list[tuple[int, int, list[tuple[str, int, int]]]]) -> Tape:
         """Replace spans (start, end) by pieces (character, start, end), in order of start."""
-        text, starts, ends, at = [], [], [], 0
-        for a, b, pieces in edits:
-            text.append(self.text[at:a])
-            starts += self.starts[at:a]
-            ends += self.ends[at:a]
+        if not edits:
+            return self
+        text, size, done = [], 0, 0
+        made = Tape("", (), (), ())
+
+        def add(first: int, end: int) -> None:
+            made.at.append(size)
+            made.first.append(first)
+            made.end.append(end)
+
+        k = 0
+        for a, b, pieces in [*edits, (len(self.text), len(self.text), [])]:
+            while done < a:  # what stays, segment by segment
+                while k + 1 < len(self.at) and self.at[k + 1] <= done:
+                    k += 1
+                stop = min(a, self.at[k + 1] if k + 1 < len(self.at) else a)
+                add(self.first[k] + (done - self.at[k] if self.end[k] < 0 else 0), self.end[k])
+                text.append(self.text[done:stop])
+                size, done = size + stop - done, stop
             for c, x, y in pieces:
+                add(*self.span(x, y))
                 text.append(c)
-                starts.append(self.starts[x])
-                ends.append(self.ends[y - 1])
-            at = b
-        return Tape("".join(text) + self.text[at:], starts + self.starts[at:], ends + self.ends[at:])
+                size += 1
+            done = b
+        made.text = "".join(text)
+        return made
 
 
 @lru_cache(maxsize=4096)
@@ -163,27 +189,62 @@ def unmask(tape: Tape) -> Tape:
     return tape.rewrite([(m.start(), m.end(), [(c, m.start(), m.end()) for c in plain(m[0])]) for m in HIDDEN.finditer(tape.text)])
 
 
+def country_or_known(label: str) -> bool:
+    label = label.lower()
+    return label in ENDINGS or len(label) == 2 and label.isalpha() and label not in WORDS
+
+
 def punctuate(tape: Tape) -> Tape:
-    """[at], (dot) and the like; bare words only in the shape of a whole address: x at y dot z."""
+    """[at], (dot) and the like; bare words only in the shape of a whole address: x at y dot z, x dot w@y dot z.
+
+    A bare "at" before a domain with real dots stays: it's how texts speak of sites.
+    """
     tape = tape.rewrite([(m.start(), m.end(), [("@" if m["at"] else ".", m.start(), m.end())]) for m in BRACKETED.finditer(tape.text)])
-    spoken = [(m.start(), m.end(), [("@", m.start(), m.end())]) for m in SPOKEN.finditer(tape.text)]
-    tape = tape.rewrite(spoken)
-    if "@" not in tape.text:
+    text, edits = tape.text, []
+    if "@" not in text and not SPOKEN_AT.search(text):
         return tape
-    edits, after = [], 0
-    for m in SPOKEN_DOT.finditer(tape.text):  # only in the words that follow an @ with no other gap
-        head = re.search(r"@[A-Za-z0-9.-]*$", tape.text[max(after, m.start() - 80) : m.start()])
-        if head or edits and re.fullmatch(r"[A-Za-z0-9-]+", tape.text[after : m.start()]):
-            edits.append((m.start(), m.end(), [(".", m.start(), m.end())]))
-            after = m.end()
-    return tape.rewrite(edits)
+    links = list(CHAIN.finditer(text))
+    for k, domain in enumerate(links[1:], 1):
+        local, between = links[k - 1], text[links[k - 1].end() : domain.start()]
+        at = (local.end(), domain.start())
+        if local[0].lower() in AT_WORDS and k > 1 and between.isspace():
+            local = links[k - 2]
+            gap = text[local.end() : links[k - 1].start()]
+            if not gap or not gap.isspace():
+                continue
+            at, bare = (local.end(), domain.start()), True
+        elif between.strip() == "@":
+            bare = False
+        else:
+            continue
+        dots = list(SPOKEN_DOT.finditer(text, domain.start(), domain.end()))
+        stops = [m.start() for m in dots[1:]] + [domain.end()]
+        # the domain goes on to the last spoken dot that an ending follows
+        last = max((i for i, d in enumerate(dots) if country_or_known(text[d.end() : stops[i]].split(".")[-1])), default=-1)
+        if bare and last < 0:
+            plain = text[domain.start() : dots[0].start() if dots else domain.end()]
+            written = any(b - a > 1 for i, c in enumerate(plain, domain.start()) if c == "." for a, b in [tape.span(i, i + 1)])
+            if not written or not country_or_known(plain.split(".")[-1]):
+                continue
+        before = list(SPOKEN_DOT.finditer(text, local.start(), local.end()))
+        if not bare and last < 0 and not (before and "." in domain[0]):
+            continue
+        edits += [(m.start(), m.end(), [(".", m.start(), m.end())]) for m in before]
+        edits.append((*at, [("@", *at)]))
+        edits += [(m.start(), m.end(), [(".", m.start(), m.end())]) for m in dots[: last + 1]]
+    done, clear = 0, []
+    for e in edits:  # a chain between two addresses belongs to the first
+        if e[0] >= done:
+            clear.append(e)
+            done = e[1]
+    return tape.rewrite(clear)
 
 
 def digits(tape: Tape) -> Tape:
-    """Runs of seven or more spelled digits become digits; a leading plus and dots stay."""
+    """Runs of seven or more digits, or of four numbers with dots, that are partly words become digits; plus and dots stay."""
     edits = []
     for run in SPELLED.finditer(tape.text):
-        if not re.search(r"(?i)[a-z]", run[0]):
+        if not re.search(r"(?i)[a-zé]", run[0]):
             continue
         pieces: list[tuple[str, int, int]] = []
         times, since = 1, None
@@ -194,35 +255,32 @@ def digits(tape: Tape) -> Tape:
                 continue
             if word in DIGIT_WORDS or word.isdigit():
                 pieces += [(DIGIT_WORDS.get(word, word), t.start() if since is None else since, t.end())] * times
-            elif word in ("plus", "."):
+            elif word == "plus" or word == "." or t["dot"]:
                 pieces.append(("+" if word == "plus" else ".", t.start(), t.end()))
             times, since = 1, None
-        edits.append((run.start(), run.end(), pieces))
+        text = "".join(c for c, _, _ in pieces)
+        if sum(map(str.isdigit, text)) >= 7 or text.count(".") >= 3:
+            edits.append((run.start(), run.end(), pieces))
     return tape.rewrite(edits)
 
 
-def spelled(low: str) -> bool:
-    """Whether four digit words or single digits stand close together."""
-    at = [i for i, w in enumerate(low.replace("-", " ").replace(",", " ").replace(".", " ").split()) if w in SINGLE]
-    return any(b - a < 8 for a, b in zip(at, at[3:]))
-
-
 def disguised(text: str, base: list[Span]) -> list[Span]:
-    """Identifiers that only the rewritten text shows, as source spans clear of ``base``."""
+    """Identifiers that only the rewritten text shows, as source spans that no span of ``base`` holds."""
     low = text.lower()
     masked = not text.isascii() and HIDDEN.search(text)
     dotted = any(c in low for c in CUES) or any(b in text for b in "[({<") and BRACKETED.search(text)
-    if not (masked or dotted or spelled(low)):
+    spelled = not DIGIT_WORDS.keys().isdisjoint(low.replace("-", " ").replace(",", " ").replace(".", " ").split())
+    if not (masked or dotted or spelled):
         return []
-    tape = source = Tape.of(text)
+    tape = source = Tape(text)
     for step in (unmask, punctuate, digits):
         tape = step(tape)
-    if tape.text == source.text:
+    if tape is source:
         return []
     found = []
     for kind, a, b in detect(tape.text):
-        start, end = tape.starts[a], tape.ends[b - 1]
-        if not any(s < end and start < e for _, s, e in base):
+        start, end = tape.span(a, b)
+        if not any(s <= start and end <= e for _, s, e in base):
             found.append((kind, start, end))
     return found
 
@@ -241,7 +299,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """Counts of plain spans by kind, a digest of them, and all spans, for each row of ``docs``.
 
     No shuffle. Null and empty texts have no spans; very long texts are read whole, in time
-    linear in their length. Other columns of ``docs`` are not read.
+    linear in their length. Repeated rows and ids are scanned each by itself; of spans that
+    start together the kinds' order decides. A disguised span may overlap a plain one that is
+    part of it; both are given. Other columns of ``docs`` are not read.
     """
 
     def rows(doc_id: list, text: list) -> dict[str, list]:
@@ -260,14 +320,17 @@ def redacted(text: str | None) -> str | None:
         return text
     out, at = [], 0
     for kind, a, b in find(text)[1]:
-        if a >= at:
+        if a >= at:  # else it goes on from the span before, whose mark stands for both
             out += [text[at:a], f"<{kind.upper()}>"]
         at = max(at, b)
     return "".join([*out, text[at:]])
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data replaced in text; all rows and other columns as they are."""
+    """``docs`` with personal data replaced in text; all rows and other columns as they are.
+
+    Null and empty texts stay, very long ones are read whole, repeated rows are each changed.
+    """
     return map_column(docs, "text", lambda texts: [redacted(t) for t in texts])
 
 
