@@ -3,7 +3,9 @@
 Numbers, units and names become typed placeholders, so that a question with other values
 has the same template. Windows of five template words are hash-joined with those of the
 benchmark. Where windows of a document follow an item at one offset, the values that stand
-in the item's slots must map to the document's values without contradiction.
+in the item's slots must map to the document's values without contradiction; windows with a
+contradicting slot don't count. Windows whose words are equal as they stand (without case
+and edge punctuation) always count, whatever the slots of the passage say.
 """
 
 from __future__ import annotations
@@ -11,81 +13,127 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 WIDTH, SHARE = 5, 0.8
 #: Words in a row that give a passage of a longer item away, whatever share of it they are.
 RUN = 20
+#: Literal words from which on a window says enough to be found by its template alone.
+STRONG = 3
+#: Items of fewer words than WIDTH but this many match by their words as they stand; still
+#: shorter ones match documents that consist of them.
+LEAST = 3
 #: Windows up to which the benchmark is broadcast (about 100 bytes each); beyond, the join shuffles.
 BROADCAST_WINDOWS = 200_000
-SPACE = r"[\x20\x09-\x0D]+"
+SPACES, SPACE = " \t\n\v\f\r", r"[\x20\x09-\x0D]+"
 # Unit words that make a placeholder after a number.
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "min", "h", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "miles", "feet", "inches", "pounds", "ounces", "dollars", "euros", "cents", "percent", "meters", "kilometers", "grams", "kilograms", "liters")
 NUMBER, UNIT, NAME = "‹n›", "‹u›", "‹p›"
 PLACEHOLDER = "‹"
+#: Punctuation at the edges of words, which neither templates nor values keep.
+EDGES = r"""(?<![^\x20\x09-\x0D])[\"'(\[{“‘¿¡]+|[.,;:!?\"')\]}”’]+(?![^\x20\x09-\x0D])"""
 
 
-def worded(rows: DataFrame, key: str) -> DataFrame:
-    """key, raw words and as many template words of each text.
+def worded(rows: DataFrame, name: str) -> DataFrame:
+    """key, the column ``name``, words in lower case and as many template words of each text.
 
-    A template is in lower case, without most punctuation, with placeholders. A name is a
-    capitalised word that follows a word in lower case, a number or a comma. Each step is a
-    projection of its own, whose column the next one uses twice, so that none runs twice.
+    A name is a capitalised word that follows a word in lower case, a number or a comma.
+    key is a hash of id and text, so rows that share an id only are told apart. Each step is
+    a projection of its own, whose column the next one uses twice, so that none runs twice.
     """
     units, text = "|".join(UNITS), F.col("text")
-    trimmed = rows.select(rows[key].alias(key), F.btrim(rows["text"], F.lit(" \t\n\v\f\r")).alias("text"))
+    keyed = rows.select(F.xxhash64(rows[name], rows["text"]).alias("key"), rows[name].alias(name), rows["text"].alias("text")).where("text is not null")
     names = F.regexp_replace(text, r"(?<=[\p{Ll}0-9,]\x20)\p{Lu}\p{Ll}[\p{L}’'-]*", NAME)
-    named = trimmed.select(key, "text", F.lower(F.when(F.regexp_like(text, F.lit(r"[\p{Ll}0-9,] \p{Lu}\p{Ll}")), names).otherwise(text)).alias("low"))
+    named = keyed.select("key", name, F.lower("text").alias("plain"), F.lower(F.when(F.regexp_like(text, F.lit(r"[\p{Ll}0-9,] \p{Lu}\p{Ll}")), names).otherwise(text)).alias("low"))
     numbers = F.regexp_replace("low", rf"(?<![\p{{L}}\p{{N}}])[$€£]?[0-9]+(?:[.,:/][0-9]+)*(%|{units})?(?![\p{{L}}\p{{N}}])", NUMBER)
     typed = F.regexp_replace(numbers, rf"(?<={NUMBER}\x20)(?:{units})(?![\p{{L}}\p{{N}}])", UNIT)
     typed = F.when(F.regexp_like("low", F.lit("[0-9]")), typed).otherwise(F.col("low"))
-    plain = F.regexp_replace(typed, r"(?<=[\p{L}\p{N}›])[.,;:!?\"')]+", "")
-    return named.select(key, F.split("text", SPACE).alias("raw"), F.split(plain, SPACE).alias("words"))
 
+    def split(c: Column) -> Column:
+        bare = F.btrim(F.regexp_replace(c, EDGES, ""), F.lit(SPACES))
+        return F.split(bare, SPACE)
+
+    return named.select("key", name, split(F.col("plain")).alias("plain"), split(typed).alias("words"))
 
-def window_hash(at: str) -> Column:
-    return F.xxhash64(*(F.get("words", F.col(at) + k) for k in range(WIDTH)))
 
+def windows(rows: DataFrame, name: str, at: str, short: list[int], whole: bool) -> DataFrame:
+    """Rows (key, name, at, h, kind, literals, values): windows of each text by hash.
+
+    kind is 0 for the words as they stand and 1 for the template, of windows with a
+    placeholder alone. values has the words behind placeholders (others null), literals says
+    how many words are none. Windows are WIDTH words wide; texts of fewer words than LEAST
+    are one window, and for ``short`` widths there are windows of these too: of every text,
+    or if ``whole`` of texts of that very size.
+    """
+    n = F.size("plain")
 
-def windows(rows: DataFrame, key: str, at: str) -> DataFrame:
-    """A row for each window: key, position, hash, and the raw words behind its placeholders (others null)."""
-    places = F.when(F.size("words") >= WIDTH, F.sequence(F.lit(0), F.size("words") - WIDTH))
+    def places(width: int) -> Column:
+        last = F.lit(0) if whole and width < WIDTH else n - width
+        fits = n == width if whole and width < WIDTH else n >= width
+        return F.when(fits, F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.cast("int").alias("at"), F.lit(width).alias("width"))))
+
+    tiny = F.when(n.between(1, LEAST - 1) & (F.get("plain", F.lit(0)) != ""), F.array(F.struct(F.lit(0).alias("at"), n.cast("int").alias("width"))))
+    made = F.flatten(F.array_compact(F.array(places(WIDTH), tiny, *(places(w) for w in short))))
     # an outer explode, as for a plain one the optimizer would push a filter, with all steps above again, below them
-    spread = worded(rows, key).select(key, "raw", "words", F.explode_outer(places).alias(at)).where(F.col(at).isNotNull())
-    slot = lambda k: F.when(F.startswith(F.get("words", F.col(at) + k), F.lit(PLACEHOLDER)), F.get("raw", F.col(at) + k))
-    return spread.select(key, at, window_hash(at).alias("h"), *(slot(k).alias(f"{at}{k}") for k in range(WIDTH)))
+    spread = worded(rows, name).select("key", name, "plain", "words", F.explode_outer(made).alias("w")).where("w is not null")
+    word = lambda c, k: F.get(c, F.col("w.at") + k)
+    sized = lambda c: F.xxhash64(*(F.when(F.col("w.width") > k, word(c, k)) for k in range(WIDTH)))
+    slot = lambda k: (F.col("w.width") == WIDTH) & F.startswith(word("words", k), F.lit(PLACEHOLDER))
+    values = F.array(*(F.when(slot(k), word("plain", k)) for k in range(WIDTH)))
+    literals = WIDTH - sum((slot(k).cast("int") for k in range(1, WIDTH)), slot(0).cast("int"))
+    hashed = spread.select("key", name, F.col("w.at").alias(at), F.col("w.width").alias("width"), sized("plain").alias("h0"), F.when(literals < WIDTH, sized("words")).alias("h1"), literals.alias("literals"), values.alias("values"))
+    kinds = F.array(F.struct(F.col("h0").alias("h"), F.lit(0).alias("kind")), F.struct(F.col("h1").alias("h"), F.lit(1).alias("kind")))
+    return hashed.select("key", name, at, "width", "literals", "values", F.explode(kinds).alias("k")).select("key", name, at, "width", F.col("k.h").alias("h"), F.col("k.kind").alias("kind"), "literals", "values").where("h is not null")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, run: int = RUN) -> DataFrame:
     """Rows (doc_id, item_id, n_windows, n_found, longest_run) of contaminated documents.
 
     A document is contaminated by an item if it holds at least ``share`` of the item's
-    windows, or ``run`` of its words in a row. Items and documents of fewer than WIDTH words
-    have no window and match nothing; so do null texts. Windows of which fewer than three
-    words are literal say too little and don't count. Rows that repeat a doc_id count as one
-    document. Nothing is collected but the number of benchmark windows.
+    windows, or ``run`` of its words in a row. A window is held if its words stand there, or
+    if its template does, its slots don't contradict the others at that offset, and either
+    STRONG of its words are literal or one is and a stronger window is held at that offset.
+    Items of three or four words are one window, held if its words stand there; items of one
+    or two words match documents that are no more than them.
+
+    Null and empty texts hold nothing. Rows are told apart by id and text: equal rows count
+    once, rows that share a doc_id are judged each by itself, ids may be null. Ties don't
+    occur: every item that a document holds has its row. Very long texts are read whole. No
+    columns but doc_id, item_id and text are read. The driver sees the number of benchmark
+    windows and which of the two short sizes items have.
     """
-    literal = sum((F.col(f"j{k}").isNull().cast("int") for k in range(WIDTH)), F.lit(0)) >= 3
-    items = windows(benchmark, "item_id", "j").where(literal)
-    sizes = items.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    sizes = worded(benchmark, "item_id").select(F.size("plain").alias("n")).where(F.col("n").between(LEAST, WIDTH - 1)).distinct()
+    short = sorted(r.n for r in sizes.collect())
+    items = checkpointed(windows(benchmark, "item_id", "j", short, whole=True))
+    items = items.select(F.col("key").alias("item"), "item_id", "j", "h", "kind", F.col("literals").alias("strength"), F.col("values").alias("theirs"), "width").distinct()
+    totals = items.groupBy("item").agg(F.countDistinct("j").alias("n_windows"), F.max("width").alias("width"))
     few = items.count() <= BROADCAST_WINDOWS
-    found = windows(docs, "doc_id", "i").join(F.broadcast(items) if few else items, "h")
-    found = found.withColumn("shift", F.col("i") - F.col("j"))
+    found = windows(docs, "doc_id", "i", short, whole=False).select("key", "doc_id", "i", "h", "kind", "values")
+    found = found.join(F.broadcast(items) if few else items, ["h", "kind"]).where("kind = 0 or strength > 0")
+    found = checkpointed(found.select("key", "doc_id", "item", "item_id", (F.col("i") - F.col("j")).alias("shift"), "j", "kind", "strength", "theirs", "values"))
+    place = ["key", "item", "shift"]
     # values of slots, by offset: an item's value must always meet the same one
-    pairs = F.array_compact(F.array(*(F.when(F.col(f"j{k}").isNotNull(), F.struct(F.col(f"j{k}").alias("theirs"), F.coalesce(f"i{k}", F.lit("")).alias("ours"))) for k in range(WIDTH))))
-    found = found.select("doc_id", "item_id", "shift", "j", pairs.alias("pairs"))
-    met = found.where(F.size("pairs") > 0).select("doc_id", "item_id", "shift", F.explode("pairs").alias("p"))
-    met = met.groupBy("doc_id", "item_id", "shift", "p.theirs").agg(F.min("p.ours").alias("a"), F.max("p.ours").alias("b"))
-    wrong = met.where("a <> b").select("doc_id", "item_id", "shift").distinct()
-    held = found.join(wrong, ["doc_id", "item_id", "shift"], "left_anti").select("doc_id", "item_id", "j").distinct()
+    pairs = F.arrays_zip(F.col("theirs").alias("theirs"), F.col("values").alias("ours"))
+    met = found.where("kind = 1").select(*place, F.explode(pairs).alias("p")).where("p.theirs is not null")
+    wrong = met.groupBy(*place, "p.theirs").agg((F.min("p.ours") != F.max("p.ours")).alias("wrong")).where("wrong")
+    wrong = wrong.groupBy(*place).agg(F.collect_set("theirs").alias("wrong"))
+    strong = found.where(F.expr(f"kind = 0 or strength >= {STRONG}")).select(*place).distinct().withColumn("strong", F.lit(True))
+    judged = found.join(wrong, place, "left").join(strong, place, "left_semi")
+    held = judged.where(F.expr("kind = 0 or wrong is null or not arrays_overlap(array_compact(theirs), wrong)"))
+    held = held.select("key", "doc_id", "item", "item_id", "j").distinct()
     # a run of windows that follow one another in the item has one difference of position and rank
-    order = held.withColumn("group", F.col("j") - F.expr("row_number() over (partition by doc_id, item_id order by j)"))
-    runs = order.groupBy("doc_id", "item_id", "group").agg(F.count("*").alias("n"))
-    scored = runs.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_found"), (F.max("n") + (WIDTH - 1)).alias("longest_run"))
-    scored = scored.join(F.broadcast(sizes) if few else sizes, "item_id")
+    order = held.withColumn("group", F.col("j") - F.expr("row_number() over (partition by key, item order by j)"))
+    runs = order.groupBy("key", "doc_id", "item", "item_id", "group").agg(F.count("*").alias("n"))
+    scored = runs.groupBy("key", "doc_id", "item", "item_id").agg(F.sum("n").alias("n_found"), F.max("n").alias("longest"))
+    scored = scored.join(F.broadcast(totals) if few else totals, "item").withColumn("longest_run", F.col("longest") + F.col("width") - 1)
     hit = (F.col("n_found") >= share * F.col("n_windows")) | (F.col("longest_run") >= run)
-    return scored.where(hit).select("doc_id", "item_id", "n_windows", "n_found", "longest_run")
+    return scored.where(hit).select("doc_id", "item_id", "n_windows", "n_found", "longest_run", F.col("key").alias("row_key"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that no item contaminates, with all their columns; rows without a doc_id stay."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("leaked_doc_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["leaked_doc_id"], "left_anti")
+    """The rows of ``docs`` that no item contaminates, with all their columns, whether or not they have a doc_id.
+
+    Null, empty and repeated rows stay as they are; an empty benchmark leaves every row.
+    """
+    bad = leaks(docs, benchmark).select(F.col("row_key").alias("leaked_row_key")).distinct()
+    return docs.join(bad, F.xxhash64(docs["doc_id"], docs["text"]) == bad["leaked_row_key"], "left_anti")

@@ -1,3 +1,7 @@
+import random
+
+import regex
+
 from tallyforge.llm import decontaminate as C
 
 from .cases import empty, frame, row
@@ -28,6 +32,95 @@ def test_contradicting_slots_are_no_leak(spark):
     assert found(spark, [row(1, good), row(2, bad)], twice) == {(1, 1)}
 
 
+def worded(text):
+    """Words and template words by the same definitions, one step after another."""
+    units = "|".join(C.UNITS)
+    named = regex.sub(r"(?<=[\p{Ll}0-9,] )\p{Lu}\p{Ll}[\p{L}’'-]*", C.NAME, text).lower()
+    typed = regex.sub(rf"(?<![\p{{L}}\p{{N}}])[$€£]?[0-9]+(?:[.,:/][0-9]+)*(?:%|{units})?(?![\p{{L}}\p{{N}}])", C.NUMBER, named)
+    typed = regex.sub(rf"(?<={C.NUMBER} )(?:{units})(?![\p{{L}}\p{{N}}])", C.UNIT, typed)
+    return [regex.sub(C.EDGES, "", t).split() for t in (text.lower(), typed)]
+
+
+def brute(docs, items, share=C.SHARE, run=C.RUN):
+    """(doc_id, item_id) by trying every window of every item at every place of every document."""
+    out = set()
+    for item_id, item in items:
+        p, t = worded(item or "")
+        width = C.WIDTH if len(p) >= C.WIDTH else len(p)
+        for doc_id, text in docs:
+            q, u = worded(text or "")
+            if not p or not q or width < C.LEAST and q != p:
+                continue
+            met = []  # (shift, j, literal)
+            for j in range(len(p) - width + 1):
+                for i in range(len(q) - width + 1):
+                    if p[j : j + width] == q[i : i + width]:
+                        met.append((i - j, j, True))
+                    elif width == C.WIDTH and t[j : j + width] == u[i : i + width]:
+                        met.append((i - j, j, False))
+            slots = lambda j: [k for k in range(j, j + width) if t[k].startswith(C.PLACEHOLDER)]
+            strength = lambda j: width - len(slots(j))
+            held = set()
+            for shift in {m[0] for m in met}:
+                here = [m for m in met if m[0] == shift]
+                values: dict = {}
+                for _, j, _ in here:
+                    if t[j : j + width] == u[j + shift : j + shift + width]:
+                        for k in slots(j):
+                            values.setdefault(p[k], set()).add(q[k + shift])
+                some = any(lit or strength(j) >= C.STRONG for _, j, lit in here)
+                for _, j, lit in here:
+                    sound = all(len(values[p[k]]) == 1 for k in slots(j)) if not lit else True
+                    if lit or some and sound and strength(j):
+                        held.add(j)
+            best = max((n for j in held for n in range(1, len(p) + 1) if all(j + k in held for k in range(n))), default=0)
+            n = len(p) - width + 1
+            if held and (len(held) >= share * n or best + width - 1 >= run):
+                out.add((doc_id, item_id))
+    return out
+
+
+def test_equals_brute_force(spark):
+    rng = random.Random(11)
+    verbs, things, places = "packs sells counts buys".split(), "crates apples balls books".split(), "Paris Rome Oslo Lima".split()
+
+    def part():
+        return rng.choice([f"{rng.choice(verbs)} {rng.randint(1, 9)} {rng.choice(things)}", f"near {rng.choice(places)},", f"in {rng.randint(2, 4)} km", "and then goes on.", f"for {rng.randint(1, 3)} {rng.randint(1, 3)}", "he said: \"no\"!"])
+
+    items = [" ".join(part() for _ in range(rng.randint(1, 7))) for _ in range(25)] + ["Is 91 prime ?", "yes", "no way", None, "", "?!", "a b c"]
+    docs = []
+    for k in range(120):
+        text = rng.choice(items) or ""
+        for old, new in (("1", "7"), ("2", "8"), ("Paris", "Rome"))[: rng.randint(0, 3)]:
+            text = text.replace(old, new, rng.choice([1, 9]))
+        docs.append(rng.choice([text, text.upper(), f"{part()} {text} {part()}", text + "..."]))
+    docs += ["so, is 91 prime?", "Yes!", "yes yes", None, "", "  "]
+    want = brute(list(enumerate(docs)), list(enumerate(items)))
+    made = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = C.leaks(frame(spark, [row(i, t) for i, t in enumerate(docs)]), made).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len({(r.row_key, r.item_id) for r in got})
+    assert len(want) > 100 and any(i == 25 for _, i in want)
+
+
+def test_copies_are_caught_whatever_their_slots(spark):
+    item = "In the first round Tom bought 5 red hats and after that he sold 5 of the blue hats that his brother had left in the old shop by the river before it rained all day long on market Street."
+    one_changed = item.replace("sold 5", "sold 6")
+    rows = [row(1, one_changed), row(2, item.upper()), row(3, "Well. " + item + '"'), row(4, item.replace("5 of", "5. of"))]
+    assert found(spark, rows, item) == {(1, 1), (2, 1), (3, 1), (4, 1)}
+    assert found(spark, [row(1, "see: Is 91 prime? or not"), row(2, "is 92 prime?")], "Is 91 prime ?") == {(1, 1)}
+
+
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    half = len(ITEM) // 2
+    rows = [row(1, ITEM[:half]), row(1, ITEM[half:]), row(2, ITEM), row(2, "Then Tom counts nothing."), row(None, ITEM), row(None, "Something else is written in this one.")]
+    made = items(spark, ITEM)
+    assert {(r.doc_id, r.item_id) for r in C.leaks(frame(spark, rows), made).collect()} == {(2, 1), (None, 1)}
+    out = C.clean(frame(spark, rows), made).collect()
+    assert sorted(r.text for r in out) == sorted([rows[0][1], rows[1][1], rows[3][1], rows[5][1]])
+    long = " ".join(f"word{k}" for k in range(60_000))
+    assert found(spark, [row(1, f"{long} {OTHER} {long}")], ITEM) == {(1, 1)}
+
+
 def test_clean_keeps_columns_and_other_rows(spark):
     rows = [row(1, OTHER), row(2, "nothing of the kind is written in this one"), row(None, "no id"), row(3, None)]
     out = C.clean(frame(spark, rows), items(spark, ITEM, "too short", None))
