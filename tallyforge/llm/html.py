@@ -1,17 +1,20 @@
 """Main text of pages by equivalence-class template deduction.
 
-Tokens of a page are its elements, by their path, and its strings. Tokens of a host's pages
-with the same occurrence vector (how often on which page) form an equivalence class; classes
-that cover enough pages and more than one token are valid and, nested by their paths, make
-the host's template. What the template leaves open are its slots. The element whose slots
-hold the pages' own text, away from links and from places named as boilerplate, is the
-host's main container, and the text in its slots is extracted.
+Tokens of a page are its block elements, by a hash of their path, and the texts of its
+blocks, by path and words. Tokens of a host's pages with the same occurrence vector (how often on which
+page) form an equivalence class; classes that cover enough pages and have more than one
+token are valid. Their tokens, in the order in which pages have them, are the host's
+template: a page follows it by the longest run of template tokens that come in that order,
+which nests the classes by path and order. What lies between template tokens are the page's
+slots, and their text is extracted. Slots that a host fills with links, and elements that
+say by name or role that they are no article, are left out.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,12 +26,14 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, checkpointed, map_rows
 from .urls import host
 
-#: A class is valid from this share of a host's pages on, and at least two.
-SUPPORT = 0.5
-#: Characters of a path from which on deeper elements have no path of their own.
-DEEP = 2000
-#: Hosts with a container up to which their table (some 100 bytes each) is broadcast.
-BROADCAST_HOSTS = 100_000
+#: A class is valid from this share of a host's pages on, and this many pages.
+SUPPORT, LEAST_PAGES = 0.5, 3
+#: From this share of its characters in links on a slot holds links.
+LINKED = 0.8
+#: If names and roles leave less than this share of a page's text, those on elements with most of it don't count.
+LEFT, MOST = 0.05, 0.8
+#: Tokens of all templates up to which they are broadcast (16 bytes each).
+BROADCAST_TOKENS = 1_000_000
 
 # HTML's elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,28 +49,37 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]
 NAMED = re.compile(r"""(?i)\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
+def digest(*parts: int | str) -> int:
+    """A hash of 63 bits."""
+    return xxhash.xxh64_intdigest("\0".join(map(str, parts)).encode()) >> 1
+
+
 class Node:
-    """An open element: tag, path of labels, and whether it or one above it is boilerplate, a link or main text."""
+    """An element: tag, hash of its path's labels, its parent, whether its name or role makes it boilerplate, whether it is in a link."""
 
-    __slots__ = ("tag", "path", "aside", "link", "main")
+    __slots__ = ("tag", "path", "up", "aside", "link", "main", "size")
 
     def __init__(self, tag: str, attributes: str, up: Node | None):
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in NAMED.finditer(attributes)}
         names = f"{found.get('class', '')} {found.get('id', '')}".strip()
         label = tag + ("." + re.sub(r"\d+", "0", names.split()[0]) if names else "")
-        # elements nested beyond any layout share the path they are in
-        self.tag, self.path = tag, up.path if up and len(up.path) > DEEP else (up.path + "/" if up else "") + label
+        self.tag, self.up = tag, up
+        # inline elements are part of the block that they stand in
+        self.path = up.path if up and tag in INLINE else digest(up.path if up else 0, label)
         self.main = bool(up and up.main) or tag in MAIN
-        own = tag in ASIDE or tag == "header" and not self.main or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-        # a class on the page's frame or on the article itself says nothing about a part of it
-        self.aside = bool(up and up.aside) or own or bool(names and tag not in ("html", "body", *MAIN) and NAMES.search(names))
         self.link = bool(up and up.link) or tag == "a"
+        self.size = 0
+        # 2: hidden, never shown; 1: boilerplate by tag, role or name, unless the element turns out to be the page's frame
+        hidden = "hidden" in found or found.get("aria-hidden") == "true" or tag in ("head", "select", "button")
+        own = tag in ASIDE or tag == "header" and not self.main or found.get("role", "").lower() in ROLES
+        self.aside = 2 if hidden else int(own or bool(names and tag not in ("html", "body", *MAIN) and NAMES.search(names)))
 
 
 def strings(page: str) -> Iterator[tuple[Node, str | None, bool]]:
     """In order of the page: (node, string, False) for text, and where an element begins or a block ends
     (node, None, whether an element begins)."""
     stack, at, size = [Node("#", "", None)], 0, len(page)
+    opened: Counter = Counter()
     while at < size:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else size]
@@ -77,9 +91,10 @@ def strings(page: str) -> Iterator[tuple[Node, str | None, bool]]:
         if not tag:
             continue
         if m[1]:
-            if any(n.tag == tag for n in stack[1:]):
-                while stack.pop().tag != tag:
-                    pass
+            if opened[tag]:
+                while (last := stack.pop().tag) != tag:
+                    opened[last] -= 1
+                opened[tag] -= 1
             if tag not in INLINE:
                 yield stack[-1], None, False
             continue
@@ -96,101 +111,178 @@ def strings(page: str) -> Iterator[tuple[Node, str | None, bool]]:
             while stack[k].tag in INLINE:
                 k -= 1
             if stack[k].tag == "p":
+                opened.subtract(n.tag for n in stack[k:])
                 del stack[k:]
         shut = CLOSES.get(tag, ())
         if stack[-1].tag in shut:
-            stack.pop()
-        stack.append(Node(tag, m[3], stack[-1] if len(stack) > 1 else None))
+            opened[stack.pop().tag] -= 1
+        stack.append(Node(tag, m[3], stack[-1]))
+        opened[tag] += 1
         yield stack[-1], None, True
 
 
-def blocks(page: str | None, container: str | None) -> list[str]:
-    """Text blocks in the slots of the container, or of the best element there is if the page lacks it."""
-    made: dict[str, list[list[str]]] = {}
-    starts = {"": True}
-    inside = (container or "\0") + "/"
-    main = False
-    for node, text, opened in strings(page or ""):
-        if opened and node.tag in INLINE:
-            continue
-        keys = [k for k, test in (("own", node.path == container or node.path.startswith(inside)), ("main", node.main), ("body", True)) if test and not node.aside]
-        main = main or node.main
-        if text is None:
-            starts = dict.fromkeys(("own", "main", "body"), True)
-            continue
-        for k in keys:
-            if starts.get(k, True) or not made.get(k):
-                made.setdefault(k, []).append([])
-            starts[k] = False
-            made[k][-1].append(text)
-    pick = "own" if made.get("own") else "main" if main else "body"
-    lines = (" ".join(entities.unescape("".join(b)).split()) for b in made.get(pick, []))
-    return [x for x in lines if x]
+class Page:
+    """A page's tokens in order, with what is boilerplate by name decided.
+
+    ``parts`` has (token, node, None) where a block element begins and (token, node, strings)
+    for the text of a block, whose strings are (node, string).
+    """
+
+    def __init__(self, page: str | None):
+        self.parts: list[tuple[int, Node, list[tuple[Node, str]] | None]] = []
+        nodes: list[Node] = []
+        block: list[tuple[Node, str]] = []
+        for node, text, opened in strings(page or ""):
+            if opened:
+                nodes.append(node)
+            if text is not None:
+                block.append((node, text))
+                node.size += 0 if node.link else len(text.strip())
+            elif not opened or node.tag not in INLINE:
+                self.close(block)
+                block = []
+                if opened:
+                    self.parts.append((node.path, node, None))
+        self.close(block)
+        for node in reversed(nodes):  # children come after their parents
+            node.up.size += node.size
+        total = nodes[0].up.size if nodes else 0
+        # elements that hold the article are no part of the page beside it
+        article = max((n for n in nodes if n.tag in MAIN), key=lambda n: n.size, default=None)
+        if article and 2 * article.size >= total:
+            up = article.up
+            while up:
+                up.aside, up = 0 if up.aside == 1 else up.aside, up.up
+        self.inherit(nodes)
+        left = sum(len(text.strip()) for _, _, found in self.parts for node, text in found or () if not node.aside and not node.link)
+        if left < LEFT * total:
+            for node in nodes:
+                if node.aside == 1 and node.size >= MOST * total and node.tag not in ("nav", "footer"):
+                    node.aside = 0
+            self.inherit(nodes, again=True)
+
+    def close(self, block: list[tuple[Node, str]]) -> None:
+        """Add a block; one of white space alone is none."""
+        words = " ".join("".join(t for _, t in block).split())
+        if words:
+            self.parts.append((digest(block[0][0].path, words), block[0][0], block))
+
+    def inherit(self, nodes: list[Node], again: bool = False) -> None:
+        """Carry ``aside`` down: from 3 on it is a parent's."""
+        for node in nodes:
+            if again and node.aside >= 3:
+                node.aside = 0
+            if node.up.aside and node.aside < 1:
+                node.aside = 3
+
+    def sizes(self) -> dict[int, list[int]]:
+        """Characters of each path's own text outside boilerplate, not in links and in links."""
+        found: dict[int, list[int]] = {}
+        for _, _, block in self.parts:
+            for node, text in block or ():
+                if not node.aside:
+                    found.setdefault(node.path, [0, 0])[node.link] += len(text.strip())
+        return found
+
+    def template(self, order: dict[int, int]) -> set[int]:
+        """Tokens of the template that the page has in the template's order: a longest such run of their first places."""
+        seen: set[int] = set()
+        tails: list[int] = []
+        last: list[int] = []
+        found: list[tuple[int, int]] = []  # (token, index of the one before in the best run that ends here)
+        for token, _, _ in self.parts:
+            if token in order and token not in seen:
+                seen.add(token)
+                k = bisect_left(tails, order[token])
+                found.append((token, last[k - 1] if k else -1))
+                if k == len(tails):
+                    tails.append(0)
+                    last.append(0)
+                tails[k], last[k] = order[token], len(found) - 1
+        at, run = last[-1] if last else -1, set()
+        while at >= 0:
+            run.add(found[at][0])
+            at = found[at][1]
+        return run
+
+    def blocks(self, order: dict[int, int] | None = None, linked: set[int] | None = None) -> list[str]:
+        """Text blocks in the page's slots.
+
+        Slots of links are those of the host and, of paths that the template lacks, the page's
+        own. Blocks of the template are dropped, unless they hold most of what the page says:
+        then its host has copies of one article rather than a template with it.
+        """
+        order = order or {}
+        links = {path for path, (plain, link) in self.sizes().items() if path not in order and link and link >= LINKED * (plain + link)} | (linked or set())
+        slots = []
+        for token, node, block in self.parts:
+            if block and (node.path not in links or self.heading(node)):
+                text = " ".join(entities.unescape("".join(t for n, t in block if not n.aside)).split())
+                if text:
+                    slots.append((token, text))
+        frame = self.template(order)
+        if 2 * sum(len(t) for token, t in slots if token in frame) > sum(len(t) for _, t in slots):
+            return [t for _, t in slots]
+        return [t for token, t in slots if token not in frame]
+
+    @staticmethod
+    def heading(node: Node) -> bool:
+        """Whether a string's block is the page's heading, which may be a link."""
+        while node.up and node.tag in INLINE:
+            node = node.up
+        return node.tag == "h1"
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """Per page: host, path, string hash (0 for the element itself), this page's part of the occurrence vector, characters of text, in links or not."""
+    """Per page: host, token, two halves of this page's part of the occurrence vector, relative place, and
+    characters in a slot that lie in links or not (of element tokens)."""
     bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                key = xxhash.xxh64_intdigest((page or "").encode())
-                seen: Counter = Counter()
-                own: dict[tuple[str, int], list[int]] = {}
-                for node, text, opened in strings(page or ""):
-                    seen[node.path, 0] += opened
-                    if text and (text := " ".join(text.split())):
-                        token = node.path, xxhash.xxh64_intdigest(text.encode()) >> 1
-                        seen[token] += 1
-                        sizes = own.setdefault(token, [0, 0])
-                        sizes[node.link or node.aside] += len(text)
-                for (path, string), n in seen.items():
-                    if not n:
-                        continue
-                    kept, link = own.get((path, string), (0, 0))
-                    vector = xxhash.xxh64_intdigest(key.to_bytes(8, "little") + n.to_bytes(8, "little")) >> 1
-                    for column, value in zip(out, (name, path, string, vector, kept, link)):
+            out: list[list] = [[] for _ in range(7)]
+            for name, key, html in zip(*(c.to_pylist() for c in batch.columns)):
+                page = Page(html)
+                count: Counter = Counter(token for token, _, _ in page.parts)
+                first: dict[int, float] = {}
+                for k, (token, _, _) in enumerate(page.parts):
+                    first.setdefault(token, k / len(page.parts))
+                sizes = page.sizes()
+                for token, n in count.items():
+                    part = digest(key, n)
+                    plain, link = sizes.get(token, (0, 0))
+                    for column, value in zip(out, (name, token, part >> 32, part & 0xFFFFFFFF, first[token], plain, link)):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=["host", "path", "string", "vector", "kept", "aside"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), *[pa.int64()] * 3, pa.float64(), pa.int64(), pa.int64()))], names=["host", "token", "high", "low", "place", "plain", "link"])
 
-    return pages.select(host(pages["url"]).alias("host"), pages["html"].alias("html")).mapInArrow(run, "host string, path string, string bigint, vector bigint, kept bigint, aside bigint")
+    key = F.xxhash64(pages["page_id"], pages["url"], pages["html"])
+    rows = pages.select(host(pages["url"]).alias("host"), key.alias("key"), pages["html"].alias("html"))
+    return rows.mapInArrow(run, "host string, token bigint, high bigint, low bigint, place double, plain bigint, link bigint")
 
 
 def classes(pages: DataFrame) -> DataFrame:
-    """Tokens of each host: their class (occurrence vector, hashed), support, whether the class is valid, and characters.
+    """Frequent tokens of each host: their class (the sums of hashed parts stand for the occurrence vector),
+    support, mean place, whether the class is valid, and whether the slot below an element holds links.
+
+    Parts of vectors are added up by page, so no host's pages ever meet in one task, and copies
+    of a page don't cancel each other. Tokens of fewer than LEAST_PAGES pages go before any join.
+    """
+    totals = pages.select(host(pages["url"]).alias("host")).groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    found = tokens(pages).groupBy("host", "token").agg(F.sum("high").alias("high"), F.sum("low").alias("low"), F.count("*").alias("support"), F.avg("place").alias("place"), F.sum("plain").alias("plain"), F.sum("link").alias("link"))
+    frequent = checkpointed(found.where(F.col("support") >= LEAST_PAGES)).join(totals, "host").where(F.col("support") >= SUPPORT * F.col("pages"))
+    sizes = frequent.groupBy("host", "high", "low", "support").agg(F.count("*").alias("size"))
+    valid = frequent.join(sizes, ["host", "high", "low", "support"]).withColumn("valid", F.col("size") > 1)
+    return valid.select("host", "token", "high", "low", "support", "place", "valid", (F.expr("link > 0") & (F.col("link") >= LINKED * (F.col("plain") + F.col("link")))).alias("linked"))
 
-    Vectors are summed by a hash of each page's part, so no host's pages ever meet in one
-    task; equal hashes stand for equal vectors.
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, tokens, linked): the tokens of a host's valid classes in their order, and paths of slots of links.
+
+    A frequent token is on half of the host's pages, so a template has at most twice the tokens of a mean page.
     """
-    totals = pages.select(host(pages["url"]).alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
-    found = tokens(pages).groupBy("host", "path", "string").agg(F.bit_xor("vector").alias("vector"), F.count("*").alias("support"), F.sum("kept").alias("kept"), F.sum("aside").alias("aside"))
-    frequent = found.join(totals, "host").withColumn("frequent", (F.col("support") >= 2) & (F.col("support") >= SUPPORT * F.col("pages")))
-    sizes = frequent.where("frequent").groupBy("host", "vector", "support").agg(F.count("*").alias("size")).where("size > 1")
-    return frequent.join(sizes, ["host", "vector", "support"], "left").withColumn("valid", F.col("size").isNotNull() & F.col("frequent"))
-
-
-def template(pages: DataFrame) -> DataFrame:
-    """(host, path, slot): elements of valid classes with the characters of the hosts' own text below them."""
-    found = checkpointed(classes(pages))
-    # an element's text is its own if its string is no token of the template
-    own = found.where("string <> 0 and not frequent").groupBy("host", "path").agg(F.sum("kept").alias("kept"))
-    steps = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.concat_ws("/", F.slice(steps, 1, n)))
-    slots = own.select("host", F.explode(above).alias("path"), "kept").groupBy("host", "path").agg(F.sum("kept").alias("slot"))
-    elements = found.where("string = 0 and valid").select("host", "path").distinct()
-    return elements.join(slots, ["host", "path"])
-
-
-def containers(pages: DataFrame) -> DataFrame:
-    """(host, container): of the template's elements the deepest with nine tenths of the text in slots; article and main come first."""
-    found = template(pages)
-    most = found.groupBy("host").agg(F.max("slot").alias("most"))
-    named = F.regexp_like("path", F.lit(rf"(^|/)({'|'.join(MAIN)})([.][^/]*)?$"))
-    rank = F.struct(named.alias("named"), F.size(F.split("path", "/")).alias("depth"), F.col("slot"), F.col("path"))
-    good = found.join(most, "host").where(F.col("slot") >= F.when(named, 0.5).otherwise(0.9) * F.col("most"))
-    return good.groupBy("host").agg(F.max_by("path", rank).alias("container"))
+    entry = F.when(F.col("valid"), F.struct("place", "token"))
+    made = classes(pages).groupBy("host").agg(F.sort_array(F.collect_list(entry)).alias("ordered"), F.collect_set(F.when(F.col("linked"), F.col("token"))).alias("linked"))
+    return made.select("host", F.transform("ordered", lambda e: e["token"]).alias("tokens"), "linked")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -198,17 +290,26 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Blocks are joined in page order by a line feed, white space within one becomes a space,
     character references are decoded. A null or empty page gives the empty string. Pages of
-    a host without a template (a single page, or no text of their own) and pages that lack
-    their host's container give their article or main element, else the body, without
-    boilerplate. Null urls share the empty host. Other columns of ``pages`` are not read.
+    a host with fewer than LEAST_PAGES pages have no template: all their strings are in
+    slots. Null urls share the empty host. Equal pages are each a page. Of template tokens
+    at one mean place the smaller hash comes first. Very long and very deep pages are read
+    whole, in time linear but for the logarithm of the template's size. Other columns of
+    ``pages`` are not read.
     """
-    found = checkpointed(containers(pages))
-    few = found.count() <= BROADCAST_HOSTS
+    found = checkpointed(templates(pages))
+    few = (found.agg(F.sum(F.size("tokens") + F.size("linked"))).first()[0] or 0) <= BROADCAST_TOKENS
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), pages["html"].alias("html"), host(pages["url"]).alias("host"))
-    rows = rows.join(F.broadcast(found) if few else found, "host", "left").select("page_id", "url", "html", "container")
-
-    def run(page_id: list, url: list, page: list, container: list) -> dict[str, list]:
-        made = ["\n".join(blocks(p, c)) for p, c in zip(page, container)]
+    rows = rows.join(F.broadcast(found) if few else found, "host", "left").select("page_id", "url", "html", "host", "tokens", "linked")
+
+    def run(page_id: list, url: list, page: list, name: list, order: list, linked: list) -> dict[str, list]:
+        made, known = [], {}
+        for p, h, o, x in zip(page, name, order, linked):
+            if o is None:
+                made.append("\n".join(Page(p).blocks()))
+                continue
+            if h not in known:
+                known[h] = {t: k for k, t in enumerate(o)}, set(x)
+            made.append("\n".join(Page(p).blocks(*known[h])))
         return {"page_id": page_id, "url": url, "text": made, "n_chars": [len(t) for t in made]}
 
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
