@@ -52,18 +52,6 @@ def map_column(df: DataFrame, column: str, change: Callable[[list], list]) -> Da
     return df.mapInArrow(run, df.schema)
 
 
-def keep_rows(df: DataFrame, column: str, keep: Callable[[list], list[bool]]) -> DataFrame:
-    """Filter rows by a Python test on one column; every column passes unchanged."""
-    bounded_batches(df.sparkSession)
-    at = df.columns.index(column)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
-
-    return df.mapInArrow(run, df.schema)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage by files in the folder of spark.checkpoint.dir, which survive lost executors.
 

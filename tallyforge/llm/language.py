@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 BUCKETS, SIZES, WIDTH = 1 << 15, (2, 3, 4), 16
-#: Most labelled rows that training and calibration read, shared equally by the languages, and
-#: the precision that accepted predictions should have on the calibration rows.
-SAMPLE, PRECISION = 4000, 0.99
+#: Most labelled rows that training and calibration read, shared equally by the languages, the
+#: longest text among them in characters (so that the sample is bounded in bytes; texts are
+#: never cut, longer ones only aren't learned from), and the precision that accepted
+#: predictions should have on the calibration rows.
+SAMPLE, LONGEST, PRECISION = 4000, 20_000, 0.99
 EPOCHS, RATE, SEED, CHUNK = 4, 4.0, 7, 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -124,8 +126,8 @@ def held_out(doc_id):
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """At most SAMPLE labelled rows that aren't held out, about as many of each language, chosen by a hash of doc_id."""
-    usable = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out(docs["doc_id"])).select("doc_id", "text", "lang")
+    """At most SAMPLE labelled rows of up to LONGEST characters that aren't held out, about as many of each language, chosen by a hash of doc_id."""
+    usable = docs.where("doc_id is not null and lang is not null and text is not null").where(F.length("text") <= LONGEST).where(~held_out(docs["doc_id"])).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE).collect()}
     if not counts:
         return usable.limit(0)
@@ -145,7 +147,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score and accepted, one row for each row of ``docs``; no shuffle.
 
     The model, a table of BUCKETS rows with a float for each language, goes with the tasks.
-    Whole texts count. lang_pred is ``und`` with score 0 where the text is null or has no
+    Whole texts count, however long. Of languages that tie the first by name is predicted;
+    repeated rows are each predicted, and learned from, by itself. lang_pred is ``und`` with score 0 where the text is null or has no
     letter. Rows with a null doc_id aren't held out and aren't learned from. Labels are
     read for training alone.
     """

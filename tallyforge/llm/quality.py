@@ -9,15 +9,16 @@ reads a text again.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import keep_rows, map_rows
+from .common import bounded_batches, map_rows
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -150,15 +151,39 @@ def kept(bits: str | Column, policy: str = CURRENT) -> Column:
 
 
 def verdicts(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """Counts, base_failed and kept for each row of ``docs``, with the ledger's bits."""
+    """The ledger of ``docs`` with base_failed and kept under a policy, one row for each row."""
     base = F.col("failed").bitwiseAND(F.lit(mask(BASE))) != 0
-    return ledger(docs).select("doc_id", *MEASURES[:5], base.alias("base_failed"), (~base & kept("failed", policy)).alias("kept"), "failed")
+    return ledger(docs).select("doc_id", *MEASURES, base.alias("base_failed"), (~base & kept("failed", policy)).alias("kept"), "failed")
 
 
 def keep(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The rows of ``docs`` that a policy keeps, with all their columns as they are."""
-    bits = mask(POLICIES[policy])
-    return keep_rows(docs, "text", lambda texts: [not failed(measure(t)) & bits for t in texts])
+    """The rows of ``docs`` that a policy keeps, with all their columns as they are.
+
+    The ledger's bits are written beside each row, where it is, and the policy is applied to
+    them. Null, empty and wordless texts fail few_words and go; very long texts are measured
+    whole; repeated rows stay or go together.
+    """
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = pa.array([failed(measure(t)) for t in batch.column(at).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, bits], schema=batch.schema.append(pa.field("_failed_", pa.int64())))
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_failed_", T.LongType())])
+    return docs.mapInArrow(run, schema).where(kept("_failed_", policy)).drop("_failed_")
+
+
+def versions(book: DataFrame) -> DataFrame:
+    """policy, documents, kept and newly_failed (documents that the policy before, by name, keeps) of every policy."""
+    names = sorted(POLICIES)
+    before = [0, *(mask(POLICIES[n]) for n in names)]
+    some = F.explode(F.array(*(F.struct(F.lit(n).alias("policy"), F.lit(mask(POLICIES[n])).cast("long").alias("now"), F.lit(b).cast("long").alias("old")) for n, b in zip(names, before)))).alias("p")
+    summed = book.groupBy("failed").agg(F.count("*").alias("n")).select("failed", "n", some).select("failed", "n", "p.*")
+    fits = lambda bits: F.col("failed").bitwiseAND(F.col(bits)) == 0
+    count = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    return summed.groupBy("policy").agg(F.sum("n").alias("documents"), count(fits("now")).alias("kept"), count(fits("old") & ~fits("now")).alias("newly_failed"))
 
 
 def ablation(book: DataFrame, policy: str = CURRENT) -> DataFrame:
@@ -204,7 +229,27 @@ m AS (
   FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN echo USING (r)),
 z AS (SELECT doc_id, n_words::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
     coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-    coalesce(n_lines, 0) AS n_lines, coalesce(n_echoes, 0) AS n_echoes, n_upper, n_lower, n_bangs, n_flagged FROM m),
+    coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_echoes, 0)::BIGINT AS n_echoes, n_upper::BIGINT AS n_upper, n_lower::BIGINT AS n_lower, n_bangs::BIGINT AS n_bangs, n_flagged::BIGINT AS n_flagged FROM m),
 f AS (SELECT *, ({bits})::BIGINT AS failed FROM z)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {mask(BASE)}) <> 0 AS base_failed,
+SELECT doc_id, {", ".join(MEASURES)}, (failed & {mask(BASE)}) <> 0 AS base_failed,
   (failed & {mask(POLICIES[policy]) | mask(BASE)}) = 0 AS kept, failed FROM f"""
+
+
+def versions_oracle() -> str:
+    """DuckDB SQL for versions() of the documents' ledger."""
+    names = sorted(POLICIES)
+    rows = ", ".join(f"('{n}', {mask(POLICIES[n])}, {b})" for n, b in zip(names, [0, *(mask(POLICIES[x]) for x in names)]))
+    return f"""
+WITH book AS ({oracle()}), p(policy, now, old) AS (VALUES {rows})
+SELECT policy, count(*)::BIGINT AS documents, count(*) FILTER ((failed & now) = 0)::BIGINT AS kept,
+  count(*) FILTER ((failed & old) = 0 AND (failed & now) <> 0)::BIGINT AS newly_failed FROM book, p GROUP BY policy"""
+
+
+def ablation_oracle(policy: str = CURRENT) -> str:
+    """DuckDB SQL for ablation() of the documents' ledger."""
+    rows = ", ".join(f"({i}, '{r.name}')" for i, r in enumerate(RULES) if r.name in POLICIES[policy])
+    hit, own = f"(failed & {mask(POLICIES[policy])})", "(1::BIGINT << bit)"
+    return f"""
+WITH book AS ({oracle(policy)}), r(bit, rule) AS (VALUES {rows})
+SELECT bit::INTEGER AS bit, rule, count(*)::BIGINT AS documents, count(*) FILTER ({hit} = 0)::BIGINT AS kept, count(*) FILTER (({hit} & {own}) <> 0)::BIGINT AS fails,
+  count(*) FILTER ({hit} = {own})::BIGINT AS fails_alone, count(*) FILTER (({hit} & ~{own}) = 0)::BIGINT AS kept_without FROM book, r GROUP BY bit, rule"""

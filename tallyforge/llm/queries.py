@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontaminate, html, language, passages, pii, quality, secrets, simhash, urls
-from .common import table
+from .common import checkpointed, table
 
 try:  # the tokenizer files' folder is a parameter of the operators; this is the default of the queries
     import public_tokenizers
@@ -33,8 +33,19 @@ def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def rules_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each version of the rules keeps, from a ledger written once."""
+    return quality.versions(checkpointed(quality.ledger(table(spark, sf_dir, "documents"))))
+
+
+def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule does, from a ledger written once."""
+    return quality.ablation(checkpointed(quality.ledger(table(spark, sf_dir, "documents"))))
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.named(pages))
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op4_rules": op4_rules,
+    "rules_versions": rules_versions,
+    "rules_ablation": rules_ablation,
     "op5_urls": op5_urls,
     "op6_html": op6_html,
     "op7_secrets": op7_secrets,
@@ -72,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op4_rules": quality.oracle(),
+    "rules_versions": quality.versions_oracle(),
+    "rules_ablation": quality.ablation_oracle(),
     "op5_urls": urls.oracle(),
     "op7_secrets": secrets.oracle(),
 }

@@ -1,9 +1,11 @@
 """Secret scans through a trigram inverted index, with DataFrame functions only.
 
 From each rule's regex a Boolean query over trigrams is derived: what any match must
-contain. The index has a row (trigram, doc_id) for each trigram of these queries that a
-document's lower-case text holds. Intersecting its postings leaves, for each rule, a few
-candidates to verify with the regex; a rule whose regex demands no trigram scans every text.
+contain. The index has a row (trigram, row) for each trigram of these queries that a
+document's lower-case text holds, where row is a hash of doc_id and text. Intersecting its
+postings leaves, for each rule, a few candidates to verify with the regex; a rule whose regex
+demands no trigram scans every text. Candidates go to where the texts are, as long as there
+are few enough of them, so texts don't move.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -41,6 +45,9 @@ RULES = (
 )
 BASE = 3
 
+#: Candidates up to which they are broadcast (two longs each); beyond, texts are shuffled by row.
+BROADCAST_CANDIDATES = 1_000_000
+
 #: A query: None (no demand), a trigram, or ("and" | "or", queries).
 Query = None | str | tuple
 #: Most strings that a part of a regex may stand for and still be spelled out.
@@ -108,11 +115,16 @@ def vocabulary(rules: tuple[Rule, ...]) -> list[str]:
     return sorted({t for r in rules for t in trigrams(trigram_query(r))})
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of doc_id and text: rows that share an id alone are told apart, equal rows are one."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
+
+
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The inverted index: (trigram, doc_id) for each asked trigram in a document's lower-case text."""
-    low = docs.select(docs["doc_id"], F.lower(docs["text"]).alias("low"))
+    """The inverted index: (trigram, row) for each asked trigram in a document's lower-case text."""
+    low = docs.select(row_key(docs).alias("row"), F.lower(docs["text"]).alias("low"))
     held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in vocabulary(rules))))
-    return low.select(F.explode(held).alias("trigram"), "doc_id")
+    return low.select(F.explode(held).alias("trigram"), "row")
 
 
 def answer(query: Query, place: dict[str, int]) -> Column:
@@ -127,15 +139,15 @@ def answer(query: Query, place: dict[str, int]) -> Column:
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, rules): bit i is set if the postings leave the document to rule i. Documents with no rule have no row."""
+    """(row, rules): bit i is set if the postings leave the document to rule i. Documents with no rule have no row."""
     words = vocabulary(rules)
     place = {t: i for i, t in enumerate(words)}
     numbered = F.create_map(*(F.lit(x) for t, i in place.items() for x in (t, i)))[F.col("trigram")]
-    bit = index.select("doc_id", numbered.alias("i"))
+    bit = index.select("row", numbered.alias("i"))
     sums = [F.bit_or(F.when(F.floor(F.col("i") / 60) == k, F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("i") % 60).cast("int"))).otherwise(F.lit(0).cast("long"))) for k in range(len(words) // 60 + 1)]
-    held = bit.groupBy("doc_id").agg(F.array(*sums).alias("held"))
+    held = bit.groupBy("row").agg(F.array(*sums).alias("held"))
     hits = [F.when(answer(q, place), F.lit(1 << i)).otherwise(0) for i, r in enumerate(rules) if (q := trigram_query(r)) is not None]
-    return held.select("doc_id", sum(hits[1:], hits[0]).cast("long").alias("rules")).where("rules <> 0")
+    return held.select("row", sum(hits[1:], hits[0]).cast("long").alias("rules")).where("rules <> 0")
 
 
 def lengths(rule: Rule, text: Column) -> Column:
@@ -159,13 +171,15 @@ def placed(rule: Rule) -> Column:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, n_ of each base kind, base_sha256 and spans, one row for each row of ``docs``.
 
-    A null text counts as empty. Rows that repeat a doc_id share their candidates, and each
-    is verified on its own text. A null doc_id is a key like any other. Offsets are code
-    points. No other column of ``docs`` is read.
+    A null text counts as empty. Rows are told apart by doc_id, which may be null, and text;
+    equal rows share their candidates and each has its result. Very long texts are scanned
+    whole. Of spans that start together the rules' order decides. Offsets are code points. No
+    other column of ``docs`` is read.
     """
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    asked = candidates(postings(docs, rules), rules).select(F.col("doc_id").alias("of"), "rules")
-    joined = docs.join(asked, docs["doc_id"].eqNullSafe(asked["of"]), "left")
+    asked = checkpointed(candidates(postings(docs, rules), rules))
+    few = asked.count() <= BROADCAST_CANDIDATES
+    joined = docs.withColumn("row", row_key(docs)).join(F.broadcast(asked) if few else asked, "row", "left")
     left = F.coalesce(F.col("rules"), F.lit(0))
     asks = [trigram_query(r) is not None for r in rules]
     measured = [F.when(left.bitwiseAND(F.lit(1 << i)) != 0, m) if asks[i] else m for i, r in enumerate(rules) for m in [lengths(r, F.col("text"))]]

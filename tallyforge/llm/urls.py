@@ -19,7 +19,7 @@ from .common import bounded_batches, checkpointed
 
 #: Rules (verdict, rule); a rule is a host and the start of a path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: A host is listed if one of its labels holds one of these words between its ends and hyphens.
+#: Words that put a host on named()'s list if one of its labels holds them between its ends and hyphens.
 TERMS = ("casino", "bets", "pills", "adult", "spam", "ads", "porn", "viagra", "warez")
 #: False positives of a level, and the most bytes of all levels; a larger cascade isn't shipped to tasks.
 RATE, MOST_BYTES = 0.02, 64 << 20
@@ -46,8 +46,10 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return tests
 
 
-def listed(host: Column, terms=TERMS) -> Column:
-    return F.regexp_like(host, F.lit(rf"(^|[.-])({'|'.join(terms)})([.-]|$)"))
+def named(pages: DataFrame, terms=TERMS) -> DataFrame:
+    """(key): a list of hosts made of a corpus, for want of one from outside: those of which a label has one of the terms."""
+    hosts = pages.select(host(pages["url"]).alias("key")).distinct()
+    return hosts.where(F.regexp_like("key", F.lit(rf"(^|[.-])({'|'.join(terms)})([.-]|$)")))
 
 
 @dataclass
@@ -126,17 +128,22 @@ def member(levels: list[Level], hashed: list[tuple[np.ndarray, np.ndarray]]) ->
     return depth % 2 == 1
 
 
-def judge(pages: DataFrame, rules=RULES, terms=TERMS, most_bytes: int = MOST_BYTES) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules=RULES, most_bytes: int = MOST_BYTES) -> DataFrame:
     """page_id, host, path, rule and verdict, one row for each row of ``pages``.
 
-    The longest fitting rule decides; without one, a listed host is blocked. Null urls and
-    urls without :// have an empty host and path, fit no rule and are allowed. The key
-    universe is every host of ``pages``. If the cascade would pass its size bound, a plain
-    join with the listed hosts takes its place. Other columns of ``pages`` are not read.
+    The longest fitting rule decides; without one, a host that is a key of the table
+    ``listed`` is blocked. Keys are hosts in lower case; null ones, repeats and keys that no
+    page has make no difference. Null urls and urls without :// have an empty host and path
+    and fit no rule. Of equally long rules the first in order decides. Repeated rows are each
+    judged, very long urls are read whole. The key universe is every host of ``pages``. If
+    the cascade would pass its size bound, a plain join with the listed hosts takes its
+    place. No column but page_id, url and key is read.
     """
     bounded_batches(pages.sparkSession)
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), host(pages["url"]).alias("host"), path(pages["url"]).alias("path"))
-    universe = checkpointed(rows.select(F.col("host").alias("key")).distinct().select("key", listed(F.col("key"), terms).alias("is_listed")))
+    keys = listed.select(listed["key"].alias("key")).where("key is not null").distinct().withColumn("is_listed", F.lit(True))
+    universe = rows.select(F.col("host").alias("key")).distinct().join(keys, "key", "left")
+    universe = checkpointed(universe.select("key", F.coalesce("is_listed", F.lit(False)).alias("is_listed")))
     levels = cascade(universe, most_bytes)
     rule = rule_for(F.col("host"), F.col("path"), rules)
     if levels is None:

@@ -44,6 +44,18 @@ def test_ledger_policies_and_ablation(spark):
             assert a.kept_without == sum(not r.failed & bits & ~own for r in rows)
 
 
+def test_versions(spark):
+    book = Q.ledger(frame(spark)).cache()
+    bits = [r.failed for r in book.collect()]
+    before = 0
+    for r in Q.versions(book).orderBy("policy").collect():
+        now = Q.mask(Q.POLICIES[r.policy])
+        assert (r.documents, r.kept) == (len(bits), sum(not b & now for b in bits))
+        assert r.newly_failed == sum(not b & before and bool(b & now) for b in bits)
+        before = now
+    assert Q.versions(book.limit(0)).count() == 0 and Q.ablation(book.limit(0)).count() == 0
+
+
 def test_verdicts_agree_with_keep(spark):
     docs = frame(spark)
     out = Q.keep(docs)
