@@ -6,11 +6,14 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch between the JVM and a Python worker. Texts can be very
 #: long, so batches are held far under Spark's default of 10,000 rows.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: Keys that may be hot at once.
+MOST_HOT = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +55,39 @@ def map_column(df: DataFrame, column: str, change: Callable[[list], list]) -> Da
     return df.mapInArrow(run, df.schema)
 
 
+def hot_counts(counts: DataFrame, key: str, least: int) -> DataFrame:
+    """(key, parts) of the rows (key, count) with over ``least`` rows and over one in MOST_HOT of them all:
+    at most MOST_HOT keys, so the table may be broadcast, and over how many tasks to deal each."""
+    counts = checkpointed(counts.where(F.col("count") > least))
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    size = max(least, -(-total // MOST_HOT))
+    return checkpointed(counts.where(F.col("count") > size).select(key, F.ceil(F.col("count") / size).cast("int").alias("parts")))
+
+
+def hot_keys(rows: DataFrame, key: str, least: int) -> DataFrame:
+    """hot_counts() of the keys of ``rows``, counted partially before their exchange."""
+    return hot_counts(rows.groupBy(key).count(), key, least)
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, test: Column | None = None) -> DataFrame:
+    """Inner join by ``key``, and ``test`` if any, where rows of ``left`` with a hot key are dealt over several tasks.
+
+    ``right`` is copied to each of these. Its other columns are not in ``left``.
+    """
+
+    def join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+        found = a.join(b, keys) if test is None else a.join(b.withColumnsRenamed({k: f"_{k}" for k in keys}), [*(F.col(k) == F.col(f"_{k}") for k in keys), test])
+        return found.select(*left.columns, *(c for c in right.columns if c != key))
+
+    if hot.isEmpty():
+        return join(left, right, [key])
+    keys = F.broadcast(hot)
+    plain = join(left.join(keys, key, "left_anti"), right, [key])
+    dealt = left.join(keys, key).withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.col("parts")).cast("int")).drop("parts")
+    copied = right.join(keys, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return plain.unionByName(join(dealt, copied, [key, "_part"]))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage by files in the folder of spark.checkpoint.dir, which survive lost executors.
 

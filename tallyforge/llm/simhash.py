@@ -18,10 +18,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, map_rows
+from .common import bounded_batches, checkpointed, dealt_join, hot_counts, hot_keys, map_rows
 from .components import components
 
 SEED = 42
@@ -179,16 +179,20 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: The share of SHINGLE-word shingles that near copies have in common; pairs of texts are proposed
+#: The share of SHINGLE-word shingles that near copies have in common. Pairs of texts are proposed
 #: by BANDS hashes of BAND minima each, of which two texts at that share have none in common in one
-#: case of 2,800. After ROUNDS rounds of hubs, what is left is paired out.
+#: case of 2,800, and kept if BITS bits of each minimum, in WORDS longs, put the share at LIKELY or
+#: more (three standard deviations below SHARE).
 SHARE, SHINGLE = 0.8, 5
-BANDS, BAND, ROUNDS = 20, 5, 3
+BANDS, BAND, BITS, WORDS, LIKELY = 20, 5, 3, 5, 0.66
 SALTS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64)
+#: Rows of one key from which on they are dealt over several tasks.
+HOT_KEY = 1024
 
 
-def band_keys(text: str | None) -> np.ndarray:
-    """BANDS hashes, each of BAND minima of the text's mixed shingle hashes; wordless texts have equal ones."""
+def sketch(text: str | None) -> np.ndarray:
+    """BANDS keys, each a hash of BAND minima of the text's mixed shingle hashes, and WORDS words of bits of
+    the minima; wordless texts have equal ones."""
     hashes = np.unique(shingle_hashes(text, SHINGLE))
     least = np.full(len(SALTS), (1 << 64) - 1, np.uint64)
     for k in range(0, len(hashes), 4096):
@@ -196,7 +200,9 @@ def band_keys(text: str | None) -> np.ndarray:
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for column in least.reshape(BANDS, BAND).T:
         key = mixed((key ^ column) * np.uint64(0xBF58476D1CE4E5B9))
-    return key.view(np.int64)
+    bits = np.zeros(64 * WORDS, np.uint8)
+    bits[: BITS * len(SALTS)] = ((mixed(least)[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).ravel()
+    return np.r_[key, np.packbits(bits, bitorder="little").view(np.uint64)].view(np.int64)
 
 
 def alike(a: str | None, b: str | None, share: float = SHARE, width: int = SHINGLE) -> bool:
@@ -210,10 +216,20 @@ def alike(a: str | None, b: str | None, share: float = SHARE, width: int = SHING
     return both >= share * (len(x) + len(y) - both)
 
 
+def apart(a: str, b: str) -> Column:
+    """Bits in which the sketches of the structs ``a`` and ``b`` differ."""
+    return sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(1, WORDS)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+
+
+#: Bits in which sketches may differ for a share of LIKELY: half of those of minima that do.
+MOST_APART = int(BITS * BANDS * BAND * (1 - LIKELY) / 2)
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of tids whose texts are alike."""
-    both = pairs.join(texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b")), "b")
+    """Those of the pairs (a, b) of tids whose texts are alike; a text in very many pairs is dealt over several tasks."""
+    pairs = checkpointed(pairs)
+    with_a = dealt_join(pairs, texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a")), "a", hot_keys(pairs, "a", HOT_KEY))
+    both = dealt_join(with_a, texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b")), "b", hot_keys(pairs, "b", HOT_KEY))
 
     def rows(a: list, b: list, text_a: list, text_b: list) -> dict[str, list]:
         kept = [k for k in range(len(a)) if alike(text_a[k], text_b[k])]
@@ -229,52 +245,63 @@ def copy_groups(docs: DataFrame) -> DataFrame:
     component_id is the group's smallest doc_id and first_tid the text that has it (of several
     such texts the one with the smallest hash).
 
-    Texts that share a band are held against the band's first text. A text goes to one such
-    hub, then components are made; bands that still hold texts of several components have
-    each of the other components' texts held against their next hub, ROUNDS times, and at last
-    all their pairs. So no pair that shares a band stays untried unless it is joined already,
-    and a group of copies makes a row or few for each copy.
+    In each band that texts share one of them, another in every band, is the hub. A text is
+    held against the hub with the likeliest sketch, then against its other likely hubs unless
+    they are in one component by now. In bands whose texts still are in several components,
+    the texts outside the band's largest one are held against all others there: their
+    sketches are compared where they meet, and only likely pairs leave the join. So no likely
+    pair that shares a band stays untried unless it is joined already.
     """
 
     def rows(doc_id: list, tid: list, text: list) -> dict[str, list]:
-        return {"doc_id": doc_id, "tid": tid, "keys": [band_keys(t) for t in text]}
-
-    schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("keys", pa.list_(pa.int64()))])
-    keyed = map_rows(docs.select("doc_id", "tid", "text"), rows, schema, "doc_id bigint, tid bigint, keys array<bigint>")
-    texts = checkpointed(keyed.groupBy("tid").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")).where("rep is not null"))
-    members = texts.select("tid", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.min("tid").alias("hub"), F.max("tid").alias("last")).where("hub < last")
-    live = checkpointed(members.join(shared.select("key", "hub"), "key"))
-    own = live.select("tid").distinct().join(texts, "tid").select("tid", F.col("rep").alias("doc_id"))
+        return {"doc_id": doc_id, "tid": tid, "sketch": [sketch(t) for t in text]}
+
+    schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+    sketched = map_rows(docs.select("doc_id", "tid", "text"), rows, schema, "doc_id bigint, tid bigint, sketch array<bigint>")
+    texts = checkpointed(sketched.groupBy("tid").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")).where("rep is not null"))
+    members = texts.select("tid", F.explode(F.slice("sketch", 1, BANDS)).alias("key"))
+    shared = checkpointed(members.groupBy("key").agg(F.count("*").alias("count"), F.min_by("tid", F.xxhash64("tid", "key")).alias("hub")).where(F.col("count") > 1))
+    hot = hot_counts(shared.select("key", "count"), "key", HOT_KEY)
+    live = checkpointed(dealt_join(members, shared.select("key", "hub"), "key", hot))
+    alive = live.select("tid").distinct().join(texts, "tid")
+    signs = checkpointed(alive.select("tid", F.struct(*(F.get("sketch", F.lit(BANDS + i)).alias(f"s{i}") for i in range(WORDS))).alias("sign")))
+    own = alive.select("tid", F.col("rep").alias("doc_id"))
     own = checkpointed(docs.join(own, ["tid", "doc_id"], "left_semi").dropDuplicates(["tid"]).select("tid", "text"))
 
-    tried = live.where("tid <> hub").groupBy(F.col("tid").alias("a")).agg(F.min("hub").alias("b"))
-    tried = checkpointed(tried)
-    edges, live = verified(tried, own), live.select("key", "tid")
-    for k in range(ROUNDS + 1):
-        found = components(edges)
-        named = live.join(found, live["tid"] == found["node"], "left").select("key", "tid", F.coalesce("component", "tid").alias("c"))
-        apart = named.groupBy("key").agg(F.min(F.struct("tid", "c")).alias("hub"), F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
-        live = checkpointed(named.join(apart.select("key", "hub"), "key"))
-        if live.isEmpty():
-            break
-        if k < ROUNDS:
-            pairs = live.where("c <> hub.c").select("tid", F.col("hub.tid").alias("other"))
-            live = live.where("tid <> hub.tid")
-        else:
-            other = live.select("key", F.col("tid").alias("other"), F.col("c").alias("other_c"))
-            pairs = live.join(other, "key").where("tid < other and c <> other_c")
-        pairs = pairs.select(F.greatest("tid", "other").alias("a"), F.least("tid", "other").alias("b")).distinct()
-        pairs = checkpointed(pairs.join(tried, ["a", "b"], "left_anti"))
-        edges, tried = edges.unionByName(verified(pairs, own)), tried.unionByName(pairs)
-        live = live.select("key", "tid")
-        if k == ROUNDS:
-            found = components(edges)
+    pairs = live.where("tid <> hub").select(F.greatest("tid", "hub").alias("a"), F.least("tid", "hub").alias("b")).distinct()
+    signed_a, signed_b = (signs.select(F.col("tid").alias(x), F.col("sign").alias(f"sign_{x}")) for x in "ab")
+    near = pairs.join(signed_a, "a").join(signed_b, "b").select("a", "b", apart("sign_a", "sign_b").alias("bits"))
+    near = checkpointed(near.where(F.col("bits") <= MOST_APART))
+    ends = near.select(F.explode(F.array("a", "b")).alias("tid"), "a", "b", "bits")
+    best = ends.groupBy("tid").agg(F.min(F.struct("bits", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    best = checkpointed(best)
+    edges = verified(best, own)
+    found = components(edges)
+    rest = between(near.select("a", "b").join(best, ["a", "b"], "left_anti"), found)
+    edges = edges.unionByName(verified(rest, own))
+    found = components(edges)
+
+    named = live.select("key", "tid").join(found, live["tid"] == found["node"], "left").select("key", "tid", F.coalesce("component", "tid").alias("c"))
+    sizes = named.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("parts"))
+    split = checkpointed(dealt_join(named, sizes.where("parts > 1").select("key", "main"), "key", hot))
+    signed_split = split.join(signs, "tid")
+    one = signed_split.where("c <> main").select("key", F.col("tid").alias("a"), F.col("c").alias("c_a"), F.col("sign").alias("sign_a"))
+    other = signed_split.select("key", F.col("tid").alias("b"), F.col("c").alias("c_b"), F.col("sign").alias("sign_b"))
+    left = dealt_join(other, one, "key", hot, (F.col("c_a") != F.col("c_b")) & (apart("sign_a", "sign_b") <= MOST_APART))
+    left = left.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
+    found = components(edges.unionByName(verified(left, own)))
     group = texts.join(found, texts["tid"] == found["node"], "left").select("tid", "rep", F.coalesce("component", "tid").alias("c"))
     first = group.groupBy("c").agg(F.min(F.struct("rep", "tid")).alias("first"))
     return checkpointed(group.join(first, "c").select("tid", F.col("first.rep").alias("component_id"), F.col("first.tid").alias("first_tid")))
 
 
+def between(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that lie in two components; nodes without a row are components of their own."""
+    for x in "ab":
+        pairs = pairs.join(found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")), x, "left")
+    return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+
 def with_tid(docs: DataFrame) -> DataFrame:
     """doc_id, text and tid, a hash of the text; null and empty texts are equal."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("tid"))
