@@ -25,65 +25,75 @@ STRONG = 3
 LEAST = 3
 #: Windows up to which the benchmark is broadcast (about 100 bytes each); beyond, the join shuffles.
 BROADCAST_WINDOWS = 200_000
-SPACES, SPACE = " \t\n\v\f\r", r"[\x20\x09-\x0D]+"
+SPACES = " \t\n\v\f\r"
 # Unit words that make a placeholder after a number.
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "min", "h", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "miles", "feet", "inches", "pounds", "ounces", "dollars", "euros", "cents", "percent", "meters", "kilometers", "grams", "kilograms", "liters")
 NUMBER, UNIT, NAME = "‹n›", "‹u›", "‹p›"
 PLACEHOLDER = "‹"
-#: Punctuation at the edges of words, which neither templates nor values keep.
-EDGES = r"""(?<![^\x20\x09-\x0D])[\"'(\[{“‘¿¡]+|[.,;:!?\"')\]}”’]+(?![^\x20\x09-\x0D])"""
+#: Punctuation before and after words, of which templates and values keep none (of longer runs, all but eight marks).
+LEAD, TRAIL = r"""\"'(\[{“‘¿¡""", r""".,;:!?\"')\]}”’"""
+BETWEEN = rf"(?:[{TRAIL}]{{0,8}}[\x20\x09-\x0D]++[{LEAD}]{{0,8}})++"
+ENDS = SPACES + """\"'([{“‘¿¡.,;:!?)]}”’"""
+# The patterns begin with what is rare, so that most characters are passed over at once, and
+# their loops are possessive, so that no long run nests calls.
+NAMES = r"\p{Lu}(?<=[\p{Ll}0-9,]\x20.)\p{Ll}[\p{L}’'-]*"
+NUMBERS = rf"(?=[$€£0-9])(?<![\p{{L}}\p{{N}}])[$€£]?[0-9]+(?:[.,:/][0-9]++)*+(?:%|{'|'.join(UNITS)})?(?![\p{{L}}\p{{N}}])"
+MEASURED = rf"{NUMBER}\x20(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
 
 
 def worded(rows: DataFrame, name: str) -> DataFrame:
     """key, the column ``name``, words in lower case and as many template words of each text.
 
     A name is a capitalised word that follows a word in lower case, a number or a comma.
-    key is a hash of id and text, so rows that share an id only are told apart. Each step is
-    a projection of its own, whose column the next one uses twice, so that none runs twice.
+    key is a hash of id and text, so rows that share an id only are told apart.
     """
-    units, text = "|".join(UNITS), F.col("text")
     keyed = rows.select(F.xxhash64(rows[name], rows["text"]).alias("key"), rows[name].alias(name), rows["text"].alias("text")).where("text is not null")
-    names = F.regexp_replace(text, r"(?<=[\p{Ll}0-9,]\x20)\p{Lu}\p{Ll}[\p{L}’'-]*", NAME)
-    named = keyed.select("key", name, F.lower("text").alias("plain"), F.lower(F.when(F.regexp_like(text, F.lit(r"[\p{Ll}0-9,] \p{Lu}\p{Ll}")), names).otherwise(text)).alias("low"))
-    numbers = F.regexp_replace("low", rf"(?<![\p{{L}}\p{{N}}])[$€£]?[0-9]+(?:[.,:/][0-9]+)*(%|{units})?(?![\p{{L}}\p{{N}}])", NUMBER)
-    typed = F.regexp_replace(numbers, rf"(?<={NUMBER}\x20)(?:{units})(?![\p{{L}}\p{{N}}])", UNIT)
-    typed = F.when(F.regexp_like("low", F.lit("[0-9]")), typed).otherwise(F.col("low"))
-
-    def split(c: Column) -> Column:
-        bare = F.btrim(F.regexp_replace(c, EDGES, ""), F.lit(SPACES))
-        return F.split(bare, SPACE)
-
+    named = keyed.select("key", name, F.lower("text").alias("plain"), F.lower(F.regexp_replace("text", NAMES, NAME)).alias("low"))
+    typed = F.regexp_replace(F.regexp_replace("low", NUMBERS, NUMBER), MEASURED, f"{NUMBER} {UNIT}")
+    split = lambda c: F.split(F.btrim(c, F.lit(ENDS)), BETWEEN)
     return named.select("key", name, split(F.col("plain")).alias("plain"), split(typed).alias("words"))
 
 
 def windows(rows: DataFrame, name: str, at: str, short: list[int], whole: bool) -> DataFrame:
-    """Rows (key, name, at, h, kind, literals, values): windows of each text by hash.
+    """Rows (key, name, at, width, h, kind, plain, words): windows of each text by hash.
 
     kind is 0 for the words as they stand and 1 for the template, of windows with a
-    placeholder alone. values has the words behind placeholders (others null), literals says
-    how many words are none. Windows are WIDTH words wide; texts of fewer words than LEAST
-    are one window, and for ``short`` widths there are windows of these too: of every text,
-    or if ``whole`` of texts of that very size.
+    placeholder alone. Windows are WIDTH words wide; texts of fewer words than LEAST are one
+    window, and for ``short`` widths there are windows of these too: of every text, or if
+    ``whole`` of texts of that very size. A place is a number, eight times the position and
+    the width: no lambda stands below the explode, so it is compiled, and plain and words are
+    no copies but the text's own arrays until a row leaves the stage.
     """
-    n = F.size("plain")
+    n, none = F.size("plain"), F.array().cast("array<int>")
 
     def places(width: int) -> Column:
-        last = F.lit(0) if whole and width < WIDTH else n - width
-        fits = n == width if whole and width < WIDTH else n >= width
-        return F.when(fits, F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.cast("int").alias("at"), F.lit(width).alias("width"))))
+        only = whole and width < WIDTH
+        fits = n == width if only else n >= width
+        return F.when(fits, F.sequence(F.lit(width), F.lit(width) if only else (n - width) * 8 + width, F.lit(8))).otherwise(none)
 
-    tiny = F.when(n.between(1, LEAST - 1) & (F.get("plain", F.lit(0)) != ""), F.array(F.struct(F.lit(0).alias("at"), n.cast("int").alias("width"))))
-    made = F.flatten(F.array_compact(F.array(places(WIDTH), tiny, *(places(w) for w in short))))
+    tiny = F.when(n.between(1, LEAST - 1) & (F.get("plain", F.lit(0)) != ""), F.array(n)).otherwise(none)
+    made = F.concat(places(WIDTH), tiny, *(places(w) for w in short))
     # an outer explode, as for a plain one the optimizer would push a filter, with all steps above again, below them
-    spread = worded(rows, name).select("key", name, "plain", "words", F.explode_outer(made).alias("w")).where("w is not null")
-    word = lambda c, k: F.get(c, F.col("w.at") + k)
-    sized = lambda c: F.xxhash64(*(F.when(F.col("w.width") > k, word(c, k)) for k in range(WIDTH)))
-    slot = lambda k: (F.col("w.width") == WIDTH) & F.startswith(word("words", k), F.lit(PLACEHOLDER))
-    values = F.array(*(F.when(slot(k), word("plain", k)) for k in range(WIDTH)))
-    literals = WIDTH - sum((slot(k).cast("int") for k in range(1, WIDTH)), slot(0).cast("int"))
-    hashed = spread.select("key", name, F.col("w.at").alias(at), F.col("w.width").alias("width"), sized("plain").alias("h0"), F.when(literals < WIDTH, sized("words")).alias("h1"), literals.alias("literals"), values.alias("values"))
-    kinds = F.array(F.struct(F.col("h0").alias("h"), F.lit(0).alias("kind")), F.struct(F.col("h1").alias("h"), F.lit(1).alias("kind")))
-    return hashed.select("key", name, at, "width", "literals", "values", F.explode(kinds).alias("k")).select("key", name, at, "width", F.col("k.h").alias("h"), F.col("k.kind").alias("kind"), "literals", "values").where("h is not null")
+    spread = worded(rows, name).select("key", name, "plain", "words", F.explode_outer(made).alias("p")).where("p is not null")
+    spread = spread.select("key", name, "plain", "words", F.shiftright("p", 3).alias(at), F.col("p").bitwiseAND(F.lit(7)).alias("width"))
+    sized = lambda c: F.xxhash64(*(F.when(F.col("width") > k, F.get(c, F.col(at) + k)) for k in range(WIDTH)))
+    typed = slot(at, 0)
+    for k in range(1, WIDTH):
+        typed = typed | slot(at, k)
+    kinds = F.array(F.struct(sized("plain").alias("h"), F.lit(0).alias("kind")), F.struct(F.when(typed, sized("words")).alias("h"), F.lit(1).alias("kind")))
+    return spread.select("key", name, at, "width", "plain", "words", F.explode(kinds).alias("k")).select("key", name, at, "width", F.col("k.h").alias("h"), F.col("k.kind").alias("kind"), "plain", "words").where("h is not null")
+
+
+def slot(at: str, k: int) -> Column:
+    """Whether the window's k-th word is a placeholder."""
+    return (F.col("width") == WIDTH) & F.startswith(F.get("words", F.col(at) + k), F.lit(PLACEHOLDER))
+
+
+def valued(found: DataFrame, at: str) -> DataFrame:
+    """values, the words behind placeholders (others null), and strength, how many words are none, for the text's arrays."""
+    values = F.array(*(F.when(slot(at, k), F.get("plain", F.col(at) + k)) for k in range(WIDTH)))
+    strength = WIDTH - sum((slot(at, k).cast("int") for k in range(1, WIDTH)), slot(at, 0).cast("int"))
+    return found.select(*(c for c in found.columns if c not in ("plain", "words")), values.alias("values"), strength.alias("strength"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, run: int = RUN) -> DataFrame:
@@ -104,13 +114,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, run: int
     """
     sizes = worded(benchmark, "item_id").select(F.size("plain").alias("n")).where(F.col("n").between(LEAST, WIDTH - 1)).distinct()
     short = sorted(r.n for r in sizes.collect())
-    items = checkpointed(windows(benchmark, "item_id", "j", short, whole=True))
-    items = items.select(F.col("key").alias("item"), "item_id", "j", "h", "kind", F.col("literals").alias("strength"), F.col("values").alias("theirs"), "width").distinct()
-    totals = items.groupBy("item").agg(F.countDistinct("j").alias("n_windows"), F.max("width").alias("width"))
+    items = checkpointed(valued(windows(benchmark, "item_id", "j", short, whole=True), "j"))
+    items = items.select(F.col("key").alias("item"), "item_id", "j", "h", "kind", "strength", F.col("values").alias("theirs"), F.col("width").alias("their_width")).distinct()
+    totals = items.groupBy("item").agg(F.countDistinct("j").alias("n_windows"), F.max("their_width").alias("width"))
     few = items.count() <= BROADCAST_WINDOWS
-    found = windows(docs, "doc_id", "i", short, whole=False).select("key", "doc_id", "i", "h", "kind", "values")
-    found = found.join(F.broadcast(items) if few else items, ["h", "kind"]).where("kind = 0 or strength > 0")
-    found = checkpointed(found.select("key", "doc_id", "item", "item_id", (F.col("i") - F.col("j")).alias("shift"), "j", "kind", "strength", "theirs", "values"))
+    held = windows(docs, "doc_id", "i", short, whole=False)
+    # texts' arrays may pass a broadcast join, which drops nearly all rows, but no shuffle
+    found = valued(held.join(F.broadcast(items.drop("strength")), ["h", "kind"]), "i") if few else valued(held, "i").join(items.drop("strength"), ["h", "kind"])
+    found = found.where("kind = 0 or strength > 0").select("key", "doc_id", "item", "item_id", (F.col("i") - F.col("j")).alias("shift"), "j", "kind", "strength", "theirs", "values")
+    found = checkpointed(found)
     place = ["key", "item", "shift"]
     # values of slots, by offset: an item's value must always meet the same one
     pairs = F.arrays_zip(F.col("theirs").alias("theirs"), F.col("values").alias("ours"))
