@@ -22,14 +22,19 @@ def norm_name(name: Column) -> Column:
 
 
 def norm_cik(cik: Column) -> Column:
-    """Digits only, padded with zeros to ten and never cut; null if there is no digit other than zero."""
+    """Digits only, padded with zeros to ten and never cut; null if there is no digit."""
     digits = F.regexp_replace(cik, "[^0-9]", "")
-    padded = F.when(F.length(digits) >= 10, digits).otherwise(F.lpad(digits, 10, "0"))
-    return F.when(F.regexp_replace(digits, "0", "") != "", padded)
+    return F.when(F.length(digits) >= 10, digits).when(digits != "", F.lpad(digits, 10, "0"))
+
+
+def missing_cik(cik: Column) -> Column:
+    """Whether a stored CIK says nothing: null, without digits, or zero."""
+    return F.coalesce(F.regexp_replace(cik, "[^1-9]", "") == "", F.lit(True))
 
 
 def trim_cik(cik: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(cik, "[^0-9]", ""), "^0+", "")
+    """Without leading zeros; all else stays."""
+    return F.ltrim(cik, F.lit("0"))
 
 
 def norm_label(label: Column) -> Column:
@@ -52,26 +57,73 @@ def money(value: Column) -> Column:
     return F.when(size >= 1e9, scaled("0.000000001", "B")).when(size >= 1e6, scaled("0.000001", "M")).when(size >= 1e3, scaled("0.001", "k")).otherwise(scaled("1", ""))
 
 
+def billions(value: Column) -> Column:
+    """$x.xB, whatever the size; null stays null. Rounded as decimals, halves away from zero."""
+    return F.concat(F.lit("$"), F.format_string("%.1f", F.round(value.cast("decimal(20,2)") / F.lit(1_000_000_000).cast("decimal(10,0)"), 1).cast("double")), F.lit("B"))
+
+
+def label(name: Column, strip: str = "") -> Column:
+    """A name for display: underscores as spaces, an ending stripped, a dash for null."""
+    bare = F.regexp_replace(name, f"{strip}$", "") if strip else name
+    return F.coalesce(F.translate(bare, "_", " "), F.lit("—"))
+
+
+def dotted(*parts: Column) -> Column:
+    """The parts that aren't blank, with middle dots between; null if none is left."""
+    return F.nullif(F.concat_ws(" · ", *(F.nullif(F.trim(p), F.lit("")) for p in parts)), F.lit(""))
+
+
+def period_label(fiscal_year: Column, end: Column) -> Column:
+    """The fiscal year, else the first four characters of a date, else n/a."""
+    return F.coalesce(fiscal_year.cast("string"), F.substring(end.cast("string"), 1, 4), F.lit("n/a"))
+
+
+def value_added_kind(code: Column) -> Column:
+    """What a row of value added is, by its code."""
+    return F.when(code == "V001", "labor").when(code == "V002", "taxes").when(code == "V003", "capital")
+
+
+def sector_name(raw: Column, known: tuple[str, ...]) -> Column:
+    """A sector written in any case, with spaces for underscores; null if it's none of the known."""
+    name = F.translate(F.upper(F.trim(raw)), " ", "_")
+    return F.when(name.isin(*known), name)
+
+
 def pretty_segment(member: Column) -> Column:
-    """A trailing "Segment" or "Member" goes; camel case becomes words."""
-    bare = F.regexp_replace(F.regexp_replace(member, "Member$", ""), "Segment$", "")
-    return F.trim(F.regexp_replace(bare, r"(?<=[a-z0-9])(?=[A-Z])", " "))
+    """A trailing "Segment" goes, camel case becomes words; what would be empty stays as it was."""
+    bare = F.regexp_replace(F.regexp_replace(member, "Segment$", ""), r"(?<=[a-z])(?=[A-Z])", " ")
+    return F.when(bare == "", member).otherwise(bare)
 
 
 def json_salvage(answer: Column) -> Column:
     """The first { to the last } as a variant; if it doesn't parse, once more with ]} after it; else null."""
-    cut = F.regexp_extract(answer, r"(?s)\{.*\}", 0)
-    opened = F.regexp_extract(answer, r"(?s)\{.*", 0)
-    return F.coalesce(F.try_parse_json(F.nullif(cut, F.lit(""))), F.try_parse_json(F.concat(F.nullif(cut, F.lit("")), F.lit("]}"))), F.try_parse_json(F.concat(F.nullif(opened, F.lit("")), F.lit("]}"))), F.try_parse_json(F.concat(F.nullif(opened, F.lit("")), F.lit("}]}"))))
+    cut = F.nullif(F.regexp_extract(answer, r"(?s)\{.*\}", 0), F.lit(""))
+    return F.coalesce(F.try_parse_json(cut), F.try_parse_json(F.concat(cut, F.lit("]}"))))
 
 
 def json_num(text: Column) -> Column:
-    """A number written with $ , % or spaces; "null", blank and anything else give null."""
+    """A number written with $ , % or spaces, in parentheses or with the sign behind it if negative; anything else is null."""
     bare = F.trim(F.regexp_replace(text, r"[$,%]", ""))
-    return F.when(F.lower(bare) == "null", None).otherwise(F.nullif(bare, F.lit(""))).try_cast("double")
+    inner = F.when(F.regexp_like(bare, F.lit(r"^\([^()+-]*\)$")), F.concat(F.lit("-"), F.trim(F.substr(bare, F.lit(2), F.length(bare) - 2))))
+    behind = F.when(F.regexp_like(bare, F.lit(r"^[^()+-]*-$")), F.concat(F.lit("-"), F.trim(F.substr(bare, F.lit(1), F.length(bare) - 1))))
+    number = F.coalesce(inner, behind, bare)
+    plain = F.regexp_like(number, F.lit(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"))
+    return F.when(plain, number.try_cast("double"))
+
+
+def json_str(answer: Column, path: str) -> Column:
+    """A string of a variant; null for anything else, a blank, or the word null."""
+    kind, text = F.schema_of_variant(F.try_variant_get(answer, path, "variant")), F.try_variant_get(answer, path, "string")
+    return F.when((kind == "STRING") & (F.trim(text) != "") & (F.lower(text) != "null"), text)
+
+
+def json_text(answer: Column, path: str) -> Column:
+    """The looser form: numbers count as text, and the word null is a word."""
+    kind, text = F.schema_of_variant(F.try_variant_get(answer, path, "variant")), F.try_variant_get(answer, path, "string")
+    return F.when(kind.isin("STRING", "BIGINT", "DOUBLE") | F.startswith(kind, F.lit("DECIMAL")), F.when(F.trim(text) != "", text))
 
 
 def cite_resolve(url: Column, index: Column, note: Column, citations: Column) -> Column:
-    """An address as given, else the citation that a 1-based number or the first [n] of a note names."""
-    n = F.coalesce(F.regexp_extract(index, r"^\[?([0-9]+)\]?$", 1).try_cast("int"), F.regexp_extract(note, r"\[([0-9]+)\]", 1).try_cast("int"))
-    return F.when(F.startswith(url, F.lit("http")), url).otherwise(F.when(n >= 1, F.get(citations, n - 1)))
+    """An address as given, else the citation that a 1-based number, [n] or the first [n] of a note names."""
+    n = F.coalesce(F.regexp_extract(index, r"^\s*\[?([0-9]+)\]?\s*$", 1).try_cast("int"), F.regexp_extract(note, r"\[([0-9]+)\]", 1).try_cast("int"))
+    return F.when(F.startswith(F.lower(url), F.lit("http")), url).otherwise(F.when(n >= 1, F.get(citations, n - 1)))

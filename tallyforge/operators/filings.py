@@ -11,7 +11,22 @@ KEYWORDS = {
     "COST": ("Cost", "Expense", "Operating Income", "Segment", "Geographic", "Supply", "Purchase Obligation"),
     "RISK": ("Concentration", "Depend", "Single Source", "Sole Source", "Litigation", "Regulat", "Interest Rate", "Foreign Currency", "Exchange Rate", "Cyber", "Supply", "Tariff"),
 }
+# How a line heads an item, by number or by the whole title that stands for one.
 HEADING = r"(?i)^[#>*_\s]*Item\s+(\d+(?:\.\d+)?[A-Z]?)\b"
+TITLES = {
+    "1A": r"Risk\s+Factors",
+    "7A": r"Quantitative\s+and\s+Qualitative\s+Disclosures?\s+About\s+Market\s+Risk",
+    "7": r"Management'?.?s\s+Discussion\s+and\s+Analysis(?:\s+of\s+Financial\s+Condition.*)?",
+    "8": r"Financial\s+Statements\s+and\s+Supplementary\s+Data",
+}
+
+
+#: A table's lead-in, a heading, the text under one, headings of a document, words of an anchor.
+CAPTION, LONGEST_HEADING, BODY, MOST_HEADINGS, ANCHOR = 500, 400, 6000, 120, 5
+BLANK = " \t\n\x0b\f\r\xa0"
+# Characters that evidence is compared through, and those that it's compared without.
+FOLD = ("   ‘’‚′“”„″‐‑‒–—−…", " " * 3 + "'" * 4 + '"' * 4 + "-" * 6 + ".")
+INVISIBLE = "​"
 
 
 def item_routes(node: Column, form: Column) -> Column:
@@ -20,63 +35,154 @@ def item_routes(node: Column, form: Column) -> Column:
 
 
 def looks_html(text: Column) -> Column:
-    return F.regexp_like(F.substring(text, 1, 2000), F.lit(r"(?i)<(html|body|div|p|table|span)\b"))
-
-
-def plain_text(html: Column) -> Column:
-    """Without scripts, styles, head and markup; blocks end lines, white space is tidied."""
-    for tag in ("script", "style", "head"):
-        html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", "")
-    html = F.regexp_replace(html, r"(?is)<!--.*?-->", "")
-    html = F.regexp_replace(html, r"(?i)</(p|div|h1|h2|li|ul|nav|article|footer|tr)>|<br>", "\n")
-    html = F.regexp_replace(html, r"<[^>]*>", "")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        html = F.replace(html, F.lit(name), F.lit(char))
-    return F.btrim(F.regexp_replace(F.regexp_replace(html, r"[ \t]+", " "), r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+    return F.regexp_like(F.substring(text, 1, 2000), F.lit(r"(?i)<html|<body|<div|<p|<table"))
 
 
 def is_numeric_cell(cell: Column) -> Column:
     return F.length(cell).between(1, 39) & F.regexp_like(cell, F.lit("[0-9]")) & F.regexp_like(cell, F.lit(r"^[$()\-\s0-9,.%]+$"))
 
 
+def item_of(line: Column) -> Column:
+    """The item that a line heads, in upper case, else null."""
+    found = F.nullif(F.upper(F.regexp_extract(line, HEADING, 1)), F.lit(""))
+    for item, title in TITLES.items():
+        found = F.coalesce(found, F.when(F.regexp_like(line, F.lit(rf"(?i)^[#>*_\s]*{title}[.:\s]*$")), item))
+    return found
+
+
 def item_lines(lines: DataFrame) -> DataFrame:
-    """Lines (doc_id, pos, line) that head an item, with the item in upper case."""
-    return lines.where(F.regexp_like("line", F.lit(HEADING))).withColumn("item", F.upper(F.regexp_extract("line", HEADING, 1)))
+    """Lines (doc_id, pos, line) that head an item, with the item."""
+    return lines.withColumn("item", item_of(F.col("line"))).where("item is not null")
 
 
 def sections(lines: DataFrame) -> DataFrame:
-    """(doc_id, item, n_chars, first): of an item's bodies, from a heading to the next different item, the longest, first of equals."""
+    """(doc_id, item, first, body): of an item's bodies, from after a heading to the next different item, the longest, first of equals.
+
+    A repeated heading of the same item starts no new body but is part of the one it stands
+    in; the body from the first of them is the longest. Bodies without a text have no row.
+    """
     by = Window.partitionBy("doc_id").orderBy("pos")
-    marked = lines.withColumn("item", F.when(F.regexp_like("line", F.lit(HEADING)), F.upper(F.regexp_extract("line", HEADING, 1))))
+    marked = lines.withColumn("item", item_of(F.col("line")))
     filled = marked.withColumn("now", F.last("item", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    turn = (F.lag("now").over(by).isNull() | (F.lag("now").over(by) != F.col("now"))) & F.col("now").isNotNull()
-    numbered = filled.withColumn("turn", turn.cast("int")).withColumn("body", F.sum("turn").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    bodies = numbered.where("now is not null").groupBy("doc_id", F.col("now").alias("item"), "body").agg(F.sum(F.length("line") + 1).alias("n_chars"), F.min("pos").alias("first"))
-    return bodies.groupBy("doc_id", "item").agg(F.max_by("n_chars", F.struct("n_chars", -F.col("first"))).alias("n_chars"), F.max_by("first", F.struct("n_chars", -F.col("first"))).alias("first"))
+    before = F.lag("now").over(by)
+    turn = F.col("now").isNotNull() & (before.isNull() | (before != F.col("now")))
+    numbered = filled.withColumn("turn", turn.cast("int")).withColumn("part", F.sum("turn").over(by.rowsBetween(Window.unboundedPreceding, 0))).where("now is not null")
+    rest = F.when(F.col("turn") == 1, F.regexp_extract("line", HEADING + "(.*)$", 2)).otherwise(F.col("line"))
+    rows = numbered.groupBy("doc_id", F.col("now").alias("item"), "part").agg(F.min("pos").alias("first"), F.sort_array(F.collect_list(F.struct("pos", rest.alias("line")))).alias("rows"))
+    bodies = rows.select("doc_id", "item", "first", F.btrim(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit(BLANK)).alias("body")).where("body <> ''")
+    best = F.struct(F.length("body").alias("n"), (-F.col("first")).alias("first"))
+    return bodies.groupBy("doc_id", "item").agg(F.max_by("first", best).alias("first"), F.max_by("body", best).alias("body"))
 
 
-def pack(docs: DataFrame, limit: int) -> DataFrame:
-    """Greedy chunks of each document's paragraphs: (doc_id, chunk, n_parts, n_chars).
+def pack(docs: DataFrame, limit: int, text: str = "text") -> DataFrame:
+    """Greedy chunks of each document's paragraphs, which blank lines part: (doc_id, chunk, text).
 
     A paragraph starts a chunk if what is there and itself exceed the limit, separators not
-    counted; one longer than the limit is clipped to it and stands alone. The running state
-    resets, which no window frame expresses, so it folds over each document's own array.
+    counted. One longer than the limit stands alone, clipped unless it is a table. A table
+    that starts a chunk takes the short paragraph before it along as its caption. The running
+    state resets, which no window frame expresses, so it folds over each document's own array.
+    """
+    kind = "struct<done:array<string>,now:string,last:string>"
+    state = lambda done, now, last: F.struct(done.alias("done"), now.alias("now"), last.alias("last")).cast(kind)
+    closed = lambda s: F.when(s["now"] != "", F.array_append(s["done"], s["now"])).otherwise(s["done"])
+
+    def step(s: Column, para: Column) -> Column:
+        table = F.startswith(F.lower(F.substring(para, 1, 6)), F.lit("<table"))
+        caption = F.when(table & F.length(s["last"]).between(1, CAPTION), F.concat(s["last"], F.lit("\n\n")))
+        captioned = F.concat(F.coalesce(caption, F.lit("")), para)
+        alone = state(F.array_append(closed(s), F.when(table, captioned).otherwise(F.substring(para, 1, limit))), F.lit(""), para)
+        fresh = state(closed(s), captioned, para)
+        more = state(s["done"], F.concat(s["now"], F.when(s["now"] != "", F.lit("\n\n")).otherwise(F.lit("")), para), para)
+        full = (s["now"] != "") & (F.length(s["now"]) + F.length(para) > limit)
+        return F.when(F.length(para) > limit, alone).when(full, fresh).otherwise(more)
+
+    paras = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda x: F.btrim(x, F.lit(BLANK))), lambda x: x != "")
+    start = state(F.array().cast("array<string>"), F.lit(""), F.lit(""))
+    folded = docs.select("doc_id", F.aggregate(paras, start, step, closed).alias("chunks"))
+    return folded.select("doc_id", F.posexplode("chunks").alias("chunk", "text"))
+
+
+def joined_packs(rows: DataFrame, by: str, order: str, group: str, limit: int) -> DataFrame:
+    """Pieces (by, order, group, title, piece) packed in order: (by, chunk, group, text, titles).
+
+    A new chunk starts where the group changes or the budget is passed; a piece over the
+    budget goes whole. Titles are those that a chunk bundles, each once.
     """
-    empty = F.array().cast("array<struct<n_parts:int,n_chars:int>>")
-    kind = "struct<done:array<struct<n_parts:int,n_chars:int>>,parts:int,chars:int>"
-    state = lambda done, parts, chars: F.struct(done.alias("done"), parts.cast("int").alias("parts"), chars.cast("int").alias("chars")).cast(kind)
-    closed = lambda s: F.when(s["parts"] > 0, F.concat(s["done"], F.array(F.struct(s["parts"].alias("n_parts"), s["chars"].alias("n_chars"))))).otherwise(s["done"])
-    one, none = F.lit(1), F.lit(0)
+    kind = "struct<done:array<struct<item:string,text:string,titles:array<string>>>,item:string,text:string,titles:array<string>>"
+    state = lambda done, item, text, titles: F.struct(done.alias("done"), item.alias("item"), text.alias("text"), titles.alias("titles")).cast(kind)
+    closed = lambda s: F.when(s["text"] != "", F.array_append(s["done"], F.struct(s["item"].alias("item"), s["text"].alias("text"), F.array_distinct(s["titles"]).alias("titles")))).otherwise(s["done"])
+
+    def step(s: Column, p: Column) -> Column:
+        full = (s["text"] != "") & ((s["item"] != p["item"]) | (F.length(s["text"]) + F.length(p["piece"]) > limit))
+        more = state(s["done"], p["item"], F.concat(s["text"], F.when(s["text"] != "", F.lit("\n\n")).otherwise(F.lit("")), p["piece"]), F.array_append(s["titles"], p["title"]))
+        return F.when(full, state(closed(s), p["item"], p["piece"], F.array(p["title"]))).otherwise(more)
+
+    pieces = F.sort_array(F.collect_list(F.struct(F.col(order).alias("order"), F.col(group).alias("item"), "title", "piece")))
+    none = F.array().cast("array<string>")
+    start = state(F.array().cast("array<struct<item:string,text:string,titles:array<string>>>"), F.lit(""), F.lit(""), none)
+    folded = rows.groupBy(by).agg(pieces.alias("pieces")).select(by, F.aggregate("pieces", start, step, closed).alias("chunks"))
+    return folded.select(by, F.posexplode("chunks").alias("chunk", "c")).select(by, "chunk", F.col("c.item").alias(group), "c.text", "c.titles")
 
-    def step(s: Column, size: Column) -> Column:
-        alone = state(F.concat(closed(s), F.array(F.struct(one.alias("n_parts"), F.lit(limit).alias("n_chars")))), none, none)
-        fresh = state(closed(s), one, size)
-        # the separator's two characters count in what is there, but not in the test
-        return F.when(size > limit, alone).when((s["parts"] > 0) & (s["chars"] + size > limit), fresh).otherwise(state(s["done"], s["parts"] + 1, s["chars"] + F.when(s["parts"] > 0, 2).otherwise(0) + size))
 
-    sizes = F.filter(F.transform(F.split("text", "\n"), lambda x: F.length(F.trim(x))), lambda n: n > 0)
-    folded = docs.select("doc_id", F.aggregate(sizes, state(empty, none, none), step, closed).alias("chunks"))
-    return folded.select("doc_id", F.posexplode("chunks").alias("chunk", "c")).select("doc_id", "chunk", "c.n_parts", "c.n_chars")
+def fair_share(chunks: DataFrame, filing: str, section: str, order: str, per: int, overall: int) -> DataFrame:
+    """Chunks of a filing in order: ``per`` of each section, and no more once there are ``overall``.
+
+    The end is looked for after a chunk that isn't its section's last allowed one, so a
+    section that fills up just there lets one more through.
+    """
+    numbered = chunks.withColumn("n", F.row_number().over(Window.partitionBy(filing, section).orderBy(order))).where(F.col("n") <= per)
+    by = Window.partitionBy(filing).orderBy(section, order)
+    placed = numbered.withColumn("place", F.row_number().over(by)).withColumn("before", F.lag("n").over(by))
+    return placed.where((F.col("place") <= overall) | (F.col("place") == overall + 1) & (F.col("before") == per)).drop("n", "place", "before")
+
+
+def atx_or_bold(line: Column) -> Column:
+    """The title of a line that is a heading in markdown, an ATX line or one wholly in bold, without inline marks; else null."""
+    atx = F.nullif(F.regexp_extract(line, r"^#{1,6}\s+(.+?)\s*#*$", 1), F.lit(""))
+    bold = F.nullif(F.regexp_extract(line, r"^\*\*(.+?)\*\*$", 1), F.lit(""))
+    found = F.coalesce(atx, F.when(~F.contains(bold, F.lit("**")), bold))
+    return F.trim(F.regexp_replace(found, "[*_`]", ""))
+
+
+def is_heading(title: Column) -> Column:
+    return F.coalesce((F.length(title) <= LONGEST_HEADING) & F.regexp_like(title, F.lit(r"\p{L}")), F.lit(False))
+
+
+def outline(lines: DataFrame, items: tuple[str, ...], title: Column) -> DataFrame:
+    """(doc_id, section, title, body, first) of the headings inside the items; ``title`` is a line's, null if it is none.
+
+    A heading's body is the lines up to the next heading or item, until it has BODY
+    characters; the item's own line is a heading for what comes before the first one. Of one
+    title in one section the longest body stays, first of equals, and of a document the first
+    MOST_HEADINGS. Headings without a body have no row.
+    """
+    by = Window.partitionBy("doc_id").orderBy("pos")
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.withColumn("item", item_of(F.col("line"))).withColumn("now", F.last("item", ignorenulls=True).over(so_far)).where(F.col("now").isin(*items))
+    head = F.when(F.col("item").isNotNull(), F.trim(F.regexp_replace("line", "[*_`]", ""))).when(is_heading(title), title)
+    turned = marked.withColumn("head", head).withColumn("part", F.sum(F.col("head").isNotNull().cast("int")).over(so_far))
+    inside = Window.partitionBy("doc_id", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.coalesce(F.sum(F.when(F.col("head").isNull(), F.length("line") + 1)).over(inside), F.lit(0))
+    kept = turned.withColumn("size", size).where((F.col("size") < BODY) | F.col("head").isNotNull())
+    text = F.sort_array(F.collect_list(F.when(F.col("head").isNull(), F.struct("pos", "line"))))
+    rows = kept.groupBy("doc_id", "part").agg(F.concat(F.lit("Item "), F.min("now")).alias("section"), F.max("head").alias("title"), F.min("pos").alias("first"), text.alias("rows"))
+    rows = rows.where(F.size("rows") > 0).select("doc_id", "section", "title", "first", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("body"))
+    best = F.struct(F.length("body").alias("n"), (-F.col("first")).alias("first"))
+    once = rows.groupBy("doc_id", "section", "title").agg(F.max_by("body", best).alias("body"), F.min("first").alias("first"))
+    return once.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("first"))).where(F.col("n") <= MOST_HEADINGS).drop("n")
+
+
+def income_statement(name: Column) -> Column:
+    """Operations, Income or Earnings, after "Comprehensive Income" is taken out; in any case."""
+    return F.regexp_like(F.regexp_replace(name, "(?i)Comprehensive Income", ""), F.lit("(?i)Operations|Income|Earnings"))
+
+
+def wanted_report(name: Column, category: Column, node: Column) -> Column:
+    """Whether a rendered report is read for a question: the income statement, and details that name a keyword."""
+    off = (node == "RISK") | F.regexp_like(name, F.lit("(?i)Parenthetical|Additional Information"))
+    topic = lambda n: F.regexp_like(name, F.lit("(?i)" + "|".join(KEYWORDS[n])))
+    details = F.when(node == "COST", topic("COST")).otherwise(topic("REVENUE"))
+    return F.when(off, False).when(category == "Statements", income_statement(name)).when(category == "Details", details).otherwise(False)
 
 
 def score(text: Column, node: str) -> Column:
@@ -90,33 +196,70 @@ def capped(chunks: DataFrame, by: str, order: list[Column], per: int) -> DataFra
     return chunks.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_n") <= per).drop("_n")
 
 
-def within_budget(docs: DataFrame, sizes: str, budget: int) -> DataFrame:
-    """(doc_id, taken, used): chunks in order that still fit; one that doesn't is skipped and the next are tried."""
-    start = F.struct(F.lit(0).alias("taken"), F.lit(0).alias("used"))
-    step = lambda s, n: F.when(s["used"] + n <= budget, F.struct((s["taken"] + 1).alias("taken"), (s["used"] + n).alias("used"))).otherwise(s)
-    return docs.select("doc_id", F.aggregate(sizes, start, step).alias("s")).select("doc_id", "s.taken", "s.used")
+def within_budget(chunks: DataFrame, doc: str, section: str, order: str, budget: int) -> DataFrame:
+    """(doc, context): chunks in order that fit their section's even share of the budget; one that doesn't is skipped and the next are tried."""
+    kind = "struct<used:map<string,int>,text:string>"
+    start = F.struct(F.create_map().cast("map<string,int>").alias("used"), F.lit("").alias("text")).cast(kind)
+    rows = chunks.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("order"), F.col(section).alias("section"), "text"))).alias("rows"))
+    rows = rows.withColumn("share", F.floor(F.lit(budget) / F.size(F.array_distinct(F.transform("rows", lambda r: r["section"])))))
+
+    def step(s: Column, r: Column) -> Column:
+        used = F.coalesce(F.try_element_at(s["used"], r["section"]), F.lit(0)) + F.length(r["text"])
+        others = F.map_filter(s["used"], lambda k, _: k != r["section"])
+        taken = F.struct(F.map_concat(others, F.create_map(r["section"], used)).alias("used"), F.concat(s["text"], F.lit("["), r["section"], F.lit("]\n"), r["text"], F.lit("\n\n")).alias("text")).cast(kind)
+        return F.when(used <= F.col("share"), taken).otherwise(s)
+
+    return rows.select(doc, F.aggregate("rows", start, step)["text"].alias("context"))
+
 
+def merged_findings(rows: DataFrame, by: str) -> DataFrame:
+    """Findings of one name, in any case, in order of ``seq``: partial views of one source put together.
 
-def merged_findings(rows: DataFrame) -> DataFrame:
-    """Findings of one name in chunk order: first value that isn't null, first note that isn't blank, and how many."""
-    note = F.when(F.trim("note") != "", F.col("note"))
-    return rows.groupBy(F.lower("name").alias("key")).agg(
-        F.min_by("value", F.when(F.col("value").isNotNull(), F.col("seq"))).alias("value"),
-        F.min_by(note, F.when(note.isNotNull(), F.col("seq"))).alias("note"),
+    Name and section are the first's. Classification, value and percentage are the first that
+    aren't null, related company and note the first that aren't blank. Evidence is that of
+    the record which gave the value, else the first that isn't blank. Blank names are skipped.
+    """
+    said = lambda c: F.when(F.trim(c) != "", F.col(c))
+
+    def first(name: str, value: Column) -> Column:
+        return F.min_by(value, F.when(value.isNotNull(), F.col("seq"))).alias(name)
+
+    groups = rows.where(F.trim("name") != "").groupBy(by, F.lower("name").alias("key"))
+    found = groups.agg(
+        F.min_by("name", "seq").alias("name"),
+        F.min_by("section", "seq").alias("section"),
+        *(first(c, F.col(c)) for c in ("classification", "value", "percentage")),
+        *(first(c, said(c)) for c in ("related", "note", "evidence")),
+        F.min_by(said("evidence"), F.when(F.col("value").isNotNull(), F.col("seq"))).alias("of_value"),
         F.count("*").alias("n"),
     )
+    return found.withColumn("evidence", F.coalesce("of_value", "evidence")).drop("of_value")
 
 
 def folded(text: Column) -> Column:
-    """For evidence search: typographic marks as ASCII, white space as one space, lower case."""
-    marks = F.translate(text, "‘’“”–— ", "''\"\"-- ")
-    return F.lower(F.regexp_replace(marks, r"\s+", " "))
+    """For evidence search: typographic marks as ASCII, no zero-width ones, white space as one space, lower case."""
+    marks = F.translate(text, FOLD[0] + INVISIBLE, FOLD[1])
+    return F.lower(F.btrim(F.regexp_replace(marks, r"[ \t\n\x0B\f\r]+", " ")))
 
 
 def evidence(text: Column, quote: Column) -> Column:
-    """Where a quote stands, from 1: as a whole, else its first five words; 0 if nowhere."""
-    t, q = folded(text), folded(quote)
-    words = F.split(q, " ")
-    head = F.when(F.size(words) > 5, F.array_join(F.slice(words, 1, 5), " "))
-    whole = F.call_function("instr", t, q)
-    return F.when(whole > 0, whole).otherwise(F.coalesce(F.call_function("instr", t, head), F.lit(0)))
+    """Where a quote stands in a text, both folded: struct(start from 1, n characters, exact), or null.
+
+    As a whole; else one side of an elision, else its longest leading run of words, else its
+    longest sentence, each of ANCHOR words or more.
+    """
+    t, full = folded(text), F.regexp_replace(folded(quote), r"^[\"'.\s]+|[\"'.\s]+$", "")
+    at = lambda x: F.call_function("instr", t, x)
+    long = lambda x: F.size(F.split(x, " ")) >= ANCHOR
+    sides = F.filter(F.transform(F.split(full, r"\s*\.{3,}\s*"), lambda x: F.trim(x)), lambda x: long(x) & (x != full))
+    words = F.split(full, " ")
+    run = lambda n: F.array_join(F.slice(words, F.lit(1), n), " ")
+    lengths = F.when(F.size(words) > ANCHOR, F.sequence(F.size(words) - 1, F.lit(ANCHOR), F.lit(-1)))
+    n = F.get(F.filter(lengths, lambda k: at(run(k)) > 0), F.lit(0))
+    parts = F.filter(F.transform(F.split(full, r"(?<=[.;:])\s+"), lambda x: F.trim(x)), long)
+    numbered = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.struct((-F.length(F.get(parts, i))).alias("n"), i.alias("i"))))
+    sentences = F.transform(numbered, lambda p: F.get(parts, p["i"]))
+    first = lambda some: F.get(F.filter(some, lambda x: at(x) > 0), F.lit(0))
+    loose = F.coalesce(first(sides), F.when(n.isNotNull(), run(n)), F.when(F.size(parts) > 0, first(sentences)))
+    hit = lambda x, exact: F.struct(at(x).alias("start"), F.length(x).alias("n"), F.lit(exact).alias("exact"))
+    return F.when(full == "", None).when(at(full) > 0, hit(full, True)).when(loose.isNotNull(), hit(loose, False))

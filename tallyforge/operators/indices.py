@@ -8,11 +8,26 @@ from pyspark.sql import functions as F
 DOMINANT = 0.8
 
 
+#: Rows of totals, one for each index or fund, up to which they are broadcast.
+BROADCAST_TOTALS = 1_000_000
+
+
+def small(totals: DataFrame) -> DataFrame:
+    """Totals marked for broadcast if they are few, counted; else for a shuffle, which adaptive plans split where it is skewed."""
+    return F.broadcast(totals) if totals.limit(BROADCAST_TOTALS + 1).count() <= BROADCAST_TOTALS else totals
+
+
+def backfilled(lacking: DataFrame, known: DataFrame) -> DataFrame:
+    """``lacking`` with the code that ``known`` has for its key; a key that stands for two codes is never used."""
+    sure = known.groupBy("key").agg(F.min("cik").alias("cik"), F.max("cik").alias("last")).where("cik = last").drop("last")
+    return lacking.join(sure, "key")
+
+
 def cap_weights(members: DataFrame) -> DataFrame:
     """Each member's percentage of its index's capitalisation; without a positive one, none. Totals are summed apart."""
     caps = members.withColumn("cap", F.when(F.col("market_cap") > 0, F.col("market_cap")))
     total = caps.groupBy("index_id").agg(F.sum("cap").alias("total"))
-    return caps.join(F.broadcast(total), "index_id").select("index_id", "id", F.bround(F.col("cap") / F.col("total") * 100, 4).alias("weight_pct"))
+    return caps.join(small(total), "index_id").select("index_id", "id", F.bround(F.col("cap") / F.col("total") * 100, 4).alias("weight_pct"))
 
 
 def breakdown(members: DataFrame, by: str, absent: str) -> DataFrame:
@@ -38,7 +53,7 @@ def scaled_weights(lines: DataFrame) -> DataFrame:
     """Weights in per cent: those of a fund that sum to two or less are fractions."""
     total = lines.groupBy("index_id").agg(F.sum("weight").alias("total"))
     factor = F.when((F.col("total") > 0) & (F.col("total") <= 2), 100.0).otherwise(1.0)
-    return lines.join(F.broadcast(total), "index_id").select("index_id", "id", (F.col("weight") * factor).alias("weight"))
+    return lines.join(small(total), "index_id").select("index_id", "id", (F.col("weight") * factor).alias("weight"))
 
 
 def ambiguous_labels(rows: DataFrame) -> DataFrame:

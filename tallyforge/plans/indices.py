@@ -139,10 +139,14 @@ def norm_name(spark, d):
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), T.norm_name(F.concat("s_name", F.expr(SUFFIX))).alias("norm"))
 
 
-@query("norm_cik", "SELECT c_custkey AS id, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE lpad((c_custkey * 7)::VARCHAR, 10, '0') END AS cik, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE (c_custkey * 7)::VARCHAR END AS bare FROM customer")
+RAW_CIK = "CASE c_custkey % 6 WHEN 0 THEN '0000000' WHEN 1 THEN ' CIK-' || (c_custkey * 7) || ' ' WHEN 2 THEN '' WHEN 3 THEN 'none' WHEN 4 THEN '00' || c_custkey || '123456789' ELSE lpad(c_custkey, 10, '0') END".replace("lpad(c_custkey,", "lpad(cast(c_custkey AS {0}),")
+
+
+@query("norm_cik", f"WITH r AS (SELECT c_custkey AS id, {RAW_CIK.format('VARCHAR')} AS raw FROM customer), d AS (SELECT *, regexp_replace(raw, '[^0-9]', '', 'g') AS digits FROM r) SELECT id, CASE WHEN digits <> '' THEN repeat('0', greatest(0, 10 - length(digits))) || digits END AS cik, ltrim(raw, '0') AS bare, regexp_replace(raw, '[^1-9]', '', 'g') = '' AS missing FROM d")
 def norm_cik(spark, d):
-    raw = F.expr("CASE WHEN c_custkey % 9 = 0 THEN '0000000' ELSE concat(' CIK-', c_custkey * 7, ' ') END")
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), T.norm_cik(raw).alias("cik"), T.trim_cik(raw).alias("bare"))
+    """Zeros, marks around digits, no digits, and more than ten of them."""
+    raw = F.expr(RAW_CIK.format("STRING"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), T.norm_cik(raw).alias("cik"), T.trim_cik(raw).alias("bare"), T.missing_cik(raw).alias("missing"))
 
 
 @query("norm_ticker", "SELECT s_suppkey AS id, 'BRK-' || s_suppkey AS ticker FROM supplier")
@@ -164,10 +168,17 @@ def cik_match(spark, d):
     return e.join(active(D.companies(spark, d)).select(F.col("id").alias("company_id"), "cik"), "cik").select("id", "company_id")
 
 
-@query("backfill_cik", "SELECT key AS name, min(cik) AS cik FROM (SELECT p_name || p_brand AS key, p_size AS cik FROM part) GROUP BY key HAVING count(DISTINCT cik) = 1")
+@query("backfill_cik", with_views(f"""WITH k AS (SELECT {NORM.format('c_name')} AS key, lpad((c_custkey * 37)::VARCHAR, 10, '0') AS cik FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT {NORM.format('c_name')}, lpad((c_custkey * 41)::VARCHAR, 10, '0') FROM customer WHERE c_custkey % 10 = 0),
+u AS (SELECT key, min(cik) AS cik FROM k GROUP BY key HAVING count(DISTINCT cik) = 1)
+SELECT c.id, c.name, u.cik FROM companies c JOIN countries n ON c.country_id = n.id JOIN u ON u.key = {NORM.format('c.name')} WHERE NOT c.deleted AND n.name = 'UNITED STATES' AND c.cik IS NULL""".replace("WITH k AS", "SELECT id, name, cik FROM (WITH k AS", 1) + ")", "companies", "countries"))
 def backfill_cik(spark, d):
-    """A name that stands for two codes is never used."""
-    return table(spark, d, "part").groupBy(F.concat("p_name", "p_brand").alias("name")).agg(F.count_distinct("p_size").alias("n"), F.min("p_size").alias("cik")).where("n = 1").select("name", "cik")
+    """Companies of one country without a CIK get that of their name, if it stands for no other."""
+    c = table(spark, d, "customer").select(T.norm_name(F.col("c_name")).alias("key"), "c_custkey")
+    code = lambda n: F.lpad((F.col("c_custkey") * n).cast("string"), 10, "0").alias("cik")
+    known = c.where("c_custkey % 2 = 0").select("key", code(37)).unionByName(c.where("c_custkey % 10 = 0").select("key", code(41)))
+    n = D.countries(spark, d).where("name = 'UNITED STATES'").select(F.col("id").alias("country_id"))
+    lacking = active(D.companies(spark, d)).where(T.missing_cik(F.col("cik"))).join(F.broadcast(n), "country_id", "left_semi")
+    return I.backfilled(lacking.select("id", "name", T.norm_name(F.col("name")).alias("key")), known).select("id", "name", "cik")
 
 
 @query("first_wins_map", "SELECT p_brand AS cik, arg_min(p_partkey, p_partkey) AS first_id, count(*) AS lines FROM part GROUP BY p_brand")
@@ -183,14 +194,17 @@ def two_hop_resolve(spark, d):
     return tickers.join(first, "cik", "left").select("id", "company_id")
 
 
-@query("country_resolve", with_views("SELECT c_custkey AS id, coalesce(a.id, b.id, 0) AS country_id FROM customer LEFT JOIN countries a ON a.code = upper('n' || (c_custkey % 40)) LEFT JOIN countries b ON lower(b.name) = lower(CASE WHEN c_custkey % 2 = 0 THEN 'france' ELSE 'x' END)", "countries"))
+@query("country_resolve", with_views("""SELECT r.id, coalesce(a.id, b.id, m.id, r.owner) AS country_id FROM (SELECT c_custkey AS id, c_nationkey::BIGINT AS owner, CASE c_custkey % 4 WHEN 0 THEN 'n' || (c_custkey % 40) WHEN 1 THEN upper(substr(c_name, 1, 2)) WHEN 2 THEN 'frA' WHEN 3 THEN CASE WHEN c_custkey % 8 = 3 THEN ' france ' END END AS called FROM customer) r
+LEFT JOIN countries a ON lower(a.code) = lower(trim(r.called)) LEFT JOIN countries b ON lower(substr(b.name, 1, 3)) = lower(trim(r.called)) LEFT JOIN countries m ON lower(m.name) = lower(trim(r.called))""", "countries"))
 def country_resolve(spark, d):
-    """By code, else by name, else the owner's country."""
+    """By two-letter code, else by three-letter one, else by name, in any case; else the owner's country."""
     n = D.countries(spark, d)
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.upper(F.concat(F.lit("n"), F.col("c_custkey") % 40)).alias("code"), F.when(F.col("c_custkey") % 2 == 0, "france").otherwise("x").alias("called"))
-    by_code = n.select("code", F.col("id").alias("a"))
-    by_name = n.select(F.lower("name").alias("called"), F.col("id").alias("b"))
-    return rows.join(F.broadcast(by_code), "code", "left").join(F.broadcast(by_name), "called", "left").select("id", F.coalesce("a", "b", F.lit(0)).alias("country_id"))
+    called = F.expr("CASE c_custkey % 4 WHEN 0 THEN concat('n', c_custkey % 40) WHEN 1 THEN upper(substr(c_name, 1, 2)) WHEN 2 THEN 'frA' WHEN 3 THEN CASE WHEN c_custkey % 8 = 3 THEN ' france ' END END")
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("owner"), F.lower(F.trim(called)).alias("called"))
+    names = n.select(F.lower("code").alias("a_key"), F.lower(F.substring("name", 1, 3)).alias("b_key"), F.lower("name").alias("m_key"), "id")
+    for k in "abm":
+        rows = rows.join(F.broadcast(names.select(F.col(f"{k}_key").alias("called"), F.col("id").alias(k))), "called", "left")
+    return rows.select("id", F.coalesce("a", "b", "m", "owner").alias("country_id"))
 
 
 @query("classify_apply", f"WITH {ROLLUP} SELECT p_partkey AS id, CASE WHEN p_size % 10 = 0 THEN 'Locked' WHEN d.sub IS NULL THEN 'NoFit' ELSE 'Resolved' END AS state, CASE WHEN p_size % 10 <> 0 THEN d.sector END AS sector FROM part LEFT JOIN rollup_dim d ON d.sub = CASE WHEN p_partkey % 6 <> 0 THEN p_type END")
