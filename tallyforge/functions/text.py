@@ -59,7 +59,8 @@ def money(value: Column) -> Column:
 
 def billions(value: Column) -> Column:
     """$x.xB, whatever the size; null stays null. Rounded as decimals, halves away from zero."""
-    return F.concat(F.lit("$"), F.format_string("%.1f", F.round(value.cast("decimal(20,2)") / F.lit(1_000_000_000).cast("decimal(10,0)"), 1).cast("double")), F.lit("B"))
+    scaled = F.round(value.cast("decimal(20,2)") / F.lit(1_000_000_000).cast("decimal(10,0)"), 1).cast("double")
+    return F.when(value.isNotNull(), F.concat(F.lit("$"), F.format_string("%.1f", scaled), F.lit("B")))
 
 
 def label(name: Column, strip: str = "") -> Column:

@@ -35,20 +35,44 @@ def coalesce_merge(stored: DataFrame, fetched: DataFrame, key: str, columns: lis
     return stored.join(f, key, "left").select(key, *(F.coalesce(f"_{c}", c).alias(c) for c in columns))
 
 
-def review(rows: DataFrame, actions: DataFrame) -> DataFrame:
-    """Apply approve and reject to pending rows; an approved row takes the place of the one it supersedes. Others don't change."""
-    done = rows.join(actions, "id", "left")
+def review(rows: DataFrame) -> DataFrame:
+    """Apply each row's ``action``, approve or reject, to pending rows; an approved row takes the place of the one it supersedes. Others don't change."""
     pending = F.col("status") == "Pending"
-    state = F.when(pending & (F.col("action") == "approve"), "Approved").when(pending & (F.col("action") == "reject"), "Rejected").otherwise(F.col("status"))
-    folded = done.withColumn("_taken", pending & (F.col("action") == "approve")).withColumn("status", state).drop("action")
-    replaced = folded.where("_taken and supersedes_id is not null").select(F.col("supersedes_id").alias("id"))
-    return soft_delete(folded.drop("_taken"), replaced)
-
-
-def reciprocal(costs: DataFrame, revenues: DataFrame) -> DataFrame:
-    """For each cost a mirrored revenue of the counterparty, unless an approved one is there."""
-    mirror = costs.where("related_company_id is not null").select(F.col("related_company_id").alias("company_id"), F.col("company_id").alias("related_company_id"), "value")
-    there = revenues.where("status = 'Approved' and not deleted").select("company_id", "related_company_id")
+    taken = pending & F.coalesce(F.col("action") == "approve", F.lit(False))
+    state = F.when(taken, "Approved").when(pending & (F.col("action") == "reject"), "Rejected").otherwise(F.col("status"))
+    replaced = rows.where(taken & F.col("supersedes_id").isNotNull()).select(F.col("supersedes_id").alias("id"))
+    return soft_delete(rows.withColumn("status", state).drop("action"), replaced)
+
+
+def write(held: DataFrame, edits: DataFrame, known: tuple[str, ...], fields: list[str], proof: list[str]) -> DataFrame:
+    """Rows after edits (edit_id, row_id, fields, proof, reviewer, by_user), in order of edit_id.
+
+    A reviewer's edit of a row takes effect in place: fields are the last edit's, null or not,
+    and parts of the proof the last that aren't null. Anyone else's edit of a row is a pending
+    row that would supersede it. An edit without row_id is a new row, approved if a reviewer's.
+    Edits of an unknown classification or of a row that isn't there are dropped.
+    """
+    good = edits.where(F.col("classification").isin(*known))
+    last = good.where("row_id is not null and reviewer").groupBy(F.col("row_id").alias("id")).agg(
+        F.max_by(F.struct(*fields), "edit_id").alias("_new"),
+        *(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("edit_id"))).alias(f"_{c}") for c in proof),
+    )
+    there = F.col("_new").isNotNull()
+    rest = [c for c in held.columns if c not in ("id", *fields, *proof)]
+    live = held.join(last, "id", "left").select("id", *(F.when(there, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in fields), *(F.coalesce(f"_{c}", c).alias(c) for c in proof), *rest)
+    new = good.where("row_id is null or not reviewer").join(held.select(F.col("id").alias("row_id"), F.lit(True).alias("_there")), "row_id", "left").where("row_id is null or _there")
+    added = new.select(F.concat(F.lit("new-"), "edit_id").alias("id"), *fields, *proof, F.when(F.col("reviewer"), "Approved").otherwise("Pending").alias("status"), F.col("row_id").alias("supersedes_id"), F.when(~F.col("reviewer"), F.col("by_user")).alias("contributed_by"))
+    return live.unionByName(added)
+
+
+# What a side's row is mirrored as, and the classification of the mirror.
+MIRRORS = {"COST": ("REVENUE", "CUSTOMER"), "REVENUE": ("COST", "COGS")}
+
+
+def reciprocal(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """For each row with a counterparty its mirror on the other side (MIRRORS), unless an approved one is there; it works in both directions."""
+    mirror = rows.where("related_company_id is not null").select(F.col("related_company_id").alias("company_id"), F.col("company_id").alias("related_company_id"), "value")
+    there = others.where("status = 'Approved' and not deleted").select("company_id", "related_company_id")
     return mirror.join(there, ["company_id", "related_company_id"], "left_anti")
 
 

@@ -85,22 +85,50 @@ def ranked(response: DataFrame) -> DataFrame:
 
 
 def cascade(a: DataFrame, origin: int, magnitude: float, transposed: bool = False) -> DataFrame:
-    """(model_id, round, i, v): round 0 is the shock, each next A (or A') times the last, until all are negligible."""
+    """(model_id, round, i, v): round 0 is the shock, each next A (or A') times the last, for all sectors.
+
+    Ends with the first round in which all are negligible, which is recorded, or after
+    MOST_ROUNDS. Rounds depend on each other and are as small as the number of sectors, so
+    each model's are one grouped map, like its inverse.
+    """
 
     def trace(rows: pd.DataFrame) -> pd.DataFrame:
         names, m = dense(rows)
         m = m.T if transposed else m
-        now, out = np.array([magnitude if x == origin else 0.0 for x in names]), []
-        for k in range(MOST_ROUNDS + 1):
-            out.append(pd.DataFrame({"model_id": rows["model_id"].iloc[0], "round": k, "i": names, "v": now}))
-            if np.abs(now).max() < NEGLIGIBLE:
-                break
-            now = m @ now
-        return pd.concat(out)
+        now = np.array([magnitude if x == origin else 0.0 for x in names])
+        rounds = [now]
+        while len(rounds) <= MOST_ROUNDS and (len(rounds) == 1 or np.abs(now).max() >= NEGLIGIBLE):
+            rounds.append(now := m @ now)
+        out = pd.DataFrame({"round": np.repeat(np.arange(len(rounds)), len(names)), "i": names * len(rounds), "v": np.concatenate(rounds)})
+        return out.assign(model_id=rows["model_id"].iloc[0])[["model_id", "round", "i", "v"]]
 
     return a.groupBy("model_id").applyInPandas(trace, "model_id string, round int, i int, v double")
 
 
+def traced(rounds: DataFrame) -> DataFrame:
+    """(model_id, i, total, depth, converged): what a cascade adds up to, its rounds after the shock, and whether it died out."""
+    ends = rounds.groupBy("model_id", "round").agg(F.max(F.abs("v")).alias("most")).groupBy("model_id").agg(F.max("round").alias("depth"), F.min_by("most", -F.col("round")).alias("rest"))
+    sums = rounds.groupBy("model_id", "i").agg(F.sum("v").alias("total"))
+    return sums.join(ends, "model_id").select("model_id", "i", "total", "depth", (F.col("rest") < NEGLIGIBLE).alias("converged"))
+
+
+def power_radius(a: DataFrame, rounds: int = 200) -> DataFrame:
+    """(model_id, radius): the spectral radius by power iteration from a vector of ones, for coefficients that aren't negative."""
+
+    def iterate(rows: pd.DataFrame) -> pd.DataFrame:
+        names, m = dense(rows)
+        v, size = np.ones(len(names)), 0.0
+        for _ in range(rounds):
+            w = m @ v
+            size = np.abs(w).max()
+            if size == 0:
+                break
+            v = w / size
+        return pd.DataFrame({"model_id": [rows["model_id"].iloc[0]], "radius": [size]})
+
+    return a.groupBy("model_id").applyInPandas(iterate, "model_id string, radius double")
+
+
 def multipliers(inv: DataFrame) -> DataFrame:
     return inv.groupBy(F.col("j").alias("i")).agg(F.sum("l").alias("multiplier"))
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.checkpoints import checkpointed
+
 
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Number all rows in order: rows are dealt by range, numbered in each range, and ranges' sizes are added up.
 
-    Only one count for each range meets in a task.
+    Only one count for each range meets in a task. The dealt rows are written once, so both
+    readers see the same ranges.
     """
-    part = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    part = checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = part.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     own = part.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))

@@ -12,35 +12,57 @@ from tallyforge.registry import query
 from tallyforge.sources import domain as D
 from tallyforge.sources.domain import table, with_views
 
-LEAVES = """lv AS (SELECT b.company_id, 'rev' AS kind, b.id, c.c_name AS label, b.value FROM contributions b JOIN customer c ON b.related_company_id = c.c_custkey WHERE b.status = 'Approved' AND NOT b.deleted
-UNION ALL SELECT company_id, 'event', id::VARCHAR, title, impact FROM evts WHERE NOT deleted AND company_id IN (SELECT s_suppkey FROM supplier))"""
-SCALED = "'$' || printf('%.2f', round(value::DECIMAL(18, 2) * {}::DECIMAL(10, 9), 2)::DOUBLE) || '{}'"
-MONEY = f"CASE WHEN abs(value) >= 1e9 THEN {SCALED.format('0.000000001', 'B')} WHEN abs(value) >= 1e6 THEN {SCALED.format('0.000001', 'M')} WHEN abs(value) >= 1e3 THEN {SCALED.format('0.001', 'k')} ELSE {SCALED.format('1', '')} END"
+FILED = "SELECT o_orderkey AS id, o_orderkey % 9 = 0 AS deleted, CASE WHEN o_orderkey % 4 <> 0 THEN '10-K' END AS form, 'acc-' || o_orderkey AS accession, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS dated FROM orders"
+LEAVES = f"""fl AS ({FILED}),
+sd AS (SELECT 'rev' AS kind, company_id, related_company_id AS other, id, status, deleted, value, 'Buyer of ' || company_id AS own_name, 'CUSTOMER' AS type FROM contributions
+  UNION ALL SELECT 'cost', related_company_id, company_id, id, status, deleted, CASE WHEN company_id % 10 <> 0 THEN value END, 'Seller to ' || related_company_id, 'COGS' FROM contributions),
+lv AS (SELECT s.company_id, s.kind, s.id, CASE WHEN c.deleted IS FALSE THEN c.name ELSE s.own_name END AS label, s.type || ' · $' || printf('%.2f', round(coalesce(s.value, 0)::DECIMAL(20, 2) / 1000000000, 2)) || 'B' AS title, s.value, CASE WHEN c.deleted IS FALSE THEN s.other END AS nav_id, CASE WHEN c.deleted IS FALSE THEN c.market_cap END AS market_cap,
+    CASE WHEN NOT f.deleted THEN coalesce(f.form, 'Filing') END AS filing_form, CASE WHEN NOT f.deleted THEN f.accession || coalesce(' · ' || strftime(f.dated, '%Y-%m-%d'), '') END AS filing_detail
+  FROM sd s LEFT JOIN companies c ON c.id = s.other LEFT JOIN fl f ON f.id = s.company_id * 7 + s.other WHERE s.status = 'Approved' AND NOT s.deleted
+  UNION ALL SELECT company_id, 'event', id::VARCHAR, title, 'event · ' || strftime(ts, '%Y-%m-%d'), NULL, NULL, NULL, NULL, NULL FROM evts WHERE NOT deleted)"""
 
 
 def leaves(spark, d):
-    names = table(spark, d, "customer").select(F.col("c_custkey").alias("related_company_id"), F.col("c_name").alias("label"))
-    rev = public(D.contributions(spark, d)).join(names, "related_company_id").select("company_id", F.lit("rev").alias("kind"), "id", "label", "value")
-    sellers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("company_id"))
-    ev = active(D.events(spark, d)).join(sellers, "company_id", "left_semi").select("company_id", F.lit("event").alias("kind"), F.col("id").cast("string").alias("id"), F.col("title").alias("label"), F.col("impact").alias("value"))
-    return rev.unionByName(ev)
+    """Revenue, cost and event leaves of all companies: one pass over the contributions, seen from either side."""
+    rows = public(D.contributions(spark, d))
+    both = F.explode(F.array(
+        F.struct(F.lit("rev").alias("kind"), F.col("company_id").alias("company_id"), F.col("related_company_id").alias("other"), F.col("value").alias("value"), F.concat(F.lit("Buyer of "), "company_id").alias("own_name"), F.lit("CUSTOMER").alias("type")),
+        F.struct(F.lit("cost").alias("kind"), F.col("related_company_id").alias("company_id"), F.col("company_id").alias("other"), F.when(F.col("company_id") % 10 != 0, F.col("value")).alias("value"), F.concat(F.lit("Seller to "), "related_company_id").alias("own_name"), F.lit("COGS").alias("type")),
+    ))
+    sides = rows.select("id", both.alias("s")).select("id", "s.*").withColumn("filing_id", F.col("company_id") * 7 + F.col("other"))
+    known = active(D.companies(spark, d)).select(F.col("id").alias("nav_id"), "name", "market_cap")
+    o = table(spark, d, "orders")
+    filings = o.select(F.col("o_orderkey").alias("filing_id"), (F.col("o_orderkey") % 9 == 0).alias("filing_deleted"), F.when(F.col("o_orderkey") % 4 != 0, "10-K").alias("filing_form"), F.concat(F.lit("acc-"), "o_orderkey").alias("filing_accession"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")).alias("filing_date"))
+    linked = sides.join(known, sides["other"] == known["nav_id"], "left").join(filings.withColumn("filing_there", F.lit(True)), "filing_id", "left")
+    linked = linked.withColumn("filing_id", F.when(F.col("filing_there"), F.col("filing_id")))
+    sources = linked.select("company_id", "kind", "id", F.coalesce("name", "own_name").alias("label"), F.concat(F.col("type"), F.lit(" · "), G.amount(F.col("value"))).alias("title"), "value", "nav_id", "market_cap", *G.chip("filing"))
+    e = active(D.events(spark, d))
+    nothing = {"value": "double", "nav_id": "long", "market_cap": "double", "filing_form": "string", "filing_detail": "string"}
+    happened = e.select("company_id", F.lit("event").alias("kind"), F.col("id").cast("string").alias("id"), F.col("title").alias("label"), F.concat(F.lit("event · "), F.date_format("ts", "yyyy-MM-dd")).alias("title"), *(F.lit(None).cast(t).alias(c) for c, t in nothing.items()))
+    return sources.unionByName(happened)
 
 
 def leaf_sql(body: str) -> str:
-    return with_views("\x00", "contributions", "evts").replace("\n\x00", ",\n" + LEAVES + "\n" + body)
+    return with_views("\x00", "contributions", "evts", "companies", "countries").replace("\n\x00", ",\n" + LEAVES + "\n" + body)
 
 
-@query("graph_nodes", leaf_sql("SELECT 'company:' || s_suppkey AS node, 'company' AS kind, s_name AS label FROM supplier UNION ALL SELECT DISTINCT 'hub:' || kind || ':' || company_id, 'hub', kind FROM lv UNION ALL SELECT kind || ':' || id, kind, label FROM lv"))
+HUB = "SELECT company_id, kind, count(*) AS n, CASE WHEN kind <> 'event' THEN round(sum(coalesce(value, 0)::DECIMAL(18, 2)), 2)::DOUBLE END AS total FROM lv GROUP BY company_id, kind"
+
+
+@query("graph_nodes", leaf_sql(f"""SELECT 'company:' || c.id AS node, 'center' AS kind, c.name AS label, coalesce(c.sector, 'Unclassified') || ' · ' || coalesce(n.code, '') AS title, c.revenue_total AS value, NULL::BIGINT AS nav_id, NULL::DOUBLE AS market_cap, NULL::VARCHAR AS filing_form, NULL::VARCHAR AS filing_detail FROM companies c LEFT JOIN countries n ON c.country_id = n.id WHERE NOT c.deleted
+UNION ALL SELECT 'hub:' || kind || ':' || company_id, 'hub-' || kind, CASE kind WHEN 'rev' THEN 'REVENUE SOURCES' WHEN 'cost' THEN 'COST SOURCES' ELSE 'EVENTS' END, n || ' items', total, NULL, NULL, NULL, NULL FROM ({HUB})
+UNION ALL SELECT kind || ':' || id, kind, label, title, value, nav_id, market_cap, filing_form, filing_detail FROM lv"""))
 def graph_nodes(spark, d):
-    return G.nodes(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), leaves(spark, d))
+    n = D.countries(spark, d).select(F.col("id").alias("country_id"), F.col("code").alias("country_code"))
+    return G.nodes(active(D.companies(spark, d)).join(F.broadcast(n), "country_id", "left"), leaves(spark, d))
 
 
-@query("graph_edges", leaf_sql(f"SELECT 'company:' || company_id AS source, 'hub:' || kind || ':' || company_id AS target, count(*)::VARCHAR AS label FROM lv GROUP BY kind, company_id UNION ALL SELECT 'hub:' || kind || ':' || company_id, kind || ':' || id, {MONEY} FROM lv"))
+@query("graph_edges", leaf_sql("SELECT 'company:' || company_id AS source, 'hub:' || kind || ':' || company_id AS target, count(*)::VARCHAR AS label FROM lv GROUP BY kind, company_id UNION ALL SELECT 'hub:' || kind || ':' || company_id, kind || ':' || id, CASE WHEN kind <> 'event' THEN '$' || printf('%.1f', round(value::DECIMAL(20, 2) / 1000000000, 1)) || 'B' END FROM lv"))
 def graph_edges(spark, d):
     return G.edges(leaves(spark, d))
 
 
-@query("graph_hubs", leaf_sql("SELECT company_id, kind, count(*) AS n, round(sum(coalesce(value, 0)::DECIMAL(18, 2)), 2)::DOUBLE AS total FROM lv GROUP BY company_id, kind"))
+@query("graph_hubs", leaf_sql(HUB))
 def graph_hubs(spark, d):
     return G.hubs(leaves(spark, d))
 
@@ -79,6 +101,14 @@ def pending_review_detail(spark, d):
     return active(rows).where("status = 'Pending'").withColumn("live_id", F.replace("id", F.lit("-N"), F.lit("-A"))).join(live, "live_id", "left").select("id", "value", F.when(F.col("live_value").isNotNull(), F.col("live_id")).alias("live_id"), "live_value")
 
 
+@query("reciprocal_costs", with_views("SELECT related_company_id AS company_id, company_id AS related_company_id, value, 'COGS' AS classification FROM (SELECT * FROM contributions WHERE status = 'Approved' AND NOT deleted) c WHERE NOT EXISTS (SELECT 1 FROM contributions r WHERE r.status = 'Approved' AND NOT r.deleted AND r.company_id = c.related_company_id AND r.related_company_id = c.company_id AND r.value > 100000)", "contributions"))
+def reciprocal_costs(spark, d):
+    """The other direction: a revenue is mirrored as a cost; approved rows over an amount stand for costs that are there."""
+    rows = D.contributions(spark, d)
+    mirrored = C.reciprocal(public(rows).select("company_id", "related_company_id", "value"), rows.where("value > 100000"))
+    return mirrored.withColumn("classification", F.lit(C.MIRRORS["REVENUE"][1]))
+
+
 @query("reciprocal_edges", with_views("SELECT related_company_id AS company_id, company_id AS related_company_id, value FROM (SELECT * FROM contributions WHERE status = 'Pending' AND NOT deleted) c WHERE NOT EXISTS (SELECT 1 FROM contributions r WHERE r.status = 'Approved' AND NOT r.deleted AND r.company_id = c.related_company_id AND r.related_company_id = c.company_id)", "contributions"))
 def reciprocal_edges(spark, d):
     rows = D.contributions(spark, d)
@@ -92,8 +122,25 @@ ACTION = "CASE WHEN related_company_id % 2 = 0 THEN 'approve' WHEN related_compa
 c.deleted OR c.id IN (SELECT replace(id, '-N', '-A') FROM contributions WHERE status = 'Pending' AND {ACTION} = 'approve') AS deleted FROM contributions c""", "contributions"))
 def review_fold(spark, d):
     rows = D.contributions(spark, d).withColumn("supersedes_id", F.when(F.col("status") == "Pending", F.replace("id", F.lit("-N"), F.lit("-A"))))
-    actions = rows.select("id", F.expr(ACTION).alias("action")).where("action is not null")
-    return C.review(rows, actions).select("id", "status", "deleted")
+    return C.review(rows.withColumn("action", F.expr(ACTION))).select("id", "status", "deleted")
+
+
+EDITS = """SELECT event_id AS edit_id, CASE WHEN event_id % 3 <> 0 THEN user_id END AS row_id, CASE event_id % 4 WHEN 0 THEN 'CUSTOMER' WHEN 1 THEN 'PRODUCT' WHEN 2 THEN 'customer' ELSE 'SEGMENT' END AS classification, event_type AS name, value, CASE WHEN event_id % 5 <> 0 THEN props END AS reference, CASE WHEN event_id % 7 = 0 THEN 'quote' END AS evidence, event_id % 2 = 0 AS reviewer, user_id AS by_user FROM events"""
+HELD = "SELECT c_custkey AS id, 'CUSTOMER' AS classification, c_name AS name, c_acctbal AS value, c_phone AS reference, 'old' AS evidence FROM customer".replace("c_phone", "c_mktsegment")
+
+
+@query("contribution_write", f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY edit_id DESC) AS n FROM ({EDITS}) WHERE classification IN ('CUSTOMER', 'PRODUCT', 'SEGMENT')), h AS ({HELD}),
+live AS (SELECT row_id, max(edit_id) AS last, max_by(reference, edit_id) FILTER (reference IS NOT NULL) AS reference, max_by(evidence, edit_id) FILTER (evidence IS NOT NULL) AS evidence FROM e WHERE row_id IS NOT NULL AND reviewer GROUP BY row_id)
+SELECT 'row-' || h.id AS id, coalesce(e.classification, h.classification) AS classification, coalesce(e.name, h.name) AS name, CASE WHEN e.edit_id IS NOT NULL THEN e.value ELSE h.value END AS value, coalesce(l.reference, h.reference) AS reference, coalesce(l.evidence, h.evidence) AS evidence, 'Approved' AS status, NULL::VARCHAR AS supersedes_id, NULL::BIGINT AS contributed_by
+FROM h LEFT JOIN live l ON l.row_id = h.id LEFT JOIN e ON e.edit_id = l.last
+UNION ALL SELECT 'new-' || edit_id, e.classification, e.name, e.value, e.reference, e.evidence, CASE WHEN reviewer THEN 'Approved' ELSE 'Pending' END, CASE WHEN row_id IS NOT NULL THEN 'row-' || row_id END, CASE WHEN NOT reviewer THEN by_user END FROM e WHERE row_id IS NULL OR NOT reviewer AND row_id IN (SELECT id FROM h)""")
+def contribution_write(spark, d):
+    """Reviewers' edits in place, others' as pending rows beside what they would supersede, and new rows."""
+    e = table(spark, d, "events")
+    kind = F.expr("CASE event_id % 4 WHEN 0 THEN 'CUSTOMER' WHEN 1 THEN 'PRODUCT' WHEN 2 THEN 'customer' ELSE 'SEGMENT' END")
+    edits = e.select(F.col("event_id").alias("edit_id"), F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("row-"), "user_id")).alias("row_id"), kind.alias("classification"), F.col("event_type").alias("name"), "value", F.when(F.col("event_id") % 5 != 0, F.col("props")).alias("reference"), F.when(F.col("event_id") % 7 == 0, "quote").alias("evidence"), (F.col("event_id") % 2 == 0).alias("reviewer"), F.col("user_id").alias("by_user"))
+    held = table(spark, d, "customer").select(F.concat(F.lit("row-"), "c_custkey").alias("id"), F.lit("CUSTOMER").alias("classification"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("value"), F.col("c_mktsegment").alias("reference"), F.lit("old").alias("evidence"), F.lit("Approved").alias("status"), F.lit(None).cast("string").alias("supersedes_id"), F.lit(None).cast("long").alias("contributed_by"))
+    return C.write(held, edits, ("CUSTOMER", "PRODUCT", "SEGMENT"), ["classification", "name", "value"], ["reference", "evidence"])
 
 
 @query("filing_upsert", """WITH st AS (SELECT o_orderkey AS accession, o_orderpriority AS form, o_custkey AS company_id, o_orderkey % 10 = 0 AS deleted FROM orders WHERE o_orderkey % 3 <> 0), fr AS (SELECT o_orderkey AS accession, CASE WHEN o_orderkey % 4 <> 0 THEN '10-K' END AS form, o_custkey AS company_id FROM orders WHERE o_orderkey % 5 = 0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyforge.checkpoints import checkpointed
 from tallyforge.operators import io_model as io
 from tallyforge.registry import query
 from tallyforge.sources import domain
@@ -53,7 +54,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """z, value added, output and coefficients of the one model. At most 100 rows of flows are kept, and read once."""
-    f = flows(spark, sf_dir).cache()
+    f = checkpointed(flows(spark, sf_dir))
     z = f.where("rf <> 'N'").groupBy("i", "j").agg(F.sum("v").alias("z")).withColumn("model_id", F.lit("trade"))
     side = lambda s: F.sum(F.when(F.col("ls") == s, F.col("v")).otherwise(0.0))
     va = f.where("rf = 'N'").groupBy("j").agg(side("F").alias("labor"), side("O").alias("capital"))
@@ -168,16 +169,26 @@ def sector_profiles(spark, d):
     return rounded(io.profiles(io.final_demand(z, x)), share=6)
 
 
-@query("io_cascade_trace", sql("SELECT r AS round, i, round(v, 6) AS v FROM p WHERE r <= 20", series("p", "a", ONE)))
+ENDED = "e AS (SELECT coalesce((SELECT min(r) FROM (SELECT r, max(abs(v)) AS m FROM p GROUP BY r) WHERE m < 1e-9 AND r > 0), 70) AS last)"
+
+
+@query("io_cascade_trace", sql("SELECT r AS round, i, round(v, 6) AS v FROM p, e WHERE r <= last", series("p", "a", ONE), ENDED))
 def cascade_trace(spark, d):
-    """The first 20 rounds; how many there are depends on the shock's size."""
-    return rounded(io.cascade(parts(spark, d)[3], ORIGIN, UNIT).where("round <= 20").select("round", "i", "v"), v=6)
+    """Every round, up to the first in which nothing counts any more."""
+    return rounded(io.cascade(parts(spark, d)[3], ORIGIN, UNIT).select("round", "i", "v"), v=6)
+
 
+@query("io_cascade_total", sql("SELECT i, round(sum(v), 6) AS total, last AS depth, true AS converged FROM p, e WHERE r <= last GROUP BY i, last", series("p", "a", ONE, True), ENDED))
+def cascade_total(spark, d):
+    """What a cost shock's rounds add up to, how many there are, and that they die out."""
+    return rounded(io.traced(io.cascade(parts(spark, d)[3], ORIGIN, UNIT, transposed=True)).drop("model_id"), total=6)
 
-@query("io_trace_topk", sql("SELECT round, i, v FROM (SELECT r AS round, i, round(v, 6) AS v, row_number() OVER (PARTITION BY r ORDER BY abs(v) DESC, i) AS n FROM p WHERE r <= 10) WHERE n <= 3", series("p", "a", ONE)))
+
+@query("io_trace_topk", sql("SELECT round, i, v FROM (SELECT r AS round, i, round(v, 6) AS v, row_number() OVER (PARTITION BY r ORDER BY abs(v) DESC, i) AS n FROM p, e WHERE r <= last) WHERE n <= 6", series("p", "a", ONE), ENDED))
 def trace_topk(spark, d):
+    """Six sectors of every round: the limit is the feature."""
     top = Window.partitionBy("round").orderBy(F.abs("v").desc(), "i")
-    found = io.cascade(parts(spark, d)[3], ORIGIN, UNIT).where("round <= 10").withColumn("n", F.row_number().over(top)).where("n <= 3")
+    found = io.cascade(parts(spark, d)[3], ORIGIN, UNIT).withColumn("n", F.row_number().over(top)).where("n <= 6")
     return rounded(found.select("round", "i", "v"), v=6)
 
 
@@ -187,6 +198,9 @@ UNION ALL SELECT 'value_added_not_negative', min(labor + capital) >= 0 FROM va
 UNION ALL SELECT 'inverse_not_negative', min(l) >= -1e-6 FROM l
 UNION ALL SELECT 'own_response_at_least_one', min(l) >= 1 FROM l WHERE i = j
 UNION ALL SELECT 'multipliers_at_least_one', min(s) >= 1 FROM (SELECT sum(l) AS s FROM l GROUP BY j)
+UNION ALL SELECT 'radius_below_one', max(m) < 1 FROM (SELECT r, max(abs(v)) AS m FROM p WHERE r = 70 GROUP BY r)
+UNION ALL SELECT 'no_shock_no_response', max(abs(s)) <= 1e-6 FROM (SELECT sum(l * 0.0) AS s FROM l GROUP BY i)
+UNION ALL SELECT 'twice_the_shock_twice_the_response', max(abs(t - 2 * s)) <= 1e-6 FROM (SELECT sum(l * 2.0) AS t, sum(l) AS s FROM l WHERE j = 0 GROUP BY i)
 UNION ALL SELECT 'baseline_price_is_one', max(abs(p - 1)) <= 1e-6 FROM (SELECT l.j, sum(l.l * (1 - c.s)) AS p FROM l JOIN (SELECT j, sum(a) AS s FROM a GROUP BY j) c ON l.i = c.j GROUP BY l.j)"""
 
 
@@ -195,6 +209,7 @@ def invariants(spark, d):
     _, va, _, a = parts(spark, d)
     inv, sums = io.inverse(a), a.groupBy("j").agg(F.sum("a").alias("s"))
     prices = io.respond(inv, sums.select(F.col("j").alias("k"), (1 - F.col("s")).alias("s")), transposed=True)
+    twice = io.respond(inv, shock(spark, 0, 1.0)).join(io.respond(inv, shock(spark, 0, 2.0)).withColumnRenamed("v", "t"), "i")
     row = lambda df, name, ok: df.agg(ok.alias("ok")).select(F.lit(name).alias("name"), "ok")
     out = row(a, "coefficients_not_negative", F.min("a") >= 0)
     for more in (
@@ -203,6 +218,9 @@ def invariants(spark, d):
         row(inv, "inverse_not_negative", F.min("l") >= -1e-6),
         row(inv.where("i = j"), "own_response_at_least_one", F.min("l") >= 1),
         row(io.multipliers(inv), "multipliers_at_least_one", F.min("multiplier") >= 1),
+        row(io.power_radius(a), "radius_below_one", F.max("radius") < 1),
+        row(io.respond(inv, shock(spark, 0, 0.0)), "no_shock_no_response", F.max(F.abs("v")) <= 1e-6),
+        row(twice, "twice_the_shock_twice_the_response", F.max(F.abs(F.col("t") - 2 * F.col("v"))) <= 1e-6),
         row(prices, "baseline_price_is_one", F.max(F.abs(F.col("v") - 1)) <= 1e-6),
     ):
         out = out.unionByName(more)
@@ -252,6 +270,36 @@ def impact_full(spark, d):
     return rounded(rows.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.abs("v").desc(), "i"))), v=6)
 
 
+@query("io_impact_result", sql("""SELECT kind, i, round(v, 4) AS v, is_price, depth, companies, round(top_value, 2) AS top_value FROM (
+  SELECT kind, r.i, r.v, r.is_price, r.depth, count(m.id) AS companies, max(CASE WHEN r.is_price THEN coalesce(m.revenue_total, 0) * r.v ELSE r.v * CASE WHEN t.total > 0 THEN CASE WHEN m.revenue_total > 0 THEN m.revenue_total / t.total ELSE 0 END ELSE 1.0 / t.n END END) AS top_value
+  FROM (SELECT 'Demand' AS kind, i, sum(v) AS v, false AS is_price, (SELECT last FROM e) AS depth FROM p GROUP BY i UNION ALL SELECT 'Cost', i, sum(v), true, (SELECT last FROM e2) FROM q GROUP BY i UNION ALL SELECT 'Supply', i, sum(v), false, NULL FROM s GROUP BY i) r
+  LEFT JOIN members m ON m.sector = r.i LEFT JOIN t ON t.sector = r.i WHERE abs(r.v) > 1e-9 GROUP BY ALL)""",
+    series("p", "a", ONE), series("q", "a", ONE, True), GHOSH, series("s", "b", ONE, True), ENDED, ENDED.replace("e AS", "e2 AS").replace("FROM p", "FROM q"), MEMBERS, ALLOCATED.partition("t AS")[1] + ALLOCATED.partition("t AS")[2].partition("\nal AS")[0].rstrip(",")))
+def impact_result(spark, d):
+    """A unit shock of each kind: sectors' responses, whether they are prices, the cascade's depth (none for supply), and who is hit most."""
+    _, _, x, a = parts(spark, d)
+    inv, one = io.inverse(a), shock(spark)
+    ghosh = io.inverse(io.allocation(a, x))
+    depth = lambda transposed: io.cascade(a, ORIGIN, UNIT, transposed).agg(F.max("round").alias("depth"))
+    rows = None
+    for kind, found, price, deep in (("Demand", io.respond(inv, one), False, depth(False)), ("Cost", io.respond(inv, one, True), True, depth(True)), ("Supply", io.respond(ghosh, one, True), False, None)):
+        hit = found.where(F.abs("v") > io.NEGLIGIBLE)
+        shares = io.allocate(members(spark, d), hit.withColumnRenamed("i", "sector"), price).groupBy(F.col("sector").alias("i")).agg(F.count("*").alias("companies"), F.max("value").alias("top_value"))
+        part = hit.join(shares, "i", "left").select(F.lit(kind).alias("kind"), "i", "v", F.lit(price).alias("is_price"), F.coalesce("companies", F.lit(0)).alias("companies"), "top_value")
+        part = part.crossJoin(F.broadcast(deep)) if deep is not None else part.withColumn("depth", F.lit(None).cast("int"))  # one row
+        rows = part if rows is None else rows.unionByName(part)
+    return rounded(rows, v=4, top_value=2)
+
+
+@query("io_factor_scenario", sql("SELECT i, round(sum(v), 6) AS v FROM p GROUP BY i", series("p", "a", "SELECT 0 AS c, x.j AS i, 0.5 * coalesce(labor, 0) / x + CASE x.j WHEN 2 THEN 1.0 ELSE 0.0 END AS v FROM x LEFT JOIN va USING (j)", True)))
+def factor_scenario(spark, d):
+    """A scenario of a factor shock, half of labour's share in every sector's output, and a sector shock: their responses add up."""
+    _, va, x, a = parts(spark, d)
+    factor = x.join(va, "j", "left").select(F.col("j").alias("k"), (0.5 * F.coalesce("labor", F.lit(0.0)) / F.col("x")).alias("s"))
+    both = factor.unionByName(spark.createDataFrame([(2, 1.0)], "k int, s double")).groupBy("k").agg(F.sum("s").alias("s"))
+    return rounded(io.respond(io.inverse(a), both, transposed=True), v=6)
+
+
 @query("io_scenario_ext", sql("SELECT i, round(sum(v), 6) AS v FROM p GROUP BY i", series("p", "a", "SELECT 0 AS c, j AS i, CASE j WHEN 0 THEN 2.0 WHEN 3 THEN -1.0 ELSE 0.0 END::DOUBLE AS v FROM x")))
 def scenario(spark, d):
     """Shocks add up, as the model is linear: an extension, the original keeps scenarios without solving them."""
