@@ -42,21 +42,50 @@ def fact_for_end(facts: DataFrame, concepts: list[str], ends: DataFrame) -> Data
     return ends.join(exact, "company_id", "left").join(latest, "company_id", "left").select("company_id", F.coalesce("exact", "latest").alias("val"), F.col("exact").isNotNull().alias("is_exact"))
 
 
-def segment_costs(contexts: DataFrame, values: DataFrame, target: str | None = None) -> DataFrame:
+def at_target(contexts: DataFrame, target: str | None = None) -> DataFrame:
+    """Contexts of segments alone (no product axis) at the target period, else the latest one."""
+    ours = contexts.where("member is not null and not product_axis")
+    latest = ours.agg(F.max("end").alias("latest"), F.max(F.when(F.col("end") == target, F.col("end"))).alias("given"))
+    return ours.join(F.broadcast(latest)).where(F.col("end") == F.coalesce("given", "latest"))  # one row
+
+
+def segment_costs(contexts: DataFrame, target: str | None = None) -> DataFrame:
     """Per segment of the target period (else the latest): revenue, operating income, implied cost, whether it reconciles.
 
-    contexts: context_id, member, end, product_axis; values: context_id, concept, value. Contexts
-    with a product axis are left out; of several for a member the first by id counts.
+    contexts: context_id, member, end, product_axis, revenue, operating_income, a row each,
+    null where there is no such fact; of several for a member the first by id counts.
     """
-    ours = contexts.where("member is not null and not product_axis")
-    latest = ours.agg(F.max("end").alias("latest"), F.max(F.when(F.col("end") == target, F.col("end"))).alias("given"))
-    ours = ours.join(F.broadcast(latest)).where(F.col("end") == F.coalesce("given", "latest"))  # one row
-    pick = lambda name: values.where(F.col("concept") == name).select("context_id", F.col("value").alias(name))
-    found = first_per(ours.join(pick("revenue"), "context_id").join(pick("operating_income"), "context_id"), ["member"], [F.col("context_id")])
+    both = at_target(contexts, target).where("revenue is not null and operating_income is not null")
+    found = first_per(both, ["member"], [F.col("context_id")])
     cost = F.col("revenue") - F.col("operating_income")
     return found.select("member", "revenue", "operating_income", cost.alias("cost"), ((cost >= 0) & (cost <= F.col("revenue"))).alias("reconciles"))
 
 
+def segment_revenues(contexts: DataFrame, target: str | None = None) -> DataFrame:
+    """(member, revenue) of each segment of the target period, whether or not there is an operating income."""
+    return first_per(at_target(contexts, target).where("revenue is not null"), ["member"], [F.col("context_id")]).select("member", "revenue")
+
+
+def in_columns(facts: DataFrame, concepts: tuple[str, ...]) -> DataFrame:
+    """Facts (context_id, .., concept, value) as one row for each context, a column for each concept: one pass, no join."""
+    keys = [c for c in facts.columns if c not in ("concept", "value")]
+    return facts.where(F.col("concept").isin(*concepts)).groupBy(*keys).agg(*(F.max(F.when(F.col("concept") == c, F.col("value"))).alias(c) for c in concepts))
+
+
+def refreshed(annual: dict[str, DataFrame], company: str) -> DataFrame:
+    """Rows that a refresh writes: revenue, cost of goods and operating expense of the latest year, labelled by it.
+
+    Each DataFrame has ``company``, fiscal_year, end and value, a row for each company; a concept that a company lacks has no row.
+    """
+    names = {"REVENUE": "Revenue", "COGS": "Cost of revenue", "OPEX": "Operating expenses"}
+    out = None
+    for kind, rows in annual.items():
+        title = F.concat(F.lit(names[kind] + " "), F.coalesce(F.col("fiscal_year").cast("string"), F.substring(F.col("end").cast("string"), 1, 4), F.lit("n/a")))
+        part = rows.where("value is not null").select(company, F.lit(kind).alias("kind"), title.alias("name"), "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def ties(segments: Column, total: Column, share: float = 0.01) -> Column:
     """Whether the segments' sum is within one per cent of the total; null without segments or a positive total."""
     return F.when((total > 0) & segments.isNotNull(), F.abs(segments - total) <= share * total)

@@ -45,3 +45,8 @@ def missing_fields(fields: dict[str, Column]) -> Column:
     """Names of null or blank fields, in the given order."""
     blank = [F.when(c.isNull() | (F.trim(c.cast("string")) == ""), F.lit(n)) for n, c in fields.items()]
     return F.array_compact(F.array(*blank))
+
+
+def nested(children: DataFrame, key: str, ident: str, name: str) -> DataFrame:
+    """(key, refs): shallow references (id, name) to a parent's children, in order of id."""
+    return children.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(ident).alias("id"), F.col(name).alias("name")))).alias("refs"))

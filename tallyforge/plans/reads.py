@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyforge.functions import text as T
 from tallyforge.operators import reads as R
 from tallyforge.registry import query
 from tallyforge.sources import domain as D
@@ -16,25 +17,48 @@ def company_country(spark, d):
     return R.active(D.companies(spark, d)).join(F.broadcast(n), "country_id", "left").select("id", "name", "cik", "country", "region")
 
 
-@query("company_profile", with_views("""SELECT c.id, c.name, coalesce(replace(sector, '_', ' '), '—') AS sector_label, coalesce(replace(industry, '_', ' '), '—') AS industry_label, n.code AS country_code, revenue_total
+SUB = "CASE WHEN id % 7 <> 0 THEN industry || '_UNIT_SUB' END"
+
+
+@query("company_profile", with_views(f"""SELECT c.id, c.name, coalesce(replace(sector, '_', ' '), '—') AS sector_label, coalesce(replace(industry, '_', ' '), '—') AS industry_label, coalesce(replace(regexp_replace({SUB.replace('id', 'c.id', 1)}, '_SUB$', ''), '_', ' '), '—') AS sub_industry_label, n.code AS country_code, revenue_total
 FROM companies c LEFT JOIN countries n ON c.country_id = n.id WHERE NOT c.deleted""", "companies", "countries"))
 def company_profile(spark, d):
     n = D.countries(spark, d).select(F.col("id").alias("country_id"), F.col("code").alias("country_code"))
-    label = lambda c: F.coalesce(F.translate(c, "_", " "), F.lit("—")).alias(f"{c}_label")
-    return R.active(D.companies(spark, d)).join(F.broadcast(n), "country_id", "left").select("id", "name", label("sector"), label("industry"), "country_code", "revenue_total")
+    found = R.active(D.companies(spark, d)).join(F.broadcast(n), "country_id", "left")
+    return found.select("id", "name", T.label(F.col("sector")).alias("sector_label"), T.label(F.col("industry")).alias("industry_label"), T.label(F.expr(SUB), "_SUB").alias("sub_industry_label"), "country_code", "revenue_total")
+
+
+@query("company_events", with_views("SELECT c.id, string_agg(e.id || ':' || e.title, ',' ORDER BY e.id) AS events FROM companies c JOIN evts e ON e.company_id = c.id WHERE NOT c.deleted AND NOT e.deleted GROUP BY c.id", "companies", "evts"))
+def company_events(spark, d):
+    """A company with shallow references to its events, by id; companies without one have no row."""
+    refs = R.nested(R.active(D.events(spark, d)), "company_id", "id", "title")
+    c = R.active(D.companies(spark, d)).select("id").join(refs.withColumnRenamed("company_id", "id"), "id")
+    return c.select("id", F.array_join(F.transform("refs", lambda r: F.concat(r["id"], F.lit(":"), r["name"])), ",").alias("events"))
 
 
-@query("profile_missing_fields", with_views("SELECT id, array_to_string(list_filter([CASE WHEN cik IS NULL THEN 'cik' END, CASE WHEN sector IS NULL THEN 'sector' END, CASE WHEN industry IS NULL THEN 'industry' END, CASE WHEN revenue_total IS NULL THEN 'revenueTotal' END, CASE WHEN country_id IS NULL THEN 'country' END], lambda x: x IS NOT NULL), ',') AS missing FROM companies WHERE NOT deleted", "companies"))
+EIGHT = {"cik": "cik", "sector": "sector", "industry": "industry", "subIndustry": "CASE WHEN id % 7 <> 0 THEN industry END", "revenueTotal": "revenue_total", "grossMargin": "CASE WHEN id % 4 <> 0 THEN market_cap END", "country": "country_id", "asOf": "CASE WHEN id % 5 = 0 THEN ' ' WHEN id % 5 = 1 THEN name END"}
+
+
+@query("profile_missing_fields", with_views("SELECT id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {v} IS NULL OR trim(({v})::VARCHAR) = '' THEN '{k}' END" for k, v in EIGHT.items()) + "], lambda x: x IS NOT NULL), ',') AS missing FROM companies WHERE NOT deleted", "companies"))
 def profile_missing_fields(spark, d):
-    names = {"cik": "cik", "sector": "sector", "industry": "industry", "revenueTotal": "revenue_total", "country": "country_id"}
-    return R.active(D.companies(spark, d)).select("id", F.array_join(R.missing_fields({k: F.col(v) for k, v in names.items()}), ",").alias("missing"))
+    return R.active(D.companies(spark, d)).select("id", F.array_join(R.missing_fields({k: F.expr(v) for k, v in EIGHT.items()}), ",").alias("missing"))
 
 
-@query("contrib_approved", with_views("SELECT b.id, s.s_name AS seller, c.name AS buyer, b.value FROM contributions b LEFT JOIN supplier s ON b.company_id = s.s_suppkey LEFT JOIN companies c ON b.related_company_id = c.id WHERE b.status = 'Approved' AND NOT b.deleted", "contributions", "companies"))
+@query("contrib_approved", with_views("SELECT b.id, s.s_name AS seller, c.name AS buyer, b.value, row_number() OVER (PARTITION BY s.s_name ORDER BY c.name, b.id)::INT AS place FROM contributions b LEFT JOIN supplier s ON b.company_id = s.s_suppkey LEFT JOIN companies c ON b.related_company_id = c.id WHERE b.status = 'Approved' AND NOT b.deleted", "contributions", "companies"))
 def contrib_approved(spark, d):
+    """With each row's place in its company's list, which is ordered by name."""
+    from pyspark.sql import Window
+
     seller = table(spark, d, "supplier").select(F.col("s_suppkey").alias("company_id"), F.col("s_name").alias("seller"))
     buyer = table(spark, d, "customer").select(F.col("c_custkey").alias("related_company_id"), F.col("c_name").alias("buyer"))
-    return R.public(D.contributions(spark, d)).join(seller, "company_id", "left").join(buyer, "related_company_id", "left").select("id", "seller", "buyer", "value")
+    found = R.public(D.contributions(spark, d)).join(seller, "company_id", "left").join(buyer, "related_company_id", "left")
+    return found.select("id", "seller", "buyer", "value", F.row_number().over(Window.partitionBy("seller").orderBy("buyer", "id")).alias("place"))
+
+
+@query("log_page", "SELECT event_id AS id, event_type AS line FROM events WHERE user_id = 1 ORDER BY event_id OFFSET 5")
+def log_page(spark, d):
+    """Lines of one log from a number on: the offset is the feature."""
+    return table(spark, d, "events").where("user_id = 1").orderBy("event_id").offset(5).select(F.col("event_id").alias("id"), F.col("event_type").alias("line"))
 
 
 TERM = "0000"
@@ -46,6 +70,35 @@ def search_company_prefix(spark, d):
     return R.matching(R.active(D.companies(spark, d)).join(F.broadcast(n), "country_id", "left"), TERM, "name", "cik", "country").select("id", "name", "cik")
 
 
+@query("search_variants", with_views(f"""SELECT 'company_lookup' AS kind, id::VARCHAR AS id FROM companies WHERE NOT deleted AND (name ILIKE '{TERM}%' OR cik ILIKE '{TERM}%')
+UNION ALL SELECT 'country', id::VARCHAR FROM countries WHERE name ILIKE 'n1%' OR code ILIKE 'n1%' OR region ILIKE 'n1%' UNION ALL SELECT 'country_lookup', id::VARCHAR FROM countries WHERE name ILIKE 'r%'
+UNION ALL SELECT 'contribution', b.id FROM contributions b LEFT JOIN companies c ON c.id = b.related_company_id WHERE NOT b.deleted AND (b.id ILIKE '%3-1%' OR c.name ILIKE '%3-1%')
+UNION ALL SELECT 'filing', o_orderkey::VARCHAR FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey::VARCHAR ILIKE '%00%' OR o_orderpriority ILIKE '%00%' OR c_name ILIKE '%00%'
+UNION ALL SELECT 'bloc', r_regionkey::VARCHAR FROM region WHERE r_name ILIKE '%ia%' OR r_regionkey::VARCHAR ILIKE '%ia%'
+UNION ALL SELECT 'details', c.id::VARCHAR FROM companies c LEFT JOIN countries n ON n.id = c.country_id WHERE c.sector ILIKE '%an%' OR n.name ILIKE '%an%'""", "companies", "countries", "contributions"))
+def search_variants(spark, d):
+    """Every search's own columns: prefixes for lookups, anywhere for the rest."""
+    c, n = D.companies(spark, d), D.countries(spark, d)
+    where = n.select(F.col("id").alias("country_id"), F.col("name").alias("country"))
+    buyers = c.select(F.col("id").alias("related_company_id"), "name")
+    filings = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("form"), F.col("o_custkey").alias("c_custkey")).join(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey")
+    blocs = table(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("id"), F.col("r_name").alias("name"))
+    found = {
+        "company_lookup": R.matching(R.active(c), TERM, "name", "cik"),
+        "country": R.matching(n, "n1", "name", "code", "region"),
+        "country_lookup": R.matching(n, "r", "name"),
+        "contribution": R.matching(R.active(D.contributions(spark, d)).join(buyers, "related_company_id", "left"), "3-1", "id", "name", contains=True),
+        "filing": R.matching(filings, "00", "id", "form", "c_name", contains=True),
+        "bloc": R.matching(blocs, "ia", "name", "id", contains=True),
+        "details": R.matching(c.join(F.broadcast(where), "country_id", "left"), "an", "sector", "country", contains=True),
+    }
+    out = None
+    for kind, rows in found.items():
+        part = rows.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("search_contains", with_views("SELECT id, title, impact FROM evts WHERE NOT deleted AND (title ILIKE '%ic%' OR props ILIKE '%ic%')", "evts"))
 def search_contains(spark, d):
     return R.matching(R.active(D.events(spark, d)), "ic", "title", "props", contains=True).select("id", "title", "impact")
@@ -79,18 +132,29 @@ def financials_ordered(spark, d):
     return financials(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("company_id").orderBy(F.desc("fiscal_year"), ordinal)))
 
 
-@query("global_search", with_views("""SELECT kind, label, n AS place FROM (SELECT kind, label, row_number() OVER (PARTITION BY kind ORDER BY label)::INT AS n FROM (
-  SELECT 'CO' AS kind, name AS label FROM companies WHERE NOT deleted AND name ILIKE 'c%' UNION ALL SELECT 'CTRY', name FROM countries WHERE name ILIKE 'c%'
-  UNION ALL SELECT DISTINCT 'EVT', title FROM evts WHERE NOT deleted AND title ILIKE '%c%')) WHERE n <= 5""", "companies", "countries", "evts"))
+@query("global_search", with_views("""SELECT kind, label, detail, n AS place FROM (SELECT kind, label, detail, row_number() OVER (PARTITION BY kind ORDER BY label, detail)::INT AS n FROM (
+  SELECT 'CO' AS kind, name AS label, nullif(concat_ws(' · ', cik, sector), '') AS detail FROM companies WHERE NOT deleted AND name ILIKE 'c%' UNION ALL SELECT 'CTRY', name, code || ' · ' || region FROM countries WHERE name ILIKE 'c%'
+  UNION ALL SELECT DISTINCT 'EVT', title, NULL FROM evts WHERE NOT deleted AND title ILIKE '%c%')) WHERE n <= 5""", "companies", "countries", "evts"))
 def global_search(spark, d):
-    """Five of each kind; a kind with no match has no row."""
+    """Five of each kind with a line of detail, null if there is none; a kind with no match has no row."""
     from pyspark.sql import Window
 
-    pick = lambda df, kind, label: df.select(F.lit(kind).alias("kind"), F.col(label).alias("label"))
-    found = pick(R.matching(R.active(D.companies(spark, d)), "c", "name"), "CO", "name")
-    found = found.unionByName(pick(R.matching(D.countries(spark, d), "c", "name"), "CTRY", "name"))
+    pick = lambda df, kind, label, *detail: df.select(F.lit(kind).alias("kind"), F.col(label).alias("label"), T.dotted(*(F.col(c) for c in detail)).alias("detail"))
+    found = pick(R.matching(R.active(D.companies(spark, d)), "c", "name"), "CO", "name", "cik", "sector")
+    found = found.unionByName(pick(R.matching(D.countries(spark, d), "c", "name"), "CTRY", "name", "code", "region"))
     found = found.unionByName(pick(R.matching(R.active(D.events(spark, d)), "c", "title", contains=True), "EVT", "title").distinct())
-    return found.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("label"))).where("place <= 5")
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("label", "detail"))).where("place <= 5")
+
+
+@query("end_date_order", "SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END, TIMESTAMP '0001-01-01') DESC, CASE WHEN o_orderkey % 3 <> 0 THEN year(o_orderdate) END DESC NULLS LAST, o_orderkey)::INT AS place FROM orders")
+def end_date_order(spark, d):
+    """Newest end first, no end last, then the fiscal year, none of it last."""
+    from pyspark.sql import Window
+
+    end = F.coalesce(F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate").cast("timestamp")), F.lit("0001-01-01").cast("timestamp"))
+    year = F.when(F.col("o_orderkey") % 3 != 0, F.year("o_orderdate"))
+    order = Window.partitionBy("o_custkey").orderBy(end.desc(), year.desc_nulls_last(), "o_orderkey")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.row_number().over(order).alias("place"))
 
 
 @query("lookup_top10", with_views("SELECT id, name FROM companies WHERE NOT deleted AND name ILIKE 'customer%' ORDER BY name, id LIMIT 10", "companies"))

@@ -81,10 +81,49 @@ SEGMENTS = "SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey
 @query("segment_cost", f"""WITH s AS ({SEGMENTS}), o AS (SELECT * FROM s WHERE member IS NOT NULL AND NOT product_axis), t AS (SELECT max("end") AS e FROM o)
 SELECT member, revenue, round(oi, 4) AS operating_income, round(revenue - oi, 4) AS cost, revenue - oi >= 0 AND revenue - oi <= revenue AS reconciles FROM o, t WHERE "end" = e QUALIFY row_number() OVER (PARTITION BY member ORDER BY context_id) = 1""")
 def segment_cost(spark, d):
-    li = table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("context_id"), F.when(F.col("l_linenumber") < 7, F.concat(F.lit("Segment"), F.col("l_suppkey") % 50)).alias("member"), F.to_date("l_shipdate").alias("end"), (F.col("l_quantity") % 3 == 0).alias("product_axis"), "l_extendedprice", "l_discount")
-    value = lambda name, v: li.select("context_id", F.lit(name).alias("concept"), v.alias("value"))
-    values = value("revenue", F.col("l_extendedprice")).unionByName(value("operating_income", F.col("l_extendedprice") * F.col("l_discount") * 11))
-    return X.segment_costs(li, values).withColumns({c: F.round(c, 4) for c in ("operating_income", "cost")})
+    return X.segment_costs(contexts(spark, d)).withColumns({c: F.round(c, 4) for c in ("operating_income", "cost")})
+
+
+def contexts(spark, d):
+    """One row for each context, with its facts beside it: one scan."""
+    ident = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"))
+    return table(spark, d, "lineitem").select(ident.alias("context_id"), F.when(F.col("l_linenumber") < 7, F.concat(F.lit("Segment"), F.col("l_suppkey") % 50)).alias("member"), F.to_date("l_shipdate").alias("end"), (F.col("l_quantity") % 3 == 0).alias("product_axis"), F.col("l_extendedprice").alias("revenue"), (F.col("l_extendedprice") * F.col("l_discount") * 11).alias("operating_income"))
+
+
+@query("segment_revenue", f"""WITH s AS ({SEGMENTS}), o AS (SELECT * FROM s WHERE member IS NOT NULL AND NOT product_axis), t AS (SELECT max("end") AS e FROM o)
+SELECT member, revenue FROM o, t WHERE "end" = e QUALIFY row_number() OVER (PARTITION BY member ORDER BY context_id) = 1""")
+def segment_revenue(spark, d):
+    """Segments' revenue stands without an operating income."""
+    lacking = contexts(spark, d).withColumn("operating_income", F.when(F.col("member") != "Segment1", F.col("operating_income")))
+    return X.segment_revenues(lacking)
+
+
+@query("xbrl_view", f"""WITH s AS ({SEGMENTS}), o AS (SELECT * FROM s WHERE member IS NOT NULL AND NOT product_axis), t AS (SELECT max("end") AS e FROM o),
+f AS (SELECT member, revenue FROM o, t WHERE "end" = e QUALIFY row_number() OVER (PARTITION BY member ORDER BY context_id) = 1),
+a AS (SELECT sum(l_extendedprice) AS total FROM lineitem, t WHERE l_shipdate::DATE = e AND l_linenumber < 7 AND l_quantity::INT % 3 <> 0)
+SELECT 'total' AS part, NULL AS member, round(total, 2) AS revenue, CASE WHEN total > 0 THEN abs((SELECT sum(revenue) FROM f) - total) <= 0.01 * total END AS ties FROM a UNION ALL SELECT 'segment', member, round(revenue, 2), NULL FROM f""")
+def xbrl_view(spark, d):
+    """A filing's totals and segments with whether they tie: all contexts of the latest period stand for the total."""
+    rows = contexts(spark, d)
+    segments = X.segment_revenues(rows)
+    total = X.at_target(rows).agg(F.sum("revenue").alias("total"))
+    sums = segments.agg(F.sum("revenue").alias("s"))
+    head = total.crossJoin(F.broadcast(sums)).select(F.lit("total").alias("part"), F.lit(None).cast("string").alias("member"), F.round("total", 2).alias("revenue"), X.ties(F.col("s"), F.col("total")).alias("ties"))  # one row each
+    return head.unionByName(segments.select(F.lit("segment").alias("part"), "member", F.round("revenue", 2).alias("revenue"), F.lit(None).cast("boolean").alias("ties")))
+
+
+@query("edgar_refresh", """WITH y AS (SELECT o_custkey AS company_id, year(o_orderdate) AS fy, max(o_orderdate)::DATE AS "end", sum(o_totalprice) AS revenue, sum(CASE WHEN o_orderpriority LIKE '1%' THEN o_totalprice END) AS cogs FROM orders GROUP BY ALL),
+l AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY fy DESC) = 1)
+SELECT company_id, 'REVENUE' AS kind, 'Revenue ' || fy AS name, round(revenue, 2) AS value FROM l UNION ALL SELECT company_id, 'COGS', 'Cost of revenue ' || CASE WHEN company_id % 2 = 0 THEN fy ELSE year("end") END, round(cogs, 2) FROM l WHERE cogs IS NOT NULL UNION ALL SELECT company_id, 'OPEX', 'Operating expenses n/a', round(revenue / 2, 2) FROM l""")
+def edgar_refresh(spark, d):
+    """Three rows of a company's latest year; the label is the fiscal year, else the period's end, else n/a."""
+    o = table(spark, d, "orders")
+    by_year = o.groupBy(F.col("o_custkey").alias("company_id"), F.year("o_orderdate").alias("fiscal_year")).agg(F.to_date(F.max("o_orderdate")).alias("end"), F.sum("o_totalprice").alias("revenue"), F.sum(F.when(F.col("o_orderpriority").like("1%"), F.col("o_totalprice"))).alias("cogs"))
+    last = by_year.groupBy("company_id").agg(F.max_by(F.struct("fiscal_year", "end", "revenue", "cogs"), "fiscal_year").alias("y")).select("company_id", "y.*")
+    row = lambda value, year, end: last.select("company_id", year.alias("fiscal_year"), end.alias("end"), value.alias("value"))
+    year, end, none = F.col("fiscal_year"), F.col("end"), F.lit(None)
+    annual = {"REVENUE": row(F.col("revenue"), year, end), "COGS": row(F.col("cogs"), F.when(F.col("company_id") % 2 == 0, year), end), "OPEX": row(F.col("revenue") / 2, none.cast("int"), none.cast("date"))}
+    return X.refreshed(annual, "company_id").withColumn("value", F.round("value", 2))
 
 
 @query("sum_check", """SELECT id, CASE WHEN total > 0 AND s IS NOT NULL THEN abs(s - total) <= 0.01 * total END AS ok FROM (SELECT o_orderkey AS id, o_totalprice AS total, sum(l_extendedprice) AS s FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber < 7) ON l_orderkey = o_orderkey GROUP BY ALL)""")
@@ -93,11 +132,12 @@ def sum_check(spark, d):
     return table(spark, d, "orders").join(s, "o_orderkey", "left").select(F.col("o_orderkey").alias("id"), X.ties(F.col("s"), F.col("o_totalprice")).alias("ok"))
 
 
-@query("pretty_segment", "SELECT p_partkey AS id, 'Big ' || upper(substr(p_brand, 1, 1)) || substr(lower(regexp_replace(p_brand, '[^A-Za-z]', '', 'g')), 2) || ' Unit' AS label FROM part")
+MEMBER = "CASE p_partkey % 6 WHEN 0 THEN 'Segment' WHEN 1 THEN 'GreaterChinaSegment' WHEN 2 THEN 'iPhone4Member' WHEN 3 THEN regexp_replace(p_brand, '[^A-Za-z]', '') || 'UnitSegment' WHEN 4 THEN 'R2D2Unit' ELSE 'AmericasSegmentMember' END"
+
+
+@query("pretty_segment", f"SELECT p_partkey AS id, CASE WHEN s = '' THEN m ELSE s END AS label FROM (SELECT p_partkey, m, regexp_replace(regexp_replace(m, 'Segment$', ''), '([a-z])([A-Z])', '\\1 \\2', 'g') AS s FROM (SELECT p_partkey, {MEMBER.replace(chr(39) + chr(39) + ')', chr(39) + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS m FROM part))")
 def pretty_segment(spark, d):
-    core = F.regexp_replace("p_brand", "[^A-Za-z]", "")
-    member = F.concat(F.lit("Big"), F.upper(F.substring("p_brand", 1, 1)), F.substring(F.lower(core), 2, 99), F.lit("UnitSegmentMember"))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), T.pretty_segment(member).alias("label"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), T.pretty_segment(F.expr(MEMBER)).alias("label"))
 
 
 WEEKS = "w AS (SELECT user_id AS company_id, date_trunc('week', ts)::DATE AS week, count(*) AS n, round(sum(value::DECIMAL(18, 6)), 4)::DOUBLE AS volume FROM events WHERE value IS NOT NULL GROUP BY ALL)"

@@ -1,4 +1,4 @@
-"""Weekly volume as a stream: the same rows as the batch query once all events have come."""
+"""Weekly volume as a stream: the same rows as the batch query once all events have come, in whatever order."""
 
 from __future__ import annotations
 
@@ -6,18 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def weekly_stream(events: DataFrame, lateness: str = "30 days") -> DataFrame:
-    """Sums of each company and week; events later than the watermark are left out, and repeats of an event count once."""
-    once = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
-    week = F.window("ts", "7 days", startTime="4 days")  # windows start on Mondays
-    return once.where("value is not null").groupBy("company_id", week).agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("decimal(18,6)")), 4).cast("double").alias("volume")).select("company_id", F.to_date("window.start").alias("week"), "n", "volume")
+def partial_weeks(events: DataFrame) -> DataFrame:
+    """Sums of what came together, by company and week, not yet rounded; repeats of an event within it count once."""
+    once = events.where("value is not null").dropDuplicates(["event_id"])
+    week = F.to_date(F.date_trunc("week", "ts")).alias("week")
+    return once.groupBy("company_id", week).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,6)")).alias("volume"))
 
 
 def run_available(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, files: int = 1) -> None:
-    """Read what is there and write finished and running weeks; calling it again takes only what is new."""
+    """Read what is there and write its sums; calling it again takes only what is new.
+
+    Each batch appends its own sums in a folder named by its number, which a batch that is
+    run again after a failure replaces. So no state is kept, no event comes too late, and no
+    week that is written is ever read or written again.
+    """
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source).withColumnRenamed("user_id", "company_id")
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
+    def add(batch: DataFrame, number: int) -> None:
+        partial_weeks(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(add).start().awaitTermination()
+
 
-    weekly_stream(events).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(replace).start().awaitTermination()
+def weekly(spark: SparkSession, sink: str) -> DataFrame:
+    """(company_id, week, n, volume) of all that has been written."""
+    parts = spark.read.parquet(sink)
+    return parts.groupBy("company_id", "week").agg(F.sum("n").alias("n"), F.round(F.sum("volume"), 4).cast("double").alias("volume"))
