@@ -188,6 +188,8 @@ BANDS, BAND, BITS, WORDS, LIKELY = 20, 5, 3, 5, 0.66
 SALTS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64)
 #: Rows of one key from which on they are dealt over several tasks.
 HOT_KEY = 1024
+#: Texts whose shingles a task remembers.
+CACHE_TEXTS = 2000
 
 
 def sketch(text: str | None) -> np.ndarray:
@@ -205,15 +207,17 @@ def sketch(text: str | None) -> np.ndarray:
     return np.r_[key, np.packbits(bits, bitorder="little").view(np.uint64)].view(np.int64)
 
 
-def alike(a: str | None, b: str | None, share: float = SHARE, width: int = SHINGLE) -> bool:
-    """Whether two texts have this share of all their distinct shingles in common; wordless texts are alike."""
-    x, y = (np.unique(shingle_hashes(t, width)) for t in (a, b))
-    if not len(x) and not len(y):
-        return True
-    if min(len(x), len(y)) < share * max(len(x), len(y)):
-        return False
+def share_of(x: np.ndarray, y: np.ndarray) -> float:
+    """The share of distinct shingles that two sorted sets have in common, 1 if there are none."""
+    if not len(x) or not len(y) or min(len(x), len(y)) < SHARE * max(len(x), len(y)):
+        return float(not len(x) and not len(y))
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return both >= share * (len(x) + len(y) - both)
+    return both / (len(x) + len(y) - both)
+
+
+def alike(a: str | None, b: str | None) -> bool:
+    """Whether two texts have SHARE of all their distinct shingles in common; wordless texts are alike."""
+    return share_of(*(np.unique(shingle_hashes(t, SHINGLE)) for t in (a, b))) >= SHARE
 
 
 def apart(a: str, b: str) -> Column:
@@ -247,10 +251,9 @@ def copy_groups(docs: DataFrame) -> DataFrame:
 
     In each band that texts share one of them, another in every band, is the hub. A text is
     held against the hub with the likeliest sketch, then against its other likely hubs unless
-    they are in one component by now. In bands whose texts still are in several components,
-    the texts outside the band's largest one are held against all others there: their
-    sketches are compared where they meet, and only likely pairs leave the join. So no likely
-    pair that shares a band stays untried unless it is joined already.
+    they are in one component by now. Where a band's texts still are in several components,
+    these are held against each other by across(). So no likely pair that shares a band stays
+    untried unless it is joined already.
     """
 
     def rows(doc_id: list, tid: list, text: list) -> dict[str, list]:
@@ -281,20 +284,51 @@ def copy_groups(docs: DataFrame) -> DataFrame:
     edges = edges.unionByName(verified(rest, own))
     found = components(edges)
 
-    named = live.select("key", "tid").join(found, live["tid"] == found["node"], "left").select("key", "tid", F.coalesce("component", "tid").alias("c"))
-    sizes = named.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("parts"))
-    split = checkpointed(dealt_join(named, sizes.where("parts > 1").select("key", "main"), "key", hot))
-    signed_split = split.join(signs, "tid")
-    one = signed_split.where("c <> main").select("key", F.col("tid").alias("a"), F.col("c").alias("c_a"), F.col("sign").alias("sign_a"))
-    other = signed_split.select("key", F.col("tid").alias("b"), F.col("c").alias("c_b"), F.col("sign").alias("sign_b"))
-    left = dealt_join(other, one, "key", hot, (F.col("c_a") != F.col("c_b")) & (apart("sign_a", "sign_b") <= MOST_APART))
-    left = left.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
-    found = components(edges.unionByName(verified(left, own)))
+    found = components(edges.unionByName(across(live.select("key", "tid"), found, signs.join(own, "tid"), hot)))
     group = texts.join(found, texts["tid"] == found["node"], "left").select("tid", "rep", F.coalesce("component", "tid").alias("c"))
     first = group.groupBy("c").agg(F.min(F.struct("rep", "tid")).alias("first"))
     return checkpointed(group.join(first, "c").select("tid", F.col("first.rep").alias("component_id"), F.col("first.tid").alias("first_tid")))
 
 
+def across(live: DataFrame, found: DataFrame, texts: DataFrame, hot: DataFrame) -> DataFrame:
+    """Alike pairs (a, b) between components that share a band (key, tid), after hubs have been tried.
+
+    The texts of the smaller of two components are each held against all of the larger one.
+    Every text of a component is sent once, or to few tasks if there are very many texts to
+    hold against it; the pairs meet in the join, where sketches drop the unlikely ones, and
+    only alike ones leave it.
+    """
+    of = live.select("tid").distinct().join(found, live["tid"] == found["node"], "left").select("tid", F.coalesce("component", "tid").alias("c"))
+    of = checkpointed(of)
+    rank = F.struct("n", "c")
+    named = live.join(of.join(of.groupBy("c").agg(F.count("*").alias("n")), "c"), "tid").select("key", "tid", "c", rank.alias("rank"))
+    split = named.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key")
+    named = checkpointed(dealt_join(named, split, "key", hot))
+    others = named.select("key", F.col("c").alias("other"), F.col("rank").alias("other_rank")).distinct()
+    asked = dealt_join(named, others, "key", hot, F.col("rank") < F.col("other_rank")).select(F.col("tid").alias("a"), F.col("other").alias("c")).distinct()
+    asked = checkpointed(asked)
+    query = asked.join(texts.select(F.col("tid").alias("a"), F.col("sign").alias("sign_a"), F.col("text").alias("text_a")), "a")
+    member = of.join(asked.select("c").distinct(), "c").join(texts, "tid").select("c", F.col("tid").alias("b"), F.col("sign").alias("sign_b"), F.col("text").alias("text_b"))
+    pairs = dealt_join(member, query, "c", hot_keys(member.select("c"), "c", HOT_KEY), apart("sign_a", "sign_b") <= MOST_APART)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+
+        def shingles(tid: int, text: str) -> np.ndarray:
+            if tid not in known:
+                if len(known) >= CACHE_TEXTS:
+                    known.clear()
+                known[tid] = np.unique(shingle_hashes(text, SHINGLE))
+            return known[tid]
+
+        for batch in batches:
+            a, b, x, y = (c.to_pylist() for c in batch.columns)
+            kept = [k for k in range(len(a)) if share_of(shingles(a[k], x[k]), shingles(b[k], y[k])) >= SHARE]
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a[k] for k in kept], pa.int64()), "b": pa.array([b[k] for k in kept], pa.int64())})
+
+    return checkpointed(pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"))
+
+
 def between(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that lie in two components; nodes without a row are components of their own."""
     for x in "ab":
