@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions import text as T
+
 
 def soft_delete(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows named by ids become deleted; deleting twice changes nothing."""
@@ -85,3 +87,61 @@ def split_valid(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
 def distinct_ci(rows: DataFrame, column: str, order: str) -> DataFrame:
     """One row for each value regardless of case: the first in order."""
     return rows.groupBy(F.lower(column).alias("key")).agg(F.min_by(column, F.struct(order, column)).alias(column), F.count("*").alias("n"))
+
+
+def company_rows(profiles: DataFrame, incomes: DataFrame) -> DataFrame:
+    """Companies of a vendor's profiles, with margin, date and revenue of their latest income statement.
+
+    The margin is gross profit over revenue, to two digits; revenue counts in dollars alone;
+    an unknown sector is null; notes have 2,000 characters at most.
+    """
+    known = F.create_map(*(F.lit(x) for pair in T.VENDOR_SECTORS.items() for x in pair))
+    last = incomes.groupBy("symbol").agg(F.max_by(F.struct("date", "reportedCurrency", "revenue", "grossProfit"), "date").alias("i")).select("symbol", "i.*")
+    found = profiles.join(last, "symbol", "left")
+    margin = F.when(F.col("revenue") != 0, F.bround(F.col("grossProfit") / F.col("revenue"), 2))
+    dollars = F.upper("reportedCurrency") == "USD"
+    return found.select(
+        "symbol",
+        F.coalesce("companyName", "symbol", F.lit("")).alias("name"),
+        T.norm_cik(F.col("cik")).alias("cik"),
+        F.nullif(F.trim("industry"), F.lit("")).alias("vendor_industry"),
+        known[T.norm_label(F.col("sector"))].alias("sector"),
+        F.col("marketCap").alias("market_cap"),
+        F.substring("description", 1, 2000).alias("notes"),
+        margin.alias("gross_margin"),
+        F.try_to_date("date", "yyyy-MM-dd").alias("as_of"),
+        F.when(dollars, F.col("revenue")).alias("revenue_total"),
+    )
+
+
+def index_upsert(stored: DataFrame, fresh: DataFrame, members: DataFrame) -> DataFrame:
+    """Indices by code: a known code keeps its id, what came replaces all else of it; a new one has its code as id.
+
+    ``fresh`` has code, name, region, hint; ``members`` has code, sector, weight and
+    market_cap of what it now holds. The sector is that of four fifths of the members'
+    weight, else the hint; the size is the members' capitalisation, if there is any.
+    """
+    from tallyforge.operators.indices import dominant_sector
+
+    rows = members.withColumnRenamed("code", "index_id")
+    sector = dominant_sector(rows).select(F.col("index_id").alias("code"), F.col("sector").alias("most"))
+    size = members.groupBy("code").agg(F.sum("market_cap").alias("cap"))
+    new = fresh.join(sector, "code", "left").join(size, "code", "left").select("code", F.col("name").alias("_name"), F.coalesce("most", "hint").alias("_sector"), F.col("region").alias("_region"), F.when(F.col("cap") > 0, F.col("cap")).alias("_cap"), F.lit(True).alias("_came"))
+    both = stored.join(new, "code", "full_outer")
+    pick = lambda c, n: F.when(F.col("_came"), F.col(n)).otherwise(F.col(c)).alias(c)
+    return both.select("code", F.coalesce("id", F.concat(F.lit("new-"), "code")).alias("id"), pick("name", "_name"), pick("sector", "_sector"), pick("region", "_region"), pick("total_cap", "_cap"))
+
+
+def resumed(wanted: DataFrame, linked: DataFrame, fetched: DataFrame, key: str) -> DataFrame:
+    """Each wanted key with what an import that is run again does about it: done (linked already), relink (fetched before) or fetch."""
+    done = linked.select(key, F.lit(True).alias("_done")).distinct()
+    have = fetched.select(key, F.lit(True).alias("_have")).distinct()
+    step = F.when(F.col("_done"), "done").when(F.col("_have"), "relink").otherwise("fetch")
+    return wanted.select(key).distinct().join(done, key, "left").join(have, key, "left").select(key, step.alias("step"))
+
+
+def stubs(asked: DataFrame) -> DataFrame:
+    """Companies to make for counterparties (name, ticker, company_id) that nothing matched, one for each name in any case: the first's, private without a ticker."""
+    due = asked.where("company_id is null and trim(name) <> ''")
+    one = due.groupBy(F.lower(F.trim("name")).alias("key")).agg(F.min_by(F.struct(F.trim("name").alias("name"), F.nullif(F.trim("ticker"), F.lit("")).alias("ticker")), "id").alias("s"), F.count("*").alias("asked"))
+    return one.select("key", "s.name", "s.ticker", F.when(F.col("s.ticker").isNull(), "PRIVATE").otherwise("PUBLIC").alias("type"), "asked")

@@ -202,3 +202,52 @@ def counterparty_resolve(spark, d):
 def distinct_ci(spark, d):
     o = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, F.lower("o_orderpriority")).otherwise(F.col("o_orderpriority")).alias("t"), F.col("o_orderkey").alias("o"))
     return C.distinct_ci(o, "t", "o")
+
+
+@query("index_upsert", """WITH st AS (SELECT p_brand AS code, 'id-' || p_brand AS id, 'Old ' || p_brand AS name, 'OLD' AS sector, 'EU' AS region, 1.0::DOUBLE AS total_cap FROM part WHERE p_size % 2 = 0 GROUP BY p_brand),
+fr AS (SELECT p_brand AS code, 'New ' || p_brand AS name, 'US' AS region, 'HINT' AS hint FROM part WHERE p_size % 3 = 0 GROUP BY p_brand),
+m AS (SELECT p_brand AS code, split_part(p_type, ' ', 1) AS sector, CASE WHEN right(p_brand, 1) = '1' THEN 0 ELSE p_retailprice END AS cap FROM part WHERE p_size % 3 = 0),
+g AS (SELECT code, sector, sum(1.0) AS n FROM m GROUP BY ALL), s AS (SELECT code, arg_max(sector, (n, sector)) AS sector, max(n) / sum(n) AS share FROM g GROUP BY code), c AS (SELECT code, sum(cap) AS cap FROM m GROUP BY code)
+SELECT coalesce(fr.code, st.code) AS code, coalesce(st.id, 'new-' || fr.code) AS id, coalesce(fr.name, st.name) AS name, CASE WHEN fr.code IS NULL THEN st.sector WHEN s.share >= 0.8 THEN s.sector ELSE hint END AS sector, coalesce(fr.region, st.region) AS region,
+round(CASE WHEN fr.code IS NULL THEN st.total_cap WHEN c.cap > 0 THEN c.cap END, 2) AS total_cap FROM st FULL JOIN fr ON st.code = fr.code LEFT JOIN s ON s.code = fr.code LEFT JOIN c ON c.code = fr.code""")
+def index_upsert(spark, d):
+    """Brands stand for indices: stored ones, what came for some, and new ones."""
+    p = table(spark, d, "part").withColumn("code", F.col("p_brand"))
+    stored = p.where("p_size % 2 = 0").select("code").distinct().select("code", F.concat(F.lit("id-"), "code").alias("id"), F.concat(F.lit("Old "), "code").alias("name"), F.lit("OLD").alias("sector"), F.lit("EU").alias("region"), F.lit(1.0).alias("total_cap"))
+    came = p.where("p_size % 3 = 0")
+    fresh = came.select("code").distinct().select("code", F.concat(F.lit("New "), "code").alias("name"), F.lit("US").alias("region"), F.lit("HINT").alias("hint"))
+    members = came.select("code", F.get(F.split("p_type", " "), F.lit(0)).alias("sector"), F.lit(None).cast("double").alias("weight"), F.when(F.substring("p_brand", -1, 1) == "1", 0.0).otherwise(F.col("p_retailprice")).alias("market_cap"))
+    return C.index_upsert(stored, fresh, members).withColumn("total_cap", F.round("total_cap", 2))
+
+
+@query("import_resume", "SELECT DISTINCT user_id AS id, CASE WHEN user_id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') THEN 'done' WHEN user_id IN (SELECT c_custkey FROM customer) THEN 'relink' ELSE 'fetch' END AS step FROM events")
+def import_resume(spark, d):
+    """What an import that stopped half way still has to do for each key."""
+    wanted = table(spark, d, "events").select(F.col("user_id").alias("id"))
+    linked = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id"))
+    return C.resumed(wanted, linked, table(spark, d, "customer").select(F.col("c_custkey").alias("id")), "id")
+
+
+@query("counterparty_stubs", with_views("""WITH a AS (SELECT e.id, CASE WHEN e.id % 9 = 0 THEN ' ' WHEN e.id % 2 = 0 THEN ' ' || upper(e.title) || ' ' ELSE e.title || (e.company_id % 5) END AS name, CASE WHEN e.id % 4 = 0 THEN 'T' || (e.id % 3) END AS ticker, c.id AS company_id FROM evts e LEFT JOIN companies c ON c.id = e.company_id * 13 AND NOT c.deleted)
+SELECT lower(trim(name)) AS key, trim(arg_min(name, id)) AS name, arg_min(coalesce(ticker, ''), id) AS t, count(*) AS asked FROM a WHERE company_id IS NULL AND trim(name) <> '' GROUP BY 1""".replace("WITH a AS", "SELECT key, name, nullif(t, '') AS ticker, CASE WHEN t = '' THEN 'PRIVATE' ELSE 'PUBLIC' END AS type, asked FROM (WITH a AS", 1) + ")", "evts", "companies"))
+def counterparty_stubs(spark, d):
+    """Stub companies for counterparties that no company stands for."""
+    e = D.events(spark, d)
+    c = active(D.companies(spark, d)).select(F.col("id").alias("matched"))
+    name = F.when(F.col("id") % 9 == 0, " ").when(F.col("id") % 2 == 0, F.concat(F.lit(" "), F.upper("title"), F.lit(" "))).otherwise(F.concat("title", F.col("company_id") % 5))
+    asked = e.join(c, F.col("company_id") * 13 == F.col("matched"), "left").select("id", name.alias("name"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("T"), F.col("id") % 3)).alias("ticker"), F.col("matched").alias("company_id"))
+    return C.stubs(asked)
+
+
+@query("vendor_company", """WITH pr AS (SELECT c_custkey::VARCHAR AS symbol, CASE WHEN c_custkey % 6 <> 0 THEN c_name END AS companyName, CASE WHEN c_custkey % 5 <> 0 THEN 'CIK ' || c_custkey END AS cik, CASE c_custkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN ' Soft ware ' END AS industry, CASE c_custkey % 4 WHEN 0 THEN 'Financial Services' WHEN 1 THEN 'Real-Estate' WHEN 2 THEN 'Crypto' END AS sector, c_acctbal AS cap, repeat('note ', (c_custkey % 500)::INT) AS description FROM customer),
+inc AS (SELECT o_custkey::VARCHAR AS symbol, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE o_custkey % 3 WHEN 0 THEN 'usd' WHEN 1 THEN 'EUR' END AS cur, sum(CASE WHEN o_custkey % 7 = 0 THEN 0 ELSE floor(o_totalprice) END) AS revenue, sum(floor(o_totalprice)) / 4 AS gp FROM orders GROUP BY ALL),
+l AS (SELECT * FROM inc QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1)
+SELECT pr.symbol, coalesce(companyName, pr.symbol) AS name, lpad(nullif(regexp_replace(cik, '[^0-9]', '', 'g'), ''), 10, '0') AS cik, nullif(trim(industry), '') AS vendor_industry, CASE sector WHEN 'Financial Services' THEN 'FINANCIALS' WHEN 'Real-Estate' THEN 'REAL_ESTATE' END AS sector, cap AS market_cap, left(description, 2000) AS notes, CASE WHEN revenue <> 0 THEN round(gp / revenue, 2) END AS gross_margin, date::DATE AS as_of, CASE WHEN upper(cur) = 'USD' THEN revenue END AS revenue_total FROM pr LEFT JOIN l USING (symbol)""")
+def vendor_company(spark, d):
+    """Customers stand for profiles, days of orders for income statements."""
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    k = F.col("c_custkey")
+    profiles = c.select(k.cast("string").alias("symbol"), F.when(k % 6 != 0, F.col("c_name")).alias("companyName"), F.when(k % 5 != 0, F.concat(F.lit("CIK "), k)).alias("cik"), F.when(k % 3 == 0, " ").when(k % 3 == 1, " Soft ware ").alias("industry"), F.when(k % 4 == 0, "Financial Services").when(k % 4 == 1, "Real-Estate").when(k % 4 == 2, "Crypto").alias("sector"), F.col("c_acctbal").alias("marketCap"), F.expr("repeat('note ', cast(c_custkey % 500 AS int))").alias("description"))
+    n = F.col("o_custkey")
+    incomes = o.groupBy(n.cast("string").alias("symbol"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.when(n % 3 == 0, "usd").when(n % 3 == 1, "EUR").alias("reportedCurrency")).agg(F.sum(F.when(n % 7 == 0, 0.0).otherwise(F.floor("o_totalprice").cast("double"))).alias("revenue"), (F.sum(F.floor("o_totalprice").cast("double")) / 4).alias("grossProfit"))
+    return C.company_rows(profiles, incomes)

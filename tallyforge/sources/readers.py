@@ -197,3 +197,18 @@ def holdings(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "pos", "ticker", "weight"])
 
     return files.select("path", "content").mapInPandas(run, "path string, pos int, ticker string, weight double")
+
+
+# Fields of a vendor's statements and company profile, one JSON array for each endpoint.
+VENDOR_SCHEMAS = {
+    "income": "symbol string, date string, fiscalYear string, period string, reportedCurrency string, revenue double, costOfRevenue double, grossProfit double, operatingIncome double, ebitda double, netIncome double, eps double",
+    "ratios": "symbol string, fiscalYear string, period string, grossProfitMargin double, operatingProfitMargin double, netProfitMargin double, currentRatio double, debtToEquityRatio double",
+    "balance": "symbol string, fiscalYear string, period string, cashAndShortTermInvestments double, totalDebt double",
+    "cash": "symbol string, fiscalYear string, period string, operatingCashFlow double, freeCashFlow double",
+    "profile": "symbol string, companyName string, cik string, industry string, sector string, marketCap double, description string",
+}
+
+
+def vendor(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The rows of one endpoint's JSON arrays; fields in any case, unknown ones left out, missing ones null."""
+    return spark.read.schema(VENDOR_SCHEMAS[kind]).option("multiLine", True).json(path)

@@ -52,17 +52,26 @@ def test_names(spark, name, want):
     assert one(spark, name, T.norm_name) == want
 
 
-@pytest.mark.parametrize(("cik", "want"), [("0000000000", None), (" CIK-320193 ", "0000320193"), ("12345678901", "12345678901"), ("", None), (None, None)])
+@pytest.mark.parametrize(("cik", "want"), [("0000000000", "0000000000"), ("none", None), (" CIK-320193 ", "0000320193"), ("12345678901", "12345678901"), ("", None), (None, None)])
 def test_ciks(spark, cik, want):
     assert one(spark, cik, T.norm_cik) == want
 
 
 def test_text_functions(spark):
-    assert one(spark, "AmericasRetailSegmentMember", T.pretty_segment) == "Americas Retail"
+    assert [one(spark, x, T.pretty_segment) for x in ("GreaterChinaSegment", "Segment", "iPhone4Unit", "AmericasSegmentMember")] == ["Greater China", "Segment", "i Phone4Unit", "Americas Segment Member"]
+    assert [one(spark, x, T.missing_cik) for x in ("000", "", None, "n/a", "0010")] == [True, True, True, True, False]
+    assert [one(spark, x, T.billions, "double") for x in (1.25e9, 0.0, None, 3.4e7)] == ["$1.3B", "$0.0B", None, "$0.0B"]
+    assert one(spark, " financial services ", lambda c: T.sector_name(c, ("FINANCIAL_SERVICES",))) == "FINANCIAL_SERVICES" and one(spark, "x", lambda c: T.sector_name(c, ("Y",))) is None
+    assert [one(spark, x, T.value_added_kind) for x in ("V001", "V002", "V003", "T005")] == ["labor", "taxes", "capital", None]
+    assert one(spark, "SOFT_WARE_SUB", lambda c: T.label(c, "_SUB")) == "SOFT WARE" and one(spark, None, T.label) == "—"
+    assert one(spark, " ", lambda c: T.dotted(c, F.lit("a"), F.lit("b"))) == "a · b" and one(spark, None, lambda c: T.dotted(c, F.lit(" "))) is None
+    assert one(spark, "2023-09-30", lambda c: T.period_label(F.lit(None), c)) == "2023" and one(spark, None, lambda c: T.period_label(c, c)) == "n/a"
     assert one(spark, 2.5e9, T.money, "double") == "$2.50B" and one(spark, -1234.0, T.money, "double") == "$-1.23k"
     assert one(spark, " brk.b [2] x", T.norm_ticker) == "BRK-B"
     assert one(spark, "HEALTH_CARE", T.humanise) == "Health Care"
-    assert [one(spark, x, T.json_num) for x in ("$1,200", "45 %", "null", "", "ten", None)] == [1200.0, 45.0, None, None, None, None]
+    assert [one(spark, x, T.json_num) for x in ("$1,200", "45 %", "null", "", "ten", None, "(5)", "(1,234)", "7-", "1e3", "5 6")] == [1200.0, 45.0, None, None, None, None, -5.0, -1234.0, -7.0, 1000.0, None]
+    cut = lambda x: one(spark, x, lambda c: F.try_variant_get(T.json_salvage(c), "$.a[0].b", "int"))
+    assert [cut(x) for x in ('{"a": [{"b": 1}, {"b"', '{"a": [{"b": 1', 'say {"a": [{"b": 1}]} so', "} {")] == [1, None, 1, None]
     assert one(spark, "5 %", lambda c: F.try_variant_get(T.json_salvage(F.concat(F.lit('x {"a": [1, {"b": "'), c, F.lit('"}]} y'))), "$.a[1].b", "string")) == "5 %"
     assert one(spark, 2.5, lambda c: F.bround(c, 0), "double") == 2.0 and one(spark, 0.125, lambda c: F.bround(c, 2), "double") == 0.12
 
@@ -88,27 +97,36 @@ def test_dominant_sector_threshold(spark):
 def test_segments(spark):
     contexts = spark.createDataFrame([("c1", "Americas", "2023", False), ("c0", "Americas", "2022", False), ("c2", "Europe", "2023", False), ("c3", "Japan", "2023", False), ("c4", "Americas", "2023", True)], "context_id string, member string, end string, product_axis boolean")
     values = spark.createDataFrame([(c, k, v) for c, r, o in (("c1", 162.56, 60.508), ("c0", 999.0, 1.0), ("c2", 94.294, 36.098), ("c3", 24.257, 30.0), ("c4", 50.0, 10.0)) for k, v in (("revenue", r), ("operating_income", o))], "context_id string, concept string, value double")
+    contexts = X.in_columns(contexts.join(values, "context_id"), ("revenue", "operating_income"))
+    revenues = X.segment_revenues(contexts.withColumn("operating_income", F.lit(None).cast("double"))).collect()
+    assert {r.member: r.revenue for r in revenues} == {"Americas": 162.56, "Europe": 94.294, "Japan": 24.257}
     for target in ("2023", None, "1999"):
-        found = {r.member: (round(r.cost, 3), r.reconciles) for r in X.segment_costs(contexts, values, target).collect()}
+        found = {r.member: (round(r.cost, 3), r.reconciles) for r in X.segment_costs(contexts, target).collect()}
         assert found == {"Americas": (102.052, True), "Europe": (58.196, True), "Japan": (-5.743, False)}
 
 
 def test_review_is_idempotent(spark):
     rows = spark.createDataFrame([("a", "Approved", None, False), ("b", "Pending", "a", False), ("c", "Pending", None, False), ("d", "Rejected", None, False)], "id string, status string, supersedes_id string, deleted boolean")
     actions = spark.createDataFrame([("b", "approve"), ("c", "reject"), ("d", "approve")], "id string, action string")
-    once = C.review(rows, actions)
+    once = C.review(rows.join(actions, "id", "left"))
     want = {"a": ("Approved", True), "b": ("Approved", False), "c": ("Rejected", False), "d": ("Rejected", False)}
     assert {r.id: (r.status, r.deleted) for r in once.collect()} == want
-    assert {r.id: (r.status, r.deleted) for r in C.review(once, actions).collect()} == want
+    assert {r.id: (r.status, r.deleted) for r in C.review(once.join(actions, "id", "left")).collect()} == want
 
 
 def test_packing(spark):
     def pack(*sizes):
-        return [(r.n_parts, r.n_chars) for r in L.pack(spark.createDataFrame([(1, "\n".join("x" * n for n in sizes))], "doc_id long, text string"), 10).orderBy("chunk").collect()]
-
-    assert pack(4, 4, 4) == [(2, 10), (1, 4)]  # the separator doesn't count in the test, but in what is there
-    assert pack(12, 3) == [(1, 10), (1, 3)] and pack(3, 30) == [(1, 3), (1, 10)] and pack(10, 10) == [(1, 10), (1, 10)]
-    assert one(spark, "He said “the  end”, twice", lambda c: L.evidence(c, F.lit('said "the end"'))) == 4
+        return [len(r.text) for r in L.pack(spark.createDataFrame([(1, "\n \n".join("x" * n for n in sizes))], "doc_id long, text string"), 10).orderBy("chunk").collect()]
+
+    assert pack(4, 4, 4) == [10, 4]  # the separator doesn't count in the test, but in what is there
+    assert pack(12, 3) == [10, 3] and pack(3, 30) == [3, 10] and pack(10, 10) == [10, 10]
+    found = lambda text, quote: one(spark, text, lambda c: L.evidence(c, F.lit(quote)))
+    text = "He said “the  end”, twice. Net sales rose four per cent in the year to May; all of it came from abroad and none from home."
+    assert tuple(found(text, 'said "the end"')) == (4, 13, True)
+    assert tuple(found(text, "net sales rose four per cent ... it came from abroad and none"))[0] == found(text, "net sales rose four per cent")[0]
+    assert tuple(found(text, "rose four per cent in the month of June"))[1:] == (len("rose four per cent in the"), False)
+    assert found(text, "Heading glued; all of it came from abroad and none from home").exact is False
+    assert found(text, "nothing of it is here at all") is None and found(text, "...") is None and found(None, "x") is None
 
 
 def test_ranks_over_ranges(spark):
