@@ -91,9 +91,12 @@ def dealt_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, test
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage by files in the folder of spark.checkpoint.dir, which survive lost executors.
 
-    A folder of our own is set only where the session names none, as in tests.
+    A folder of our own is set only where the session names none and is a local one, as in tests.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()

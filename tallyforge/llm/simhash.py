@@ -157,8 +157,8 @@ def links(reps: DataFrame, radius: int = 4) -> DataFrame:
         got = [[b.column(i).to_numpy() for i in range(5)] for b in batches if b.num_rows]
         if got:
             fp, rep, bucket, part, parts = map(np.concatenate, zip(*got))
-            for pairs in [meet(fp.view(np.uint64), rep, bucket.astype(np.uint64), part, parts, radius, prefix)]:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+            pairs = meet(fp.view(np.uint64), rep, bucket.astype(np.uint64), part, parts, radius, prefix)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
     return sent.repartition(tasks, "bucket", "part").select("fp", "rep", "bucket", "part", "parts").mapInArrow(run, "a bigint, b bigint")
 
@@ -169,7 +169,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     A null or wordless text has fingerprint zero and links like any other; a text of fewer
     words than ``width`` is one shingle. Equal texts have equal fingerprints, so groups of
     copies count once when variants are listed. component_id is the smallest doc_id that
-    links reach (null if the group has no doc_id at all). No columns but doc_id and text are read.
+    links reach (null if the group has no doc_id at all). Repeated rows each have a row; very
+    long texts are hashed whole; ties of bits leave a bit unset. No columns but doc_id and
+    text are read.
     """
     fps = checkpointed(fingerprints(docs, width))
     reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
