@@ -170,13 +170,13 @@ def cik_match(spark, d):
 
 @query("backfill_cik", with_views(f"""WITH k AS (SELECT {NORM.format('c_name')} AS key, lpad((c_custkey * 37)::VARCHAR, 10, '0') AS cik FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT {NORM.format('c_name')}, lpad((c_custkey * 41)::VARCHAR, 10, '0') FROM customer WHERE c_custkey % 10 = 0),
 u AS (SELECT key, min(cik) AS cik FROM k GROUP BY key HAVING count(DISTINCT cik) = 1)
-SELECT c.id, c.name, u.cik FROM companies c JOIN countries n ON c.country_id = n.id JOIN u ON u.key = {NORM.format('c.name')} WHERE NOT c.deleted AND n.name = 'UNITED STATES' AND c.cik IS NULL""".replace("WITH k AS", "SELECT id, name, cik FROM (WITH k AS", 1) + ")", "companies", "countries"))
+SELECT c.id, c.name, u.cik FROM companies c JOIN countries n ON c.country_id = n.id JOIN u ON u.key = {NORM.format('c.name')} WHERE NOT c.deleted AND n.name = 'NATION_3' AND c.cik IS NULL""".replace("WITH k AS", "SELECT id, name, cik FROM (WITH k AS", 1) + ")", "companies", "countries"))
 def backfill_cik(spark, d):
     """Companies of one country without a CIK get that of their name, if it stands for no other."""
     c = table(spark, d, "customer").select(T.norm_name(F.col("c_name")).alias("key"), "c_custkey")
     code = lambda n: F.lpad((F.col("c_custkey") * n).cast("string"), 10, "0").alias("cik")
     known = c.where("c_custkey % 2 = 0").select("key", code(37)).unionByName(c.where("c_custkey % 10 = 0").select("key", code(41)))
-    n = D.countries(spark, d).where("name = 'UNITED STATES'").select(F.col("id").alias("country_id"))
+    n = D.countries(spark, d).where("name = 'NATION_3'").select(F.col("id").alias("country_id"))
     lacking = active(D.companies(spark, d)).where(T.missing_cik(F.col("cik"))).join(F.broadcast(n), "country_id", "left_semi")
     return I.backfilled(lacking.select("id", "name", T.norm_name(F.col("name")).alias("key")), known).select("id", "name", "cik")
 
@@ -194,14 +194,14 @@ def two_hop_resolve(spark, d):
     return tickers.join(first, "cik", "left").select("id", "company_id")
 
 
-@query("country_resolve", with_views("""SELECT r.id, coalesce(a.id, b.id, m.id, r.owner) AS country_id FROM (SELECT c_custkey AS id, c_nationkey::BIGINT AS owner, CASE c_custkey % 4 WHEN 0 THEN 'n' || (c_custkey % 40) WHEN 1 THEN upper(substr(c_name, 1, 2)) WHEN 2 THEN 'frA' WHEN 3 THEN CASE WHEN c_custkey % 8 = 3 THEN ' france ' END END AS called FROM customer) r
-LEFT JOIN countries a ON lower(a.code) = lower(trim(r.called)) LEFT JOIN countries b ON lower(substr(b.name, 1, 3)) = lower(trim(r.called)) LEFT JOIN countries m ON lower(m.name) = lower(trim(r.called))""", "countries"))
+@query("country_resolve", with_views("""SELECT r.id, coalesce(a.id, b.id, m.id, r.owner) AS country_id FROM (SELECT c_custkey AS id, c_nationkey::BIGINT AS owner, CASE c_custkey % 4 WHEN 0 THEN 'n' || (c_custkey % 40) WHEN 1 THEN upper('na' || chr((97 + c_custkey % 26)::INT)) WHEN 2 THEN 'Nation_' || (c_custkey % 30) WHEN 3 THEN CASE WHEN c_custkey % 8 = 3 THEN ' nation_7 ' END END AS called FROM customer) r
+LEFT JOIN countries a ON lower(a.code) = lower(trim(r.called)) LEFT JOIN countries b ON 'na' || chr((97 + b.id)::INT) = lower(trim(r.called)) LEFT JOIN countries m ON lower(m.name) = lower(trim(r.called))""", "countries"))
 def country_resolve(spark, d):
     """By two-letter code, else by three-letter one, else by name, in any case; else the owner's country."""
     n = D.countries(spark, d)
-    called = F.expr("CASE c_custkey % 4 WHEN 0 THEN concat('n', c_custkey % 40) WHEN 1 THEN upper(substr(c_name, 1, 2)) WHEN 2 THEN 'frA' WHEN 3 THEN CASE WHEN c_custkey % 8 = 3 THEN ' france ' END END")
+    called = F.expr("CASE c_custkey % 4 WHEN 0 THEN concat('n', c_custkey % 40) WHEN 1 THEN upper(concat('na', char(97 + c_custkey % 26))) WHEN 2 THEN concat('Nation_', c_custkey % 30) WHEN 3 THEN CASE WHEN c_custkey % 8 = 3 THEN ' nation_7 ' END END")
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("owner"), F.lower(F.trim(called)).alias("called"))
-    names = n.select(F.lower("code").alias("a_key"), F.lower(F.substring("name", 1, 3)).alias("b_key"), F.lower("name").alias("m_key"), "id")
+    names = n.select(F.lower("code").alias("a_key"), F.expr("concat('na', char(97 + id))").alias("b_key"), F.lower("name").alias("m_key"), "id")
     for k in "abm":
         rows = rows.join(F.broadcast(names.select(F.col(f"{k}_key").alias("called"), F.col("id").alias(k))), "called", "left")
     return rows.select("id", F.coalesce("a", "b", "m", "owner").alias("country_id"))

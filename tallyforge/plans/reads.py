@@ -71,7 +71,7 @@ def search_company_prefix(spark, d):
 
 
 @query("search_variants", with_views(f"""SELECT 'company_lookup' AS kind, id::VARCHAR AS id FROM companies WHERE NOT deleted AND (name ILIKE '{TERM}%' OR cik ILIKE '{TERM}%')
-UNION ALL SELECT 'country', id::VARCHAR FROM countries WHERE name ILIKE 'n1%' OR code ILIKE 'n1%' OR region ILIKE 'n1%' UNION ALL SELECT 'country_lookup', id::VARCHAR FROM countries WHERE name ILIKE 'r%'
+UNION ALL SELECT 'country', id::VARCHAR FROM countries WHERE name ILIKE 'n1%' OR code ILIKE 'n1%' OR region ILIKE 'n1%' UNION ALL SELECT 'country_lookup', id::VARCHAR FROM countries WHERE name ILIKE 'nation_1%'
 UNION ALL SELECT 'contribution', b.id FROM contributions b LEFT JOIN companies c ON c.id = b.related_company_id WHERE NOT b.deleted AND (b.id ILIKE '%3-1%' OR c.name ILIKE '%3-1%')
 UNION ALL SELECT 'filing', o_orderkey::VARCHAR FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey::VARCHAR ILIKE '%00%' OR o_orderpriority ILIKE '%00%' OR c_name ILIKE '%00%'
 UNION ALL SELECT 'bloc', r_regionkey::VARCHAR FROM region WHERE r_name ILIKE '%ia%' OR r_regionkey::VARCHAR ILIKE '%ia%'
@@ -86,7 +86,7 @@ def search_variants(spark, d):
     found = {
         "company_lookup": R.matching(R.active(c), TERM, "name", "cik"),
         "country": R.matching(n, "n1", "name", "code", "region"),
-        "country_lookup": R.matching(n, "r", "name"),
+        "country_lookup": R.matching(n, "nation_1", "name"),
         "contribution": R.matching(R.active(D.contributions(spark, d)).join(buyers, "related_company_id", "left"), "3-1", "id", "name", contains=True),
         "filing": R.matching(filings, "00", "id", "form", "c_name", contains=True),
         "bloc": R.matching(blocs, "ia", "name", "id", contains=True),

@@ -114,7 +114,7 @@ def xbrl_view(spark, d):
 
 @query("edgar_refresh", """WITH y AS (SELECT o_custkey AS company_id, year(o_orderdate) AS fy, max(o_orderdate)::DATE AS "end", sum(o_totalprice) AS revenue, sum(CASE WHEN o_orderpriority LIKE '1%' THEN o_totalprice END) AS cogs FROM orders GROUP BY ALL),
 l AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY fy DESC) = 1)
-SELECT company_id, 'REVENUE' AS kind, 'Revenue ' || fy AS name, round(revenue, 2) AS value FROM l UNION ALL SELECT company_id, 'COGS', 'Cost of revenue ' || CASE WHEN company_id % 2 = 0 THEN fy ELSE year("end") END, round(cogs, 2) FROM l WHERE cogs IS NOT NULL UNION ALL SELECT company_id, 'OPEX', 'Operating expenses n/a', round(revenue / 4, 1) FROM l""")
+SELECT company_id, 'REVENUE' AS kind, 'Revenue ' || fy AS name, round(revenue, 2) AS value FROM l UNION ALL SELECT company_id, 'COGS', 'Cost of revenue ' || CASE WHEN company_id % 2 = 0 THEN fy ELSE year("end") END, round(cogs, 2) FROM l WHERE cogs IS NOT NULL UNION ALL SELECT company_id, 'OPEX', 'Operating expenses n/a', round(revenue - 1, 2) FROM l""")
 def edgar_refresh(spark, d):
     """Three rows of a company's latest year; the label is the fiscal year, else the period's end, else n/a."""
     o = table(spark, d, "orders")
@@ -122,7 +122,7 @@ def edgar_refresh(spark, d):
     last = by_year.groupBy("company_id").agg(F.max_by(F.struct("fiscal_year", "end", "revenue", "cogs"), "fiscal_year").alias("y")).select("company_id", "y.*")
     row = lambda value, year, end: last.select("company_id", year.alias("fiscal_year"), end.alias("end"), value.alias("value"))
     year, end, none = F.col("fiscal_year"), F.col("end"), F.lit(None)
-    annual = {"REVENUE": row(F.col("revenue"), year, end), "COGS": row(F.col("cogs"), F.when(F.col("company_id") % 2 == 0, year), end), "OPEX": row(F.round(F.col("revenue") / 4, 1), none.cast("int"), none.cast("date"))}
+    annual = {"REVENUE": row(F.col("revenue"), year, end), "COGS": row(F.col("cogs"), F.when(F.col("company_id") % 2 == 0, year), end), "OPEX": row(F.col("revenue") - 1, none.cast("int"), none.cast("date"))}
     return X.refreshed(annual, "company_id").withColumn("value", F.round("value", 2))
 
 
