@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, language, passages, pii, quality, secrets, simhash, urls
+from . import bpe, clusters, decontaminate, html, language, passages, pii, quality, secrets, simhash, urls
 from .common import checkpointed, table
 
 try:  # the tokenizer files' folder is a parameter of the operators; this is the default of the queries
@@ -68,6 +68,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER, digest=True)
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_passages": op1_passages,
     "op2_pii": op2_pii,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
+    "op11_clusters": op11_clusters,
 }
 
 ORACLE: dict[str, str] = {
@@ -89,4 +94,5 @@ ORACLE: dict[str, str] = {
     "rules_ablation": quality.ablation_oracle(),
     "op5_urls": urls.oracle(),
     "op7_secrets": secrets.oracle(),
+    "op11_clusters": clusters.oracle(),
 }
