@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, clusters, decontaminate, html, language, passages, pii, quality, secrets, simhash, urls
+from . import bpe, clusters, decontaminate, html, language, passages, pii, quality, ranked, secrets, simhash, urls
 from .common import checkpointed, table
 
 try:  # the tokenizer files' folder is a parameter of the operators; this is the default of the queries
@@ -72,6 +72,10 @@ def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_passages": op1_passages,
     "op2_pii": op2_pii,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
     "op11_clusters": op11_clusters,
+    "op12_ranked": op12_ranked,
 }
 
 ORACLE: dict[str, str] = {
@@ -95,4 +100,5 @@ ORACLE: dict[str, str] = {
     "op5_urls": urls.oracle(),
     "op7_secrets": secrets.oracle(),
     "op11_clusters": clusters.oracle(),
+    "op12_ranked": ranked.oracle(),
 }
