@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, clusters, decontaminate, html, language, passages, pii, quality, ranked, secrets, simhash, urls
+from . import bpe, clusters, decontaminate, html, language, minhash, passages, pii, quality, ranked, secrets, simhash, urls
 from .common import checkpointed, table
 
 try:  # the tokenizer files' folder is a parameter of the operators; this is the default of the queries
@@ -76,6 +76,10 @@ def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_passages": op1_passages,
     "op2_pii": op2_pii,
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
     "op11_clusters": op11_clusters,
     "op12_ranked": op12_ranked,
+    "op13_minhash": op13_minhash,
 }
 
 ORACLE: dict[str, str] = {
@@ -101,4 +106,5 @@ ORACLE: dict[str, str] = {
     "op7_secrets": secrets.oracle(),
     "op11_clusters": clusters.oracle(),
     "op12_ranked": ranked.oracle(),
+    "op13_minhash": minhash.oracle(),
 }
