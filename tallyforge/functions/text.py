@@ -80,8 +80,9 @@ def period_label(fiscal_year: Column, end: Column) -> Column:
 
 
 def value_added_kind(code: Column) -> Column:
-    """What a row of value added is, by its code."""
-    return F.when(code == "V001", "labor").when(code == "V002", "taxes").when(code == "V003", "capital")
+    """What a row of value added is, by the start of its code."""
+    start = F.substring(F.upper(F.trim(code)), 1, 4)
+    return F.when(start == "V001", "labor").when(start == "V002", "taxes").when(start == "V003", "capital")
 
 
 def sector_name(raw: Column, known: tuple[str, ...]) -> Column:
