@@ -164,7 +164,10 @@ def workbook_cells(content: bytes) -> list[list[str]]:
     name = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = ["".join(t.text or "" for t in s.iter(f"{name}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
-        sheet = ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml"))
+        first = next((n for n in z.namelist() if n.startswith("xl/worksheets/") and n.endswith(".xml")), None)
+        if first is None:
+            return []
+        sheet = ElementTree.fromstring(z.read(first))
     rows = []
     for r in sheet.iter(f"{name}row"):
         cells: dict[int, str] = {}
@@ -178,22 +181,30 @@ def workbook_cells(content: bytes) -> list[list[str]]:
     return rows
 
 
+def fund_holdings(rows: list[list[str]]) -> tuple[str | None, list[tuple[str, float | None]]]:
+    """A fund's name and its (ticker, weight) rows; the header is the first row with both labels in its cells.
+
+    The name stands after a label before the header. Rows without a ticker are left out, as are
+    all rows if there is no header; weights that are no number are null.
+    """
+    labels = [[c.lower() for c in r] for r in rows]
+    at = lambda cells, label: next((k for k, c in enumerate(cells) if label in c), None)
+    head = next((k for k, r in enumerate(labels) if at(r, "ticker") is not None and at(r, "weight") is not None), None)
+    named = (r[k + 1 :] for r, low in zip(rows[:head], labels) if (k := at(low, "fund name")) is not None)
+    name = next((c.strip() for cells in named for c in cells if c.strip()), None)
+    if head is None:
+        return name, []
+    t, w = at(labels[head], "ticker"), at(labels[head], "weight")
+    get = lambda r, k: r[k].strip() if k < len(r) else ""
+    return name, [(get(r, t), number if pd.notna(number := pd.to_numeric(get(r, w), errors="coerce")) else None) for r in rows[head + 1 :] if get(r, t)]
+
+
 def holdings(files: DataFrame) -> DataFrame:
-    """(path, pos, ticker, weight) of funds' workbooks, read as binary files; the header row has both labels."""
+    """(path, pos, ticker, weight) of funds' workbooks, read as binary files; see fund_holdings()."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for path, content in zip(batch["path"], batch["content"]):
-                rows = workbook_cells(content)
-                labels = [[c.strip().lower() for c in r] for r in rows]
-                head = next((k for k, r in enumerate(labels) if "ticker" in r and "weight" in r), None)
-                if head is None:
-                    continue
-                t, w = labels[head].index("ticker"), labels[head].index("weight")
-                for k, r in enumerate(rows[head + 1 :]):
-                    if len(r) > max(t, w) and r[t].strip():
-                        out.append((path, k, r[t].strip(), pd.to_numeric(r[w], errors="coerce")))
+            out = [(path, k, *row) for path, content in zip(batch["path"], batch["content"]) for k, row in enumerate(fund_holdings(workbook_cells(content))[1])]
             yield pd.DataFrame(out, columns=["path", "pos", "ticker", "weight"])
 
     return files.select("path", "content").mapInPandas(run, "path string, pos int, ticker string, weight double")
