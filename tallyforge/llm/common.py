@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +16,35 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Keys that may be hot at once.
 MOST_HOT = 10_000
+#: Seed of hashes of shingles.
+SEED = 42
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it takes to be none of the columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of every run of ``width`` words, in lower case (A-Z only), joined by spaces."""
+    words = (text or "").encode().lower().split()  # of bytes: cut at \x20 and \x09-\x0D
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) <= width:
+        return np.array([digest(line, SEED)], np.uint64)
+    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    starts, ends = [0, *(spaces + 1).tolist()], [*spaces.tolist(), len(line)]
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[width - 1 :])], np.uint64)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep the memory of Python workers small whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -91,7 +116,8 @@ def dealt_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, test
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage by files in the folder of spark.checkpoint.dir, which survive lost executors.
 
-    A folder of our own is set only where the session names none and is a local one, as in tests.
+    What was shuffled to make them is deleted with the job that wrote them. A folder of our own
+    is set only where the session names none and is a local one, as in tests.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
@@ -99,4 +125,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not folder and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        return df.select("*").checkpoint()  # a plan takes the setting when it is made
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of frames that checkpointed() gave, once nothing will read them any more."""
+    for df in frames:
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

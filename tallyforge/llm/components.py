@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, release
+
+#: Edges in one partition of a round's result.
+PART_EDGES = 50_000
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -36,4 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = links.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
         if now == before or not now[0]:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        links, before = checkpointed(small_star(large_star(links))), now
+        parts = now[0] // PART_EDGES + 1  # few edges lie in few files, whatever the number of shuffle partitions
+        last, before = links, now
+        links = checkpointed(small_star(large_star(links.coalesce(parts))).coalesce(parts))
+        release(last)

@@ -4,9 +4,9 @@ A text's set is its distinct shingles, as 64-bit hashes; equal sets count once.
 hashes are its sketch. Inverted lists of retained values find pairs, in four steps:
 
 1. Of the K smallest hashes of two sets' union, one in both sets falls into both sketches. Sets
-   that reach the share have at least LEAST such values, but for one pair in 3e9. So if values
-   are ordered by how many sets retain them, some common value is among the rarest
-   K - LEAST + 1 of either sketch, and inverted lists of these meet every pair.
+   that reach the share have at least ``least`` such values, but for one pair in a billion. So if
+   values are ordered by how many sets retain them, some common value is among the rarest
+   K - least + 1 of either sketch, and inverted lists of these meet every pair.
 2. In a list of few sets, pairs whose union's sketch makes the share likely are joined; all sets
    of a longer list are. What is joined forms groups, outside of which nothing is linked.
 3. Every group compares full sets, exactly, by an inverted index of its own. Groups beyond CHUNK
@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,42 +32,58 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, dealt_join, hot_counts, map_rows
+from .common import checkpointed, dealt_join, hot_counts, map_rows, release, shingle_hashes
 from .components import components
-from .simhash import shingle_hashes
 
-#: Words of a shingle, and the share in hundredths from which on sets are linked.
-SHINGLE, SHARE = 3, 85
-#: Values of a sketch, and how many of a union's K smallest two linked sets have in common.
-K, LEAST = 64, 34
+#: Values of a sketch, and how rarely two linked sets may have fewer of them in common than ``least``.
+K, MISSED = 64, 1e-9
 #: Sets of a list up to which its pairs are estimated.
 SHORT = 64
-#: Shingles compared in one task, hubs of a larger group, and how much sizes in one bucket differ (somewhat more than linked sets' may).
-CHUNK, HUBS, WIDTH = 1 << 17, 8, math.log(100 / (SHARE - 1))
+#: Shingles compared in one task, and hubs of a larger group for each range of sizes.
+CHUNK, HUBS = 1 << 17, 8
 #: Rows of one value from which on they are dealt over several tasks.
 HOT_VALUE = 4096
 
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct hashes of the text's shingles."""
-    return np.unique(shingle_hashes(text, SHINGLE))
+@dataclass(frozen=True)
+class Rule:
+    """Which texts are linked: by runs of so many words, from so many hundredths of them in common on, and whether wordless texts are equal."""
 
+    words: int = 3
+    share: int = 85
+    wordless: bool = False
 
-def linked(both: np.ndarray | int, x: np.ndarray | int, y: np.ndarray | int) -> np.ndarray | bool:
-    """Whether sets of sizes x and y with so many common shingles reach the share."""
-    return 100 * both >= SHARE * (x + y - both)
+    @cached_property
+    def least(self) -> int:
+        """How many of a union's K smallest values two linked sets have in common at least, but for one pair in 1 / MISSED."""
+        p, rest, t = self.share / 100, 0.0, 0
+        while (rest := rest + math.comb(K, t) * p**t * (1 - p) ** (K - t)) <= MISSED:
+            t += 1
+        return t
 
+    @property
+    def width(self) -> float:
+        """How much the logarithms of sizes in one bucket differ: somewhat more than linked sets' may."""
+        return math.log(100 / (self.share - 1))
 
-def likely(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> bool:
-    """Whether two sketches (sorted, of sets of sizes nx and ny) allow the share; exact if both hold the whole sets."""
-    both = np.sort(np.concatenate([x, y]))
-    twice = both[1:] == both[:-1]
-    if nx <= K and ny <= K:
-        return bool(linked(int(twice.sum()), nx, ny))
-    distinct = np.cumsum(np.r_[True, ~twice])
-    return int((twice & (distinct[1:] <= K)).sum()) >= LEAST
+    def shingles(self, text: str | None) -> np.ndarray:
+        """The sorted distinct hashes of the text's shingles."""
+        return np.unique(shingle_hashes(text, self.words))
+
+    def linked(self, both: np.ndarray | int, x: np.ndarray | int, y: np.ndarray | int) -> np.ndarray | bool:
+        """Whether sets of sizes x and y with so many common shingles reach the share."""
+        return 100 * both >= self.share * (x + y - both)
+
+    def likely(self, x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> bool:
+        """Whether two sketches (sorted, of sets of sizes nx and ny) allow the share; exact if both hold the whole sets."""
+        both = np.sort(np.concatenate([x, y]))
+        twice = both[1:] == both[:-1]
+        if nx <= K and ny <= K:
+            return bool(self.linked(int(twice.sum()), nx, ny))
+        distinct = np.cumsum(np.r_[True, ~twice])
+        return int((twice & (distinct[1:] <= K)).sum()) >= self.least
 
 
 class Forest:
@@ -98,38 +116,38 @@ class Inverted:
         first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
         self.values, self.start = flat[first], np.r_[first, len(flat)]
 
-    def links(self, s: np.ndarray) -> np.ndarray:
-        """Numbers of the sets that reach the share with ``s``."""
+    def links(self, s: np.ndarray, rule: Rule) -> np.ndarray:
+        """Numbers of the sets that are linked with ``s``."""
         at = np.minimum(np.searchsorted(self.values, s), len(self.values) - 1)
         at = at[self.values[at] == s]
         count = self.start[at + 1] - self.start[at]
         places = np.arange(count.sum()) + np.repeat(self.start[at] - np.r_[0, np.cumsum(count)[:-1]], count) if len(at) else np.zeros(0, np.int64)
         both = np.bincount(self.owner[places], minlength=len(self.sizes))
-        return np.flatnonzero((both > 0) & linked(both, len(s), self.sizes))
+        return np.flatnonzero((both > 0) & rule.linked(both, len(s), self.sizes))
 
 
-def inner(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def inner(sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
     """Linked pairs of some sets that connect what all linked pairs do."""
     if len(sets) == 2:
         both = len(np.intersect1d(*sets, assume_unique=True))
-        return [(0, 1)] if linked(both, len(sets[0]), len(sets[1])) else []
+        return [(0, 1)] if rule.linked(both, len(sets[0]), len(sets[1])) else []
     index, forest = Inverted(sets), Forest(len(sets))
     for i, s in enumerate(sets):
-        for j in index.links(s).tolist():
+        for j in index.links(s, rule).tolist():
             if j > i:
                 forest.join(i, j)
     return forest.edges
 
 
-def estimated(tids: list[int], sizes: list[int], sketches: list[np.ndarray]) -> list[tuple[int, int]]:
+def estimated(tids: list[int], sizes: list[int], sketches: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
     """Likely pairs of one list that connect what all its likely pairs do."""
     order = sorted(range(len(tids)), key=sizes.__getitem__)
     forest = Forest(len(tids))
     for k, i in enumerate(order):
         for j in order[k + 1 :]:
-            if 100 * sizes[i] < SHARE * sizes[j]:
+            if 100 * sizes[i] < rule.share * sizes[j]:
                 break
-            if forest.top(i) != forest.top(j) and likely(sketches[i], sketches[j], sizes[i], sizes[j]):
+            if forest.top(i) != forest.top(j) and rule.likely(sketches[i], sketches[j], sizes[i], sizes[j]):
                 forest.join(i, j)
     return [(tids[i], tids[j]) for i, j in forest.edges]
 
@@ -138,16 +156,19 @@ def pairs_of(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], schema=EDGES)
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, text_id, tid (a hash of the set; null without a word), n (its size) and the sketch, a row for each row of ``docs``."""
+def sketched(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, text_id, tid (a hash of the set), n (its size) and the sketch, a row for each row of ``docs``.
+
+    Without a word tid is null, unless wordless texts are equal.
+    """
     text_id = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
 
     def rows(doc_id: list, text_id: list, text: list) -> dict[str, list]:
-        sets = [shingles(t) for t in text]
+        sets = [rule.shingles(t) for t in text]
         return {
             "doc_id": doc_id,
             "text_id": text_id,
-            "tid": [xxhash.xxh64_intdigest(s.tobytes(), 1) >> 1 if len(s) else None for s in sets],
+            "tid": [xxhash.xxh64_intdigest(s.tobytes(), 1) >> 1 if len(s) or rule.wordless else None for s in sets],
             "n": [len(s) for s in sets],
             "sketch": [s[:K].view(np.int64) for s in sets],
         }
@@ -156,21 +177,21 @@ def sketched(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select(docs["doc_id"].cast("long"), text_id, docs["text"]), rows, schema, "doc_id bigint, text_id bigint, tid bigint, n bigint, sketch array<bigint>")
 
 
-def prefixes(nodes: DataFrame) -> DataFrame:
+def prefixes(nodes: DataFrame, rule: Rule) -> DataFrame:
     """(value, tid): of each sketch the rarest retained values of which linked sets share one, without those that no other sketch retains."""
     values = nodes.select("tid", "n", F.explode("sketch").alias("value"))
     counts = checkpointed(values.groupBy("value").count().where(F.col("count") > 1))
     shared = dealt_join(values, counts, "value", hot_counts(counts, "value", HOT_VALUE))
     own = shared.groupBy("tid").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("count", "value"))).alias("own"))  # at most K values
-    size, whole = F.least("n", F.lit(K)), F.ceil(F.col("n") * SHARE / 100)
-    least = F.when(F.col("n") * 100 < K * SHARE, whole).otherwise(F.least(whole, F.lit(LEAST)))
+    size, whole = F.least("n", F.lit(K)), F.ceil(F.col("n") * rule.share / 100)
+    least = F.when(F.col("n") * 100 < K * rule.share, whole).otherwise(F.least(whole, F.lit(rule.least)))
     room = (size - least + 1 - (size - F.size("own"))).cast("int")
     return own.where(room > 0).select("tid", F.explode(F.slice("own", F.lit(1), room)["value"]).alias("value"))
 
 
-def groups(nodes: DataFrame) -> DataFrame:
+def groups(nodes: DataFrame, rule: Rule) -> DataFrame:
     """(tid, of) of the sets that may be linked with others: linked ones have the same ``of``."""
-    own = checkpointed(prefixes(nodes))
+    own = checkpointed(prefixes(nodes, rule))
     lists = checkpointed(own.groupBy("value").agg(F.count("*").alias("count"), F.min("tid").alias("least")).where(F.col("count") > 1))
     hot = hot_counts(lists.select("value", "count"), "value", HOT_VALUE)
     long = dealt_join(own, lists.where(F.col("count") > SHORT).select("value", "least"), "value", hot)
@@ -188,31 +209,34 @@ def groups(nodes: DataFrame) -> DataFrame:
             flat, cut = sketch.flatten().to_numpy().view(np.uint64), np.r_[0, np.cumsum(sketch.value_lengths().to_numpy())]
             for size in of.value_lengths().to_pylist():
                 start, end = end, end + size
-                found += estimated(tid[start:end], n[start:end], [flat[cut[k] : cut[k + 1]] for k in range(start, end)])
+                found += estimated(tid[start:end], n[start:end], [flat[cut[k] : cut[k + 1]] for k in range(start, end)], rule)
             yield pairs_of(found)
 
     edges = checkpointed(joined.unionByName(short.select("sets").mapInArrow(run, "a bigint, b bigint")))
+    release(own, lists)
     found = components(edges)
     return edges.select(F.explode(F.array("a", "b")).alias("tid")).distinct().join(found, F.col("tid") == found["node"], "left").select("tid", F.coalesce("component", "tid").alias("of"))
 
 
-def placed(nodes: DataFrame) -> DataFrame:
+def placed(nodes: DataFrame, rule: Rule) -> DataFrame:
     """(tid, of, big, bucket, parts, place, chunk): where each set of a group is compared. Big groups are split by size and hash."""
-    members = checkpointed(groups(nodes).join(nodes.select("tid", "n"), "tid"))
-    bucket = F.floor(F.log(F.col("n").cast("double")) / WIDTH).cast("int")
-    sizes = members.groupBy("of").agg(F.sum("n").alias("all")).where(F.col("all") > CHUNK).select("of", F.lit(True).alias("big"))
-    members = members.join(sizes, "of", "left").withColumn("big", F.coalesce("big", F.lit(False)))
-    members = checkpointed(members.withColumn("bucket", F.when(F.col("big"), bucket).otherwise(F.lit(0))))
+    found = checkpointed(groups(nodes, rule).join(nodes.select("tid", "n"), "tid"))
+    bucket = F.floor(F.log(F.col("n").cast("double")) / rule.width).cast("int")
+    sizes = found.groupBy("of").agg(F.sum("n").alias("all")).where(F.col("all") > CHUNK).select("of", F.lit(True).alias("big"))
+    members = found.join(sizes, "of", "left").withColumn("big", F.coalesce("big", F.lit(False)))
+    members = members.withColumn("bucket", F.when(F.col("big"), bucket).otherwise(F.lit(0)))
     parts = members.where("big").groupBy("of", "bucket").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("parts"))
     members = members.join(parts, ["of", "bucket"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    return checkpointed(members.select("tid", "of", "big", "bucket", "parts", place().alias("place"), F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int").alias("chunk")))
+    made = checkpointed(members.select("tid", "of", "big", "bucket", "parts", place().alias("place"), F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int").alias("chunk")))
+    release(found)
+    return made
 
 
 def place() -> Column:
     return F.xxhash64("of", "bucket")
 
 
-def with_sets(docs: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+def with_sets(docs: DataFrame, members: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """``members`` with the shingles of each as bytes; ``texts`` has one doc_id and text_id for each tid."""
     wanted = members.join(texts, "tid")
     text_id = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
@@ -220,13 +244,13 @@ def with_sets(docs: DataFrame, members: DataFrame, texts: DataFrame) -> DataFram
     kept = found.join(wanted, found["own_id"].eqNullSafe(wanted["doc_id"]) & (found["own_text"] == wanted["text_id"])).dropDuplicates(["tid"])
 
     def rows(tid: list, text: list) -> dict[str, list]:
-        return {"tid": tid, "shingles": [shingles(t).tobytes() for t in text]}
+        return {"tid": tid, "shingles": [rule.shingles(t).tobytes() for t in text]}
 
     made = map_rows(kept.select("tid", "text"), rows, pa.schema([("tid", pa.int64()), ("shingles", pa.binary())]), "tid bigint, shingles binary")
     return checkpointed(made.join(members, "tid"))
 
 
-def compared(rows: DataFrame) -> DataFrame:
+def compared(rows: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) between each chunk's own sets, and between these and its guests.
 
     Where sets have a component already, only guests are held against own sets, of other components.
@@ -238,10 +262,10 @@ def compared(rows: DataFrame) -> DataFrame:
         guests = [i for i, g in enumerate(guest) if g] if own else []
         sets = [np.frombuffer(data[i], np.uint64) for i in own]
         first = own and component[own[0]] is None
-        found = [(own[i], own[j]) for i, j in inner(sets)] if first else []
+        found = [(own[i], own[j]) for i, j in inner(sets, rule)] if first else []
         index, forest = Inverted(sets) if guests else None, Forest(len(tids))
         for i in guests:
-            for j in index.links(np.frombuffer(data[i], np.uint64)).tolist():
+            for j in index.links(np.frombuffer(data[i], np.uint64), rule).tolist():
                 if tids[i] != tids[own[j]] and (first or component[i] != component[own[j]]):
                     forest.join(i, own[j])
         found += forest.edges
@@ -258,28 +282,44 @@ def visiting(guests: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
 
 
-def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) of tids that reach the share and connect what all such pairs connect."""
-    members = placed(nodes)
-    own = with_sets(docs, members, nodes.select("tid", "doc_id", "text_id"))
+    members = placed(nodes, rule)
+    own = with_sets(docs, members, nodes.select("tid", "doc_id", "text_id"), rule)
     alone = own.select("tid", "shingles", "of", "big", "bucket", "place", "chunk", F.lit(False).alias("guest"), F.lit(None).cast("long").alias("component"))
     chunks = checkpointed(members.where("big").select("place", F.col("parts").alias("pieces")).distinct())
     if chunks.isEmpty():
-        return checkpointed(compared(alone))
+        return checkpointed(compared(alone, rule))
     chosen = F.explode(F.array_distinct(F.array(*(F.min_by("tid", F.xxhash64("tid", F.lit(i))) for i in range(HUBS)))))
     hubs = own.where("big").join(members.where("big").groupBy("of", "bucket").agg(chosen.alias("tid")).select("tid"), "tid", "left_semi")
     guests = visiting(hubs, chunks).withColumns({"guest": F.lit(True), "component": F.lit(None).cast("long")})
-    first = checkpointed(compared(alone.unionByName(guests.select(alone.columns))))
+    first = checkpointed(compared(alone.unionByName(guests.select(alone.columns)), rule))
     found = components(first)
     big = own.where("big").join(found, F.col("tid") == found["node"], "left").withColumn("component", F.coalesce("component", "tid")).drop("node")
     big = checkpointed(big)
     most = big.groupBy("of", "component").count().groupBy("of").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
     rest = big.join(most, "of").where(F.col("component") != F.col("main")).drop("main").withColumn("guest", F.lit(True))
     second = visiting(rest, chunks).select(alone.columns).unionByName(big.withColumn("guest", F.lit(False)).select(alone.columns))
-    return checkpointed(first.unionByName(compared(second)))
+    return checkpointed(first.unionByName(compared(second, rule)))
+
+
+def grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_id, tid, n) of ``docs``, and for each tid its group: (tid, of, first).
+
+    ``of`` is one tid of the group and ``first`` a struct of the group's smallest doc_id and the
+    text that has it, null if no row of the group has a doc_id.
+    """
+    rows = checkpointed(sketched(docs, rule))
+    own = F.struct("doc_id", "text_id")
+    each = rows.where("tid is not null").groupBy("tid").agg(F.min(own).alias("text"), F.min(F.when(F.col("doc_id").isNotNull(), own)).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = checkpointed(each.select("tid", "n", "sketch", "rep", "text.doc_id", "text.text_id"))
+    found = components(links(docs, nodes, rule))
+    labels = nodes.select("tid", "rep").join(found, F.col("tid") == found["node"], "left").select("tid", "rep", F.coalesce("component", "tid").alias("of"))
+    first = labels.groupBy("of").agg(F.min("rep").alias("first"))
+    return rows.drop("sketch"), labels.join(first, "of").select("tid", "of", "first")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row for each row of ``docs``.
 
     A text of fewer words than a shingle is one shingle; null and wordless texts have the empty
@@ -289,27 +329,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     each have a row and are judged by their text; very long texts are compared whole. Sets are
     told apart by 63 bits of hash, shingles by 64. Only doc_id and text are read.
     """
-    rows = checkpointed(sketched(docs))
-    some = rows.where("tid is not null").groupBy("tid")
-    nodes = checkpointed(some.agg(F.min(F.struct("doc_id", "text_id")).alias("text"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("tid", "n", "sketch", "rep", "text.doc_id", "text.text_id"))
-    found = components(links(docs, nodes))
-    labels = nodes.select("tid", "rep").join(found, F.col("tid") == found["node"], "left").select("tid", "rep", F.coalesce("component", "tid").alias("c"))
-    least = labels.groupBy("c").agg(F.min("rep").alias("least"))
-    labels = labels.join(least, "c").select("tid", "least")
-    out = rows.select("doc_id", "tid", "n").join(labels, "tid", "left")
-    component = F.when(F.col("tid").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    rows, labels = grouped(docs, rule)
+    out = rows.join(labels, "tid", "left")
+    component = F.when(F.col("tid").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def oracle() -> str:
+def oracle(rule: Rule = Rule()) -> str:
     """DuckDB SQL for near_duplicates() over documents: every pair that shares a shingle, on whole shingles."""
     words = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
     return f"""WITH RECURSIVE w AS (SELECT doc_id, {words} AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {SHINGLE} THEN [array_to_string(ws, ' ')]
-  ELSE list_transform(range(1, len(ws) - {SHINGLE - 2}), lambda i: array_to_string(ws[i:i + {SHINGLE - 1}], ' ')) END) AS shingle FROM w),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {rule.words} THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - {rule.words - 2}), lambda i: array_to_string(ws[i:i + {rule.words - 1}], ' ')) END) AS shingle FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 e AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL)
-  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= {SHARE} * (na.n + nb.n - common)),
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= {rule.share} * (na.n + nb.n - common)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
 c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)"""

@@ -17,14 +17,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, dealt_join, hot_counts, hot_keys, map_rows
+from . import minhash
+from .common import bounded_batches, checkpointed, free, map_rows, shingle_hashes
 from .components import components
 
-SEED = 42
 #: Least bits of prefix, the variants that one task lists at a time, and from how many rows on
 #: a prefix is dealt over several tasks, each with a share of its variants.
 PREFIX, TASK_VARIANTS, HOT_ROWS = 16, 4 << 20, 4096
@@ -34,19 +33,6 @@ BROADCAST_PREFIXES = 1 << 20
 SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
 
-def shingle_hashes(text: str | None, width: int) -> np.ndarray:
-    """XXH64 of every run of ``width`` words, in lower case (A-Z only), joined by spaces."""
-    words = (text or "").encode().lower().split()  # of bytes: cut at \x20 and \x09-\x0D
-    line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) <= width:
-        return np.array([digest(line, SEED)], np.uint64)
-    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-    starts, ends = [0, *(spaces + 1).tolist()], [*spaces.tolist(), len(line)]
-    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[width - 1 :])], np.uint64)
-
-
 def fingerprint(text: str | None, width: int = 4) -> int:
     """A bit is set if it is set in over half of the shingles' hashes; no words: zero."""
     hashes = shingle_hashes(text, width)
@@ -181,178 +167,27 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: The share of SHINGLE-word shingles that near copies have in common. Pairs of texts are proposed
-#: by BANDS hashes of BAND minima each, of which two texts at that share have none in common in one
-#: case of 2,800, and kept if BITS bits of each minimum, in WORDS longs, put the share at LIKELY or
-#: more (three standard deviations below SHARE).
-SHARE, SHINGLE = 0.8, 5
-BANDS, BAND, BITS, WORDS, LIKELY = 20, 5, 3, 5, 0.66
-SALTS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64)
-#: Rows of one key from which on they are dealt over several tasks.
-HOT_KEY = 1024
-#: Texts whose shingles a task remembers.
-CACHE_TEXTS = 2000
-
-
-def sketch(text: str | None) -> np.ndarray:
-    """BANDS keys, each a hash of BAND minima of the text's mixed shingle hashes, and WORDS words of bits of
-    the minima; wordless texts have equal ones."""
-    hashes = np.unique(shingle_hashes(text, SHINGLE))
-    least = np.full(len(SALTS), (1 << 64) - 1, np.uint64)
-    for k in range(0, len(hashes), 4096):
-        least = np.minimum(least, mixed(mixed(hashes[k : k + 4096, None] ^ SALTS)).min(0))
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in least.reshape(BANDS, BAND).T:
-        key = mixed((key ^ column) * np.uint64(0xBF58476D1CE4E5B9))
-    bits = np.zeros(64 * WORDS, np.uint8)
-    bits[: BITS * len(SALTS)] = ((mixed(least)[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).ravel()
-    return np.r_[key, np.packbits(bits, bitorder="little").view(np.uint64)].view(np.int64)
-
-
-def share_of(x: np.ndarray, y: np.ndarray) -> float:
-    """The share of distinct shingles that two sorted sets have in common, 1 if there are none."""
-    if not len(x) or not len(y) or min(len(x), len(y)) < SHARE * max(len(x), len(y)):
-        return float(not len(x) and not len(y))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both)
+#: What near copies have in common: four fifths of their five-word shingles. Wordless texts are copies of each other.
+NEAR = minhash.Rule(words=5, share=80, wordless=True)
 
 
 def alike(a: str | None, b: str | None) -> bool:
-    """Whether two texts have SHARE of all their distinct shingles in common; wordless texts are alike."""
-    return share_of(*(np.unique(shingle_hashes(t, SHINGLE)) for t in (a, b))) >= SHARE
-
-
-def apart(a: str, b: str) -> Column:
-    """Bits in which the sketches of the structs ``a`` and ``b`` differ."""
-    return sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(1, WORDS)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
-
-
-#: Bits in which sketches may differ for a share of LIKELY: half of those of minima that do.
-MOST_APART = int(BITS * BANDS * BAND * (1 - LIKELY) / 2)
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of tids whose texts are alike; a text in very many pairs is dealt over several tasks."""
-    pairs = checkpointed(pairs)
-    with_a = dealt_join(pairs, texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a")), "a", hot_keys(pairs, "a", HOT_KEY))
-    both = dealt_join(with_a, texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b")), "b", hot_keys(pairs, "b", HOT_KEY))
-
-    def rows(a: list, b: list, text_a: list, text_b: list) -> dict[str, list]:
-        kept = [k for k in range(len(a)) if alike(text_a[k], text_b[k])]
-        return {"a": [a[k] for k in kept], "b": [b[k] for k in kept]}
-
-    made = map_rows(both.select("a", "b", "text_a", "text_b"), rows, pa.schema([("a", pa.int64()), ("b", pa.int64())]), "a bigint, b bigint")
-    return checkpointed(made)
-
-
-def copy_groups(docs: DataFrame) -> DataFrame:
-    """(tid, component_id, first_tid) of every distinct text with a doc_id; ``docs`` has doc_id, text and tid.
-
-    component_id is the group's smallest doc_id and first_tid the text that has it (of several
-    such texts the one with the smallest hash).
-
-    In each band that texts share one of them, another in every band, is the hub. A text is
-    held against the hub with the likeliest sketch, then against its other likely hubs unless
-    they are in one component by now. Where a band's texts still are in several components,
-    these are held against each other by across(). So no likely pair that shares a band stays
-    untried unless it is joined already.
-    """
-
-    def rows(doc_id: list, tid: list, text: list) -> dict[str, list]:
-        return {"doc_id": doc_id, "tid": tid, "sketch": [sketch(t) for t in text]}
-
-    schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("sketch", pa.list_(pa.int64()))])
-    sketched = map_rows(docs.select("doc_id", "tid", "text"), rows, schema, "doc_id bigint, tid bigint, sketch array<bigint>")
-    texts = checkpointed(sketched.groupBy("tid").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")).where("rep is not null"))
-    members = texts.select("tid", F.explode(F.slice("sketch", 1, BANDS)).alias("key"))
-    shared = checkpointed(members.groupBy("key").agg(F.count("*").alias("count"), F.min_by("tid", F.xxhash64("tid", "key")).alias("hub")).where(F.col("count") > 1))
-    hot = hot_counts(shared.select("key", "count"), "key", HOT_KEY)
-    live = checkpointed(dealt_join(members, shared.select("key", "hub"), "key", hot))
-    alive = live.select("tid").distinct().join(texts, "tid")
-    signs = checkpointed(alive.select("tid", F.struct(*(F.get("sketch", F.lit(BANDS + i)).alias(f"s{i}") for i in range(WORDS))).alias("sign")))
-    own = alive.select("tid", F.col("rep").alias("doc_id"))
-    own = checkpointed(docs.join(own, ["tid", "doc_id"], "left_semi").dropDuplicates(["tid"]).select("tid", "text"))
-
-    pairs = live.where("tid <> hub").select(F.greatest("tid", "hub").alias("a"), F.least("tid", "hub").alias("b")).distinct()
-    signed_a, signed_b = (signs.select(F.col("tid").alias(x), F.col("sign").alias(f"sign_{x}")) for x in "ab")
-    near = pairs.join(signed_a, "a").join(signed_b, "b").select("a", "b", apart("sign_a", "sign_b").alias("bits"))
-    near = checkpointed(near.where(F.col("bits") <= MOST_APART))
-    ends = near.select(F.explode(F.array("a", "b")).alias("tid"), "a", "b", "bits")
-    best = ends.groupBy("tid").agg(F.min(F.struct("bits", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    best = checkpointed(best)
-    edges = verified(best, own)
-    found = components(edges)
-    rest = between(near.select("a", "b").join(best, ["a", "b"], "left_anti"), found)
-    edges = edges.unionByName(verified(rest, own))
-    found = components(edges)
-
-    found = components(edges.unionByName(across(live.select("key", "tid"), found, signs.join(own, "tid"), hot)))
-    group = texts.join(found, texts["tid"] == found["node"], "left").select("tid", "rep", F.coalesce("component", "tid").alias("c"))
-    first = group.groupBy("c").agg(F.min(F.struct("rep", "tid")).alias("first"))
-    return checkpointed(group.join(first, "c").select("tid", F.col("first.rep").alias("component_id"), F.col("first.tid").alias("first_tid")))
-
-
-def across(live: DataFrame, found: DataFrame, texts: DataFrame, hot: DataFrame) -> DataFrame:
-    """Alike pairs (a, b) between components that share a band (key, tid), after hubs have been tried.
-
-    The texts of the smaller of two components are each held against all of the larger one.
-    Every text of a component is sent once, or to few tasks if there are very many texts to
-    hold against it; the pairs meet in the join, where sketches drop the unlikely ones, and
-    only alike ones leave it.
-    """
-    of = live.select("tid").distinct().join(found, live["tid"] == found["node"], "left").select("tid", F.coalesce("component", "tid").alias("c"))
-    of = checkpointed(of)
-    rank = F.struct("n", "c")
-    named = live.join(of.join(of.groupBy("c").agg(F.count("*").alias("n")), "c"), "tid").select("key", "tid", "c", rank.alias("rank"))
-    split = named.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key")
-    named = checkpointed(dealt_join(named, split, "key", hot))
-    others = named.select("key", F.col("c").alias("other"), F.col("rank").alias("other_rank")).distinct()
-    asked = dealt_join(named, others, "key", hot, F.col("rank") < F.col("other_rank")).select(F.col("tid").alias("a"), F.col("other").alias("c")).distinct()
-    asked = checkpointed(asked)
-    query = asked.join(texts.select(F.col("tid").alias("a"), F.col("sign").alias("sign_a"), F.col("text").alias("text_a")), "a")
-    member = of.join(asked.select("c").distinct(), "c").join(texts, "tid").select("c", F.col("tid").alias("b"), F.col("sign").alias("sign_b"), F.col("text").alias("text_b"))
-    pairs = dealt_join(member, query, "c", hot_keys(member.select("c"), "c", HOT_KEY), apart("sign_a", "sign_b") <= MOST_APART)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-
-        def shingles(tid: int, text: str) -> np.ndarray:
-            if tid not in known:
-                if len(known) >= CACHE_TEXTS:
-                    known.clear()
-                known[tid] = np.unique(shingle_hashes(text, SHINGLE))
-            return known[tid]
-
-        for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
-            kept = [k for k in range(len(a)) if share_of(shingles(a[k], x[k]), shingles(b[k], y[k])) >= SHARE]
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a[k] for k in kept], pa.int64()), "b": pa.array([b[k] for k in kept], pa.int64())})
-
-    return checkpointed(pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"))
-
-
-def between(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that lie in two components; nodes without a row are components of their own."""
-    for x in "ab":
-        pairs = pairs.join(found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")), x, "left")
-    return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-
-
-def with_tid(docs: DataFrame) -> DataFrame:
-    """doc_id, text and tid, a hash of the text; null and empty texts are equal."""
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("tid"))
+    """Whether two texts have the share of all their distinct shingles in common; wordless texts are alike."""
+    x, y = NEAR.shingles(a), NEAR.shingles(b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return bool(NEAR.linked(both, len(x), len(y))) if len(x) and len(y) else not len(x) and not len(y)
 
 
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id and component_id of groups whose texts are alike, one row for each row of ``docs``.
 
-    Fingerprints of shingles drift too far apart at four fifths of shingles in common. So
-    minima of shingles find pairs, and each is then held against the texts' own shingles:
-    minima find, shingles decide. Equal texts count once. Null and wordless texts are one
-    group; rows without a doc_id have no group but that of their text.
+    Fingerprints of shingles drift too far apart at four fifths of shingles in common, so links
+    are those of bottom-k sketches, confirmed on whole sets of shingles. Equal texts count once.
+    Null and wordless texts are one group; rows without a doc_id are in their text's group, and
+    component_id is null where no row of a group has a doc_id.
     """
-    docs = with_tid(docs)
-    return docs.select("doc_id", "tid").join(copy_groups(docs), "tid", "left").select("doc_id", "component_id")
+    rows, labels = minhash.grouped(docs, NEAR)
+    return rows.join(labels, "tid").select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -362,8 +197,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     neither's group. Of rows that repeat both, one stays, whichever. Null and wordless texts
     are one group, very long texts are compared whole, rows without a doc_id stay.
     """
-    first = copy_groups(with_tid(docs)).select(F.col("component_id").alias("_kept_doc_id_"), F.col("first_tid").alias("_kept_text_")).distinct()
+    doc_id, text_id = free(docs, "kept_doc_id"), free(docs, "kept_text_id")
+    _, labels = minhash.grouped(docs, NEAR)
+    first = labels.select("of", "first").distinct().where("first is not null").select(F.col("first.doc_id").alias(doc_id), F.col("first.text_id").alias(text_id))
     text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    found = docs.join(first, (docs["doc_id"] == first["_kept_doc_id_"]) & (text_hash == first["_kept_text_"]))
-    found = found.dropDuplicates(["_kept_doc_id_", "_kept_text_"]).drop("_kept_doc_id_", "_kept_text_")
-    return found.unionByName(docs.where("doc_id is null"))
+    found = docs.join(first, (docs["doc_id"] == first[doc_id]) & (text_hash == first[text_id]))
+    return found.dropDuplicates([doc_id, text_id]).drop(doc_id, text_id).unionByName(docs.where(docs["doc_id"].isNull()))

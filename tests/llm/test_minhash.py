@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -8,6 +9,8 @@ from tallyforge.llm import minhash as M
 
 from .cases import documents, empty, frame, row, words
 
+RULE = M.Rule()
+
 
 def shingle_set(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
@@ -103,15 +106,23 @@ def test_sketches_never_lose_a_linked_pair():
         other = np.unique(np.r_[rng.permutation(base)[cut:], rng.integers(0, 1 << 63, cut, dtype=np.uint64)])
         both = len(np.intersect1d(base, other))
         exact = 100 * both >= 85 * (len(base) + len(other) - both)
-        found = M.likely(base[: M.K], other[: M.K], len(base), len(other))
+        found = RULE.likely(base[: M.K], other[: M.K], len(base), len(other))
         assert found or not exact
         if max(len(base), len(other)) <= M.K:
             assert found == exact
 
 
+def test_least_common_values():
+    """At the share itself fewer common values than ``least`` are met once in a billion."""
+    for share in (80, 85, 95):
+        p, least = share / 100, M.Rule(share=share).least
+        below = lambda t: sum(math.comb(M.K, i) * p**i * (1 - p) ** (M.K - i) for i in range(t))
+        assert below(least) <= M.MISSED < below(least + 1)
+
+
 def test_inverted_index_counts_exactly():
     rng = random.Random(3)
     sets = [np.unique(np.array([rng.randrange(60) for _ in range(rng.randint(1, 50))], np.uint64)) for _ in range(80)]
     index = M.Inverted(sets)
     for s in [*sets, np.array([999], np.uint64)]:
-        assert index.links(s).tolist() == [j for j, t in enumerate(sets) if len(t) and 100 * len({*s.tolist()} & {*t.tolist()}) >= 85 * len({*s.tolist()} | {*t.tolist()})]
+        assert index.links(s, RULE).tolist() == [j for j, t in enumerate(sets) if len(t) and 100 * len({*s.tolist()} & {*t.tolist()}) >= 85 * len({*s.tolist()} | {*t.tolist()})]
