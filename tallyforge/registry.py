@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-MODULES = ("economy", "uses", "reads", "documents", "indices", "statements", "changes", "filings")
+MODULES = ("economy", "uses", "reads", "documents", "indices", "statements", "changes", "writes", "filings")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
