@@ -129,3 +129,31 @@ def cite_resolve(url: Column, index: Column, note: Column, citations: Column) ->
     """An address as given, else the citation that a 1-based number, [n] or the first [n] of a note names."""
     n = F.coalesce(F.regexp_extract(index, r"^\s*\[?([0-9]+)\]?\s*$", 1).try_cast("int"), F.regexp_extract(note, r"\[([0-9]+)\]", 1).try_cast("int"))
     return F.when(F.startswith(F.lower(url), F.lit("http")), url).otherwise(F.when(n >= 1, F.get(citations, n - 1)))
+
+
+def wiki_path(raw: Column) -> Column:
+    """The path of an article: /wiki/.. as given, or that of an address on wikipedia.org; null for anything else."""
+    s = F.trim(raw)
+    host, path = F.lower(F.try_parse_url(s, F.lit("HOST"))), F.try_parse_url(s, F.lit("PATH"))
+    whole = F.try_parse_url(s, F.lit("PROTOCOL")).isNotNull()
+    there = whole & F.endswith(host, F.lit("wikipedia.org")) & F.startswith(path, F.lit("/wiki/"))
+    return F.when(F.startswith(s, F.lit("/wiki/")), s).when(there, path)
+
+
+def fund_ticker(raw: Column) -> Column:
+    """A symbol of one to six letters, in capitals; null for anything else."""
+    symbol = F.upper(F.trim(raw))
+    return F.when(F.regexp_like(symbol, F.lit(r"^\p{L}{1,6}$")), symbol)
+
+
+def triage_ids(answer: Column, count: Column) -> Column:
+    """The ids an answer names, numbers or strings, in range and each once, in order; all ids if it names none."""
+    listed = F.try_variant_get(json_salvage(answer), "$.ids", "array<variant>")
+    whole = F.transform(listed, lambda x: F.when(F.schema_of_variant(x).isin("BIGINT", "STRING"), F.trim(F.try_variant_get(x, "$", "string")).try_cast("int")))
+    known = F.sort_array(F.array_distinct(F.filter(whole, lambda x: (x >= 0) & (x < count))))
+    return F.when(F.size(known) > 0, known).otherwise(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")))
+
+
+def amount_line(label: str, value: Column) -> Column:
+    """A label and an amount in billions with one digit and separators; null without one."""
+    return F.concat(F.lit(f"{label} $"), F.format_number(value / 1_000_000_000, 1), F.lit("B"))

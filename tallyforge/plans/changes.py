@@ -86,11 +86,17 @@ def role_diff(spark, d):
     return want.subtract(have).select(F.lit("add").alias("change"), "id").unionByName(have.subtract(want).select(F.lit("remove").alias("change"), "id"))
 
 
-@query("pending_counts", with_views("SELECT company_id, count(*) FILTER (kind = 'revenue') AS revenue, count(*) FILTER (kind = 'cost') AS cost, count(*) AS total FROM (SELECT company_id, 'revenue' AS kind FROM contributions WHERE status = 'Pending' AND NOT deleted UNION ALL SELECT related_company_id, 'cost' FROM contributions WHERE status = 'Pending' AND NOT deleted) GROUP BY company_id", "contributions"))
+PENDING = "SELECT company_id, 'revenue' AS kind FROM contributions WHERE status = 'Pending' AND NOT deleted UNION ALL SELECT related_company_id, 'cost' FROM contributions WHERE status = 'Pending' AND NOT deleted UNION ALL SELECT o_custkey, 'risk' FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority IN ('1-URGENT', '2-HIGH')"
+
+
+@query("pending_counts", with_views(f"SELECT company_id, count(*) FILTER (kind = 'revenue') AS revenue, count(*) FILTER (kind = 'cost') AS cost, count(*) FILTER (kind = 'risk') AS risk, count(*) AS total FROM ({PENDING}) GROUP BY company_id", "contributions"))
 def pending_counts(spark, d):
+    """What waits for review, of each company's revenues, costs and risks; urgent orders in progress stand for risks."""
     p = active(D.contributions(spark, d)).where("status = 'Pending'")
-    rows = p.select("company_id", F.lit("revenue").alias("kind")).unionByName(p.select(F.col("related_company_id").alias("company_id"), F.lit("cost").alias("kind")))
-    return rows.groupBy("company_id").agg(F.count_if(F.col("kind") == "revenue").alias("revenue"), F.count_if(F.col("kind") == "cost").alias("cost"), F.count("*").alias("total"))
+    sides = p.select(F.inline(F.array(*(F.struct(F.col(c).alias("company_id"), F.lit(k).alias("kind")) for c, k in (("company_id", "revenue"), ("related_company_id", "cost"))))))
+    risks = table(spark, d, "orders").where("o_orderstatus = 'P' AND o_orderpriority IN ('1-URGENT', '2-HIGH')").select(F.col("o_custkey").alias("company_id"), F.lit("risk").alias("kind"))
+    count = lambda k: F.count_if(F.col("kind") == k).alias(k)
+    return sides.unionByName(risks).groupBy("company_id").agg(*map(count, ("revenue", "cost", "risk")), F.count("*").alias("total"))
 
 
 @query("pending_review_detail", with_views("SELECT p.id, p.value, l.id AS live_id, l.value AS live_value FROM contributions p LEFT JOIN (SELECT * FROM contributions WHERE status = 'Approved' AND NOT deleted) l ON l.id = replace(p.id, '-N', '-A') WHERE p.status = 'Pending' AND NOT p.deleted", "contributions"))

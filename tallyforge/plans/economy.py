@@ -305,3 +305,44 @@ def scenario(spark, d):
     """Shocks add up, as the model is linear: an extension, the original keeps scenarios without solving them."""
     two = spark.createDataFrame([(0, 2.0), (3, -1.0)], "k int, s double")
     return rounded(io.respond(io.inverse(parts(spark, d)[3]), two), v=6)
+
+
+NAMES = tuple(f"R{k}" for k in range(5))
+SPOILED = {"ok": None, "order": "other sectors", "row": "not square", "short": "capital of another length", "minus": "negative coefficient", "heavy": "column sum of one or more", "owed": "negative value added", "text": "no JSON object"}
+
+
+def model_files(spark, d):
+    """(model_id, value): the trade model written as a file with comments, commas too many and keys in any case, and seven that are spoiled."""
+    z, va, x, a = parts(spark, d)
+    row = F.sort_array(F.collect_list(F.struct("j", "a")))["a"]
+    matrix = F.sort_array(F.collect_list(F.struct("i", "row")))["row"]
+    rows = a.groupBy("i").agg(row.alias("row")).agg(matrix.alias("A"))
+    both = io.final_demand(z, x).join(va, F.col("i") == F.col("j"))
+    vector = lambda c: F.sort_array(F.collect_list(F.struct("i", F.coalesce(c, F.lit(0.0)).alias("v"))))["v"]
+    vectors = both.agg(*(vector(F.col(c)).alias(k) for k, c in (("d", "d"), ("labor", "labor"), ("capital", "capital"))), vector(F.lit(0.0)).alias("zero"))
+    one = rows.crossJoin(F.broadcast(vectors))  # one row each
+    kinds = one.select("*", F.explode(F.array(*map(F.lit, SPOILED))).alias("k"))
+    named = F.when(F.col("k") == "order", F.reverse(F.array(*map(F.lit, NAMES)))).otherwise(F.array(*map(F.lit, NAMES)))
+    spoil = lambda k, bad, good: F.when(F.col("k") == k, bad).otherwise(good)
+    m = spoil("row", F.slice("A", 1, 4), spoil("minus", F.transform("A", lambda r: F.transform(r, lambda v: -v)), spoil("heavy", F.transform("A", lambda r: F.transform(r, lambda v: v * 9)), F.col("A"))))
+    bits = [F.lit("// a model\n{\"SectorOrder\": "), F.to_json(named), F.lit(", /* \" , ] */ \"a\": "), F.to_json(m)]
+    for key, value in (("LABOR", spoil("owed", F.transform("labor", lambda v: -v), F.col("labor"))), ("energy", F.col("zero")), ("Capital", spoil("short", F.slice("capital", 1, 3), F.col("capital"))), ("taxes", F.col("zero")), ("D", F.col("d"))):
+        bits += [F.lit(f", \"{key}\": "), F.regexp_replace(F.to_json(value), r"\]$", ",]")]
+    return kinds.select(F.col("k").alias("model_id"), F.concat(*bits, spoil("text", F.lit(","), F.lit(", }"))).alias("value"))
+
+
+@query("io_model_files", sql("SELECT 'ok' AS model_id, 'a' AS part, i, j, round(a, 8) AS v FROM a UNION ALL SELECT 'ok', 'd', i, NULL, round(d, 2) FROM d UNION ALL SELECT 'ok', p, j, NULL, round(CASE p WHEN 'labor' THEN labor WHEN 'capital' THEN capital ELSE 0 END, 2) FROM va, (SELECT unnest(['labor', 'energy', 'capital', 'taxes']) AS p)"))
+def io_model_files(spark, d):
+    """The good models of some files, as long rows."""
+    from tallyforge.sources.readers import models
+
+    found, _ = models(model_files(spark, d), NAMES)
+    return found.withColumn("v", F.when(F.col("part") == "a", F.round("v", 8)).otherwise(F.round("v", 2)) + 0.0)
+
+
+@query("io_model_quarantine", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{why}')" for k, why in SPOILED.items() if why) + ") AS q(model_id, reason)")
+def io_model_quarantine(spark, d):
+    """The others, each with what is wrong with it."""
+    from tallyforge.sources.readers import models
+
+    return models(model_files(spark, d), NAMES)[1]

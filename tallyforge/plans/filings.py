@@ -260,12 +260,17 @@ def json_salvage(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("id"), F.try_variant_get(T.json_salvage(answer), "$.ids[1]", "int").alias("second"))
 
 
-@query("json_ids", "SELECT event_id AS id, list_sort(list_distinct(list_filter([(event_id % 7)::INT, (event_id % 7)::INT, (event_id % 50)::INT], lambda x: x BETWEEN 0 AND 20))) AS ids FROM events")
+IDS = """CASE event_id % 8 WHEN 0 THEN '{"ids": [' || (event_id % 7) || ', "' || (event_id % 7) || '", ' || (event_id % 50) || ']}' WHEN 1 THEN 'Sure: {"ids": ["' || (event_id % 30) || '", -1, 1.5, null, "x", [2]]} done' WHEN 2 THEN '{"ids": [' || (event_id % 9) || ', 3'
+WHEN 3 THEN '{"ids": []}' WHEN 4 THEN 'none of them' WHEN 5 THEN '{"ids": {"a": 1}}' WHEN 6 THEN '{"ids": [99, 20, " 19 "]}' ELSE '{"other": [1]}' END"""
+
+
+@query("json_ids", """WITH a AS (SELECT event_id AS id, (event_id % 3 * 10)::INT AS n, CASE event_id % 8 WHEN 0 THEN [event_id % 7, event_id % 50] WHEN 1 THEN [event_id % 30] WHEN 6 THEN [99, 20, 19] ELSE [] END AS got FROM events),
+f AS (SELECT id, n, list_sort(list_distinct(list_filter(got, lambda x: x >= 0 AND x < n))) AS ids FROM a)
+SELECT id, array_to_string(CASE WHEN len(ids) > 0 THEN ids ELSE range(0, n) END, ',') AS ids FROM f""")
 def json_ids(spark, d):
-    """Ids as numbers or strings, in range, each once."""
-    answer = F.concat(F.lit('{"ids": ['), F.col("event_id") % 7, F.lit(', "'), F.col("event_id") % 7, F.lit('", '), F.col("event_id") % 50, F.lit("]}"))
-    ids = F.transform(F.from_json(answer, "ids array<string>")["ids"], lambda x: x.cast("int"))
-    return table(spark, d, "events").select(F.col("event_id").alias("id"), F.sort_array(F.array_distinct(F.filter(ids, lambda x: x.between(0, 20)))).alias("ids"))
+    """Ids as numbers or strings, in range, each once; an answer that names none, or is none, means all of them."""
+    count = (F.col("event_id") % 3 * 10).cast("int")
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), F.array_join(T.triage_ids(F.expr(IDS), count), ",").alias("ids"))
 
 
 NUMBER_TEXT = "CASE event_id % 12 WHEN 0 THEN '$ ' || event_id || ',000' WHEN 1 THEN (event_id % 90) || '.5 %' WHEN 2 THEN 'null' WHEN 3 THEN 'about ten' WHEN 4 THEN '(' || event_id || ',5)' WHEN 5 THEN '-' || event_id WHEN 6 THEN event_id || '-' WHEN 7 THEN '' WHEN 8 THEN '1e' || (event_id % 5) WHEN 9 THEN '.5' WHEN 10 THEN ' +' || event_id || ' ' ELSE '5 6' END"

@@ -223,3 +223,17 @@ def fx_convert(spark, d):
     rates = spark.createDataFrame([(0, 1.0), (1, 1.08), (2, 0.01)], "currency long, rate double")
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 4).alias("currency"), "o_totalprice")
     return rows.join(F.broadcast(rates), "currency", "left").select("id", F.round(F.col("o_totalprice") * F.col("rate"), 4).alias("usd"))
+
+
+ADDRESSES = ["' /wiki/Index_' || id || ' '", "'https://en.wikipedia.org/wiki/S%26P_' || id", "'HTTP://EN.WIKIPEDIA.ORG/wiki/A_' || id || '?x=/wiki/'", "'https://de.wikipedia.org/w/index.php?title=' || id", "'https://example.org/wiki/' || id", "'wiki/Foo'", "'https://user@fr.wikipedia.org:443/wiki/B_' || id || '#part'", "'https://notwikipedia.org/wiki/' || id", "'https://en.wikipedia.org.example.com/wiki/' || id", "'ftp://wikipedia.org/wiki/C'", "''", "NULL", "'//en.wikipedia.org/wiki/D'", "'https://wikipedia.org'", "'/Wiki/E'"]
+TICKERS = ["' spy '", "'QQQ'", "'none!'", "'A1'", "'TOOLONG'", "''", "NULL", "'b.k'", "'sixlet'"]
+SUGGESTED = "CASE {} " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(ADDRESSES)) + " END", "CASE {} " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(TICKERS)) + " END"
+
+
+@query("wiki_paths", rf"""WITH s AS (SELECT id, trim({SUGGESTED[0].format(f"id % {len(ADDRESSES)}")}) AS page, upper(trim({SUGGESTED[1].format(f"id % {len(TICKERS)}")})) AS ticker FROM (SELECT event_id AS id FROM events))
+SELECT id, CASE WHEN starts_with(page, '/wiki/') THEN page WHEN ends_with(lower(regexp_extract(page, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), 'wikipedia.org') AND starts_with(regexp_extract(page, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/wiki/') THEN regexp_extract(page, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) END AS path, CASE WHEN regexp_matches(ticker, '^[A-Z]{{1,6}}$') THEN ticker END AS ticker FROM s""")
+def wiki_paths(spark, d):
+    """Suggested pages and funds of indices: addresses of many forms, of which articles' paths are kept."""
+    rows = table(spark, d, "events").select(F.col("event_id").alias("id"))
+    page, ticker = (F.expr(x.format(f"id % {n}")) for x, n in zip(SUGGESTED, (len(ADDRESSES), len(TICKERS))))
+    return rows.select("id", T.wiki_path(page).alias("path"), T.fund_ticker(ticker).alias("ticker"))

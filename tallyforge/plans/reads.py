@@ -163,14 +163,20 @@ def lookup_top10(spark, d):
     return R.matching(R.active(D.companies(spark, d)), "customer", "name").orderBy("name", "id").limit(10).select("id", "name")
 
 
-@query("ticker_feed", with_views("""SELECT * FROM (SELECT 'event' AS kind, id, title AS label, CASE WHEN impact < 0 THEN 'down' ELSE 'up' END AS tone FROM evts WHERE NOT deleted ORDER BY ts DESC, id LIMIT 8)
-UNION ALL SELECT * FROM (SELECT 'company', id, name, CASE WHEN market_cap < 0 THEN 'down' ELSE 'up' END FROM companies WHERE NOT deleted ORDER BY revenue_total DESC NULLS LAST, id LIMIT 8)
-UNION ALL SELECT * FROM (SELECT 'country', id, name, 'up' FROM countries ORDER BY name LIMIT 8)""", "evts", "companies", "countries"))
+GDP = "CASE WHEN id % 6 <> 0 THEN id * 37 % 101 * 12345000000.0 END"
+
+
+@query("ticker_feed", with_views(f"""SELECT * FROM (SELECT 'event' AS kind, id, title AS label, strftime(ts, '%Y-%m-%d') AS value, CASE WHEN impact < 0 THEN 'down' ELSE 'up' END AS tone FROM evts WHERE NOT deleted ORDER BY ts DESC, id LIMIT 8)
+UNION ALL SELECT * FROM (SELECT 'company', id, name, 'REV $' || format('{{:,.1f}}', revenue_total / 1e9) || 'B', CASE WHEN market_cap < 0 THEN 'down' ELSE 'up' END FROM companies WHERE NOT deleted AND revenue_total IS NOT NULL ORDER BY revenue_total DESC, id LIMIT 8)
+UNION ALL SELECT * FROM (SELECT 'country', id, code || ' ' || name, 'GDP $' || format('{{:,.1f}}', gdp / 1e9) || 'B', 'up' FROM (SELECT *, {GDP} AS gdp FROM countries) WHERE gdp IS NOT NULL ORDER BY gdp DESC, id LIMIT 8)""", "evts", "companies", "countries"))
 def ticker_feed(spark, d):
+    """The newest events, the companies that earn most and the countries that produce most, each with a line; the limits are the feature."""
     tone = lambda c: F.when(F.col(c) < 0, "down").otherwise("up").alias("tone")
-    e = R.active(D.events(spark, d)).orderBy(F.desc("ts"), "id").limit(8).select(F.lit("event").alias("kind"), "id", F.col("title").alias("label"), tone("impact"))
-    c = R.active(D.companies(spark, d)).orderBy(F.desc_nulls_last("revenue_total"), "id").limit(8).select(F.lit("company").alias("kind"), "id", F.col("name").alias("label"), tone("market_cap"))
-    n = D.countries(spark, d).orderBy("name").limit(8).select(F.lit("country").alias("kind"), "id", F.col("name").alias("label"), F.lit("up").alias("tone"))
+    e = R.active(D.events(spark, d)).orderBy(F.desc("ts"), "id").limit(8).select(F.lit("event").alias("kind"), "id", F.col("title").alias("label"), F.date_format("ts", "yyyy-MM-dd").alias("value"), tone("impact"))
+    c = R.active(D.companies(spark, d)).where("revenue_total IS NOT NULL").orderBy(F.desc("revenue_total"), "id").limit(8)
+    c = c.select(F.lit("company").alias("kind"), "id", F.col("name").alias("label"), T.amount_line("REV", F.col("revenue_total")).alias("value"), tone("market_cap"))
+    n = D.countries(spark, d).withColumn("gdp", F.expr(GDP).cast("double")).where("gdp IS NOT NULL").orderBy(F.desc("gdp"), "id").limit(8)
+    n = n.select(F.lit("country").alias("kind"), "id", F.concat_ws(" ", "code", "name").alias("label"), T.amount_line("GDP", F.col("gdp")).alias("value"), F.lit("up").alias("tone"))
     return e.unionByName(c).unionByName(n)
 
 
@@ -196,9 +202,34 @@ def caps_by_ids(spark, d):
     return R.active(D.companies(spark, d)).join(wanted, "id", "left_semi").select("id", "market_cap")
 
 
-@query("deletable_companies", with_views("SELECT id FROM companies c WHERE NOT deleted AND NOT EXISTS (SELECT 1 FROM contributions b WHERE b.related_company_id = c.id AND NOT b.deleted AND b.value > 150000)", "companies", "contributions"))
+# A company's revenue sources are its sales, its cost sources those of the buyers that keep books of them, every third.
+COSTED = "related_company_id % 3 = 0"
+
+
+@query("deletable_companies", with_views(f"SELECT id FROM companies c WHERE NOT deleted AND NOT EXISTS (SELECT 1 FROM contributions b WHERE b.company_id = c.id AND NOT b.deleted) AND NOT EXISTS (SELECT 1 FROM contributions b WHERE b.related_company_id = c.id AND NOT b.deleted AND {COSTED})", "companies", "contributions"))
 def deletable_companies(spark, d):
-    return R.unreferenced(R.active(D.companies(spark, d)), D.contributions(spark, d).where("value > 150000"), "related_company_id").select("id")
+    """Companies without any active revenue or cost source, whatever its value or status."""
+    rows = D.contributions(spark, d)
+    ends = rows.select("deleted", F.explode(F.array(F.col("company_id"), F.when(F.expr(COSTED), F.col("related_company_id")))).alias("owner"))
+    return R.unreferenced(R.active(D.companies(spark, d)), ends.where("owner IS NOT NULL"), "owner").select("id")
+
+
+SELLERS = "SELECT s_suppkey AS id, s_nationkey::BIGINT AS country_id, s_suppkey % 4 = 0 AS deleted FROM supplier"
+
+
+@query("deletable_countries", with_views(f"SELECT id FROM countries n WHERE NOT EXISTS (SELECT 1 FROM ({SELLERS}) s WHERE s.country_id = n.id AND NOT s.deleted)", "countries"))
+def deletable_countries(spark, d):
+    """Countries without an active company; sellers are the companies here."""
+    sellers = table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("country_id"), (F.col("s_suppkey") % 4 == 0).alias("deleted"))
+    return R.unreferenced(D.countries(spark, d), sellers, "country_id").select("id")
+
+
+@query("deletable_blocs", f"SELECT n_nationkey::BIGINT AS id FROM nation n WHERE NOT EXISTS (SELECT 1 FROM ({SELLERS}) s WHERE s.country_id % 25 = n.n_nationkey * 7 % 25 AND NOT s.deleted)")
+def deletable_blocs(spark, d):
+    """Blocs, one for each country and made of another, without an active member."""
+    blocs = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
+    members = table(spark, d, "supplier").select((F.col("s_nationkey").cast("long") * 18 % 25).alias("bloc_id"), (F.col("s_suppkey") % 4 == 0).alias("deleted"))  # 7 times 18 is 1 modulo 25
+    return R.unreferenced(blocs, members, "bloc_id").select("id")
 
 
 @query("status_envelope", with_views("""SELECT w.id, CASE WHEN c.id IS NULL THEN 'not_found' WHEN c.cik IS NULL THEN 'unavailable' WHEN f.company_id IS NULL THEN 'missing' ELSE 'present' END AS status, coalesce(f.n, 0) AS rows

@@ -31,6 +31,57 @@ def io_model(spark: SparkSession, path: str) -> DataFrame:
     return checked.select(F.posexplode("A").alias("i", "row")).select("i", F.posexplode("row").alias("j", "a"))
 
 
+#: Comments and commas before a closing bracket, with strings, which are left alone, and the parts of a model by the names of their keys.
+COMMENTS, COMMAS = r'("(?:[^"\\]|\\.)*")|/\*(?s:.*?)\*/|//[^\n]*', r'("(?:[^"\\]|\\.)*")|,(?=\s*[\]}])'
+MODEL_KEYS = {"sectors": ("sectororder",), "a": ("a",), "labor": ("labor",), "energy": ("energy",), "capital": ("capital",), "taxes": ("taxes",), "d": ("d", "finaldemand")}
+FACTORS = ("labor", "energy", "capital", "taxes")
+
+
+def model_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(model_id, value): the texts of all model files under a path."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("model_id"), "value")
+
+
+def models(texts: DataFrame, sectors: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Model files (model_id, value) as long rows (model_id, part, i, j, v), and those that are put aside (model_id, reason).
+
+    Keys may be in any case; comments and commas after a last element are allowed. A model is
+    put aside as a whole, for the first of: no JSON object, sectors that aren't the given ones in
+    order, a matrix that isn't square over them, another vector of another length, a negative
+    coefficient, a column whose coefficients reach one, or negative value added.
+    """
+    plain = F.regexp_replace(F.regexp_replace("value", COMMENTS, "$1"), COMMAS, "$1")
+    parsed = texts.select("model_id", F.try_parse_json(plain).alias("m"))
+    parsed = parsed.select("model_id", F.map_entries(F.when(F.schema_of_variant("m").startswith("OBJECT"), F.col("m")).cast("map<string,variant>")).alias("entries"))
+
+    def part(name: str, kind: str) -> Column:
+        found = F.get(F.filter("entries", lambda e: F.lower(e["key"]).isin(*MODEL_KEYS[name])), F.lit(0))["value"]
+        return F.try_variant_get(found, "$", kind).alias(name)
+
+    vectors = [*FACTORS, "d"]
+    rows = parsed.select("model_id", F.col("entries").isNotNull().alias("is_object"), part("sectors", "array<string>"), part("a", "array<array<double>>"), *(part(v, "array<double>") for v in vectors))
+    n = len(sectors)
+    columns = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.aggregate("a", F.lit(0.0), lambda s, r: s + F.get(r, j)))
+    no = lambda c: F.coalesce(~c, F.lit(True))
+    checks = [
+        (no(F.col("is_object")), "no JSON object"),
+        (no(F.col("sectors") == F.array(*map(F.lit, sectors))), "other sectors"),
+        (no((F.size("a") == n) & F.forall("a", lambda r: (F.size(r) == n) & F.forall(r, lambda x: x.isNotNull()))), "not square"),
+        *((no((F.size(v) == n) & F.forall(v, lambda x: x.isNotNull())), f"{v} of another length") for v in vectors),
+        (F.exists("a", lambda r: F.exists(r, lambda x: x < 0)), "negative coefficient"),
+        (F.exists(columns, lambda s: s >= 1), "column sum of one or more"),
+        *((F.exists(v, lambda x: x < 0), "negative value added") for v in FACTORS),
+    ]
+    reason = F.coalesce(*(F.when(c, F.lit(said)) for c, said in checks))
+    judged = rows.withColumn("reason", reason)
+    good = judged.where("reason IS NULL")
+    matrix = good.select("model_id", F.posexplode("a").alias("i", "row")).select("model_id", F.lit("a").alias("part"), "i", F.posexplode("row").alias("j", "v"))
+    pairs = F.explode(F.array(*(F.struct(F.lit(v).alias("part"), F.col(v).alias("x")) for v in vectors)))
+    other = good.select("model_id", pairs.alias("p")).select("model_id", "p.part", F.posexplode("p.x").alias("i", "v"))
+    out = matrix.unionByName(other.withColumn("j", F.lit(None).cast("int")))
+    return out, judged.where("reason IS NOT NULL").select("model_id", "reason")
+
+
 def fixed_width(lines: DataFrame, columns: dict[str, tuple[int, int]], numbers: tuple[str, ...]) -> DataFrame:
     """Columns by offset (from 1) and width; rows whose numbers are blank, a dot or no number are left out."""
     cut = lines.select(*(F.trim(F.substring("value", at, size)).alias(n) for n, (at, size) in columns.items()))

@@ -66,3 +66,34 @@ def test_workbooks(spark):
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="inlineStr"><is><t>Fund</t></is></c></row><row><c r="A2" t="s"><v>0</v></c><c r="C2" t="s"><v>1</v></c></row><row><c r="A3" t="s"><v>2</v></c><c r="C3"><v>7.25</v></c></row><row><c r="A4"><v></v></c></row></sheetData></worksheet>')
     files = spark.createDataFrame([("f.xlsx", bytearray(data.getvalue()))], "path string, content binary")
     assert [tuple(r) for r in R.holdings(files).collect()] == [("f.xlsx", 0, "AAPL", 7.25)]
+
+
+GOOD = '{"a": [[0.1, 0.2], [0.3, 0.1]], "labor": [1, 2], "energy": [0, 0], "capital": [1, 1], "taxes": [0, 0], "d": [5, 6], "sectorOrder": ["x", "y"]}'
+
+
+def test_tolerant_models_and_quarantine(spark, tmp_path):
+    files = {
+        "a.json": GOOD,
+        "b.json": '// one\n{"SECTORORDER": ["x", "y",], "A": [[0.1, 0.2,], [0.3, 0.1],], /* "d": [], */ "Labor": [1, 2], "ENERGY": [0, 0], "capital": [1, 1], "taxes": [0, 0], "finalDemand": [5, 6,], "source": "// no comment, ]", }',
+        "c.json": GOOD.replace('["x", "y"]', '["y", "x"]'),
+        "d.json": GOOD.replace("[0.3, 0.1]", "[0.3]"),
+        "e.json": GOOD.replace('"d": [5, 6]', '"d": [5]'),
+        "f.json": GOOD.replace("0.2", "-0.2"),
+        "g.json": GOOD.replace("0.3", "0.95"),
+        "h.json": GOOD.replace("[1, 2]", "[1, -2]"),
+        "i.json": "[1, 2]", "j.json": "{", "k.json": " ",
+        "l.json": GOOD.replace('"taxes": [0, 0], ', ""),
+        "m.json": GOOD.replace("0.1]", "null]"),
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    good, bad = R.models(R.model_texts(spark, str(tmp_path)), ("x", "y"))
+    rows = {}
+    for r in good.collect():
+        rows.setdefault(r.model_id[-6:], {})[(r.part, r.i, r.j)] = r.v
+    want = {("a", 0, 0): 0.1, ("a", 0, 1): 0.2, ("a", 1, 0): 0.3, ("a", 1, 1): 0.1} | {(k, i, None): float(v[i]) for k, v in {"labor": (1, 2), "energy": (0, 0), "capital": (1, 1), "taxes": (0, 0), "d": (5, 6)}.items() for i in (0, 1)}
+    assert rows == {"a.json": want, "b.json": want}
+    assert {r.model_id[-6]: r.reason for r in bad.collect()} == {
+        "c": "other sectors", "d": "not square", "e": "d of another length", "f": "negative coefficient", "g": "column sum of one or more", "h": "negative value added",
+        "i": "no JSON object", "j": "no JSON object", "k": "no JSON object", "l": "taxes of another length", "m": "not square",
+    }
