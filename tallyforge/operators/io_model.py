@@ -161,3 +161,19 @@ def allocate(members: DataFrame, deltas: DataFrame, price: bool = False) -> Data
     weight = F.when(F.col("total") > 0, F.when(earns, F.col("revenue_total") / F.col("total")).otherwise(0.0)).otherwise(1.0 / F.col("n"))
     value = F.coalesce("revenue_total", F.lit(0.0)) * F.col("v") if price else weight * F.col("v")
     return found.select("sector", "id", F.coalesce("industry", F.lit("Unclassified")).alias("industry"), weight.alias("weight"), value.alias("value"))
+
+
+def extremes(members: DataFrame) -> DataFrame:
+    """(sector, companies, most_weight, least_weight, most_revenue, least_revenue): all that the largest change of a company needs, in one pass.
+
+    Weights are those of allocate(): shares of positive revenue, all equal where a sector has none.
+    """
+    earns, revenue = F.col("revenue_total") > 0, F.coalesce("revenue_total", F.lit(0.0))
+    positive = F.when(earns, F.col("revenue_total"))
+    sums = members.where("sector is not null").groupBy("sector").agg(
+        F.count("*").alias("companies"), F.count(positive).alias("earning"), F.sum(positive).alias("total"), F.max(positive).alias("most"), F.min(positive).alias("least"), F.max(revenue).alias("most_revenue"), F.min(revenue).alias("least_revenue")
+    )
+    some, equal = F.col("total") > 0, 1.0 / F.col("companies")
+    most = F.when(some, F.col("most") / F.col("total")).otherwise(equal)
+    least = F.when(some & (F.col("earning") < F.col("companies")), 0.0).when(some, F.col("least") / F.col("total")).otherwise(equal)
+    return sums.select("sector", "companies", most.alias("most_weight"), least.alias("least_weight"), "most_revenue", "least_revenue")

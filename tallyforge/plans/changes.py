@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyforge.checkpoints import checkpointed
 from tallyforge.functions import text as T
 from tallyforge.operators import changes as C
 from tallyforge.operators import graph as G
@@ -54,12 +55,12 @@ UNION ALL SELECT 'hub:' || kind || ':' || company_id, 'hub-' || kind, CASE kind
 UNION ALL SELECT kind || ':' || id, kind, label, title, value, nav_id, market_cap, filing_form, filing_detail FROM lv"""))
 def graph_nodes(spark, d):
     n = D.countries(spark, d).select(F.col("id").alias("country_id"), F.col("code").alias("country_code"))
-    return G.nodes(active(D.companies(spark, d)).join(F.broadcast(n), "country_id", "left"), leaves(spark, d))
+    return G.nodes(active(D.companies(spark, d)).join(F.broadcast(n), "country_id", "left"), checkpointed(leaves(spark, d)))
 
 
 @query("graph_edges", leaf_sql("SELECT 'company:' || company_id AS source, 'hub:' || kind || ':' || company_id AS target, count(*)::VARCHAR AS label FROM lv GROUP BY kind, company_id UNION ALL SELECT 'hub:' || kind || ':' || company_id, kind || ':' || id, CASE WHEN kind <> 'event' THEN '$' || printf('%.1f', round(value::DECIMAL(20, 2) / 1000000000, 1)) || 'B' END FROM lv"))
 def graph_edges(spark, d):
-    return G.edges(leaves(spark, d))
+    return G.edges(checkpointed(leaves(spark, d)))
 
 
 @query("graph_hubs", leaf_sql(HUB))

@@ -276,18 +276,24 @@ def impact_full(spark, d):
   LEFT JOIN members m ON m.sector = r.i LEFT JOIN t ON t.sector = r.i WHERE abs(r.v) > 1e-9 GROUP BY ALL)""",
     series("p", "a", ONE), series("q", "a", ONE, True), GHOSH, series("s", "b", ONE, True), ENDED, ENDED.replace("e AS", "e2 AS").replace("FROM p", "FROM q"), MEMBERS, ALLOCATED.partition("t AS")[1] + ALLOCATED.partition("t AS")[2].partition("\nal AS")[0].rstrip(",")))
 def impact_result(spark, d):
-    """A unit shock of each kind: sectors' responses, whether they are prices, the cascade's depth (none for supply), and who is hit most."""
+    """A unit shock of each kind: sectors' responses, whether they are prices, the cascade's depth (none for supply), and who is hit most.
+
+    The inverse is solved once for two kinds, and companies are aggregated by sector once for all
+    three: the largest change of a company is the response times the largest or the least weight
+    (or revenue, for prices), by its sign.
+    """
     _, _, x, a = parts(spark, d)
-    inv, one = io.inverse(a), shock(spark)
+    inv, one = checkpointed(io.inverse(a)), shock(spark)  # a row for each pair of sectors
     ghosh = io.inverse(io.allocation(a, x))
-    depth = lambda transposed: io.cascade(a, ORIGIN, UNIT, transposed).agg(F.max("round").alias("depth"))
-    rows = None
-    for kind, found, price, deep in (("Demand", io.respond(inv, one), False, depth(False)), ("Cost", io.respond(inv, one, True), True, depth(True)), ("Supply", io.respond(ghosh, one, True), False, None)):
-        hit = found.where(F.abs("v") > io.NEGLIGIBLE)
-        shares = io.allocate(members(spark, d), hit.withColumnRenamed("i", "sector"), price).groupBy(F.col("sector").alias("i")).agg(F.count("*").alias("companies"), F.max("value").alias("top_value"))
-        part = hit.join(shares, "i", "left").select(F.lit(kind).alias("kind"), "i", "v", F.lit(price).alias("is_price"), F.coalesce("companies", F.lit(0)).alias("companies"), "top_value")
-        part = part.crossJoin(F.broadcast(deep)) if deep is not None else part.withColumn("depth", F.lit(None).cast("int"))  # one row
-        rows = part if rows is None else rows.unionByName(part)
+    kind = lambda df, name, price: df.select(F.lit(name).alias("kind"), "i", "v", F.lit(price).alias("is_price"))
+    responses = kind(io.respond(inv, one), "Demand", False).unionByName(kind(io.respond(inv, one, True), "Cost", True)).unionByName(kind(io.respond(ghosh, one, True), "Supply", False))
+    deep = lambda name, transposed: io.cascade(a, ORIGIN, UNIT, transposed).agg(F.max("round").alias("depth")).select(F.lit(name).alias("kind"), "depth")
+    depths = deep("Demand", False).unionByName(deep("Cost", True))
+    hit = responses.where(F.abs("v") > io.NEGLIGIBLE).join(F.broadcast(depths), "kind", "left")  # two rows
+    found = hit.join(F.broadcast(io.extremes(members(spark, d)).withColumnRenamed("sector", "i")), "i", "left")  # a row for each sector
+    largest = lambda most, least: F.col("v") * F.when(F.col("v") >= 0, F.col(most)).otherwise(F.col(least))
+    top = F.when(F.col("is_price"), largest("most_revenue", "least_revenue")).otherwise(largest("most_weight", "least_weight"))
+    rows = found.select("kind", "i", "v", "is_price", F.coalesce("companies", F.lit(0)).alias("companies"), top.alias("top_value"), "depth")
     return rounded(rows, v=4, top_value=2)
 
 

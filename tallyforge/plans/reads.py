@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
 from tallyforge.operators import reads as R
+from tallyforge.operators.ranking import global_rank
 from tallyforge.registry import query
 from tallyforge.sources import domain as D
 from tallyforge.sources.domain import table, with_views
@@ -189,11 +190,11 @@ def event_members(spark, d):
 
 @query("country_companies", with_views("SELECT n.name AS country, c.name, row_number() OVER (PARTITION BY n.id ORDER BY c.name, c.id)::INT AS place FROM companies c JOIN countries n ON c.country_id = n.id WHERE NOT c.deleted", "companies", "countries"))
 def country_companies(spark, d):
-    from pyspark.sql import Window
-
+    """Companies by country and name: numbered over all countries by ranges, less the number each country starts at."""
     n = D.countries(spark, d).select(F.col("id").alias("country_id"), F.col("name").alias("country"))
-    found = R.active(D.companies(spark, d)).join(F.broadcast(n), "country_id")
-    return found.withColumn("place", F.row_number().over(Window.partitionBy("country_id").orderBy("name", "id"))).select("country", "name", "place")
+    found = global_rank(R.active(D.companies(spark, d)).select("country_id", "name", "id"), [F.col("country_id"), F.col("name"), F.col("id")], "number")
+    first = found.groupBy("country_id").agg(F.min("number").alias("first"))
+    return found.join(F.broadcast(first.join(n, "country_id")), "country_id").select("country", "name", (F.col("number") - F.col("first") + 1).alias("place"))
 
 
 @query("caps_by_ids", with_views("SELECT id, market_cap FROM companies WHERE NOT deleted AND id IN (SELECT DISTINCT user_id FROM events)", "companies"))
