@@ -196,6 +196,15 @@ def capped(chunks: DataFrame, by: str, order: list[Column], per: int) -> DataFra
     return chunks.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_n") <= per).drop("_n")
 
 
+def build_section(chunks: DataFrame, by: str, order: str, node: str, take: int) -> DataFrame:
+    """A section's chunks as a node's workers get them: the ``take`` most relevant, ties to the earlier one, numbered by ``place`` in document order.
+
+    A section of no more chunks keeps all. Ranks and places are each of one section alone.
+    """
+    best = capped(chunks.withColumn("score", score(F.col("text"), node)), by, [F.desc("score"), F.col(order)], take)
+    return best.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+
+
 def within_budget(chunks: DataFrame, doc: str, section: str, order: str, budget: int) -> DataFrame:
     """(doc, context): chunks in order that fit their section's even share of the budget; one that doesn't is skipped and the next are tried."""
     kind = "struct<used:map<string,int>,text:string>"

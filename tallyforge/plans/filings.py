@@ -136,6 +136,12 @@ def chunk_caps(spark, d):
     return L.capped(found, "doc_id", [F.desc("score"), F.col("chunk")], 6).select("doc_id", "chunk", "score", F.length("text").alias("n_chars"))
 
 
+@query("section_build", f"WITH RECURSIVE {PARAS}, n AS (SELECT *, ({_score('text', 'REVENUE')})::INT AS score FROM c), b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk) <= 4) SELECT doc_id, chunk, score, row_number() OVER (PARTITION BY doc_id ORDER BY chunk)::INT AS place, text FROM b")
+def section_build(spark, d):
+    """The four most relevant chunks of a section, in document order: the cap is the feature."""
+    return L.build_section(L.pack(paragraphs(spark, d), LIMIT), "doc_id", "chunk", "REVENUE", 4).select("doc_id", "chunk", "score", "place", "text")
+
+
 @query("chunk_fair", f"""WITH RECURSIVE {PARAS}, n AS (SELECT doc_id // 20 AS filing, doc_id, chunk, row_number() OVER (PARTITION BY doc_id ORDER BY chunk) AS n FROM c),
 k AS (SELECT *, row_number() OVER (PARTITION BY filing ORDER BY doc_id, chunk) AS place, lag(n) OVER (PARTITION BY filing ORDER BY doc_id, chunk) AS before FROM n WHERE n <= 12)
 SELECT filing, doc_id, chunk FROM k WHERE place <= 48 OR place = 49 AND before = 12""")
