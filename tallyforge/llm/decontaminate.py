@@ -36,7 +36,7 @@ BETWEEN = rf"(?:[{TRAIL}]{{0,8}}[\x20\x09-\x0D]++[{LEAD}]{{0,8}})++"
 ENDS = SPACES + """\"'([{“‘¿¡.,;:!?)]}”’"""
 # The patterns begin with what is rare, so that most characters are passed over at once, and
 # their loops are possessive, so that no long run nests calls.
-NAMES = r"\p{Lu}(?<=[\p{Ll}0-9,]\x20.)\p{Ll}[\p{L}’'-]*"
+NAMES = r"\p{Lu}(?<=[\p{Ll}0-9,]\x20.)\p{L}[\p{L}’'-]*"
 NUMBERS = rf"(?=[$€£0-9])(?<![\p{{L}}\p{{N}}])[$€£]?[0-9]+(?:[.,:/][0-9]++)*+(?:%|{'|'.join(UNITS)})?(?![\p{{L}}\p{{N}}])"
 MEASURED = rf"{NUMBER}\x20(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
 
@@ -44,7 +44,8 @@ MEASURED = rf"{NUMBER}\x20(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
 def worded(rows: DataFrame, name: str) -> DataFrame:
     """key, the column ``name``, words in lower case and as many template words of each text.
 
-    A name is a capitalised word that follows a word in lower case, a number or a comma.
+    A name is a word of two letters or more that begins with a capital, or is all capitals, and
+    follows a word in lower case, a number or a comma.
     key is a hash of id and text, so rows that share an id only are told apart.
     """
     keyed = rows.select(F.xxhash64(rows[name], rows["text"]).alias("key"), rows[name].alias(name), rows["text"].alias("text")).where("text is not null")

@@ -37,18 +37,33 @@ BROADCAST_TOKENS = 1_000_000
 
 # HTML's elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript textarea iframe svg math title object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style template iframe title textarea xmp noembed noframes".split())
+FOREIGN = ("svg", "math")
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mstyle munder mover munderover semantics annotation svg g path text tspan circle ellipse rect line polyline polygon defs use".split())
 CLOSES = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 ASIDE = frozenset("nav footer aside form button select dialog menu head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form".split())
-NAMES = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscri\w+|signup|login|sidebar\w*|menu\w*|nav\w*|breadcrumbs?|footer|comments?\w*|commentlist|respond|disqus\w*|repl(?:y|ies)|shar(?:e|ing)\w*|social\w*|related\w*|recommend\w*|widgets?|toolbar|pagination|pager|disclaimer|copyright)(?:$|[\s_-])")
+#: Elements that a name says nothing about: parts of running text.
+UNNAMED = frozenset("html body article main p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption li dt dd tr td th".split())
+#: Words of names of boilerplate, and what may follow them in a name: a share-bar is one, a share-price isn't.
+WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promos promotion promotions banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist respond disqus replies share sharing social related recommended recommendations widget widgets toolbar pagination pager disclaimer copyright".split())
+GENERIC = frozenset("list item items link links button buttons btn bar box area inner outer wrapper wrap container section block slot unit content body title text row col column group panel left right top bottom main primary secondary site page post posts article articles form icon icons fixed open header head thread".split())
 MAIN = ("article", "main")
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""", re.S)
 NAMED = re.compile(r"""(?i)\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
+def boilerplate(names: str) -> bool:
+    """Whether a class or id is made of a word of boilerplate with nothing but such and generic words after it."""
+    for name in names.split():
+        parts = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)]
+        first = next((k for k, w in enumerate(parts) if w in WORDS), None)
+        if first is not None and all(w in WORDS or w in GENERIC for w in parts[first:]):
+            return True
+    return False
+
+
 def digest(*parts: int | str) -> int:
     """A hash of 63 bits."""
     return xxhash.xxh64_intdigest("\0".join(map(str, parts)).encode()) >> 1
@@ -72,7 +87,7 @@ class Node:
         # 2: hidden, never shown; 1: boilerplate by tag, role or name, unless the element turns out to be the page's frame
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or tag in ("head", "select", "button")
         own = tag in ASIDE or tag == "header" and not self.main or found.get("role", "").lower() in ROLES
-        self.aside = 2 if hidden else int(own or bool(names and tag not in ("html", "body", *MAIN) and NAMES.search(names)))
+        self.aside = 2 if hidden else int(own or tag not in UNNAMED and boilerplate(names))
 
 
 def strings(page: str) -> Iterator[tuple[Node, str | None, bool]]:
@@ -104,7 +119,7 @@ def strings(page: str) -> Iterator[tuple[Node, str | None, bool]]:
             end = re.compile(rf"(?i)</{re.escape(tag)}\s*>").search(page, at)
             at = end.end() if end else size
             continue
-        if tag in VOID or m[3].endswith("/") and tag in ("br", "hr"):
+        if tag in VOID or m[3].endswith("/") and (tag in FOREIGN or any(opened[t] for t in FOREIGN)):
             continue
         if tag not in INLINE:  # a block ends an open paragraph with all inline elements in it
             k = len(stack) - 1
@@ -121,6 +136,13 @@ def strings(page: str) -> Iterator[tuple[Node, str | None, bool]]:
         yield stack[-1], None, True
 
 
+def container(node: Node) -> int:
+    """The path of the element that a block stands in, 0 for the page itself."""
+    while node.up and node.tag in INLINE:
+        node = node.up
+    return node.up.path if node.up and node.up.up else 0
+
+
 class Page:
     """A page's tokens in order, with what is boilerplate by name decided.
 
@@ -184,6 +206,18 @@ class Page:
                     found.setdefault(node.path, [0, 0])[node.link] += len(text.strip())
         return found
 
+    def said(self) -> tuple[Counter, Counter, dict[int, int]]:
+        """Characters of text outside boilerplate and links: of each block by its token, of the blocks right below each
+        element by its path, and which path that is for each block's token."""
+        of_block, below, where = Counter(), Counter(), {}
+        for token, node, block in self.parts:
+            if block:
+                n = sum(len(text.strip()) for node, text in block if not node.aside and not node.link)
+                where[token] = container(node)
+                of_block[token] += n
+                below[where[token]] += n
+        return of_block, below, where
+
     def template(self, order: dict[int, int]) -> set[int]:
         """Tokens of the template that the page has in the template's order: a longest such run of their first places."""
         seen: set[int] = set()
@@ -205,12 +239,12 @@ class Page:
             at = found[at][1]
         return run
 
-    def blocks(self, order: dict[int, int] | None = None, linked: set[int] | None = None) -> list[str]:
+    def blocks(self, order: dict[int, int] | None = None, linked: set[int] | None = None, copied: set[int] | None = None) -> list[str]:
         """Text blocks in the page's slots.
 
         Slots of links are those of the host and, of paths that the template lacks, the page's
-        own. Blocks of the template are dropped, unless they hold most of what the page says:
-        then its host has copies of one article rather than a template with it.
+        own. Blocks of the template are dropped, but for those in ``copied`` elements of the
+        host, which hold copies of one article.
         """
         order = order or {}
         links = {path for path, (plain, link) in self.sizes().items() if path not in order and link and link >= LINKED * (plain + link)} | (linked or set())
@@ -219,11 +253,9 @@ class Page:
             if block and (node.path not in links or self.heading(node)):
                 text = " ".join(entities.unescape("".join(t for n, t in block if not n.aside)).split())
                 if text:
-                    slots.append((token, text))
+                    slots.append((token, container(node) in (copied or ()), text))
         frame = self.template(order)
-        if 2 * sum(len(t) for token, t in slots if token in frame) > sum(len(t) for _, t in slots):
-            return [t for _, t in slots]
-        return [t for token, t in slots if token not in frame]
+        return [t for token, kept, t in slots if kept or token not in frame]
 
     @staticmethod
     def heading(node: Node) -> bool:
@@ -234,55 +266,85 @@ class Page:
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """Per page: host, token, two halves of this page's part of the occurrence vector, relative place, and
-    characters in a slot that lie in links or not (of element tokens)."""
+    """Per page: host, token, two halves of this page's part of the occurrence vector, relative place,
+    characters in a slot that lie in links or not (of element tokens), those of a block and the path it
+    stands in, and those of all blocks right below an element.
+
+    Token 0 stands for the page, and what is below no element; all its blocks' characters are its own.
+    """
     bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(10)]
             for name, key, html in zip(*(c.to_pylist() for c in batch.columns)):
                 page = Page(html)
                 count: Counter = Counter(token for token, _, _ in page.parts)
                 first: dict[int, float] = {}
                 for k, (token, _, _) in enumerate(page.parts):
                     first.setdefault(token, k / len(page.parts))
-                sizes = page.sizes()
+                sizes, (said, below, where) = page.sizes(), page.said()
+                count[0], first[0], said[0] = 1, 0.0, said.total()
                 for token, n in count.items():
                     part = digest(key, n)
                     plain, link = sizes.get(token, (0, 0))
-                    for column, value in zip(out, (name, token, part >> 32, part & 0xFFFFFFFF, first[token], plain, link)):
+                    for column, value in zip(out, (name, token, part >> 32, part & 0xFFFFFFFF, first[token], plain, link, said[token], where.get(token), below[token])):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), *[pa.int64()] * 3, pa.float64(), pa.int64(), pa.int64()))], names=["host", "token", "high", "low", "place", "plain", "link"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), *[pa.int64()] * 3, pa.float64(), *[pa.int64()] * 5))], names=["host", "token", "high", "low", "place", "plain", "link", "said", "within", "below"])
 
     key = F.xxhash64(pages["page_id"], pages["url"], pages["html"])
     rows = pages.select(host(pages["url"]).alias("host"), key.alias("key"), pages["html"].alias("html"))
-    return rows.mapInArrow(run, "host string, token bigint, high bigint, low bigint, place double, plain bigint, link bigint")
+    return rows.mapInArrow(run, "host string, token bigint, high bigint, low bigint, place double, plain bigint, link bigint, said bigint, within bigint, below bigint")
 
 
-def classes(pages: DataFrame) -> DataFrame:
-    """Frequent tokens of each host: their class (the sums of hashed parts stand for the occurrence vector),
-    support, mean place, whether the class is valid, and whether the slot below an element holds links.
+def frequent(pages: DataFrame) -> DataFrame:
+    """(host, token, high, low, support, place, plain, link, said, within, below) of tokens on LEAST_PAGES pages of a host or more; token 0 stands for its pages.
 
     Parts of vectors are added up by page, so no host's pages ever meet in one task, and copies
-    of a page don't cancel each other. Tokens of fewer than LEAST_PAGES pages go before any join.
+    of a page don't cancel each other. Rarer tokens go before any join.
+    """
+    found = tokens(pages).groupBy("host", "token").agg(F.sum("high").alias("high"), F.sum("low").alias("low"), F.count("*").alias("support"), F.avg("place").alias("place"), *(F.sum(c).alias(c) for c in ("plain", "link", "said", "below")), F.max("within").alias("within"))
+    return checkpointed(found.where(F.col("support") >= LEAST_PAGES))
+
+
+def classes(found: DataFrame) -> DataFrame:
+    """Of frequent() tokens on enough of a host's pages: their class (the sums of hashed parts stand for the
+    occurrence vector), support, mean place, whether the class is valid, whether the slot below an element holds links,
+    what is said in a block, and where it stands."""
+    totals = found.where("token = 0").select("host", F.col("support").alias("pages"))
+    common = found.where("token <> 0").join(totals, "host").where(F.col("support") >= SUPPORT * F.col("pages"))
+    sizes = common.groupBy("host", "high", "low", "support").agg(F.count("*").alias("size"))
+    valid = common.join(sizes, ["host", "high", "low", "support"]).withColumn("valid", F.col("size") > 1)
+    return valid.select("host", "token", "high", "low", "support", "place", "valid", (F.expr("link > 0") & (F.col("link") >= LINKED * (F.col("plain") + F.col("link")))).alias("linked"), "said", "within")
+
+
+def copied(found: DataFrame, made: DataFrame) -> DataFrame:
+    """(host, copied): paths of elements whose blocks are copies of one article, from frequent() tokens and their classes.
+
+    Such an element has half or more of what the host's pages say of their own, and yet says more
+    in the template's blocks; or nothing that they say is their own. All other elements with
+    blocks of the template are its frame.
     """
-    totals = pages.select(host(pages["url"]).alias("host")).groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    found = tokens(pages).groupBy("host", "token").agg(F.sum("high").alias("high"), F.sum("low").alias("low"), F.count("*").alias("support"), F.avg("place").alias("place"), F.sum("plain").alias("plain"), F.sum("link").alias("link"))
-    frequent = checkpointed(found.where(F.col("support") >= LEAST_PAGES)).join(totals, "host").where(F.col("support") >= SUPPORT * F.col("pages"))
-    sizes = frequent.groupBy("host", "high", "low", "support").agg(F.count("*").alias("size"))
-    valid = frequent.join(sizes, ["host", "high", "low", "support"]).withColumn("valid", F.col("size") > 1)
-    return valid.select("host", "token", "high", "low", "support", "place", "valid", (F.expr("link > 0") & (F.col("link") >= LINKED * (F.col("plain") + F.col("link")))).alias("linked"))
+    framed = made.where("valid AND within IS NOT NULL").groupBy("host", "within").agg(F.sum("said").alias("framed"))
+    held = found.where("token = 0 OR within IS NULL").select("host", F.col("token").alias("within"), "below")
+    whole = found.where("token = 0").select("host", F.col("said").alias("whole"))
+    own = framed.groupBy("host").agg(F.sum("framed").alias("all_framed")).join(whole, "host").select("host", (F.col("whole") - F.col("all_framed")).alias("own"))
+    both = framed.join(held, ["host", "within"]).join(own, "host")
+    most = (2 * (F.col("below") - F.col("framed")) >= F.col("own")) & (2 * F.col("framed") > F.col("below"))
+    return both.where((F.col("own") <= 0) | most).groupBy("host").agg(F.collect_set("within").alias("copied"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, tokens, linked): the tokens of a host's valid classes in their order, and paths of slots of links.
+    """(host, tokens, linked, copied): the tokens of a host's valid classes in their order, paths of slots of links, and copied().
 
     A frequent token is on half of the host's pages, so a template has at most twice the tokens of a mean page.
     """
+    found = frequent(pages)
+    made = checkpointed(classes(found))
     entry = F.when(F.col("valid"), F.struct("place", "token"))
-    made = classes(pages).groupBy("host").agg(F.sort_array(F.collect_list(entry)).alias("ordered"), F.collect_set(F.when(F.col("linked"), F.col("token"))).alias("linked"))
-    return made.select("host", F.transform("ordered", lambda e: e["token"]).alias("tokens"), "linked")
+    lists = made.groupBy("host").agg(F.sort_array(F.collect_list(entry)).alias("ordered"), F.collect_set(F.when(F.col("linked"), F.col("token"))).alias("linked"))
+    lists = lists.join(copied(found, made), "host", "left")
+    return lists.select("host", F.transform("ordered", lambda e: e["token"]).alias("tokens"), "linked", "copied")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -297,18 +359,18 @@ def extract(pages: DataFrame) -> DataFrame:
     ``pages`` are not read.
     """
     found = checkpointed(templates(pages))
-    few = (found.agg(F.sum(F.size("tokens") + F.size("linked"))).first()[0] or 0) <= BROADCAST_TOKENS
+    few = (found.agg(F.sum(F.size("tokens") + F.size("linked") + F.coalesce(F.size("copied"), F.lit(0)))).first()[0] or 0) <= BROADCAST_TOKENS
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), pages["html"].alias("html"), host(pages["url"]).alias("host"))
-    rows = rows.join(F.broadcast(found) if few else found, "host", "left").select("page_id", "url", "html", "host", "tokens", "linked")
+    rows = rows.join(F.broadcast(found) if few else found, "host", "left").select("page_id", "url", "html", "host", "tokens", "linked", "copied")
 
-    def run(page_id: list, url: list, page: list, name: list, order: list, linked: list) -> dict[str, list]:
+    def run(page_id: list, url: list, page: list, name: list, order: list, linked: list, copied: list) -> dict[str, list]:
         made, known = [], {}
-        for p, h, o, x in zip(page, name, order, linked):
+        for p, h, o, x, c in zip(page, name, order, linked, copied):
             if o is None:
                 made.append("\n".join(Page(p).blocks()))
                 continue
             if h not in known:
-                known[h] = {t: k for k, t in enumerate(o)}, set(x)
+                known[h] = {t: k for k, t in enumerate(o)}, set(x), set(c or ())
             made.append("\n".join(Page(p).blocks(*known[h])))
         return {"page_id": page_id, "url": url, "text": made, "n_chars": [len(t) for t in made]}
 

@@ -277,12 +277,22 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
         tape = step(tape)
     if tape is source:
         return []
-    found = []
-    for kind, a, b in detect(tape.text):
-        start, end = tape.span(a, b)
-        if not any(s <= start and end <= e for _, s, e in base):
-            found.append((kind, start, end))
-    return found
+    found = [(kind, *tape.span(a, b)) for kind, a, b in detect(tape.text)]
+    return outside(found, base)
+
+
+def outside(found: list[Span], base: list[Span]) -> list[Span]:
+    """Those of ``found`` that lie in no span of ``base``, in their order: one sweep over both by where they start."""
+    held, at, furthest = set(), 0, -1
+    starts = sorted((a, b) for _, a, b in base)
+    for k in sorted(range(len(found)), key=lambda k: found[k][1]):
+        _, start, end = found[k]
+        while at < len(starts) and starts[at][0] <= start:
+            furthest = max(furthest, starts[at][1])  # of what starts no later, how far any reaches
+            at += 1
+        if end <= furthest:
+            held.add(k)
+    return [f for k, f in enumerate(found) if k not in held]
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, map_rows
+from .common import bounded_batches, free, map_rows
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -164,15 +164,15 @@ def keep(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     whole; repeated rows stay or go together.
     """
     bounded_batches(docs.sparkSession)
-    at = docs.columns.index("text")
+    at, name = docs.columns.index("text"), free(docs, "failed_bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = pa.array([failed(measure(t)) for t in batch.column(at).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, bits], schema=batch.schema.append(pa.field("_failed_", pa.int64())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, bits], schema=batch.schema.append(pa.field(name, pa.int64())))
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_failed_", T.LongType())])
-    return docs.mapInArrow(run, schema).where(kept("_failed_", policy)).drop("_failed_")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+    return docs.mapInArrow(run, schema).where(kept(name, policy)).drop(name)
 
 
 def versions(book: DataFrame) -> DataFrame:

@@ -25,6 +25,14 @@ def test_same_and_other_values_are_caught(spark):
     assert not found(spark, rows, ITEM) & {(4, 1), (5, 1), (6, 1)}
 
 
+def test_names_in_capitals_are_names(spark):
+    item = "A train leaves LONDON at 9 and meets another one from YORK after 3 hours at a bridge near LONDON itself."
+    moved = "A train leaves OSLO at 8 and meets another one from BERGEN after 5 hours at a bridge near OSLO itself."
+    mixed = "A train leaves OSLO at 8 and meets another one from BERGEN after 5 hours at a bridge near BERGEN itself."
+    assert found(spark, [row(1, moved), row(2, "I SAY NOTHING OF THE KIND, AND A LOT OF IT")], item) == {(1, 1)}
+    assert C.NAMES and (2, 1) not in found(spark, [row(2, mixed.replace("A train leaves", "The coach left"))], item)
+
+
 def test_contradicting_slots_are_no_leak(spark):
     twice = "Then Tom counts 5 red balls and 5 blue balls before he gives 5 green balls to the club."
     good = "Then Tom counts 8 red balls and 8 blue balls before he gives 8 green balls to the club."

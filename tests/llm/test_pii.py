@@ -147,3 +147,17 @@ def test_scan_and_redact(spark):
     assert out.schema == frame(spark).schema and out.count() == frame(spark).count()
     assert P.scan(empty(spark)).count() == 0 and P.redact(empty(spark)).count() == 0
     assert P.redacted("mail a@b.co or +1 (509) 555-6973") == "mail <EMAIL> or <PHONE>"
+
+
+def test_spans_outside_equal_all_pairs():
+    rng = random.Random(9)
+    for _ in range(400):
+        span = lambda: (rng.choice(P.KINDS), a := rng.randint(0, 60), a + rng.randint(1, 12))
+        found, base = [span() for _ in range(rng.randint(0, 12))], [span() for _ in range(rng.randint(0, 12))]
+        assert P.outside(found, base) == [f for f in found if not any(s <= f[1] and f[2] <= e for _, s, e in base)]
+
+
+def test_very_many_spans_take_linear_time():
+    text = " ".join(f"user{k}@mail.example" for k in range(100_000)) + " john [at] example [dot] com"
+    base, spans = P.find(text)
+    assert len(base) == 100_000 and len(spans) == 100_001 and spans[-1][0] == "email"

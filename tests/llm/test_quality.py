@@ -71,3 +71,12 @@ def test_abuse_goes_and_plain_text_stays():
     policy = Q.mask(Q.POLICIES[Q.CURRENT])
     assert not Q.failed(Q.measure(clean)) & policy
     assert Q.failed(Q.measure(clean + " you stupid idiot")) & policy
+
+
+def test_no_name_of_a_column_clashes(spark):
+    docs = frame(spark)
+    for name in ("failed", "failed_bits", "Failed_Bits_", "_failed_"):
+        made = Q.keep(docs.withColumnRenamed("source", name))
+        assert made.columns == docs.withColumnRenamed("source", name).columns and made.count() == Q.keep(docs).count()
+    both = docs.withColumnsRenamed({"source": "failed_bits", "path": "failed_bits_"})
+    assert Q.keep(both).count() == Q.keep(docs).count()
