@@ -157,3 +157,19 @@ def triage_ids(answer: Column, count: Column) -> Column:
 def amount_line(label: str, value: Column) -> Column:
     """A label and an amount in billions with one digit and separators; null without one."""
     return F.concat(F.lit(f"{label} $"), F.format_number(value / 1_000_000_000, 1), F.lit("B"))
+
+
+def cited(answer: Column, citations: Column) -> Column:
+    """The address that an answer's source_url gives or names by number, else the one that the first [n] of its note names.
+
+    A number may be a JSON number, a string with or without brackets, or the first number of an
+    array; numbers count from one, and one out of range names nothing.
+    """
+    kind = F.schema_of_variant(F.try_variant_get(answer, "$.source_url", "variant"))
+    text = F.try_variant_get(answer, "$.source_url", "string")
+    listed = F.filter(F.try_variant_get(answer, "$.source_url", "array<variant>"), lambda x: F.schema_of_variant(x) == "BIGINT")
+    cite = lambda n: F.when(n >= 1, F.get(citations, n - 1))
+    string = F.when(F.startswith(F.lower(text), F.lit("http")), text).otherwise(cite(F.btrim(text, F.lit("[] ")).try_cast("int")))
+    field = F.when(kind == "STRING", string).when(kind == "BIGINT", cite(text.try_cast("int"))).when(F.startswith(kind, F.lit("ARRAY")), cite(F.try_variant_get(F.get(listed, F.lit(0)), "$", "int")))
+    note = F.regexp_extract(F.coalesce(json_str(answer, "$.note"), F.lit("")), r"\[([0-9]+)\]", 1).try_cast("int")
+    return F.coalesce(field, cite(note))

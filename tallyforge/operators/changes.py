@@ -84,6 +84,27 @@ def split_valid(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return rows.withColumn("rejected_for", failing)
 
 
+def required(name: str) -> Column:
+    """A check: a string that isn't blank."""
+    return F.coalesce(F.trim(name) != "", F.lit(False))
+
+
+def not_before(name: str, other: str) -> Column:
+    """A check: no date, or one no earlier than the other."""
+    return F.col(name).isNull() | (F.col(name) >= F.col(other))
+
+
+def cache_edited(cache: DataFrame, edits: DataFrame) -> DataFrame:
+    """A label cache (label, sub) after edits (seq, label, sub): of a label's edits the last counts, a null sub removes it.
+
+    Labels are told apart without case and outer spaces; the cache has one row for each.
+    """
+    key = F.lower(F.trim("label"))
+    last = edits.groupBy(key.alias("label")).agg(F.max_by(F.struct("sub"), "seq").alias("new"))
+    both = cache.select(key.alias("label"), "sub").join(last, "label", "full_outer")
+    return both.select("label", F.when(F.col("new").isNotNull(), F.col("new.sub")).otherwise(F.col("sub")).alias("sub")).where("sub IS NOT NULL")
+
+
 def distinct_ci(rows: DataFrame, column: str, order: str) -> DataFrame:
     """One row for each value regardless of case: the first in order."""
     return rows.groupBy(F.lower(column).alias("key")).agg(F.min_by(column, F.struct(order, column)).alias(column), F.count("*").alias("n"))

@@ -30,8 +30,9 @@ INVISIBLE = "​"
 
 
 def item_routes(node: Column, form: Column) -> Column:
-    """Items of a form that a question reads, comma-joined."""
-    return F.when(node == "RISK", "1A,7A").when(node == "COST", "1,7,8").when(node == "REVENUE", F.when(form == "8-K", "1.01,2.02,8.01").otherwise("1,1A,7,8"))
+    """Items of a form that a question reads, comma-joined; 8-K and its variants are current reports."""
+    current = F.coalesce(F.trim(form).ilike("8-K%"), F.lit(False))
+    return F.when(node == "RISK", "1A,7A").when(node == "COST", "1,7,8").when(node == "REVENUE", F.when(current, "1.01,2.02,8.01").otherwise("1,1A,7,8"))
 
 
 def looks_html(text: Column) -> Column:

@@ -59,3 +59,9 @@ def scaled_weights(lines: DataFrame) -> DataFrame:
 def ambiguous_labels(rows: DataFrame) -> DataFrame:
     """Labels that resolved to more than one class, least first."""
     return rows.groupBy("label").agg(F.count_distinct("resolved").alias("classes"), F.min("resolved").alias("least")).where("classes > 1")
+
+
+def flagged(rows: DataFrame) -> DataFrame:
+    """``rows`` with whether their label is ambiguous; classes are counted by label first, partially, and joined back."""
+    several = ambiguous_labels(rows).select("label", F.lit(True).alias("ambiguous"))
+    return rows.join(several, "label", "left").withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False)))

@@ -68,11 +68,13 @@ def graph_hubs(spark, d):
     return G.hubs(leaves(spark, d))
 
 
-@query("linked_sources", with_views("SELECT company_id AS id, 'revenue' AS kind, 'owned' AS direction, related_company_id AS other, value FROM contributions WHERE status = 'Approved' AND NOT deleted UNION ALL SELECT related_company_id, 'revenue', 'inverse', company_id, value FROM contributions WHERE status = 'Approved' AND NOT deleted", "contributions"))
+@query("linked_sources", with_views("SELECT company_id AS id, 'revenue' AS kind, 'owned' AS direction, related_company_id AS other, value FROM contributions WHERE status = 'Approved' AND NOT deleted UNION ALL SELECT related_company_id, 'revenue', 'inverse', company_id, value FROM contributions WHERE status = 'Approved' AND NOT deleted UNION ALL SELECT related_company_id, 'cost', 'owned', company_id, value FROM contributions WHERE status = 'Approved' AND NOT deleted UNION ALL SELECT company_id, 'cost', 'inverse', related_company_id, value FROM contributions WHERE status = 'Approved' AND NOT deleted", "contributions"))
 def linked_sources(spark, d):
-    c = public(D.contributions(spark, d))
-    row = lambda a, b, way: c.select(F.col(a).alias("id"), F.lit("revenue").alias("kind"), F.lit(way).alias("direction"), F.col(b).alias("other"), "value")
-    return row("company_id", "related_company_id", "owned").unionByName(row("related_company_id", "company_id", "inverse"))
+    """A company's own revenues and costs, and those in which others name it; contributions are read once for all four."""
+    side = lambda kind, way, a, b: F.struct(F.col(a).alias("id"), F.lit(kind).alias("kind"), F.lit(way).alias("direction"), F.col(b).alias("other"))
+    ends = ("company_id", "related_company_id")
+    sides = F.array(side("revenue", "owned", *ends), side("revenue", "inverse", *ends[::-1]), side("cost", "owned", *ends[::-1]), side("cost", "inverse", *ends))
+    return public(D.contributions(spark, d)).select("value", F.inline(sides)).select("id", "kind", "direction", "other", "value")
 
 
 @query("contributor_ids", "SELECT user_id AS id FROM events UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
@@ -190,10 +192,13 @@ def soft_delete_view(spark, d):
     return C.soft_delete(rows, rows.where("id % 4 = 0").select("id"))
 
 
-@query("validate_split", "SELECT event_id AS id, CASE WHEN event_type IS NULL THEN 'title' WHEN NOT coalesce(value BETWEEN -10 AND 100, false) THEN 'impact' WHEN user_id % 2 = 1 THEN 'company' END AS rejected_for FROM events")
+@query("validate_split", "SELECT event_id AS id, CASE WHEN event_type IS NULL OR event_id % 23 = 0 THEN 'title' WHEN NOT coalesce(value BETWEEN -10 AND 100, false) THEN 'impact' WHEN event_id % 6 = 1 THEN 'end' WHEN user_id % 2 = 1 THEN 'company' END AS rejected_for FROM events")
 def validate_split(spark, d):
-    e = table(spark, d, "events").select(F.col("event_id").alias("id"), "event_type", "value", "user_id")
-    return C.split_valid(e, {"title": F.col("event_type").isNotNull(), "impact": F.col("value").between(-10, 100), "company": F.col("user_id") % 2 == 0}).select("id", "rejected_for")
+    """A title that isn't blank, an impact in range, an end, if any, no earlier than the start, and a company that may be named."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 23 == 0, "  ").otherwise(F.col("event_type")).alias("title"), "value", "ts", "user_id")
+    e = e.withColumn("end", F.when(F.col("id") % 6 == 1, F.expr("ts - interval 1 second")).when(F.col("id") % 6 == 2, F.col("ts")).when(F.col("id") % 6 == 3, F.expr("ts + interval 1 day")))
+    checks = {"title": C.required("title"), "impact": F.col("value").between(-10, 100), "end": C.not_before("end", "ts"), "company": F.col("user_id") % 2 == 0}
+    return C.split_valid(e, checks).select("id", "rejected_for")
 
 
 @query("counterparty_resolve", with_views("SELECT e.id, coalesce(a.id, b.id) AS company_id, CASE WHEN a.id IS NOT NULL THEN 'name' WHEN b.id IS NOT NULL THEN 'cik' ELSE 'stub' END AS how FROM evts e LEFT JOIN companies a ON a.name = 'Customer#' || lpad((e.company_id * 2)::VARCHAR, 9, '0') AND NOT a.deleted LEFT JOIN companies b ON b.cik = lpad((e.company_id * 37)::VARCHAR, 10, '0') AND NOT b.deleted", "evts", "companies"))

@@ -23,11 +23,13 @@ def _score(x: str, node: str) -> str:
     return " + ".join([f"CASE WHEN contains({x}, '<td') THEN 5 ELSE 0 END", *(f"contains(lower({x}), '{k.lower()}')::INT" for k in L.KEYWORDS[node])])
 
 
-@query("item_routing", "SELECT DISTINCT p_size % 3 AS n, CASE p_size % 3 WHEN 0 THEN '1A,7A' WHEN 1 THEN '1,7,8' ELSE CASE WHEN p_size % 2 = 0 THEN '1.01,2.02,8.01' ELSE '1,1A,7,8' END END AS items FROM part")
+FORMS = "CASE p_partkey % 8 WHEN 0 THEN '8-K' WHEN 1 THEN ' 8-k/A ' WHEN 2 THEN '10-K' WHEN 3 THEN '10-8-K' WHEN 4 THEN '' WHEN 5 THEN '8K' WHEN 6 THEN '8-K12B' END"
+ASKED = "CASE p_size % 4 WHEN 0 THEN 'RISK' WHEN 1 THEN 'COST' WHEN 2 THEN 'REVENUE' ELSE 'OTHER' END"
+
+
+@query("item_routing", f"SELECT p_partkey AS id, CASE {ASKED} WHEN 'RISK' THEN '1A,7A' WHEN 'COST' THEN '1,7,8' WHEN 'REVENUE' THEN CASE WHEN starts_with(upper(trim({FORMS})), '8-K') THEN '1.01,2.02,8.01' ELSE '1,1A,7,8' END END AS items FROM part")
 def item_routing(spark, d):
-    p = table(spark, d, "part")
-    node = F.when(F.col("p_size") % 3 == 0, "RISK").when(F.col("p_size") % 3 == 1, "COST").otherwise("REVENUE")
-    return p.select((F.col("p_size") % 3).alias("n"), L.item_routes(node, F.when(F.col("p_size") % 2 == 0, "8-K").otherwise("10-K")).alias("items")).distinct()
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), L.item_routes(F.expr(ASKED), F.expr(FORMS)).alias("items"))
 
 
 PLAIN_HTML = "(?i)<html|<body|<div|<p|<table"
@@ -308,6 +310,19 @@ def cite_resolve(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("id"), F.coalesce(T.cite_resolve(url, index, note, cites), none).alias("url"))
 
 
+SOURCE_URLS = ["\"HTTPS://x/' || event_id || '\"", "\"[2]\"", "\" 3 \"", "\"null\"", "1", "[\"x\", 3, 1]", "[]", "{\"a\": 1}", "null", "\"see it\"", "99", "\"[0]\""]
+CITING = "'{\"source_url\": ' || CASE event_id % 13 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(SOURCE_URLS)) + " ELSE '2' END || CASE WHEN event_id % 2 = 0 THEN ', \"note\": \"as in [1] and [2]\"' WHEN event_id % 3 = 0 THEN ', \"note\": 5' ELSE '' END || CASE WHEN event_id % 17 = 0 THEN '' ELSE '}' END"
+
+
+@query("cite_fields", """WITH a AS (SELECT event_id AS id, event_id % 13 AS k, event_id % 17 = 0 AS cut FROM events),
+f AS (SELECT *, CASE k WHEN 0 THEN 'HTTPS://x/' || id WHEN 1 THEN 'b' WHEN 2 THEN 'c' WHEN 4 THEN 'a' WHEN 5 THEN 'c' WHEN 12 THEN 'b' END AS field FROM a)
+SELECT id, CASE WHEN NOT cut THEN coalesce(field, CASE WHEN id % 2 = 0 THEN 'a' END) END AS url FROM f""")
+def cite_fields(spark, d):
+    """Sources of answers in every shape: addresses, numbers, strings and arrays of them, and markers in notes; answers cut short have none."""
+    answer = F.try_parse_json(F.expr(CITING))
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), T.cited(answer, F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("url"))
+
+
 SUGGESTIONS = """SELECT user_id, CASE WHEN event_id % 11 = 0 THEN ' ' WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS name, 'Item ' || (event_id % 3) AS section, CASE WHEN event_id % 4 = 0 THEN 'CUSTOMER' END AS classification, CASE WHEN event_id % 3 = 1 THEN value END AS value, CASE WHEN event_id % 5 = 0 THEN value / 2 END AS percentage,
 CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 7 < 3 THEN 'c' || event_id END AS related, CASE WHEN event_id % 3 = 0 THEN props ELSE ' ' END AS note, CASE WHEN event_id % 6 = 1 THEN '' WHEN event_id % 2 = 0 THEN 'quote ' || event_id ELSE 'as ' || event_id END AS evidence, event_id AS seq FROM events"""
 

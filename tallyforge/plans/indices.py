@@ -9,6 +9,7 @@ from tallyforge.operators import indices as I
 from tallyforge.operators.reads import active
 from tallyforge.registry import query
 from tallyforge.sources import domain as D
+from tallyforge.sources import readers
 from tallyforge.sources.domain import table, with_views
 
 MEMBERS = "(SELECT country_id AS index_id, id, name, sector, industry, market_cap, CASE WHEN market_cap > 0 THEN market_cap / 100 END AS weight FROM companies WHERE NOT deleted)"
@@ -18,14 +19,18 @@ def members(spark, d):
     return active(D.companies(spark, d)).select(F.col("country_id").alias("index_id"), "id", "name", "sector", "industry", "market_cap", F.when(F.col("market_cap") > 0, F.col("market_cap") / 100).alias("weight"))
 
 
+#: A name in capitals and underscores as words.
+TITLED = "list_aggregate(list_transform(string_split({0}, '_'), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ')"
+
+
 @query("index_cap_weights", with_views(f"SELECT index_id, id, round_even(c / sum(c) OVER (PARTITION BY index_id) * 100, 4) AS weight_pct FROM (SELECT *, CASE WHEN market_cap > 0 THEN market_cap END AS c FROM {MEMBERS})", "companies"))
 def index_cap_weights(spark, d):
     return I.cap_weights(members(spark, d))
 
 
-@query("index_breakdown_sector", with_views(f"SELECT index_id, coalesce(sector, 'UNCLASSIFIED') AS sector, count(*) AS members, round_even(sum(coalesce(weight, 0)), 2) AS weight FROM {MEMBERS} GROUP BY ALL", "companies"))
+@query("index_breakdown_sector", with_views(f"SELECT index_id, coalesce(sector, 'UNCLASSIFIED') AS sector, {TITLED.format("coalesce(sector, 'UNCLASSIFIED')")} AS label, count(*) AS members, round_even(sum(coalesce(weight, 0)), 2) AS weight FROM {MEMBERS} GROUP BY ALL", "companies"))
 def index_breakdown_sector(spark, d):
-    return I.breakdown(members(spark, d), "sector", "UNCLASSIFIED")
+    return I.breakdown(members(spark, d), "sector", "UNCLASSIFIED").withColumn("label", T.humanise(F.col("sector")))
 
 
 @query("index_breakdown_industry", with_views(f"SELECT index_id, coalesce(industry, 'Unclassified') AS industry, count(*) AS members, round_even(sum(coalesce(weight, 0)), 2) AS weight FROM {MEMBERS} GROUP BY ALL", "companies"))
@@ -68,6 +73,12 @@ def ambiguous_labels(spark, d):
     return I.ambiguous_labels(table(spark, d, "part").select(T.norm_label(F.col("p_name")).alias("label"), F.col("p_type").alias("resolved")))
 
 
+@query("ambiguous_flags", "WITH l AS (SELECT p_partkey AS id, lower(regexp_replace(p_name, '[^\\p{L}\\p{Nd}]', '', 'g')) AS label, CASE WHEN p_partkey % 10 <> 0 THEN p_type END AS resolved FROM part) SELECT id, label, coalesce(c > 1, false) AS ambiguous FROM l LEFT JOIN (SELECT label, count(DISTINCT resolved) AS c FROM l GROUP BY label) USING (label)")
+def ambiguous_flags(spark, d):
+    """Every row with whether its label has resolved to several classes."""
+    return I.flagged(table(spark, d, "part").select(F.col("p_partkey").alias("id"), T.norm_label(F.col("p_name")).alias("label"), F.when(F.col("p_partkey") % 10 != 0, F.col("p_type")).alias("resolved"))).select("id", "label", "ambiguous")
+
+
 @query("unclassified_report", with_views("SELECT id, name, CASE WHEN sector IS NULL THEN 'NoFit' ELSE 'Pending' END AS state, row_number() OVER (ORDER BY sector IS NULL DESC, name, id)::INT AS place FROM companies WHERE NOT deleted AND industry IS NULL", "companies"))
 def unclassified_report(spark, d):
     """Companies without an industry, those that fit nowhere first. Places are counted by range, not in one task."""
@@ -149,9 +160,12 @@ def norm_cik(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), T.norm_cik(raw).alias("cik"), T.trim_cik(raw).alias("bare"), T.missing_cik(raw).alias("missing"))
 
 
-@query("norm_ticker", "SELECT s_suppkey AS id, 'BRK-' || s_suppkey AS ticker FROM supplier")
+QUOTED = "CASE p_partkey % 9 WHEN 0 THEN ' brk.' || p_size || '[1] US' WHEN 1 THEN 'bf.b' WHEN 2 THEN p_name WHEN 3 THEN '' WHEN 4 THEN '[1]abc' WHEN 5 THEN ' a.b.c' || chr(9) || 'q' WHEN 6 THEN p_brand || chr(10) || 'x' WHEN 7 THEN '.' || p_type END"
+
+
+@query("norm_ticker", f"SELECT p_partkey AS id, upper(replace(regexp_extract(trim({QUOTED}), '^([^ \\t\\n\\[]*)', 1), '.', '-')) AS ticker FROM part")
 def norm_ticker(spark, d):
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), T.norm_ticker(F.concat(F.lit(" brk."), "s_suppkey", F.lit("[1] US"))).alias("ticker"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), T.norm_ticker(F.expr(QUOTED)).alias("ticker"))
 
 
 @query("name_match", f"SELECT s_suppkey AS id, min(c_custkey) AS matched FROM supplier LEFT JOIN customer ON {NORM.format('(s_name || chr(32) || chr(73) || chr(110) || chr(99))')} = replace({NORM.format('c_name')}, 'customer', 'supplier') GROUP BY s_suppkey")
@@ -181,9 +195,18 @@ def backfill_cik(spark, d):
     return I.backfilled(lacking.select("id", "name", T.norm_name(F.col("name")).alias("key")), known).select("id", "name", "cik")
 
 
-@query("first_wins_map", "SELECT p_brand AS cik, arg_min(p_partkey, p_partkey) AS first_id, count(*) AS lines FROM part GROUP BY p_brand")
+@query("first_wins_map", "SELECT p_brand AS cik, arg_min(p_name, p_size * 1000000 + p_partkey) AS ticker, count(*) AS lines FROM part GROUP BY p_brand")
 def first_wins_map(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("cik")).agg(F.min_by("p_partkey", "p_partkey").alias("first_id"), F.count("*").alias("lines"))
+    """Of a company's lines the first counts."""
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("cik"), F.col("p_name").alias("ticker"), (F.col("p_size") * 1000000 + F.col("p_partkey")).alias("pos"))
+    return readers.ticker_map(rows).join(rows.groupBy("cik").agg(F.count("*").alias("lines")), "cik")
+
+
+@query("first_wins_inverse", "SELECT upper(p_type) AS ticker, arg_min(p_brand, p_size * 1000000 + p_partkey) AS cik FROM part GROUP BY upper(p_type)")
+def first_wins_inverse(spark, d):
+    """From a ticker, in any case, back to the first company with it."""
+    case = F.when(F.col("p_partkey") % 2 == 0, F.lower("p_type")).otherwise(F.col("p_type"))
+    return readers.ticker_inverse(table(spark, d, "part").select(F.col("p_brand").alias("cik"), case.alias("ticker"), (F.col("p_size") * 1000000 + F.col("p_partkey")).alias("pos")))
 
 
 @query("two_hop_resolve", with_views("SELECT s_suppkey AS id, c.id AS company_id FROM supplier LEFT JOIN (SELECT cik, min(id) AS id FROM companies WHERE NOT deleted GROUP BY cik) c ON c.cik = lpad((s_suppkey * 37)::VARCHAR, 10, '0')", "companies"))

@@ -76,6 +76,8 @@ UNION ALL SELECT 'country', id::VARCHAR FROM countries WHERE name ILIKE 'n1%' OR
 UNION ALL SELECT 'contribution', b.id FROM contributions b LEFT JOIN companies c ON c.id = b.related_company_id WHERE NOT b.deleted AND (b.id ILIKE '%3-1%' OR c.name ILIKE '%3-1%')
 UNION ALL SELECT 'filing', o_orderkey::VARCHAR FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey::VARCHAR ILIKE '%00%' OR o_orderpriority ILIKE '%00%' OR c_name ILIKE '%00%'
 UNION ALL SELECT 'bloc', r_regionkey::VARCHAR FROM region WHERE r_name ILIKE '%ia%' OR r_regionkey::VARCHAR ILIKE '%ia%'
+UNION ALL SELECT 'scenario', n_nationkey::VARCHAR FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name ILIKE '%on_1%' OR r_name ILIKE '%on_1%' UNION ALL SELECT 'advantage', p_partkey::VARCHAR FROM part WHERE p_name ILIKE '%el%' OR p_type ILIKE '%el%'
+UNION ALL SELECT 'shock', c_custkey::VARCHAR FROM customer WHERE c_mktsegment ILIKE '%bu%' OR c_name ILIKE '%bu%' OR c_nationkey::VARCHAR ILIKE '%bu%'
 UNION ALL SELECT 'details', c.id::VARCHAR FROM companies c LEFT JOIN countries n ON n.id = c.country_id WHERE c.sector ILIKE '%an%' OR n.name ILIKE '%an%'""", "companies", "countries", "contributions"))
 def search_variants(spark, d):
     """Every search's own columns: prefixes for lookups, anywhere for the rest."""
@@ -91,6 +93,9 @@ def search_variants(spark, d):
         "contribution": R.matching(R.active(D.contributions(spark, d)).join(buyers, "related_company_id", "left"), "3-1", "id", "name", contains=True),
         "filing": R.matching(filings, "00", "id", "form", "c_name", contains=True),
         "bloc": R.matching(blocs, "ia", "name", "id", contains=True),
+        "scenario": R.matching(n, "on_1", "name", "region", contains=True),
+        "advantage": R.matching(table(spark, d, "part").withColumn("id", F.col("p_partkey")), "el", "p_name", "p_type", contains=True),
+        "shock": R.matching(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment", "c_name", F.col("c_nationkey").cast("string").alias("target")), "bu", "c_mktsegment", "c_name", "target", contains=True),
         "details": R.matching(c.join(F.broadcast(where), "country_id", "left"), "an", "sector", "country", contains=True),
     }
     out = None

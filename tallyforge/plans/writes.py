@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyforge.operators import changes as C
 from tallyforge.operators import classes as K
 from tallyforge.operators import links as W
 from tallyforge.operators.reads import active
@@ -155,3 +156,27 @@ def classify_staged(spark, d):
 def classify_cache(spark, d):
     """The cache afterwards: what was learned has the next version."""
     return staged(spark, d)[1]
+
+
+@query("label_cache_edit", """WITH ca AS (SELECT lower(p_name) AS label, min(p_type) AS sub FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), ed AS (SELECT p_partkey AS seq, lower(p_name) AS label, CASE WHEN p_size % 3 <> 0 THEN p_brand END AS sub FROM part WHERE p_partkey % 3 = 0),
+l AS (SELECT label, sub FROM ed QUALIFY row_number() OVER (PARTITION BY label ORDER BY seq DESC) = 1)
+SELECT label, CASE WHEN l.label IS NOT NULL THEN l.sub ELSE ca.sub END AS sub FROM ca FULL JOIN l USING (label) WHERE CASE WHEN l.label IS NOT NULL THEN l.sub ELSE ca.sub END IS NOT NULL""")
+def label_cache_edit(spark, d):
+    """Labels that are inserted, changed and removed; the last edit of each counts."""
+    p = table(spark, d, "part")
+    cache = p.where("p_partkey % 2 = 0").groupBy(F.lower("p_name").alias("label")).agg(F.min("p_type").alias("sub"))
+    edits = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("seq"), F.concat(F.lit(" "), F.upper("p_name")).alias("label"), F.when(F.col("p_size") % 3 != 0, F.col("p_brand")).alias("sub"))
+    return C.cache_edited(cache, edits)
+
+
+PARSED = "CASE event_id % 10 WHEN 0 THEN '' WHEN 1 THEN '2024-01-' || (10 + event_id % 25) WHEN 2 THEN event_id::VARCHAR WHEN 3 THEN (event_id % 90) || '.25' WHEN 4 THEN 'n/a' WHEN 5 THEN '-' || event_id WHEN 6 THEN '2023-02-29' WHEN 7 THEN '1e3' WHEN 8 THEN '99999999999' ELSE '2024-02-29' END"
+
+
+@query("try_parse", f"SELECT event_id AS id, CASE WHEN regexp_matches(s, '^[+-]?[0-9]+$') THEN try_cast(s AS INT) END AS whole, try_cast(s AS DOUBLE) AS number, CASE WHEN regexp_matches(s, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN try_cast(s AS DATE) END AS day FROM (SELECT event_id, {PARSED} AS s FROM events)")
+def try_parse(spark, d):
+    """Texts as whole numbers, numbers and days, null where they are none."""
+    s = F.expr(PARSED.replace("::VARCHAR", "").replace("THEN event_id WHEN", "THEN cast(event_id AS string) WHEN"))
+    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), s.alias("s"))
+    whole = F.when(F.regexp_like("s", F.lit("^[+-]?[0-9]+$")), F.col("s").try_cast("int"))
+    day = F.when(F.regexp_like("s", F.lit("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")), F.col("s").try_cast("date"))
+    return rows.select("id", whole.alias("whole"), F.col("s").try_cast("double").alias("number"), day.alias("day"))

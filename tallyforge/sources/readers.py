@@ -118,6 +118,11 @@ def ticker_map(rows: DataFrame) -> DataFrame:
     return rows.groupBy("cik").agg(F.min_by("ticker", "pos").alias("ticker"))
 
 
+def ticker_inverse(rows: DataFrame) -> DataFrame:
+    """Ticker, in capitals, to the first cik by position that has it in any case."""
+    return rows.groupBy(F.upper("ticker").alias("ticker")).agg(F.min_by("cik", "pos").alias("cik"))
+
+
 def instance_contexts(rows: DataFrame) -> DataFrame:
     """(doc_id, context_id, member, end, product_axis) of the contexts in tagged documents."""
     blocks = rows.select("doc_id", F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<(?:xbrli:)?context\b.*?</(?:xbrli:)?context>"), F.lit(0))).alias("x"))
@@ -146,8 +151,9 @@ def instance_file(names: Column) -> Column:
 def summary_reports(rows: DataFrame) -> DataFrame:
     """(doc_id, pos, file, name, category) of a filing summary's reports; those without a file are left out."""
     found = rows.select("doc_id", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<Report\b.*?</Report>"), F.lit(0))).alias("pos", "x"))
-    tag = lambda t: F.replace(F.regexp_extract("x", rf"(?s)<{t}>\s*(.*?)\s*</{t}>", 1), F.lit("&amp;"), F.lit("&"))
-    return found.select("doc_id", "pos", tag("HtmlFileName").alias("file"), tag("ShortName").alias("name"), tag("MenuCategory").alias("category")).where("file <> ''")
+    read = found.select("doc_id", "pos", F.from_xml("x", "HtmlFileName string, ShortName string, MenuCategory string", {"rowTag": "Report"}).alias("r"))
+    tag = lambda t: F.trim(F.coalesce(F.col(f"r.{t}"), F.lit("")))
+    return read.select("doc_id", "pos", tag("HtmlFileName").alias("file"), tag("ShortName").alias("name"), tag("MenuCategory").alias("category")).where("file <> ''")
 
 
 def weekly_chart(rows: DataFrame) -> DataFrame:

@@ -36,6 +36,8 @@ def test_facts_and_submissions(spark):
     assert [(r.form, r.reportDate, r.url) for r in rows] == [("10-K", "2023-09-30", "https://example.org/data/320193/123/a.htm"), ("8-K", None, None), ("4", None, None)]
     tickers = spark.createDataFrame([(1, "B", 1), (1, "A", 0), (2, "C", 2)], "cik long, ticker string, pos int")
     assert {r.cik: r.ticker for r in R.ticker_map(tickers).collect()} == {1: "A", 2: "C"}
+    again = spark.createDataFrame([(1, "a", 3), (2, "A", 1), (3, "b", 0)], "cik long, ticker string, pos int")
+    assert {r.ticker: r.cik for r in R.ticker_inverse(again).collect()} == {"A": 2, "B": 3}
 
 
 def test_tagged_documents(spark):
@@ -47,8 +49,8 @@ def test_tagged_documents(spark):
     assert [tuple(r)[1:] for r in R.instance_facts(texts(spark, xml), {"us-gaap:Revenues": "revenue"}).collect()] == [("c1", "revenue", 162560.0), ("c2", "revenue", None)]
     names = spark.createDataFrame([(["a_cal.xml", "FilingSummary.xml", "b.xml", "c_htm.xml"],), (["a_lab.xml", "b.xml"],), (["x.htm"],)], "n array<string>")
     assert [r[0] for r in names.select(R.instance_file(names["n"])).collect()] == ["c_htm.xml", "b.xml", None]
-    summary = "<Report><HtmlFileName>R2.htm</HtmlFileName><ShortName>P &amp; L</ShortName><MenuCategory>Statements</MenuCategory></Report><Report><ShortName>none</ShortName></Report>"
-    assert [tuple(r)[1:] for r in R.summary_reports(texts(spark, summary)).collect()] == [(0, "R2.htm", "P & L", "Statements")]
+    summary = "<Report><HtmlFileName>R2.htm</HtmlFileName><ShortName>P &amp; L &lt;x&gt; &#8212; &quot;y&quot;</ShortName><MenuCategory>Statements</MenuCategory></Report><Report><ShortName>none</ShortName></Report>"
+    assert [tuple(r)[1:] for r in R.summary_reports(texts(spark, summary)).collect()] == [(0, "R2.htm", 'P & L <x> — "y"', "Statements")]
 
 
 def test_charts_and_tables(spark):
