@@ -75,32 +75,42 @@ def sections(lines: DataFrame) -> DataFrame:
     return bodies.groupBy("doc_id", "item").agg(F.max_by("first", best).alias("first"), F.max_by("body", best).alias("body"))
 
 
+#: How a chunk starts: with its paragraphs as they are, with the one before as a caption, or as one that is clipped.
+PLAIN, WITH_CAPTION, CLIPPED = 1, 2, 3
+
+
 def pack(docs: DataFrame, limit: int, text: str = "text") -> DataFrame:
     """Greedy chunks of each document's paragraphs, which blank lines part: (doc_id, chunk, text).
 
     A paragraph starts a chunk if what is there and itself exceed the limit, separators not
     counted. One longer than the limit stands alone, clipped unless it is a table. A table
     that starts a chunk takes the short paragraph before it along as its caption. The running
-    state resets, which no window frame expresses, so it folds over each document's own array.
+    state resets, which no window frame expresses, so it folds over each document's own
+    paragraphs: over their lengths, to where chunks start and how; texts are cut once, at the end.
     """
-    kind = "struct<done:array<string>,now:string,last:string>"
-    state = lambda done, now, last: F.struct(done.alias("done"), now.alias("now"), last.alias("last")).cast(kind)
-    closed = lambda s: F.when(s["now"] != "", F.array_append(s["done"], s["now"])).otherwise(s["done"])
-
-    def step(s: Column, para: Column) -> Column:
-        table = F.startswith(F.lower(F.substring(para, 1, 6)), F.lit("<table"))
-        caption = F.when(table & F.length(s["last"]).between(1, CAPTION), F.concat(s["last"], F.lit("\n\n")))
-        captioned = F.concat(F.coalesce(caption, F.lit("")), para)
-        alone = state(F.array_append(closed(s), F.when(table, captioned).otherwise(F.substring(para, 1, limit))), F.lit(""), para)
-        fresh = state(closed(s), captioned, para)
-        more = state(s["done"], F.concat(s["now"], F.when(s["now"] != "", F.lit("\n\n")).otherwise(F.lit("")), para), para)
-        full = (s["now"] != "") & (F.length(s["now"]) + F.length(para) > limit)
-        return F.when(F.length(para) > limit, alone).when(full, fresh).otherwise(more)
+    kind = "struct<starts:array<bigint>,open:int,last:int>"
+    state = lambda starts, open_, last: F.struct(starts.alias("starts"), open_.alias("open"), last.alias("last")).cast(kind)
+
+    def step(s: Column, p: Column) -> Column:
+        captioned = p["table"] & s["last"].between(1, CAPTION)
+        begun = lambda how: F.array_append(s["starts"], (p["i"] * 8 + how).cast("bigint"))
+        how = F.when(p["n"] > limit, F.when(captioned, WITH_CAPTION).when(p["table"], PLAIN).otherwise(CLIPPED)).otherwise(F.when(captioned & (s["open"] > 0), WITH_CAPTION).otherwise(PLAIN))
+        starts_one = (p["n"] > limit) | (s["open"] == 0) | (s["open"] + p["n"] > limit)
+        size = F.when(p["n"] > limit, 0).when(~starts_one, s["open"] + 2 + p["n"]).when(captioned & (s["open"] > 0), s["last"] + 2 + p["n"]).otherwise(p["n"])
+        return state(F.when(starts_one, begun(how)).otherwise(s["starts"]), size, p["n"])
 
     paras = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda x: F.btrim(x, F.lit(BLANK))), lambda x: x != "")
-    start = state(F.array().cast("array<string>"), F.lit(""), F.lit(""))
-    folded = docs.select("doc_id", F.aggregate(paras, start, step, closed).alias("chunks"))
-    return folded.select("doc_id", F.posexplode("chunks").alias("chunk", "text"))
+    sizes = F.transform("paras", lambda x, i: F.struct(i.alias("i"), F.length(x).alias("n"), F.startswith(F.lower(F.substring(x, 1, 6)), F.lit("<table")).alias("table")))
+    cut = docs.select("doc_id", paras.alias("paras"))
+    folded = cut.select("doc_id", "paras", F.aggregate(sizes, state(F.array().cast("array<bigint>"), F.lit(0), F.lit(0)), step)["starts"].alias("starts"))
+
+    def chunk(start: Column, k: Column) -> Column:
+        first, how = F.shiftright(start, 3).cast("int"), start.bitwiseAND(F.lit(7))
+        end = F.coalesce(F.shiftright(F.get("starts", k + 1), 3).cast("int"), F.size("paras"))
+        body = F.array_join(F.slice("paras", first + 1, end - first), "\n\n")
+        return F.when(how == WITH_CAPTION, F.concat(F.get("paras", first - 1), F.lit("\n\n"), body)).when(how == CLIPPED, F.substring(body, 1, limit)).otherwise(body)
+
+    return folded.select("doc_id", F.posexplode(F.transform("starts", chunk)).alias("chunk", "text"))
 
 
 def joined_packs(rows: DataFrame, by: str, order: str, group: str, limit: int) -> DataFrame:
