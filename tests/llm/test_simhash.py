@@ -158,7 +158,7 @@ def test_components_of_long_paths(spark):
 def test_no_name_of_a_column_clashes(spark):
     rows = [row(i, t) for i, t in enumerate(("a b c d e f", "A b c d e f", None, "x"))]
     want = sorted(r.doc_id for r in S.keep_one(frame(spark, rows)).collect())
-    for a, b in (("kept_doc_id", "kept_text_id"), ("_kept_text_", "_kept_doc_id_"), ("kept_text_id_", "kept_doc_id"), ("tid", "first")):
+    for a, b in (("kept_doc_id", "kept_text_id"), ("_kept_text_", "_kept_doc_id_"), ("kept_text_id_", "kept_doc_id"), ("node", "first")):
         docs = frame(spark, rows).withColumnsRenamed({"lang": a, "source": b})
         made = S.keep_one(docs)
         assert made.columns == docs.columns and sorted(r.doc_id for r in made.collect()) == want
