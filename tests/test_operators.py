@@ -133,3 +133,10 @@ def test_ranks_over_ranges(spark):
     rows = spark.range(1000).selectExpr("id", "id * 7919 % 1000 v")
     found = global_rank(rows, [F.col("v"), F.col("id")], "place").collect()
     assert all(r.place == r.v + 1 for r in found)
+
+
+def test_declared_schemas_are_those_of_the_files(spark):
+    from tallyforge.sources import domain
+
+    for name in domain.SCHEMAS:
+        assert domain.table(spark, "/root/testdata/sf0.001", name).schema == spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").schema
