@@ -183,6 +183,16 @@ def outline(lines: DataFrame, items: tuple[str, ...], title: Column) -> DataFram
     return once.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("first"))).where(F.col("n") <= MOST_HEADINGS).drop("n")
 
 
+def thin_shares(docs: DataFrame, outlined: DataFrame, items: tuple[str, ...], least: int = 5, budget: int = 48, floor: int = 6) -> DataFrame:
+    """(doc_id, thin, used, per_item): of the wanted items those with under ``least`` headings in the outline, what the others use, and each thin one's share of the rest."""
+    counts = outlined.groupBy("doc_id", "section").agg(F.count("*").alias("n"))
+    asked = docs.select("doc_id", F.explode(F.array(*(F.lit(f"Item {i}") for i in items))).alias("section"))
+    n = F.coalesce("n", F.lit(0))
+    t = asked.join(counts, ["doc_id", "section"], "left").groupBy("doc_id").agg(F.count_if(n < least).alias("thin"), F.sum(F.when(n >= least, n).otherwise(0)).alias("used"))
+    share = F.greatest(F.lit(floor).cast("long"), F.floor((budget - F.col("used")) / F.col("thin")))
+    return t.select("doc_id", "thin", "used", F.when(F.col("thin") > 0, share).alias("per_item"))
+
+
 def income_statement(name: Column) -> Column:
     """Operations, Income or Earnings, after "Comprehensive Income" is taken out; in any case."""
     return F.regexp_like(F.regexp_replace(name, "(?i)Comprehensive Income", ""), F.lit("(?i)Operations|Income|Earnings"))

@@ -226,13 +226,18 @@ def md_headings(spark, d):
     return marked(spark, d).select("doc_id", "pos", L.atx_or_bold(F.col("line")).alias("title")).where(L.is_heading(F.col("title")))
 
 
-@query("heading_outline", rf"""WITH {MARKS}, m AS (SELECT *, {ITEM} AS item, {TITLE} AS title FROM mk WHERE trim(line) <> ''), f AS (SELECT *, last_value(item IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS now FROM m),
-k AS (SELECT *, CASE WHEN item IS NOT NULL THEN trim(regexp_replace(line, '[*_`]', '', 'g')) WHEN length(title) <= 400 AND regexp_matches(title, '\p{{L}}') THEN title END AS head FROM f WHERE now IN ('1A', '2A')),
+def outlined_sql(items: str) -> str:
+    """Common tables up to o2, the outline of the given items."""
+    return rf"""WITH {MARKS}, m AS (SELECT *, {ITEM} AS item, {TITLE} AS title FROM mk WHERE trim(line) <> ''), f AS (SELECT *, last_value(item IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS now FROM m),
+k AS (SELECT *, CASE WHEN item IS NOT NULL THEN trim(regexp_replace(line, '[*_`]', '', 'g')) WHEN length(title) <= 400 AND regexp_matches(title, '\p{{L}}') THEN title END AS head FROM f WHERE now IN ({items})),
 t AS (SELECT *, sum((head IS NOT NULL)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM k),
 z AS (SELECT *, coalesce(sum(CASE WHEN head IS NULL THEN length(line) + 1 END) OVER (PARTITION BY doc_id, part ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS size FROM t),
 g AS (SELECT doc_id, part, 'Item ' || min(now) AS section, max(head) AS title, min(pos) AS first, string_agg(line, chr(10) ORDER BY pos) FILTER (head IS NULL AND size < 6000) AS body FROM z GROUP BY doc_id, part),
-o AS (SELECT doc_id, section, title, arg_max(body, (length(body), -first)) AS body, min(first) AS first FROM g WHERE body IS NOT NULL GROUP BY doc_id, section, title)
-SELECT doc_id, section, title, body, first FROM o QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY first) <= 120""")
+o AS (SELECT doc_id, section, title, arg_max(body, (length(body), -first)) AS body, min(first) AS first FROM g WHERE body IS NOT NULL GROUP BY doc_id, section, title),
+o2 AS (SELECT doc_id, section, title, body, first FROM o QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY first) <= 120)"""
+
+
+@query("heading_outline", outlined_sql("'1A', '2A'") + " SELECT * FROM o2")
 def heading_outline(spark, d):
     """Headings inside two items, with what stands under them."""
     rows = marked(spark, d).where("trim(line) <> ''")
@@ -256,6 +261,17 @@ def thin_items(spark, d):
     return t.select("doc_id", "thin", F.when(F.col("thin") > 0, F.greatest(F.lit(6).cast("long"), F.floor((48 - F.coalesce("used", F.lit(0))) / F.col("thin")))).alias("per_item"))
 
 
+@query("thin_outline", outlined_sql("'1A', '2A', '3A'") + """, c2 AS (SELECT d.doc_id, i.item, count(o2.title) AS n FROM documents d CROSS JOIN (SELECT unnest(['Item 1A', 'Item 2A', 'Item 3A']) AS item) i LEFT JOIN o2 ON o2.doc_id = d.doc_id AND o2.section = i.item GROUP BY ALL),
+s2 AS (SELECT doc_id, count(*) FILTER (n < 5) AS thin, coalesce(sum(n) FILTER (n >= 5), 0)::BIGINT AS used FROM c2 GROUP BY doc_id)
+SELECT doc_id, thin, used, CASE WHEN thin > 0 THEN greatest(6, floor((48 - used) / thin))::BIGINT END AS per_item FROM s2""")
+def thin_outline(spark, d):
+    """How many of three items have under five headings, none among them, and what of the budget each of these may read."""
+    rows = marked(spark, d).where("trim(line) <> ''")
+    items = ("1A", "2A", "3A")
+    return L.thin_shares(table(spark, d, "documents").select("doc_id"), L.outline(rows, items, L.atx_or_bold(F.col("line"))), items)
+
+
+
 WHOLE = "'{\"ids\": [' || (event_id % 7) || ', ' || (event_id % 50) || ']}'"
 ANSWER = f"CASE event_id % 6 WHEN 0 THEN 'ok ' || {WHOLE} || ' bye' WHEN 1 THEN {WHOLE} WHEN 2 THEN '{{\"ids\": [' || (event_id % 7) || ', ' || (event_id % 50) WHEN 3 THEN 'none' WHEN 4 THEN 'x {{\"ids\": [{{\"n\": 1}}, ' || (event_id % 50) || ', {{\"n\": 2}} cut' ELSE '}} ' || event_type || ' {{' END"
 
