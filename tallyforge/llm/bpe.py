@@ -23,7 +23,7 @@ from tokenizers import Tokenizer, models
 from .common import map_rows
 
 #: Bytes of encoded chunks and words that a worker remembers before it starts anew.
-CACHE_BYTES = 160 << 20
+CACHE_BYTES = 64 << 20
 #: Chunks of ASCII without apostrophes and of Latin letters that need no normal form, and
 #: their pre-tokens once in lower case; all others go through the library's own steps.
 PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")
