@@ -47,8 +47,9 @@ def _plain(x: str) -> str:
     x = f"regexp_replace({x}, '(?is)<!--.*?-->', '', 'g')"
     x = f"regexp_replace({x}, '(?i)</(p|div|tr|li|h[1-6]|table)>|<br>', chr(10), 'g')"
     x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
-    for name, char in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        x = f"replace({x}, '{name}', '{char}')"
+    # HTML knows these names without their semicolon too, as in a title that is cut inside a reference
+    for name, char in (("&nbsp;?", "\u00a0"), ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&copy;?", "©"), ("&middot;?", "·"), ("&amp;?", "&")):
+        x = f"regexp_replace({x}, '{name}', '{char}', 'g')"
     return x
 
 

@@ -193,3 +193,19 @@ def test_titles_stand_for_items(spark):
     lines = ["Item 2.02 Results", "## ITEM 7a. Risk", "## Risk Factors  ", "see Risk Factors above", "Management’s Discussion and Analysis of Financial Condition and Results", "Financial Statements and Supplementary Data:", "Items 3"]
     got = spark.createDataFrame([(x,) for x in lines], "line string").select(L.item_of(F.col("line")).alias("i")).collect()
     assert [r.i for r in got] == ["2.02", "7A", "1A", None, "7", "8", None]
+
+
+def test_cut_references_in_sql_and_query(spark, tmp_path):
+    """A reference cut before its semicolon is decoded by html_to_text and by its SQL alike."""
+    import duckdb
+
+    from tallyforge import registry
+
+    con = duckdb.connect()
+    con.sql("CREATE TABLE pages AS SELECT 1 AS page_id, 'u' AS url, '<html><body><p>fish &amp; chips&amp</p><p>a &amp;lt; b &lt 3 &copy 2001 &middot&nbsp;x</p></body></html>' AS html")
+    con.sql("CREATE TABLE documents AS SELECT 1 AS doc_id, 'plain &amp text' AS text, 'en' AS lang, 's' AS source, 15 AS n_chars")
+    for t in ("pages", "documents"):
+        con.sql(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    found = {r.id: r.text for r in registry.queries()["html_to_text"](spark, str(tmp_path)).collect()}
+    assert found == dict(con.sql(registry.oracle_sql()["html_to_text"]).fetchall())
+    assert found[1].startswith("fish & chips&\n")
