@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.checkpoints import checkpointed
+
 # Words that make a chunk relevant to a question, matched in any case.
 KEYWORDS = {
     "REVENUE": ("Revenue", "Net Sales", "Segment", "Geographic", "Product", "Customer", "Disaggregat", "Performance Obligation", "Concentration", "Equity Method"),
@@ -113,26 +117,110 @@ def pack(docs: DataFrame, limit: int, text: str = "text") -> DataFrame:
     return folded.select("doc_id", F.posexplode(F.transform("starts", chunk)).alias("chunk", "text"))
 
 
-def joined_packs(rows: DataFrame, by: str, order: str, group: str, limit: int) -> DataFrame:
+def next_starts(n: np.ndarray, turns: np.ndarray, limit: int) -> np.ndarray:
+    """For each piece the one that would start the next chunk if it started one itself; len(n) if none does.
+
+    ``n`` has lengths, ``turns`` says where the group changes. A piece after p of m characters
+    in all, separators among them, is one too many beyond the limit. Empty pieces that start a
+    chunk leave it as it was, so it is the chunk of the first one that isn't empty.
+    """
+    size = len(n)
+    ends = np.r_[0, np.cumsum(n + 2)]
+    full = np.searchsorted(ends, limit + 4 + ends[:-1], side="right") - 1
+    at = np.arange(size)
+    turn = np.minimum.accumulate(np.r_[np.where(turns, at, size), size][::-1])[::-1][1:]
+    found = np.minimum(np.maximum(full, at + 1), turn)
+    filled = np.minimum.accumulate(np.where(n > 0, at, size)[::-1])[::-1]
+    return np.r_[found, size][filled]
+
+
+def stretch(table: pa.Table, limit: int, block: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(places of its pieces, next starts among them, how many are its own, the first one's place) of a block with the head of the next one."""
+    table = table.sort_by("seq")
+    seq = table.column("seq").to_numpy()
+    first = int(table.column("block")[0].as_py()) * block
+    own = int(np.searchsorted(seq, first + block))
+    turns = table.column("turn").to_numpy(zero_copy_only=False)
+    found = next_starts(table.column("n").to_numpy(), turns, limit)
+    if len(seq) == own + ahead(limit) and own == block and (found[:own] == len(seq)).any():
+        raise ValueError(f"over {ahead(limit)} pieces on end are no more than {limit} characters: too many empty ones")
+    return seq, found, own, first
+
+
+def ahead(limit: int) -> int:
+    """Pieces of a chunk at most, and one: each has a separator of two characters at least."""
+    return limit // 2 + 3
+
+
+def numbered(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``seq``, their number from 0 in order within ``by``: numbered in ranges, whose sizes are added up, so that no task gathers all of one ``by``."""
+    part = checkpointed(rows.repartitionByRange(by, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = part.groupBy(by, "_part").agg(F.count("*").alias("_n"))
+    before = sizes.select(F.col(by).alias("_by"), F.col("_part").alias("_p"), (F.sum("_n").over(Window.partitionBy(by).orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = part.withColumn("_own", F.row_number().over(Window.partitionBy("_part", by).orderBy(*order)) - 1)
+    return own.join(before, own[by].eqNullSafe(before["_by"]) & (own["_part"] == before["_p"])).withColumn("seq", F.col("_own") + F.col("_before")).drop("_by", "_p", "_part", "_own", "_before", "_n")
+
+
+def joined_packs(rows: DataFrame, by: str, order: str, group: str, limit: int, block: int = 4096) -> DataFrame:
     """Pieces (by, order, group, title, piece) packed in order: (by, chunk, group, text, titles).
 
     A new chunk starts where the group changes or the budget is passed; a piece over the
-    budget goes whole. Titles are those that a chunk bundles, each once.
-    """
-    kind = "struct<done:array<struct<item:string,text:string,titles:array<string>>>,item:string,text:string,titles:array<string>>"
-    state = lambda done, item, text, titles: F.struct(done.alias("done"), item.alias("item"), text.alias("text"), titles.alias("titles")).cast(kind)
-    closed = lambda s: F.when(s["text"] != "", F.array_append(s["done"], F.struct(s["item"].alias("item"), s["text"].alias("text"), F.array_distinct(s["titles"]).alias("titles")))).otherwise(s["done"])
+    budget goes whole. Titles are those that a chunk bundles, each once. Ties of order are
+    told apart by group, title and piece. A null piece is an empty one.
 
-    def step(s: Column, p: Column) -> Column:
-        full = (s["text"] != "") & ((s["item"] != p["item"]) | (F.length(s["text"]) + F.length(p["piece"]) > limit))
-        more = state(s["done"], p["item"], F.concat(s["text"], F.when(s["text"] != "", F.lit("\n\n")).otherwise(F.lit("")), p["piece"]), F.array_append(s["titles"], p["title"]))
-        return F.when(full, state(closed(s), p["item"], p["piece"], F.array(p["title"]))).otherwise(more)
-
-    pieces = F.sort_array(F.collect_list(F.struct(F.col(order).alias("order"), F.col(group).alias("item"), "title", "piece")))
-    none = F.array().cast("array<string>")
-    start = state(F.array().cast("array<struct<item:string,text:string,titles:array<string>>>"), F.lit(""), F.lit(""), none)
-    folded = rows.groupBy(by).agg(pieces.alias("pieces")).select(by, F.aggregate("pieces", start, step, closed).alias("chunks"))
-    return folded.select(by, F.posexplode("chunks").alias("chunk", "c")).select(by, "chunk", F.col("c.item").alias(group), "c.text", "c.titles")
+    Where a chunk ends depends on its first piece alone. So each block of a filing's pieces says,
+    for every piece that may start its first chunk, which piece starts the first chunk of the
+    next block and how many chunks start between; one row a block is followed from the first on,
+    and blocks then number their chunks. A task holds one block, and one row for each of a filing.
+    """
+    block, near, kind = max(block, ahead(limit)), ahead(limit), rows.schema[by].dataType.simpleString()
+    keys = [order, group, "title", "piece"]
+    placed = checkpointed(numbered(rows.select(by, order, group, "title", F.coalesce("piece", F.lit("")).alias("piece")), by, keys).withColumn("block", F.floor(F.col("seq") / block)))
+    # the group before a block's first piece is that of the block before: heads carry it along
+    heads = placed.where(F.col("seq") % block < near).withColumn("block", F.col("block") - 1).where("block >= 0")
+    both = placed.select(by, "block", "seq", F.length("piece").alias("n"), group).unionByName(heads.select(by, "block", "seq", F.length("piece").alias("n"), group))
+    earlier = F.lag(group).over(Window.partitionBy(by, "block").orderBy("seq"))
+    pieces = checkpointed(both.withColumn("turn", F.coalesce(F.col(group) != earlier, F.lit(False))).select(F.col(by).alias("by"), "block", "seq", "n", "turn"))
+
+    def leads(table: pa.Table) -> pa.Table:
+        seq, found, own, first = stretch(table, limit, block)
+        exits, chunks = found.astype(np.int64), np.ones(len(found), np.int64)
+        for k in range(own - 1, -1, -1):
+            if (x := found[k]) < own:
+                exits[k], chunks[k] = exits[x], chunks[x] + 1
+        some = min(own, near)
+        return pa.table({"by": table.column("by")[:1], "block": table.column("block")[:1], "exits": pa.array([(exits[:some] + first).tolist()], pa.list_(pa.int64())), "chunks": pa.array([chunks[:some].tolist()], pa.list_(pa.int64()))})
+
+    def follow(table: pa.Table) -> pa.Table:
+        table, entries, counts, at, n = table.sort_by("block"), [], [], 0, 0
+        numbers = table.column("block").to_pylist()
+        for k, number in enumerate(numbers):
+            entries.append(at)
+            counts.append(n)
+            if (k_at := at - number * block) < len(exits := table.column("exits")[k]):
+                at, n = exits[k_at].as_py(), n + table.column("chunks")[k][k_at].as_py()
+        return pa.table({"by": table.column("by"), "block": table.column("block"), "entry": pa.array(entries, pa.int64()), "before": pa.array(counts, pa.int64())})
+
+    def number(table: pa.Table) -> pa.Table:
+        seq, found, own, first = stretch(table, limit, block)
+        starts, at = np.zeros(own, np.int64), int(table.column("entry")[0].as_py()) - first
+        while at < own:
+            starts[at] = 1
+            at = int(found[at])
+        chunk = np.cumsum(starts) + table.column("before")[0].as_py() - 1
+        return pa.table({"by": pa.chunked_array([table.column("by").combine_chunks().take(pa.array(np.zeros(own, np.int64)))]), "seq": pa.array(seq[:own], pa.int64()), "chunk": pa.array(chunk, pa.int32())})
+
+    led = pieces.groupBy("by", "block").applyInArrow(leads, f"by {kind}, block bigint, exits array<bigint>, chunks array<bigint>")
+    ways = led.groupBy("by").applyInArrow(follow, f"by {kind}, block bigint, entry bigint, before bigint").withColumnsRenamed({"by": "_by", "block": "_block"})
+    entered = pieces.join(ways, pieces["by"].eqNullSafe(ways["_by"]) & (pieces["block"] == ways["_block"])).drop("_by", "_block")
+    chunks = entered.groupBy("by", "block").applyInArrow(number, f"by {kind}, seq bigint, chunk int").withColumnsRenamed({"by": "_by", "seq": "_seq"})
+    found = placed.join(chunks, placed[by].eqNullSafe(chunks["_by"]) & (placed["seq"] == chunks["_seq"]))
+    one = F.sort_array(F.collect_list(F.struct("seq", F.col(group).alias("item"), "title", "piece"))).alias("own")  # of one chunk
+    gathered = found.groupBy(by, "chunk").agg(one)
+    # empty pieces before the first text have no separator
+    text = F.aggregate("own", F.lit(""), lambda t, p: F.concat(t, F.when(t != "", F.lit("\n\n")).otherwise(F.lit("")), p["piece"]))
+    titles = F.array_distinct(F.col("own.title"))
+    return gathered.select(by, "chunk", F.element_at("own", -1)["item"].alias(group), text.alias("text"), titles.alias("titles")).where("text <> ''")
 
 
 def fair_share(chunks: DataFrame, filing: str, section: str, order: str, per: int, overall: int) -> DataFrame:

@@ -140,3 +140,26 @@ def test_declared_schemas_are_those_of_the_files(spark):
 
     for name in domain.SCHEMAS:
         assert domain.table(spark, "/root/testdata/sf0.001", name).schema == spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").schema
+
+
+def test_packs_over_blocks(spark):
+    """Blocks far smaller than a filing give the chunks of one loop over all its pieces, empty pieces and changes of group at their ends among them."""
+    import random
+
+    r, rows, want = random.Random(3), [], []
+    for f in range(8):
+        chunks, text, item, titles = [], "", None, []
+        for k in range((1, 5, 60, 400)[f % 4]):
+            i, t, piece = r.choice("AAAAAB"), r.choice("xyz"), "" if f > 3 and r.random() < 0.3 else "p" * r.choice((1, 2, 9, 20, 44))
+            rows.append((f, k, i, t, piece))
+            if text and (i != item or len(text) + len(piece) > 40):
+                chunks.append((item, text, titles))
+                text, titles = piece, [t]
+            else:
+                text, titles = text + ("\n\n" if text else "") + piece, [*titles, t]
+            item = i
+        chunks += [(item, text, titles)] if text else []
+        want += [(f, c, i, t, list(dict.fromkeys(s))) for c, (i, t, s) in enumerate(chunks)]
+    pieces = spark.createDataFrame(rows, "filing int, pos long, item string, title string, piece string").repartition(5)
+    found = L.joined_packs(pieces, "filing", "pos", "item", 40, block=16)
+    assert sorted((r.filing, r.chunk, r.item, r.text, r.titles) for r in found.collect()) == sorted(want)
