@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -360,24 +362,33 @@ def folded(text: Column) -> Column:
     return F.lower(F.btrim(F.regexp_replace(marks, r"[ \t\n\x0B\f\r]+", " ")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row, however often ``body`` names it, in lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def evidence(text: Column, quote: Column) -> Column:
     """Where a quote stands in a text, both folded: struct(start from 1, n characters, exact), or null.
 
     As a whole; else one side of an elision, else its longest leading run of words, else its
-    longest sentence, each of ANCHOR words or more.
+    longest sentence, each of ANCHOR words or more. Text and quote are folded once.
     """
-    t, full = folded(text), F.regexp_replace(folded(quote), r"^[\"'.\s]+|[\"'.\s]+$", "")
-    at = lambda x: F.call_function("instr", t, x)
-    long = lambda x: F.size(F.split(x, " ")) >= ANCHOR
-    sides = F.filter(F.transform(F.split(full, r"\s*\.{3,}\s*"), lambda x: F.trim(x)), lambda x: long(x) & (x != full))
-    words = F.split(full, " ")
-    run = lambda n: F.array_join(F.slice(words, F.lit(1), n), " ")
-    lengths = F.when(F.size(words) > ANCHOR, F.sequence(F.size(words) - 1, F.lit(ANCHOR), F.lit(-1)))
-    n = F.get(F.filter(lengths, lambda k: at(run(k)) > 0), F.lit(0))
-    parts = F.filter(F.transform(F.split(full, r"(?<=[.;:])\s+"), lambda x: F.trim(x)), long)
-    numbered = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.struct((-F.length(F.get(parts, i))).alias("n"), i.alias("i"))))
-    sentences = F.transform(numbered, lambda p: F.get(parts, p["i"]))
-    first = lambda some: F.get(F.filter(some, lambda x: at(x) > 0), F.lit(0))
-    loose = F.coalesce(first(sides), F.when(n.isNotNull(), run(n)), F.when(F.size(parts) > 0, first(sentences)))
-    hit = lambda x, exact: F.struct(at(x).alias("start"), F.length(x).alias("n"), F.lit(exact).alias("exact"))
-    return F.when(full == "", None).when(at(full) > 0, hit(full, True)).when(loose.isNotNull(), hit(loose, False))
+
+    def searched(v: Column) -> Column:
+        t, full, words = v["t"], v["full"], v["words"]
+        at = lambda x: F.call_function("instr", t, x)
+        long = lambda x: F.size(F.split(x, " ")) >= ANCHOR
+        sides = F.filter(F.transform(F.split(full, r"\s*\.{3,}\s*"), lambda x: F.trim(x)), lambda x: long(x) & (x != full))
+        run = lambda n: F.array_join(F.slice(words, F.lit(1), n), " ")
+        lengths = F.when(F.size(words) > ANCHOR, F.sequence(F.size(words) - 1, F.lit(ANCHOR), F.lit(-1)))
+        runs = let(F.get(F.filter(lengths, lambda k: at(run(k)) > 0), F.lit(0)), lambda n: F.when(n.isNotNull(), run(n)))
+        parts = F.filter(F.transform(F.split(full, r"(?<=[.;:])\s+"), lambda x: F.trim(x)), long)
+        ordered = lambda p: F.sort_array(F.transform(F.sequence(F.lit(0), F.size(p) - 1), lambda i: F.struct((-F.length(F.get(p, i))).alias("n"), i.alias("i"))))
+        first = lambda some: F.get(F.filter(some, lambda x: at(x) > 0), F.lit(0))
+        sentences = let(parts, lambda p: F.when(F.size(p) > 0, first(F.transform(ordered(p), lambda x: F.get(p, x["i"])))))
+        hit = lambda x, exact: F.struct(at(x).alias("start"), F.length(x).alias("n"), F.lit(exact).alias("exact"))
+        loose = let(F.coalesce(first(sides), runs, sentences), lambda x: F.when(x.isNotNull(), hit(x, False)))
+        return F.when(full == "", None).when(at(full) > 0, hit(full, True)).otherwise(loose)
+
+    both = F.struct(folded(text).alias("t"), F.regexp_replace(folded(quote), r"^[\"'.\s]+|[\"'.\s]+$", "").alias("full"))
+    return let(both, lambda b: let(F.struct(b["t"].alias("t"), b["full"].alias("full"), F.split(b["full"], " ").alias("words")), searched))

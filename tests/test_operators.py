@@ -163,3 +163,15 @@ def test_packs_over_blocks(spark):
     pieces = spark.createDataFrame(rows, "filing int, pos long, item string, title string, piece string").repartition(5)
     found = L.joined_packs(pieces, "filing", "pos", "item", 40, block=16)
     assert sorted((r.filing, r.chunk, r.item, r.text, r.titles) for r in found.collect()) == sorted(want)
+
+
+def test_evidence_folds_once(spark):
+    """The plan folds text and quote once each, and the query searches once for a filter and three columns."""
+    docs = spark.createDataFrame([("Cost of “Sales” rose. It was a long and hard year for all.", "it was a long and hard month"), (None, "x"), ("x", None), ("abc", "")], "text string, quote string")
+    found = docs.select(L.evidence(F.col("text"), F.col("quote")).alias("at"))
+    assert [r["at"] and tuple(r["at"]) for r in found.collect()] == [(23, 22, False), None, None, None]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 2
+    from tallyforge import registry
+
+    plan = registry.queries()["evidence_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("instr(") <= 7 and "Generate inline" in plan
