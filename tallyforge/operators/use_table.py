@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.checkpoints import checkpointed
 from tallyforge.functions.text import value_added_kind
 
 #: The names in a file's header, by what stands below them; values reach up to the last of them.
@@ -24,14 +25,16 @@ def use_table_files(spark: SparkSession, path: str) -> DataFrame:
     return use_lines(lines.select(F.input_file_name().alias("file"), F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("value")))
 
 
-def use_lines(lines: DataFrame) -> DataFrame:
+def use_lines(lines: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """(row, column, value) of fixed-width lines (file, value) whose offsets stand in each file's header.
 
     A header has all four names, in any order and place. Codes are trimmed and in capitals.
     Lines whose value is blank, a dot or no number have no row; a file without a header is an error.
+    Headers are looked for among ``headers``, lines too, else among all lines, which are then read twice.
     """
     at = {k: F.instr("value", name) for k, name in HEADER.items()}
-    heads = lines.where(" AND ".join(f"instr(value, '{n}') > 0" for n in HEADER.values())).groupBy("file").agg(*(F.min(c).alias(f"at_{k}") for k, c in at.items()))
+    among = lines if headers is None else headers
+    heads = checkpointed(among.where(" AND ".join(f"instr(value, '{n}') > 0" for n in HEADER.values())).groupBy("file").agg(*(F.min(c).alias(f"at_{k}") for k, c in at.items())))
     if heads.count() <= BROADCAST_FILES:
         heads = F.broadcast(heads)
     body = lines.join(heads, "file", "left")
@@ -52,9 +55,10 @@ def classified(flows: DataFrame, rules: DataFrame) -> DataFrame:
     """Flows by pair of codes with what they are: (row, column, value, n, row_sector, sector, kind).
 
     kind is labor, taxes or capital for value added, total for other rows of accounts and sums,
-    and input for all else; zero flows are left out.
+    and input for all else; zero flows are left out. The sums are written once, as both sides'
+    codes and the flows themselves are read from them.
     """
-    sums = flows.where("value <> 0").groupBy("row", "column").agg(F.sum("value").alias("value"), F.count("*").alias("n"))
+    sums = checkpointed(flows.where("value <> 0").groupBy("row", "column").agg(F.sum("value").alias("value"), F.count("*").alias("n")))
     marked = rules.withColumn("known", F.lit(True))
     codes = sums.select(F.col("row").alias("code")).union(sums.select("column"))
     sectors = concordance(codes, marked)

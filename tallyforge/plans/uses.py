@@ -43,6 +43,11 @@ def sql(body: str, *more: str) -> str:
     return "WITH RECURSIVE " + ",\n".join([BASE, *more]) + "\n" + body
 
 
+def headers(spark: SparkSession) -> DataFrame:
+    """(file, value): the first line of either file."""
+    return spark.createDataFrame(list(TITLES.items()), "file string, value string")
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, value): the text of both files, headers among them."""
     code = lambda key: F.get(F.array(*map(F.lit, CODES)), F.col(key))
@@ -56,13 +61,13 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda f: F.concat(*(F.rpad(c, n, " ") for c, n in LAYOUT[f]))
     file = F.when(F.col("line") % 2 == 0, "a.txt").otherwise("b.txt")
     body = found.select(file.alias("file"), F.when(file == "a.txt", text("a.txt")).otherwise(text("b.txt")).alias("value"))
-    return spark.createDataFrame(list(TITLES.items()), "file string, value string").unionByName(body)
+    return headers(spark).unionByName(body)
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most a row for each pair of codes; several readers follow, so it's written once."""
     rules = spark.createDataFrame([(p, s) for p, s in RULES], "prefix string, sector string")
-    return checkpointed(U.classified(U.use_lines(lines(spark, sf_dir)), rules))
+    return checkpointed(U.classified(U.use_lines(lines(spark, sf_dir), headers(spark)), rules))
 
 
 @query("use_table_z", sql("SELECT i, j, round(z, 2) AS z FROM z"))

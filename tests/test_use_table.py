@@ -73,3 +73,20 @@ def test_multipliers_against_numpy(spark):
     found = {r.sector: r.multiplier for r in registry.queries()["use_table_multipliers"](spark, data).collect()}
     assert [found[s] for s in names] == pytest.approx(want, abs=1e-4)
     assert io.NEGLIGIBLE < min(want) - 1
+
+
+def test_lines_are_read_once(spark, rules):
+    """Sums of flows are written once, though codes of both sides and the flows are read from them; headers kept apart spare a second reading of lines."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    head = spark.createDataFrame([("a", "Commodity  Industry   PurVal     IOYear")], "file string, value string")
+    body = spark.createDataFrame([("a", "400001     700        12.5       2002"), ("a", "V00100     410        3.5        2002")], "file string, value string")
+    lines = head.unionByName(body).mapInArrow(counted, "file string, value string")
+    got = U.classified(U.use_lines(lines, head), rules)
+    assert sorted((r.row, r.column, r.value, r.row_sector, r.sector, r.kind) for r in got.collect()) == [("400001", "700", 12.5, "SHOPS", "FARMS", "input"), ("V00100", "410", 3.5, None, "FARMS", "labor")]
+    assert seen.value == 3
