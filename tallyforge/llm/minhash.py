@@ -22,7 +22,7 @@ A task holds one chunk and one visitor at a time; what leaves it is a spanning f
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -156,10 +156,10 @@ def pairs_of(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], schema=EDGES)
 
 
-def sketched(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, text_id, tid (a hash of the set), n (its size) and the sketch, a row for each row of ``docs``.
+def sketched(docs: DataFrame, rule: Rule, mark: Callable[[str | None], int] | None = None) -> DataFrame:
+    """doc_id, text_id, tid (a hash of the set), n (its size), the sketch and the text's mark, a row for each row of ``docs``.
 
-    Without a word tid is null, unless wordless texts are equal.
+    Without a word tid is null, unless wordless texts are equal. Without ``mark`` marks are null.
     """
     text_id = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
 
@@ -171,10 +171,11 @@ def sketched(docs: DataFrame, rule: Rule) -> DataFrame:
             "tid": [xxhash.xxh64_intdigest(s.tobytes(), 1) >> 1 if len(s) or rule.wordless else None for s in sets],
             "n": [len(s) for s in sets],
             "sketch": [s[:K].view(np.int64) for s in sets],
+            "mark": [mark(t) if mark else None for t in text],
         }
 
-    schema = pa.schema([("doc_id", pa.int64()), ("text_id", pa.int64()), ("tid", pa.int64()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64()))])
-    return map_rows(docs.select(docs["doc_id"].cast("long"), text_id, docs["text"]), rows, schema, "doc_id bigint, text_id bigint, tid bigint, n bigint, sketch array<bigint>")
+    schema = pa.schema([("doc_id", pa.int64()), ("text_id", pa.int64()), ("tid", pa.int64()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64())), ("mark", pa.int64())])
+    return map_rows(docs.select(docs["doc_id"].cast("long"), text_id, docs["text"]), rows, schema, "doc_id bigint, text_id bigint, tid bigint, n bigint, sketch array<bigint>, mark bigint")
 
 
 def prefixes(nodes: DataFrame, rule: Rule) -> DataFrame:
@@ -189,8 +190,8 @@ def prefixes(nodes: DataFrame, rule: Rule) -> DataFrame:
     return own.where(room > 0).select("tid", F.explode(F.slice("own", F.lit(1), room)["value"]).alias("value"))
 
 
-def groups(nodes: DataFrame, rule: Rule) -> DataFrame:
-    """(tid, of) of the sets that may be linked with others: linked ones have the same ``of``."""
+def groups(nodes: DataFrame, rule: Rule, proposed: DataFrame | None = None) -> DataFrame:
+    """(tid, of) of the sets that may be linked with others: linked ones have the same ``of``, and so have the ends of ``proposed`` pairs (a, b)."""
     own = checkpointed(prefixes(nodes, rule))
     lists = checkpointed(own.groupBy("value").agg(F.count("*").alias("count"), F.min("tid").alias("least")).where(F.col("count") > 1))
     hot = hot_counts(lists.select("value", "count"), "value", HOT_VALUE)
@@ -212,15 +213,16 @@ def groups(nodes: DataFrame, rule: Rule) -> DataFrame:
                 found += estimated(tid[start:end], n[start:end], [flat[cut[k] : cut[k + 1]] for k in range(start, end)], rule)
             yield pairs_of(found)
 
-    edges = checkpointed(joined.unionByName(short.select("sets").mapInArrow(run, "a bigint, b bigint")))
+    found = joined.unionByName(short.select("sets").mapInArrow(run, "a bigint, b bigint"))
+    edges = checkpointed(found if proposed is None else found.unionByName(proposed))
     release(own, lists)
     found = components(edges)
     return edges.select(F.explode(F.array("a", "b")).alias("tid")).distinct().join(found, F.col("tid") == found["node"], "left").select("tid", F.coalesce("component", "tid").alias("of"))
 
 
-def placed(nodes: DataFrame, rule: Rule) -> DataFrame:
+def placed(nodes: DataFrame, rule: Rule, proposed: DataFrame | None = None) -> DataFrame:
     """(tid, of, big, bucket, parts, place, chunk): where each set of a group is compared. Big groups are split by size and hash."""
-    found = checkpointed(groups(nodes, rule).join(nodes.select("tid", "n"), "tid"))
+    found = checkpointed(groups(nodes, rule, proposed).join(nodes.select("tid", "n"), "tid"))
     bucket = F.floor(F.log(F.col("n").cast("double")) / rule.width).cast("int")
     sizes = found.groupBy("of").agg(F.sum("n").alias("all")).where(F.col("all") > CHUNK).select("of", F.lit(True).alias("big"))
     members = found.join(sizes, "of", "left").withColumn("big", F.coalesce("big", F.lit(False)))
@@ -282,9 +284,9 @@ def visiting(guests: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
 
 
-def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, rule: Rule, proposed: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of tids that reach the share and connect what all such pairs connect."""
-    members = placed(nodes, rule)
+    members = placed(nodes, rule, proposed)
     own = with_sets(docs, members, nodes.select("tid", "doc_id", "text_id"), rule)
     alone = own.select("tid", "shingles", "of", "big", "bucket", "place", "chunk", F.lit(False).alias("guest"), F.lit(None).cast("long").alias("component"))
     chunks = checkpointed(members.where("big").select("place", F.col("parts").alias("pieces")).distinct())
@@ -303,20 +305,22 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     return checkpointed(first.unionByName(compared(second, rule)))
 
 
-def grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, rule: Rule, mark: Callable[[str | None], int] | None = None, propose: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_id, tid, n) of ``docs``, and for each tid its group: (tid, of, first).
 
     ``of`` is one tid of the group and ``first`` a struct of the group's smallest doc_id and the
-    text that has it, null if no row of the group has a doc_id.
+    text that has it, null if no row of the group has a doc_id. ``propose`` makes pairs (a, b) of
+    tids out of (tid, mark), whose whole sets are compared beside those that sketches find.
     """
-    rows = checkpointed(sketched(docs, rule))
+    rows = checkpointed(sketched(docs, rule, mark))
     own = F.struct("doc_id", "text_id")
-    each = rows.where("tid is not null").groupBy("tid").agg(F.min(own).alias("text"), F.min(F.when(F.col("doc_id").isNotNull(), own)).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    nodes = checkpointed(each.select("tid", "n", "sketch", "rep", "text.doc_id", "text.text_id"))
-    found = components(links(docs, nodes, rule))
+    each = rows.where("tid is not null").groupBy("tid").agg(F.min(own).alias("text"), F.min(F.when(F.col("doc_id").isNotNull(), own)).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("mark").alias("mark"))
+    nodes = checkpointed(each.select("tid", "n", "sketch", "rep", "text.doc_id", "text.text_id", "mark"))
+    proposed = propose(nodes.where("n > 0").select("tid", "mark")) if propose else None
+    found = components(links(docs, nodes, rule, proposed))
     labels = nodes.select("tid", "rep").join(found, F.col("tid") == found["node"], "left").select("tid", "rep", F.coalesce("component", "tid").alias("of"))
     first = labels.groupBy("of").agg(F.min("rep").alias("first"))
-    return rows.drop("sketch"), labels.join(first, "of").select("tid", "of", "first")
+    return rows.drop("sketch", "mark"), labels.join(first, "of").select("tid", "of", "first")
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:

@@ -178,15 +178,32 @@ def alike(a: str | None, b: str | None) -> bool:
     return bool(NEAR.linked(both, len(x), len(y))) if len(x) and len(y) else not len(x) and not len(y)
 
 
+def marked(text: str | None) -> int:
+    """A text's fingerprint as a signed long."""
+    return signed(fingerprint(text))
+
+
+def proposed(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of tids that connect what fingerprints (tid, mark) within four bits of each other connect, by ball hashing; each once."""
+    reps = checkpointed(nodes.groupBy(F.col("mark").alias("fp")).agg(F.min("tid").alias("rep")))
+    equal = nodes.join(reps, nodes["mark"] == reps["fp"]).where("tid <> rep").select(F.col("tid").alias("a"), F.col("rep").alias("b"))
+    return checkpointed(links(reps).distinct().unionByName(equal))  # many prefixes find the same pair
+
+
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """minhash.grouped() of the texts that are alike; fingerprints and sketches propose, whole sets decide."""
+    return minhash.grouped(docs, NEAR, marked, proposed)
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id and component_id of groups whose texts are alike, one row for each row of ``docs``.
 
-    Fingerprints of shingles drift too far apart at four fifths of shingles in common, so links
-    are those of bottom-k sketches, confirmed on whole sets of shingles. Equal texts count once.
-    Null and wordless texts are one group; rows without a doc_id are in their text's group, and
+    Fingerprints within four bits are candidates, found by ball hashing. At four fifths of
+    shingles in common most fingerprints are further apart; bottom-k sketches find these. What
+    either finds is compared on whole sets of shingles. Equal texts count once. Null and wordless texts are one group; rows without a doc_id are in their text's group, and
     component_id is null where no row of a group has a doc_id.
     """
-    rows, labels = minhash.grouped(docs, NEAR)
+    rows, labels = grouped(docs)
     return rows.join(labels, "tid").select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
@@ -198,7 +215,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     are one group, very long texts are compared whole, rows without a doc_id stay.
     """
     doc_id, text_id = free(docs, "kept_doc_id"), free(docs, "kept_text_id")
-    _, labels = minhash.grouped(docs, NEAR)
+    _, labels = grouped(docs)
     first = labels.select("of", "first").distinct().where("first is not null").select(F.col("first.doc_id").alias(doc_id), F.col("first.text_id").alias(text_id))
     text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     found = docs.join(first, (docs["doc_id"] == first[doc_id]) & (text_hash == first[text_id]))

@@ -61,3 +61,18 @@ def test_stages_stand_odd_rows(spark, name):
     if name != corpus_pipeline.STAGES[-1][0]:
         assert out.columns == frame(spark).columns
     assert stage(spark, empty(spark), DATA).count() == 0
+
+
+def test_near_dedup_takes_candidates_from_fingerprints(spark):
+    """Ball hashing proposes pairs to the near-dedup stage, and whole sets decide on them when sketches propose nothing."""
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join(base), " ".join([*base[:399], "other"]), " ".join(f"v{k}" for k in range(400))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert bin(simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[1])).count("1") <= 4 and simhash.alike(texts[0], texts[1])
+    nodes = spark.createDataFrame([(k, simhash.marked(t)) for k, t in enumerate(texts)], "tid long, mark long")
+    assert [set(r) for r in simhash.proposed(nodes).collect()] == [{0, 1}]
+    before, simhash.minhash.prefixes = simhash.minhash.prefixes, lambda nodes, rule: spark.createDataFrame([], "tid long, value long")
+    try:
+        assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect()) == [0, 2]
+    finally:
+        simhash.minhash.prefixes = before
