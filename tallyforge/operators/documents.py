@@ -35,10 +35,10 @@ def paged(children: DataFrame, page: int = PAGE) -> DataFrame:
     return children.join(many, "company_id", "left").withColumn("page", F.coalesce(dealt, F.lit(0))).drop("pages")
 
 
-def earlier(a: Column, b: Column) -> Column:
-    """Order of two structs (at, tie, item): by at, nulls last, then by tie."""
-    key = lambda x: F.struct(x["at"].isNull().alias("n"), x["at"].alias("at"), x["tie"].alias("tie"))
-    return F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
+def in_order(rows: Column) -> Column:
+    """The items of structs (at, tie, item) by at, nulls last, then by tie. Items have no order, so keys are sorted with the place of their item."""
+    keys = F.transform(rows, lambda x, i: F.struct(x["at"].isNull().alias("n"), x["at"].alias("at"), x["tie"].alias("tie"), i.alias("i")))
+    return F.transform(F.array_sort(keys), lambda k: F.get(rows, k["i"])["item"])
 
 
 def nested(parents: DataFrame, children: list[DataFrame], kinds: list[str], page: int = PAGE) -> DataFrame:
@@ -47,8 +47,7 @@ def nested(parents: DataFrame, children: list[DataFrame], kinds: list[str], page
     one = F.struct("at", "tie", "item")
     gathered = rows.groupBy(F.col("company_id").alias("id"), "page").agg(*(F.collect_list(F.when(F.col("kind") == k, one)).alias(k) for k in kinds))
     found = parents.join(gathered, "id", "left").withColumn("page", F.coalesce("page", F.lit(0)))
-    items = lambda k: F.transform(F.array_sort(k, earlier), lambda x: x["item"])
-    return found.withColumns({k: F.coalesce(items(k), F.array().cast("array<variant>")) for k in kinds})
+    return found.withColumns({k: F.coalesce(in_order(F.col(k)), F.array().cast("array<variant>")) for k in kinds})
 
 
 def fields(item: Column, *names: str, kind: str = "string") -> Column:

@@ -36,3 +36,10 @@ def test_states_of_answers(spark):
     got = [r.s for r in codes.select(N.answered(F.col("code"), F.col("n")).alias("s")).collect()]
     assert got == ["present", "missing", "not_found", "unavailable", "missing", "error", "error"]
     assert spark.range(1).select(N.status((F.lit(False), "a"), (F.lit(True), "b"), (F.lit(True), "c")).alias("s")).first().s == "b"
+
+
+def test_items_are_ordered_by_keys(spark):
+    """Items without an order follow (at, tie), nulls last and equal keys as they came, and no comparator runs row by row."""
+    rows = spark.createDataFrame([([(2.0, "b", "x"), (None, "a", "y"), (1.0, "c", "z"), (2.0, "a", "w"), (2.0, "b", "v")],), ([],)], "r array<struct<at:double,tie:string,item:string>>")
+    found = rows.select(N.in_order(F.col("r")).alias("items"))
+    assert [r["items"] for r in found.collect()] == [["z", "w", "x", "v", "y"], []]
